@@ -73,17 +73,21 @@ def _any(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def in_system_location(path) -> Column:
-    lowered = F.lower(_col(path))
-    forward = _forward(lowered)
+def in_system_location(path, *, lowered=None, forward=None) -> Column:
+    lowered = F.lower(_col(path)) if lowered is None else lowered
+    forward = _forward(lowered) if forward is None else forward
     return F.coalesce(_any([forward.startswith(p) for p in V.SYSTEM_DIRECTORIES]
                            + [lowered.startswith(p) for p in V.WINDOWS_SYSTEM_DIRECTORIES]),
                       F.lit(False))
 
 
-def _longest_fragment(path, patterns, shown) -> Column:
-    """The longest listed fragment a path contains, as ``shown(pattern)``."""
-    forward = _forward(F.lower(_col(path)))
+def _longest_fragment(path, patterns, shown, forward=None) -> Column:
+    """The longest listed fragment a path contains, as ``shown(pattern)``.
+
+    A caller that already holds the lower-case forward-slash spelling passes it
+    as ``forward``, so that it is computed once rather than once per pattern.
+    """
+    forward = _forward(F.lower(_col(path))) if forward is None else forward
     chosen = F.lit(None).cast("string")
     ordered = sorted(patterns, key=lambda p: -len(p))
     for pattern in reversed(ordered):
@@ -92,9 +96,9 @@ def _longest_fragment(path, patterns, shown) -> Column:
     return chosen
 
 
-def transient_location(path) -> Column:
+def transient_location(path, *, forward=None) -> Column:
     return _longest_fragment(path, V.TRANSIENT_DIRECTORIES,
-                             lambda p: p.replace("\\", "/").strip("/"))
+                             lambda p: p.replace("\\", "/").strip("/"), forward)
 
 
 def notable_location(path) -> Column:

@@ -61,6 +61,9 @@ def link_image_facts(events: DataFrame, artifacts: DataFrame | None) -> DataFram
 def _facts(events: DataFrame, rules) -> DataFrame:
     """One boolean or text column per thing the rules look at, each regex run once."""
     have = set(events.columns)
+    events = events.withColumn("_lower", F.lower(F.coalesce("executable", F.lit("")))).withColumn(
+        "_forward", F.translate("_lower", "\\", "/"))
+    spelled = {"forward": F.col("_forward")}
     null = F.lit(None).cast("string")
     command = F.coalesce(F.col("full_command_line"), F.lit(""))
     image = F.coalesce(F.col("executable"), F.lit(""))
@@ -77,9 +80,9 @@ def _facts(events: DataFrame, rules) -> DataFrame:
         "_installer": command.rlike(V.INSTALLER_URL),
         "_fetched": command.rlike(V.FETCH_TO_WRITABLE),
         "_encoded": command.rlike(V.ENCODED_POWERSHELL),
-        "_writable": X.transient_location(image),
+        "_writable": X.transient_location(image, **spelled),
         "_routine": routine,
-        "_system": X.in_system_location(image),
+        "_system": X.in_system_location(image, lowered=F.col("_lower"), **spelled),
         "_interpreter": X.is_interpreter(image, F.col("process_name")),
         "_missing": F.coalesce(F.col("artifact_status") == V.MISSING, F.lit(False)),
         "_hashed": F.coalesce((F.col("artifact_status") == V.COLLECTED)
@@ -206,6 +209,9 @@ def classify_events(events: DataFrame, artifacts: DataFrame | None = None, *,
                 .when(F.col("_routine").isNotNull(), V.NOT_HARMFUL)
                 .when(F.col("_system") & ~F.col("_interpreter"), V.NOT_HARMFUL)
                 .otherwise(V.NEEDS_REVIEW))
+    priority = F.when(session, V.PRIORITY_3).otherwise(priority_tier(F.col("_score")))
+    rating = rating.select("*", category.alias("_category"), priority.alias("_priority"))
+    category, priority = F.col("_category"), F.col("_priority")
     reason = (F.when(session, "A session record; it carries no command and no image.")
               .when(F.col("_worrying"), F.concat(
                   F.array_join(F.transform(F.filter("_concern", lambda s: s["weight"] > 0),
@@ -235,7 +241,6 @@ def classify_events(events: DataFrame, artifacts: DataFrame | None = None, *,
                                                         & ~F.col("_has_command")),
                           V.ROUTINE_RECOGNIZED)
                     .otherwise(V.FOR_REVIEW))
-    priority = F.when(session, V.PRIORITY_3).otherwise(priority_tier(F.col("_score")))
     limitations = X.record_limitations("command_reconstruction_status", "source", "ts",
                                        "unavailable")
     return rating.select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("triage", "identity")
+FAMILIES = ("triage", "identity", "scalars")
 
 
 def register_all() -> None:

@@ -12,7 +12,8 @@ _C = "classification"
 SELECT event_id, source_count, score, category, priority, presentation, signals FROM scored"""))
 def _(spark, sf):
     return classified(spark, sf).select(
-        "event_id", F.col("source_count").cast("bigint"), F.col(f"{_C}.score").cast("bigint"),
+        "event_id", F.col("source_count").cast("bigint").alias("source_count"),
+        F.col(f"{_C}.score").cast("bigint").alias("score"),
         f"{_C}.category", f"{_C}.priority", f"{_C}.presentation",
         joined(T.signal_names()).alias("signals"))
 

@@ -5,13 +5,17 @@ from whole tables. A few functions differ between the two dialects; they are
 written as ``{name}`` and filled in per dialect.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread, tune
+
 DIALECT = {
     "spark": {"sha256": "sha2({0}, 256)", "micros": "unix_micros(CAST({0} AS TIMESTAMP))",
-              "text_ts": "date_format({0}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"},
+              "bytes": "CAST({0} AS BINARY)"},
     "duckdb": {"sha256": "sha256({0})", "micros": "epoch_us({0})",
-               "text_ts": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"},
+               "bytes": "encode({0})"},
 }
 
 # k: the number inside props, 0..99; q and r spread hosts and names.
@@ -114,6 +118,33 @@ SELECT 'host-' || CAST(page_id % 16 AS STRING) AS endpoint_id,
          ELSE '/home/u' || CAST(page_id % 150 AS STRING) || '/Downloads/page' || CAST(page_id AS STRING) || '.html' END AS target_path,
        (SELECT min(ts) FROM events) + INTERVAL 1 HOUR * CAST(page_id % 700 AS INT) AS downloaded_at
 FROM pages
+""",
+    # Path spellings: images, artifact paths, and the same written other ways.
+    "paths": """
+SELECT DISTINCT p FROM (
+  SELECT executable AS p FROM exec_raw UNION ALL SELECT path FROM artifact_paths
+  UNION ALL SELECT '/srv//' || src || '///doc' || CAST(doc_id AS STRING) || '/' FROM artifact_raw
+  UNION ALL SELECT chr(92) || chr(92) || 'nas' || CAST(doc_id % 16 AS STRING) || chr(92) || src || chr(92) || 'a' || CAST(r AS STRING) || '.dll' FROM artifact_raw
+  UNION ALL SELECT 'rel/' || src || '/.hidden' || CAST(r AS STRING) FROM artifact_raw
+  UNION ALL SELECT 'D:/data/' || src || '.TXT.exe' FROM artifact_raw
+  UNION ALL SELECT 'C:' || chr(92) || 'Users' || chr(92) || 'u' || CAST(r AS STRING) || chr(92) || 'AppData' || chr(92) || 'Local' || chr(92) || 'Temp' || chr(92) || 'x.ps1' FROM artifact_raw)
+""",
+    # Whole texts.
+    "messages": """
+SELECT 'd' || CAST(doc_id AS STRING) AS id, text FROM documents
+UNION ALL SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), text FROM conversations
+""",
+    # Byte contents: whole texts, some wrapped in file markers or image headers.
+    "contents": """
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.pdf' WHEN 3 THEN '.e01' WHEN 4 THEN '.jpeg' ELSE '.bin' END AS ext,
+  CASE doc_id % 6
+    WHEN 0 THEN unhex('FFD8FF') || {bytes(text)} || unhex('FFD90000')
+    WHEN 1 THEN unhex('89504E470D0A1A0A') || {bytes(text)} || unhex('49454E44AE426082')
+    WHEN 2 THEN {bytes('%PDF-1.4 ')} || {bytes(text)}
+    WHEN 3 THEN unhex('455646090D0AFF00') || {bytes(text)}
+    WHEN 4 THEN unhex('FFD8FF') || {bytes(text)}
+    ELSE {bytes(text)} END AS content, text
+FROM documents
 """,
     # Digest observations per file over time.
     "ledger": """
@@ -130,7 +161,7 @@ FROM lineitem
 NEEDS = {
     "base": (), "exec_raw": ("base",), "exec_events": ("exec_raw",), "artifact_raw": (),
     "artifact_paths": ("artifact_raw",), "artifacts": ("artifact_paths",), "downloads": (),
-    "ledger": (),
+    "ledger": (), "paths": ("exec_raw", "artifact_paths"), "messages": (), "contents": (),
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -163,12 +194,13 @@ def with_views(*names: str, dialect: str, extra=()) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tune(spark)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def evidence(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One evidence view over the parquet tables of a folder."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tune(spark)
     sources = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES
                if t in _used_tables(name)]
     chain = with_views(name, dialect="spark")[len("WITH "):]
@@ -176,10 +208,9 @@ def evidence(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, df[column].cast("timestamp"))
-    return df
+    return spread(df)
 
 
 def _used_tables(name) -> set:
-    import re
     text = " ".join(VIEWS[n] for n in _chain([name]))
     return {t for t in TABLES if re.search(rf"\bFROM {t}\b", text)}

@@ -5,12 +5,28 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Methods above this size are not compiled by HotSpot; Spark then runs operators one by one.
+TUNING = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> None:
+    """Settings the operators rely on (UTC) or run better with, on a session made elsewhere."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table that is one small file; larger tables pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def build_session(app="traceloom", master=None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **TUNING,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
