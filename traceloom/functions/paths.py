@@ -8,7 +8,7 @@ from .. import vocab as V
 
 __all__ = ["normalize_path", "is_absolute", "path_basename", "path_dirname", "same_path",
            "path_extension", "path_ancestors", "in_system_location", "transient_location",
-           "notable_location", "is_interpreter", "interpreter_for", "filename_indicators"]
+           "notable_location", "in_notable_location", "is_interpreter", "interpreter_for", "filename_indicators"]
 
 
 def _col(value) -> Column:
@@ -21,13 +21,8 @@ def _forward(path: Column) -> Column:
 
 def normalize_path(path) -> Column:
     """One spelling per path: forward slashes, no repeats after the second character."""
-    text = _forward(_col(path))
-    folded = F.concat(F.substring(text, 1, 2),
-                      F.regexp_replace(F.substring(text, 3, 2147483647), "/{2,}", "/"))
-    bare = F.regexp_replace(folded, r"/+\z", "")
-    return (F.when(folded.isNull() | (folded == ""), F.lit(""))
-            .when(F.endswith(folded, F.lit("/")), F.when(bare == "", F.lit("/")).otherwise(bare))
-            .otherwise(folded))
+    folded = F.regexp_replace(_forward(_col(path)), r"(?s)(?<=..)/{2,}", "/")
+    return F.coalesce(F.regexp_replace(folded, r"(?s)(?<=.)/+\z", ""), F.lit(""))
 
 
 def is_absolute(path) -> Column:
@@ -105,6 +100,13 @@ def notable_location(path) -> Column:
     return _longest_fragment(path, V.NOTABLE_LOCATIONS, lambda p: p.strip("\\/"))
 
 
+def in_notable_location(path) -> Column:
+    """Whether :func:`notable_location` would name a place; one pattern, cheap to filter on."""
+    fragments = "|".join("(?:" + p.replace("\\", "/").replace("$", r"\$").replace(".", r"\.") + ")"
+                         for p in V.NOTABLE_LOCATIONS)
+    return F.coalesce(_forward(F.lower(_col(path))).rlike(fragments), F.lit(False))
+
+
 def is_interpreter(path, name) -> Column:
     path, name = _col(path), _col(name)
     return (F.coalesce(name.rlike(V.INTERPRETER_NAME), F.lit(False))

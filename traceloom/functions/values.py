@@ -167,21 +167,22 @@ def structural_check(content, extension) -> Column:
     # Trailing zero bytes are padding; an odd split cannot occur because pairs are whole bytes.
     jpeg_ok = jpeg_end.rlike(r"^(?:..)*FFD9\z")
 
+    def say(status, detail):
+        return F.struct(F.lit(status).alias("status"), F.lit(detail).alias("detail"))
+
     def verdict(head_ok, tail_ok, kind):
-        return (F.when(~head_ok, F.struct(F.lit("critical").alias("status"),
-                                          F.lit(f"{kind} start marker missing").alias("detail")))
-                .when(~tail_ok, F.struct(F.lit("warning"), F.lit(f"{kind} end marker missing")))
-                .otherwise(F.struct(F.lit("ok"), F.lit(f"{kind} markers present"))))
-
-    return (F.when(size == 0, F.struct(F.lit("warning").alias("status"),
-                                       F.lit("empty file").alias("detail")))
-            .when(size > V.MAX_HASH_BYTES, F.struct(F.lit("unknown"), F.lit("over the size limit")))
+        return (F.when(~head_ok, say("critical", f"{kind} start marker missing"))
+                .when(~tail_ok, say("warning", f"{kind} end marker missing"))
+                .otherwise(say("ok", f"{kind} markers present")))
+
+    return (F.when(size == 0, say("warning", "empty file"))
+            .when(size > V.MAX_HASH_BYTES, say("unknown", "over the size limit"))
             .when(ext.isin(".jpg", ".jpeg"), verdict(head.startswith("FFD8FF"), jpeg_ok, "JPEG"))
             .when(ext == ".png", verdict(head.startswith("89504E470D0A1A0A"),
                                          on_byte(tail(1024), "49454E44"), "PNG"))
             .when(ext == ".pdf", verdict(head.startswith("255044462D"),
                                          on_byte(tail(2048), "2525454F46"), "PDF"))
-            .otherwise(F.struct(F.lit("unknown"), F.lit("no check for this type"))))
+            .otherwise(say("unknown", "no check for this type")))
 
 
 def resolve_window(hours=None, *, end: datetime | None = None) -> tuple[datetime, datetime]:

@@ -141,7 +141,7 @@ def artifact_findings(events: DataFrame, artifacts: DataFrame) -> DataFrame:
         corroborated=several, action="Look for a package operation around that time",
         unknowns=("why the file is absent",), subject=path)
     unusual = finding(
-        rows.filter(F.col("notable_location").isNotNull()),
+        rows.filter(X.in_notable_location("executable")),
         "unusual_execution_location", V.MEDIUM,
         F.concat(F.lit("Execution from a writable or temporary location: "), base),
         F.concat(path, F.lit(" is under "), F.col("notable_location"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("triage", "identity", "scalars")
+FAMILIES = ("triage", "identity", "scalars", "links")
 
 
 def register_all() -> None:

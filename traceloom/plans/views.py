@@ -151,8 +151,8 @@ FROM documents
 SELECT 'host-' || CAST(l_suppkey % 16 AS STRING) AS endpoint_id,
        '/srv/data/part' || CAST(l_partkey AS STRING) AS path,
        CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN 'SHA1' ELSE 'SHA256' END AS algorithm,
-       {sha256(CAST(floor(l_quantity / 10) AS STRING))} AS hash,
-       CAST(l_extendedprice AS BIGINT) AS size_bytes, l_shipdate AS ts,
+       {sha256(CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS STRING))} AS hash,
+       CAST(floor(l_extendedprice) AS BIGINT) AS size_bytes, l_shipdate AS ts,
        l_orderkey * 10 + l_linenumber AS seq
 FROM lineitem
 """,
