@@ -238,6 +238,10 @@ def _section(title, lines, nothing) -> Column:
         F.array(F.lit(nothing))).alias("lines"))
 
 
+def _part(title, lines) -> Column:
+    return F.struct(F.lit(title).alias("title"), lines.alias("lines"))
+
+
 def activity_facts(records: DataFrame) -> DataFrame:
     """Per activity: what confirms it, its users, its first records and its references."""
     by = ["group_id"]
@@ -383,12 +387,11 @@ def _artifact_briefs(tables) -> DataFrame:
             F.when(F.coalesce("download_count", F.lit(0)) == 0, F.lit("how it arrived")))).alias(
                 "unknown"),
         F.array(
-            F.struct(F.lit("Related activity").alias("title"), F.array(F.when(named, F.concat(
-                _n("naming"), F.lit(" mention(s), first "), "first_event")).otherwise(
-                    "none")).alias("lines")),
-            F.struct(F.lit("Related artifacts"), F.array(F.concat(
+            _part("Related activity", F.array(F.when(named, F.concat(
+                _n("naming"), F.lit(" mention(s), first "), "first_event")).otherwise("none"))),
+            _part("Related artifacts", F.array(F.concat(
                 _n("same_hash"), F.lit(" other file(s) with this digest")))),
-            F.struct(F.lit("Browser context"), F.array(F.coalesce("url", F.lit("none"))))).alias(
+            _part("Browser context", F.array(F.coalesce("url", F.lit("none"))))).alias(
                 "sections"),
         F.array_compact(F.array(ident, F.col("first_event"))).alias("evidence_ids"),
         X.suggested_review(recognized, title, F.col("naming"), F.col("download_count")).alias(
@@ -407,10 +410,10 @@ def _finding_briefs(tables) -> DataFrame:
         F.lit(None).cast("string").alias("recognition_state"),
         F.col("explanation").alias("summary"), F.array("why").alias("known"),
         F.col("unknowns").alias("unknown"),
-        F.array(F.struct(F.lit("Evidence this rests on").alias("title"), F.transform(
-            "evidence_references", lambda r: F.concat_ws("  ", r["kind"], r["id"])).alias("lines")),
-            F.struct(F.lit("Confidence"), F.array("confidence", F.concat(
-                F.lit("Severity: "), "severity")))).alias("sections"),
+        F.array(_part("Evidence this rests on", F.transform(
+            "evidence_references", lambda r: F.concat_ws("  ", r["kind"], r["id"]))),
+            _part("Confidence", F.array("confidence", F.concat(F.lit("Severity: "), "severity")))
+        ).alias("sections"),
         F.array_sort(F.array_compact(ids)).alias("evidence_ids"),
         F.array_compact(F.array("recommended_action")).alias("suggested_review"))
 
@@ -445,8 +448,7 @@ def _thread_briefs(tables) -> DataFrame:
                  F.lit(" record(s).")).alias("summary"),
         F.array_compact(F.array("reason")).alias("known"),
         F.array(F.lit("what connected these beyond shared words and timing")).alias("unknown"),
-        F.array(F.struct(F.lit("Commands").alias("title"), F.col("commands").alias("lines"))).alias(
-            "sections"),
+        F.array(_part("Commands", F.col("commands"))).alias("sections"),
         F.coalesce("evidence_ids", F.array().cast(_EMPTY)).alias("evidence_ids"),
         F.array(F.lit("Read the sequence in order.")).alias("suggested_review"))
 
@@ -466,7 +468,7 @@ def _lead_briefs(tables) -> DataFrame:
         F.concat("title", F.lit(". "), _n("activity_count"), F.lit(" command(s), "),
                  _n("record_count"), F.lit(" record(s).")).alias("summary"),
         F.col("why").alias("known"), F.col("unknowns").alias("unknown"),
-        F.array(F.struct(F.lit("Commands in this pattern").alias("title"), F.slice(
-            "commands", 1, MAX_RELATED).alias("lines"))).alias("sections"),
+        F.array(_part("Commands in this pattern", F.slice("commands", 1, MAX_RELATED))).alias(
+            "sections"),
         F.coalesce("evidence_ids", F.array().cast(_EMPTY)).alias("evidence_ids"),
         F.array_compact(F.array("recommended_action")).alias("suggested_review"))

@@ -65,6 +65,11 @@ def _test(operator, subject: Column, value) -> Column:
     return subject.rlike("(?U)" + str(value))
 
 
+def _nested_test(name, operator, value) -> Column:
+    return F.exists("records", lambda r: F.coalesce(
+        _test(operator, r[name].cast("string"), value), F.lit(False)))
+
+
 def field_candidates(df: DataFrame, field: str):
     """``(flat columns, array columns, nested record fields)`` a logical field reads."""
     if field not in FIELDS:
@@ -101,8 +106,7 @@ def predicate_column(df: DataFrame, predicate: dict) -> Column:
     flat, arrays, nested = field_candidates(df, predicate["field"])
     tests = [_test(operator, F.col(c).cast("string"), value) for c in flat]
     tests += [F.exists(c, lambda v: _test(operator, v.cast("string"), value)) for c in arrays]
-    tests += [F.exists("records", lambda r, n=n: F.coalesce(
-        _test(operator, r[n].cast("string"), value), F.lit(False))) for n in nested]
+    tests += [_nested_test(n, operator, value) for n in nested]
     if not tests:
         return F.lit(False)
     return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests]),

@@ -1,5 +1,6 @@
 """SQL pieces the oracle queries share. They restate the rules independently in SQL."""
 
+from .. import vocab as V
 from .views import with_views
 
 
@@ -142,10 +143,67 @@ _LAYERS = {"scored": 5, "groups": 6, "ranked": 7}
 _ALL = (UNIQUE_ARTIFACTS, IMAGES, FACTS, RATED, SCORED, GROUPS, RANKED)
 
 
+_COMMON = ", ".join(f"'{w}'" for w in V.COMMON_WORDS)
+TOKENS_SQL = f"""
+list_sort(list_distinct(list_concat(
+  list_transform(regexp_extract_all(cmd, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])https?://([^/\\s:|''"]+)', 1), lambda h: lower(h)),
+  list_concat(list_filter(whole, lambda t: length(t) >= 4 AND t NOT IN ({_COMMON})),
+    list_filter(flatten(list_transform(list_filter(whole, lambda t: length(t) >= 4 AND t NOT IN ({_COMMON})),
+      lambda t: string_split_regex(t, '[-_.]'))),
+      lambda t: length(t) >= 4 AND t NOT IN ({_COMMON}) AND NOT regexp_matches(t, '^[0-9]+$'))))))"""
+
+
+def tokens_from(relation):
+    """SELECT with a ``tokens`` list from a relation with cmd and image columns."""
+    return f"""
+SELECT *, {TOKENS_SQL} AS tokens FROM (
+  SELECT *, list_transform(flatten(list_transform(list_append(list_filter(string_split_regex(cmd, '\\s+'),
+      lambda w: NOT starts_with(w, '-')), regexp_extract(image, '[^/]*$', 0)),
+    lambda w: regexp_extract_all(w, '[A-Za-z][A-Za-z0-9_.+-]{{2,}}'))),
+    lambda t: regexp_replace(lower(t), '^[._-]+|[._-]+$', '', 'g')) AS whole FROM {relation})"""
+
+
+def _thread_layers():
+    installs = (r"regexp_matches(cmd, '(?i)\b(install|add|clone|setup\.py|pip3?\s+install|npm\s+i(nstall)?|"
+                r"cargo\s+install|go\s+install|gem\s+install|snap\s+install|flatpak\s+install|"
+                r"make\s+install)\b')")
+    minutes = lambda x, y: f"abs(epoch_us(a.{x}) - epoch_us(b.{y})) <= 1800000000"
+    return (
+        ("named_groups", """
+SELECT *, coalesce(full_command_line, '') AS cmd, coalesce(executable, process_name, '') AS image,
+  investigation_id || endpoint_id || akey AS gid FROM ranked WHERE full_command_line IS NOT NULL OR executable IS NOT NULL"""),
+        ("tok", f"SELECT investigation_id, gid, cmd, unnest(tokens) AS token FROM ({tokens_from('named_groups')})"),
+        ("rare", """
+SELECT t.* FROM tok t JOIN (SELECT investigation_id, token FROM tok GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8)
+USING (investigation_id, token)"""),
+        ("spots", """
+SELECT DISTINCT investigation_id || endpoint_id || akey AS gid, endpoint_id || regexp_replace(source_record_id, ':[0-9]+$', '') AS file,
+  CAST(regexp_extract(source_record_id, ':([0-9]+)$', 1) AS BIGINT) AS line FROM scored"""),
+        ("edges", f"""
+SELECT investigation_id, x AS a, y AS b, min(CASE WHEN inst THEN 0 ELSE 1 END) = 0 AS installs FROM (
+  SELECT p.investigation_id, p.gid AS x, q.gid AS y,
+    ({installs.replace('cmd', 'a.cmd')} AND contains(lower(a.cmd), p.token)) OR ({installs.replace('cmd', 'b.cmd')} AND contains(lower(b.cmd), p.token)) AS inst,
+    coalesce({minutes('first_seen', 'first_seen')} OR {minutes('first_seen', 'last_seen')} OR {minutes('last_seen', 'first_seen')} OR {minutes('last_seen', 'last_seen')}, false)
+    OR EXISTS (SELECT 1 FROM spots m JOIN spots n ON m.file = n.file AND abs(m.line - n.line) <= 12 WHERE m.gid = p.gid AND n.gid = q.gid) AS near
+  FROM rare p JOIN rare q ON p.investigation_id = q.investigation_id AND p.token = q.token AND p.gid < q.gid
+  JOIN named_groups a ON a.gid = p.gid JOIN named_groups b ON b.gid = q.gid)
+WHERE inst OR near GROUP BY ALL"""),
+        ("both_ways", "SELECT investigation_id, a, b FROM edges UNION SELECT investigation_id, b, a FROM edges"),
+        ("reach(investigation_id, a, b)", """
+SELECT investigation_id, a, a FROM both_ways UNION SELECT r.investigation_id, r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b"""),
+        ("roots", """
+SELECT n.investigation_id, n.endpoint_id, n.akey, r.root FROM (SELECT a, min(b) AS root FROM reach GROUP BY ALL) r JOIN named_groups n ON n.gid = r.a"""),
+    )
+
+
+INDEPENDENT_THREADS = _thread_layers()
+
+
 def scored_sql(upto: str, select: str, *more_views, extra=()) -> str:
     """Oracle text: the evidence views, the scoring layers up to ``upto``, then a select."""
     views = [v for v in ("exec_events", "artifacts") + more_views]
-    return with_views(*views, dialect="duckdb", extra=(*_ALL[:_LAYERS[upto]], *extra)) + select
+    text = with_views(*views, dialect="duckdb", extra=(*_ALL[:_LAYERS[upto]], *extra)) + select
+    return text.replace("WITH ", "WITH RECURSIVE ", 1) if "reach(" in text else text
 
 
 def view_sql(views, select: str, extra=()) -> str:

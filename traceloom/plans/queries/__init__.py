@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("triage", "identity", "scalars", "links")
+FAMILIES = ("triage", "identity", "scalars", "links", "reading")
 
 
 def register_all() -> None:

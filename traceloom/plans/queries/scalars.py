@@ -1,7 +1,7 @@
 """Scalar functions over whole tables."""
 
 from ... import vocab as V
-from ..oracle import npath, view_sql
+from ..oracle import npath, tokens_from, view_sql
 from ..registry import query
 from .common import F, X, evidence, joined, table
 
@@ -227,26 +227,6 @@ def _(spark, sf):
         "event_id", F.size("w").alias("n"), joined("w", " ").alias("words"))
 
 
-_COMMON = ", ".join(f"'{w}'" for w in V.COMMON_WORDS)
-TOKENS_SQL = f"""
-list_sort(list_distinct(list_concat(
-  list_transform(regexp_extract_all(cmd, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])https?://([^/\\s:|''"]+)', 1), lambda h: lower(h)),
-  list_concat(list_filter(whole, lambda t: length(t) >= 4 AND t NOT IN ({_COMMON})),
-    list_filter(flatten(list_transform(list_filter(whole, lambda t: length(t) >= 4 AND t NOT IN ({_COMMON})),
-      lambda t: string_split_regex(t, '[-_.]'))),
-      lambda t: length(t) >= 4 AND t NOT IN ({_COMMON}) AND NOT regexp_matches(t, '^[0-9]+$'))))))"""
-
-
-def tokens_from(relation):
-    """SELECT with a ``tokens`` list from a relation with cmd and image columns."""
-    return f"""
-SELECT *, {TOKENS_SQL} AS tokens FROM (
-  SELECT *, list_transform(flatten(list_transform(list_append(list_filter(string_split_regex(cmd, '\\s+'),
-      lambda w: NOT starts_with(w, '-')), regexp_extract(image, '[^/]*$', 0)),
-    lambda w: regexp_extract_all(w, '[A-Za-z][A-Za-z0-9_.+-]{{2,}}'))),
-    lambda t: regexp_replace(lower(t), '^[._-]+|[._-]+$', '', 'g')) AS whole FROM {relation})"""
-
-
 @query("distinctive_tokens", view_sql(["exec_events", "messages"], f"""
 , src AS (SELECT event_id AS id, coalesce(full_command_line, '') AS cmd, coalesce(executable, process_name, '') AS image FROM exec_events
   UNION ALL SELECT id, text, '' FROM messages)
