@@ -84,8 +84,8 @@ def match_vendors(paths: DataFrame, vendors: list[dict], inventory: DataFrame) -
         files, ["endpoint_id", "_marker"], "left").filter(
             F.col("v.marker").isNull() | F.col("_there"))
     first_line = F.substring(F.regexp_extract(F.trim("_text"), r"^[^\r\n]*", 0), 1, 64)
-    version = (F.when(F.col("v.key").isNotNull(), F.get_json_object(
-        "_text", F.concat(F.lit("$."), F.col("v.key"))))
+    version = (F.when(F.col("v.key").isNotNull(), F.call_function(
+        "get_json_object", F.col("_text"), F.concat(F.lit("$."), F.col("v.key"))))
         .when(F.col("v.pattern").isNotNull(), F.call_function(
             "regexp_extract", F.col("_text"), F.col("v.pattern"), F.lit(1)))
         .otherwise(first_line))

@@ -49,13 +49,17 @@ def link_image_facts(events: DataFrame, artifacts: DataFrame | None) -> DataFram
         none = F.lit(None).cast("string")
         return joined.withColumn("artifact_status", none).withColumn(
             "artifact_hash", none).withColumn("artifact_reference", none).drop("npath")
+    return joined.join(artifact_lookup(artifacts), ["endpoint_id", "npath"], "left").drop("npath")
+
+
+def artifact_lookup(artifacts: DataFrame) -> DataFrame:
+    """What scoring needs to know about the artifact at each (host, normalized path)."""
     known = unique_artifacts(artifacts)
-    look = known.select(
+    return known.select(
         "endpoint_id", "npath", F.col("collection_status").alias("artifact_status"),
         F.col("hash").alias("artifact_hash"),
         (F.coalesce(F.col("reference"), F.col("path")) if "reference" in known.columns
          else F.col("path")).alias("artifact_reference"))
-    return joined.join(look, ["endpoint_id", "npath"], "left").drop("npath")
 
 
 def _facts(events: DataFrame, rules) -> DataFrame:
@@ -188,7 +192,11 @@ def classify_events(events: DataFrame, artifacts: DataFrame | None = None, *,
     ``events`` may carry a ``recognition`` struct. ``rules`` adds concern signals:
     dicts with ``pattern``, ``name``, ``weight`` and optionally ``detail``.
     """
-    linked = link_image_facts(events, artifacts)
+    return classify_linked(link_image_facts(events, artifacts), rules=rules)
+
+
+def classify_linked(linked: DataFrame, *, rules=()) -> DataFrame:
+    """The row-by-row part: needs ``source_count`` and the ``artifact_*`` columns."""
     if "systemd_unit" not in linked.columns:
         linked = linked.withColumn("systemd_unit", F.lit(None).cast("string"))
     facts = _facts(linked, rules)

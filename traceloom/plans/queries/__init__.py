@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("triage", "identity", "scalars", "links", "reading")
+FAMILIES = ("triage", "identity", "scalars", "links", "reading", "ingest", "sequences")
 
 
 def register_all() -> None:

@@ -73,11 +73,13 @@ def risk_reference(documents: DataFrame) -> DataFrame:
               "names:array<string>,sha256:array<string>>>")
     entries = documents.select(F.from_json("value", schema).alias("d")).select(
         F.inline("d.entries"))
-    names = entries.select("id", "category", F.lower(F.explode("names")).alias("name"),
-                           F.lit(None).cast("string").alias("sha256"))
-    digests = entries.select("id", "category", F.lit(None).cast("string").alias("name"),
-                             F.lower(F.explode("sha256")).alias("sha256"))
-    return names.unionByName(digests)
+    none = F.lit(None).cast("string")
+    names = entries.select("id", "category", F.explode("names").alias("name"),
+                           none.alias("sha256"))
+    digests = entries.select("id", "category", none.alias("name"),
+                             F.explode("sha256").alias("sha256"))
+    return names.unionByName(digests).withColumn("name", F.lower("name")).withColumn(
+        "sha256", F.lower("sha256"))
 
 
 def hash_ledger(documents: DataFrame, *, strict=True) -> DataFrame:
