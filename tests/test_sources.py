@@ -53,8 +53,8 @@ def test_journal(spark, tmp_path):
 
 def test_shell_history(spark, tmp_path):
     stamped = f"#{EPOCH}\nmysql --password=hunter2\nplain one\n\n#{EPOCH + 5}\n\n#{EPOCH + 9}\nlast cmd\n"
-    put(tmp_path, "home/u/.bash_history", stamped)
-    put(tmp_path, "home/u/.zsh_history", f": {EPOCH}:0;export API_KEY=zzz\n: 100:0;too old\n", host="h2")
+    put(tmp_path, "home/u/dot_bash_history", stamped)
+    put(tmp_path, "home/u/dot_zsh_history", f": {EPOCH}:0;export API_KEY=zzz\n: 100:0;too old\n", host="h2")
     rows = {r["source_record_id"]: r for r in LX.read_shell_history(
         spark, str(tmp_path), window=WINDOW).collect()}
     first = rows["/home/u/.bash_history:2"]
@@ -175,7 +175,7 @@ def test_usb_lines(spark):
 
 
 def test_packages_from_files(spark, tmp_path):
-    put(tmp_path / "l", "var/lib/dpkg/info/curl:amd64.list", "/.\n/usr/bin//curl\n")
+    put(tmp_path / "l", "var/lib/dpkg/info/curl%3Aamd64.list", "/.\n/usr/bin//curl\n")
     put(tmp_path / "l", "var/lib/dpkg/info/zz.list", "/usr/bin/curl\n")
     rows = RT.read_package_ownership(spark, str(tmp_path / "l")).collect()
     assert [(r["path"], r["package"]) for r in rows] == [("/usr/bin/curl", "curl")]

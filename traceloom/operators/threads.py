@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as X
 from .. import vocab as V
-from ..session import checkpoint
+from ..session import written
 from .activity import label
 from .ordering import first_rows, number_rows
 from .scoring import has_signal
@@ -113,28 +113,26 @@ def linked(pairs: DataFrame, groups: DataFrame, records: DataFrame) -> DataFrame
 def connected(edges: DataFrame, *, rounds=60) -> DataFrame:
     """``(investigation_id, node, root)`` with the least id of each component as root.
 
-    Each round takes the least label among neighbours and then jumps to that
-    label's own label, so the distance to the root halves; labels are written to
-    the checkpoint folder every round, so a lost executor repeats one round only.
+    Each round moves every node to the least id next to it, twice, and then
+    merges nodes that met: what is left of the graph shrinks by a constant
+    factor, so rounds grow with the logarithm of its size. Tables are written
+    every round, so a lost executor repeats one round only.
     """
     key = ["investigation_id"]
-    links = checkpoint(edges.select(*key, "a", "b").unionByName(
+    links = written(edges.select(*key, "a", "b").unionByName(
         edges.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(links.groupBy(*key, F.col("a").alias("node")).agg(
-        F.least(F.min("a"), F.min("b")).alias("root")))
+    labels = links.select(*key, F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     for _ in range(rounds):
-        told = links.join(labels.select(*key, F.col("node").alias("b"), "root"),
-                          [*key, "b"]).groupBy(*key, F.col("a").alias("node")).agg(
-                              F.min("root").alias("heard"))
-        lower = labels.join(told, [*key, "node"]).select(
-            *key, "node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
-        jump = labels.select(*key, F.col("node").alias("root"), F.col("root").alias("further"))
-        moved = checkpoint(lower.join(jump, [*key, "root"], "left").select(
-            *key, "node", F.least("root", F.coalesce("further", "root")).alias("root"),
-            F.col("old")))
-        changed = moved.filter("root <> old").limit(1).count()
-        labels = moved.drop("old")
-        if not changed:
+        step = links.groupBy(*key, "a").agg(F.least("a", F.min("b")).alias("to"))
+        further = step.select(*key, F.col("a").alias("to"), F.col("to").alias("to2"))
+        moved = written(step.join(further, [*key, "to"]).select(*key, "a", "to2"))
+        labels = written(labels.join(moved.withColumnRenamed("a", "root"), [*key, "root"], "left")
+                         .select(*key, "node", F.coalesce("to2", "root").alias("root")))
+        left = moved.select(*key, "a", F.col("to2").alias("na"))
+        right = moved.select(*key, F.col("a").alias("b"), F.col("to2").alias("nb"))
+        links = written(links.join(left, [*key, "a"]).join(right, [*key, "b"]).filter(
+            "na <> nb").select(*key, F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
+        if not links.limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
@@ -147,7 +145,7 @@ def threads(ranked: DataFrame, records: DataFrame, *, min_df=V.TOKEN_MIN_DF,
     even size (by urgency, then time); no activity is left out.
     """
     tokens = group_tokens(ranked)
-    edges = checkpoint(linked(candidate_pairs(rare_tokens(tokens, min_df=min_df, max_df=max_df)),
+    edges = written(linked(candidate_pairs(rare_tokens(tokens, min_df=min_df, max_df=max_df)),
                               ranked, records))
     roots = connected(edges)
     members = roots.withColumnRenamed("node", "group_id").join(

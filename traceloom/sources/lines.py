@@ -8,9 +8,18 @@ ENDPOINT_IN_PATH = r"endpoint=([^/]+)"
 PATH_ON_HOST = r"endpoint=[^/]+(/.*)\z"
 
 
+def host_path(path):
+    """The path on the host a collected file came from; ``dot_name`` stands for ``.name``."""
+    on_host = F.coalesce(F.nullif(F.regexp_extract(path, PATH_ON_HOST, 1), F.lit("")), F.col(path))
+    return F.regexp_replace(on_host, r"/dot_([^/]*)\z", "/.$1")
+
+
 def read_lines(spark: SparkSession, path, *, numbered=True) -> DataFrame:
     """``(endpoint_id, file, line_no, value)`` of files laid out as ``…/endpoint=<id>/…``.
 
+    Spark skips files whose names begin with a dot, so ``.bash_history`` is
+    collected as ``dot_bash_history`` and gets its own name back here.
+
     A large file is read in blocks by many tasks. Lines are in order within a
     block, so a line's number is its place in the block plus the lines in the
     blocks before it; only block sizes cross the shuffle ordered.
@@ -21,8 +30,7 @@ def read_lines(spark: SparkSession, path, *, numbered=True) -> DataFrame:
     marked = raw.withColumn("_seq", F.monotonically_increasing_id())
     placed = marked.select(
         F.regexp_extract("_path", ENDPOINT_IN_PATH, 1).alias("endpoint_id"),
-        F.coalesce(F.nullif(F.regexp_extract("_path", PATH_ON_HOST, 1), F.lit("")),
-                   "_path").alias("file"), "_path", "_block", "_seq", "value")
+        host_path("_path").alias("file"), "_path", "_block", "_seq", "value")
     if not numbered:
         return placed.select("endpoint_id", "file", F.col("_seq").alias("line_no"), "value")
     sizes = placed.groupBy("_path", "_block").agg(F.min("_seq").alias("_low"),

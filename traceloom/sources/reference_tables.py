@@ -9,11 +9,14 @@ from .lines import ENDPOINT_IN_PATH, read_lines, scope
 
 
 def package_ownership(lines: DataFrame) -> DataFrame:
-    """Lines of ``<package>.list`` files to (path, package); the first owner by name wins."""
+    """Lines of ``<package>.list`` files to (path, package); the first owner by name wins.
+
+    ``curl:amd64.list`` may be stored as ``curl%3Aamd64.list``: file systems refuse colons.
+    """
     base = X.path_basename("file")
     rows = lines.filter((F.col("value") != "") & (F.col("value") != "/.")).select(
-        *scope(lines), fold_path("value").alias("path"), F.split(F.regexp_replace(
-            base, r"\.list\z", ""), ":")[0].alias("package"))
+        *scope(lines), fold_path("value").alias("path"), F.regexp_replace(
+            base, r"((:|%(25)?3[Aa]).*)?\.list\z", "").alias("package"))
     return rows.groupBy(*scope(lines), "path").agg(F.min("package").alias("package"))
 
 

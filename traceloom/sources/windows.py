@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import functions as X
 from .. import vocab as V
 from ..operators.events import build_event
-from .lines import scope
+from .lines import ENDPOINT_IN_PATH, scope
 
 EVENT_SCHEMA = (
     "System struct<EventID:string,EventRecordID:string,TimeCreated:struct<_SystemTime:string>>,"
@@ -15,11 +15,16 @@ _MASKED = "credential-like values were masked before storage"
 
 
 def read_event_xml(spark: SparkSession, path) -> DataFrame:
-    """``(endpoint_id, System, EventData)`` from exported event logs."""
-    raw = spark.read.format("xml").option("rowTag", "Event").schema(EVENT_SCHEMA).option(
-        "recursiveFileLookup", "true").load(path)
-    return raw.withColumn("endpoint_id", F.regexp_extract(
-        F.input_file_name(), r"endpoint=([^/]+)", 1))
+    """``(endpoint_id, System, EventData)`` from exported event logs.
+
+    An export is a bare run of ``<Event>`` elements, so files are split at the
+    closing tag by the reader and each element is parsed on its own.
+    """
+    raw = spark.read.option("lineSep", "</Event>").option("recursiveFileLookup", "true").text(path)
+    start = F.regexp_replace("value", r"(?s)^.*?(?=<Event[\s>])", "")
+    return parse_event_xml(raw.filter(F.col("value").rlike(r"<Event[\s>]")).select(
+        F.regexp_extract(F.col("_metadata.file_path"), ENDPOINT_IN_PATH, 1).alias("endpoint_id"),
+        F.concat(start, F.lit("</Event>")).alias("xml")))
 
 
 def parse_event_xml(records: DataFrame, column="xml") -> DataFrame:
