@@ -1,5 +1,6 @@
 """Streams over files and memory, driven to completion."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -28,6 +29,17 @@ def drain(stream, name, mode="append"):
     return stream.sparkSession.table(name).collect()
 
 
+def watch(stream, name, rows, seconds=60):
+    """A stream with processing-time timers never runs dry: wait for its rows, then stop it."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
+    until = time.time() + seconds
+    while time.time() < until and (
+            stream.sparkSession.table(name).count() < rows or query.lastProgress is None):
+        time.sleep(0.5)
+    query.stop()
+    return stream.sparkSession.table(name).collect()
+
+
 def test_score_and_dedupe(spark, tmp_path, make_events, make_artifacts):
     run = {"kind": "EXECUTION_EVIDENCE", "ran": True, "image": "/tmp/x", "ts": "2024-01-01T00:00:00"}
     events = make_events([{**run, "record": "same"}, {**run, "record": "same"}, {**run, "record": "r3"}])
@@ -52,11 +64,12 @@ def test_hash_changes_resume(spark, tmp_path):
 def test_health_and_sweep(spark, tmp_path):
     beats = spark.createDataFrame([("a", T0, "active"), ("b", T0, "revoked")],
                                   "endpoint_id string, ts timestamp, status string")
-    rows = drain(ST.stream_endpoint_health(feed(spark, tmp_path, "h", [beats])), "health")
+    rows = watch(ST.stream_endpoint_health(feed(spark, tmp_path, "h", [beats])), "health", 2)
     assert {(r["endpoint_id"], r["state"]) for r in rows} == {("a", "healthy"), ("b", "revoked")}
     tasks = spark.createDataFrame([("t1", T0, "dispatched", 3, 3), ("t2", T0, "succeeded", 1, 3)],
                                   "task_id string, ts timestamp, status string, attempts int, max_attempts int")
-    assert drain(ST.stream_sweep_tasks(feed(spark, tmp_path, "w", [tasks])), "swept") == []
+    rows = watch(ST.stream_sweep_tasks(feed(spark, tmp_path, "w", [tasks]), stale_seconds=1), "swept", 1)
+    assert [(r["task_id"], r["new_status"]) for r in rows] == [("t1", "abandoned")]
 
 
 def test_download_then_run(spark, tmp_path, make_events):

@@ -13,13 +13,14 @@ SCOPE = ["investigation_id", "endpoint_id"]
 
 def link_events_artifacts(events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """One row per event with an absolute image: is an artifact there, and its digest."""
-    named = events.filter(X.is_absolute("executable")).withColumn(
-        "npath", X.normalize_path("executable"))
+    named = events.filter(X.is_absolute("executable")).select(
+        *SCOPE, _event_reference(events).alias("execution_event_id"), "source", "executable", "ts",
+        X.normalize_path("executable").alias("npath"))
     known = unique_artifacts(artifacts).select(
         "endpoint_id", "npath", F.col("hash").alias("artifact_hash"),
         (F.col("collection_status") == V.COLLECTED).alias("_there"))
     return named.join(known, ["endpoint_id", "npath"], "left").select(
-        *SCOPE, _event_reference(events).alias("execution_event_id"), "source", "executable",
+        *SCOPE, "execution_event_id", "source", "executable",
         F.coalesce("_there", F.lit(False)).alias("artifact_present"), "artifact_hash", "ts")
 
 
