@@ -1,14 +1,18 @@
 """Registered queries of the operators, and the SQL that must agree with them where SQL can say it."""
 
-from . import bpe_tree, line_dedup, packing, token_counts
+from . import bpe_tree, line_dedup, packing, quality_rules, secrets, token_counts, vector_search
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_byte_bpe": bpe_tree.op2_byte_bpe,
     "op3_packing": packing.op3_packing,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_top_k": vector_search.op8_top_k,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op8_top_k": vector_search.ORACLE,
 }
