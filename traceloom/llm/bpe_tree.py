@@ -17,6 +17,7 @@ Decoding maps ids to bytes and concatenates up the same tree.
 import base64
 import hashlib
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,14 +58,24 @@ class TreeCodec:
         """Merge the lowest-ranked neighbours, leftmost first, until none is in the vocabulary."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i)
-                           for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        ranks, n = self.ranks, len(piece)
+        parts = [piece[i:i + 1] for i in range(n)]                 # by where they start; merged ones are empty
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(ranks[piece[i:i + 2]], i, 2) for i in range(n - 1) if piece[i:i + 2] in ranks]
+        heapify(queue)
+        while queue:
+            _, at, size = heappop(queue)
+            other = after[at]
+            if not parts[at] or other >= n or len(parts[at]) + len(parts[other]) != size:
+                continue                                           # one of the two has been merged since
+            parts[at], parts[other] = parts[at] + parts[other], b""
+            after[at] = after[other]
+            if after[at] < n:
+                before[after[at]] = at
+            for left, right in ((before[at], at), (at, after[at])):
+                if left >= 0 and right < n and (both := parts[left] + parts[right]) in ranks:
+                    heappush(queue, (ranks[both], left, len(both)))
+        return [ranks[p] for p in parts if p]
 
     @lru_cache(maxsize=1 << 16)                                                       # noqa: B019
     def holds(self, left: int, right: int) -> bool:
@@ -81,7 +92,7 @@ class TreeCodec:
         a, b = min(1, len(left)), min(1, len(right))
         while left and right:
             inside = b"".join(self.bytes_of[i] for i in left[len(left) - a:] + right[:b])
-            tokens = self.merge(inside) if len(inside) <= 4 * LEAF_BYTES else self.grown(inside)
+            tokens = self.merge(inside)
             ok_left = a == len(left) or self.holds(left[len(left) - a - 1], tokens[0])
             ok_right = b == len(right) or self.holds(tokens[-1], right[b])
             if ok_left and ok_right:
@@ -89,11 +100,6 @@ class TreeCodec:
             a, b = (a if ok_left else min(2 * a, len(left))), (b if ok_right else min(2 * b, len(right)))
         return left or right
 
-    def grown(self, inside: bytes) -> list[int]:
-        """A window that has become long: its own tree, cut elsewhere."""
-        cut = len(inside) // 3
-        return self.join_tokens(self.encode_match(inside[:cut]), self.encode_match(inside[cut:]))
-
     # -- texts ---------------------------------------------------------------------------------------------
     def seam(self, left: str, right: str) -> bool:
         """Whether no match can run on from ``left`` (one character) to ``right``."""

@@ -3,9 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The characters that count as white space, and the letters that are lowered.
+#: The characters that count as white space (words are what stands between them), and the letters that are lowered.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +24,11 @@ def id_or_none(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of a text as UTF-8: ``bytes.split`` takes just the characters of ``SPACES`` as white space."""
+    return text.encode().split()
+
+
 def key128(value: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a value, compared together."""
     return F.xxhash64(value), F.xxhash64(F.lit(1), value)

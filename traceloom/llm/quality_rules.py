@@ -6,7 +6,6 @@ of one text count as one document, so a text that is merely copied does not lose
 near-duplicate stage.
 """
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, id_or_none, key128, whole_text
+from .common import SPACES, id_or_none, key128, whole_text, words_of
 from .line_dedup import line_key
 
 #: A line is above the limits if so many documents of a host hold it, and so large a share of the host's documents.
@@ -28,7 +27,7 @@ SALTS = 16
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def repeated_words(words: list[str], span: int = SPAN) -> int:
+def repeated_words(words: list[bytes], span: int = SPAN) -> int:
     """Words that stand in a window of ``span`` words which occurs twice or more in the text."""
     if len(words) <= span:
         return 0
@@ -52,10 +51,10 @@ def repeated_words(words: list[str], span: int = SPAN) -> int:
     return int((np.cumsum(edges) > 0).sum())
 
 
-def measures(text: str, find=re.compile(WORD).findall) -> tuple[int, int, int, int, int]:
-    words = find(text)
+def measures(text: str) -> tuple[int, int, int, int, int]:
+    words = words_of(text)
     lines = [line for line in text.split("\n") if line.strip(SPACES)]
-    return (len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
+    return (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
             repeated_words(words))
 
 
