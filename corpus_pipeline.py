@@ -1,8 +1,78 @@
-"""The corpus pipeline: stages that each apply one operator of ``traceloom.llm``."""
+"""The corpus pipeline: stages that each apply one operator of ``traceloom.llm`` to what the stage before kept.
 
-STAGES = []
+Quality rules reject documents, line dedup shortens texts, near-dedup keeps the first document of each class, the
+secret scan masks what it finds, and packing lays the token ids of what is left into sequences. A row is told from
+others by its id and its text, so rows that repeat both share a fate; a null id is an id of its own.
+"""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from traceloom.llm.common import NO_ID, id_or_none, whole_text
+from traceloom.llm.line_dedup import drop_shared_lines
+from traceloom.llm.minhash import near_duplicates
+from traceloom.llm.packing import pack
+from traceloom.llm.quality_rules import apply_rules
+from traceloom.llm.secrets import find_secrets, masked
+from traceloom.session import written
+
+
+def _with_text(docs, text):
+    """``docs`` with another text, and its length where the table has one."""
+    out = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.char_length("text").cast(kind))
+    return out
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the rules reject go."""
+    kept = (apply_rules(docs).filter("kept")
+            .select(id_or_none().alias("_qr_d"), F.col("t").alias("_qr_t")).distinct())
+    own = docs.withColumns({"_qr_id": id_or_none(), "_qr_hash": F.xxhash64(whole_text())})
+    same = (F.col("_qr_id") == F.col("_qr_d")) & (F.col("_qr_hash") == F.col("_qr_t"))
+    return own.join(kept, same, "left_semi").select(*docs.columns)
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Lines that many documents share go, but from one of them; documents left without a word go with them."""
+    rest = _with_text(drop_shared_lines(docs), F.col("text")).select(*docs.columns)
+    return rest.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def near_dedup(spark, docs, sf_dir):
+    """The document with the smallest id stays of each class; of rows that repeat its id, one."""
+    first = (near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+             .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_nd_d")).distinct())
+    own = docs.withColumn("_nd_id", id_or_none())
+    once = Window.partitionBy("_nd_id").orderBy(F.xxhash64(whole_text()))
+    return (own.join(first, F.col("_nd_id") == F.col("_nd_d"), "left_semi")
+            .withColumn("_nd_n", F.row_number().over(once)).filter("_nd_n = 1").select(*docs.columns))
+
+
+def secret_scan(spark, docs, sf_dir):
+    """Secrets are masked; every document stays."""
+    return _with_text(find_secrets(docs), masked(whole_text(), F.col("_spans"))).select(*docs.columns)
+
+
+def packing(spark, docs, sf_dir):
+    """Pieces of sequences, with their ids."""
+    return pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup),
+          ("secret scan", secret_scan), ("packing", packing)]
+
+#: SQL can say neither near-duplicates nor token ids; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The pieces that the stages make of ``documents``; each stage reads what the one before has written."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
+    return docs

@@ -1,12 +1,13 @@
 """Registered queries of the operators, and the SQL that must agree with them where SQL can say it."""
 
-from . import bpe_tree, hmm, line_dedup, minhash, packing, quality_rules, secrets, token_counts, vector_search
+from . import bpe_tree, hmm, line_dedup, minhash, packing, quality_model, quality_rules, secrets, token_counts, vector_search
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_byte_bpe": bpe_tree.op2_byte_bpe,
     "op3_packing": packing.op3_packing,
     "op4_near_duplicates": minhash.op4_near_duplicates,
+    "op5_quality": quality_model.op5_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_top_k": vector_search.op8_top_k,
