@@ -8,8 +8,9 @@ component is its value. Two texts agree in a component with probability sum(min)
 made in order of time and only up to a horizon by which all components have one, so most shingles cost one draw.
 
 Texts with the same multiset are one content. Contents that agree in all components of a band share a bucket. Each is
-first compared with the smallest of its bucket; contents that this leaves in different groups are then compared with
-each other, bucket by bucket. Comparing means the exact overlap of both multisets.
+first compared with the hub of its bucket, the content that meets most others in all its buckets; copies of one text
+have that text, or the least changed of them, as their hub. Contents beside a hub that are not linked to it then meet
+all that stand beside it, block by block. Comparing means the exact overlap of both multisets.
 """
 
 import numpy as np
@@ -26,6 +27,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 SIGNATURE, BANDS, ROWS = 128, 25, 5
 #: A content that many others are compared with is handed to so many of them at a time.
 FAN = 256
+#: Contents of a block where a neighbourhood is searched.
+BLOCK = 512
 SALTS = 16
 _GOLDEN, _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -189,6 +192,83 @@ def _alike_in_size(a: str, b: str, threshold: float):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
 
 
+def _salted(column: str, salts: int = SALTS):
+    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def _times(df: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Each row once per salt, for the side of a join that has one row per key."""
+    return df.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+
+
+def _linked_in_block(ours: pa.Table, theirs: pa.Table, threshold: float) -> pa.Table:
+    """Links ``(a, b)`` that reach the threshold between two blocks ``(rep, label, atoms)``, as far as they join groups.
+
+    Overlaps are counted exactly, one content of ours against all of theirs; of the links found, those stay that
+    connect labels which no link of the block has connected yet.
+    """
+    a, b = [], []
+    if ours.num_rows and theirs.num_rows:
+        labels = ours.column("label").to_pylist() + theirs.column("label").to_pylist()
+        parent = {x: x for x in labels}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        their_ids, their_labels = theirs.column("rep").to_pylist(), theirs.column("label").to_pylist()
+        cells = theirs.column("atoms").combine_chunks()
+        sizes = np.diff(cells.offsets.to_numpy())
+        atoms, owner = cells.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(atoms, kind="stable")
+        atoms, owner = atoms[order], owner[order]
+        for own, label, bag in zip(ours.column("rep").to_pylist(), ours.column("label").to_pylist(),
+                                   ours.column("atoms").combine_chunks(), strict=True):
+            bag = bag.values.to_numpy()
+            start, end = np.searchsorted(atoms, bag, "left"), np.searchsorted(atoms, bag, "right")
+            held = end - start
+            at = np.repeat(start - np.cumsum(held) + held, held) + np.arange(held.sum())
+            both = np.bincount(owner[at], minlength=len(sizes))
+            for i in np.flatnonzero(both >= threshold * (len(bag) + sizes - both) - 1e-9).tolist():
+                if root(label) != root(their_labels[i]):
+                    parent[root(label)] = root(their_labels[i])
+                    a.append(own)
+                    b.append(their_ids[i])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def crossing_links(near: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links between contents of one neighbourhood that do not hang together yet.
+
+    ``near (hub, rep, label)`` lists each hub's neighbourhood with the labels of its contents. Contents whose label
+    is not the hub's meet the whole neighbourhood in blocks, so that a task holds two blocks and no pairs are written
+    but links.
+    """
+    own_label = near.filter("hub = rep").select("hub", F.col("label").alias("hub_label"))
+    told = (near.withColumn("salt", _salted("rep")).join(_times(own_label), ["hub", "salt"]).drop("salt")
+            .withColumn("apart", F.col("label") != F.col("hub_label")))
+    open_hubs = (told.groupBy("hub").agg(F.count_if("apart").alias("n_ours"), F.count(F.lit(1)).alias("n"))
+                 .filter("n_ours > 0")
+                 .select("hub", F.ceil(F.col("n_ours") / BLOCK).cast("int").alias("ours"),
+                         F.ceil(F.col("n") / BLOCK).cast("int").alias("theirs")))
+    rows = (told.withColumn("salt", _salted("rep")).join(_times(open_hubs), ["hub", "salt"]).drop("salt")
+            .join(bags, F.col("rep") == F.col("d")))
+    key = F.xxhash64("rep")
+    left = rows.filter("apart").select(
+        "hub", "rep", "label", "atoms", F.pmod(key, F.col("ours")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("j"))
+    right = rows.select(
+        *[F.col(c).alias(c) for c in ("hub", "rep", "label", "atoms")], F.pmod(key, F.col("theirs")).cast("int").alias("j"),
+        F.explode(F.sequence(F.lit(0), F.col("ours") - 1)).alias("i"))
+
+    def search(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        return _linked_in_block(ours, theirs, threshold)
+
+    return left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub", "i", "j")).applyInArrow(
+        search, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, signature: int = SIGNATURE,
                     bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, class_id)``, one row per row of ``docs``: the smallest id of its class of near-duplicates.
@@ -200,43 +280,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     sketch = written(sketches(docs, size, signature, bands, rows, doc_id, text))
     contents = written(sketch.groupBy("h1", "h2").agg(F.min("d").alias("rep"), F.first("n").alias("n"),
                                                       F.first("bands").alias("bands")))
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     banded = contents.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("rep", "n")).alias("hub"))
-               .filter("held > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
-    members = written(banded.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-                      .join(buckets.withColumn("salt", salts), ["key", "salt"]).drop("salt"))
-    stars = (members.filter((F.col("rep") != F.col("hub")) & _alike_in_size("n", "hub_n", threshold))
-             .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    members = written(banded.withColumn("salt", _salted("rep")).join(_times(shared), ["key", "salt"]).drop("salt"))
+    crowd = members.groupBy("rep").agg(F.sum("held").alias("crowd"))
+    best = F.min(F.struct((-F.col("crowd")).alias("least"), "rep", "n")).alias("best")
+    hubs = (members.join(crowd, "rep").groupBy("key").agg(best)
+            .select("key", F.col("best.rep").alias("hub"), F.col("best.n").alias("hub_n")))
+    beside = written(members.withColumn("salt", _salted("rep")).join(_times(hubs), ["key", "salt"])
+                     .select("hub", "hub_n", "rep", "n").distinct())
     some = members.select(F.col("rep").alias("d")).distinct()
-    # a content's text is that of a row with its smallest id and its digest; repeated ids are settled by the digest
     texts = docs.select(id_or_none(doc_id).alias("d"), whole_text(text).alias("text")).join(some, "d", "left_semi")
     bags = written(multisets(texts, size).dropDuplicates(["d"]))
-    stars = written(verified(stars, bags, threshold))
+    stars = written(verified(beside.filter((F.col("rep") != F.col("hub")) & _alike_in_size("n", "hub_n", threshold))
+                             .select(F.col("hub").alias("a"), F.col("rep").alias("b")), bags, threshold))
     label = components(stars)
-    grouped = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "label", F.coalesce("label", "rep"))
-    mixed_up = (grouped.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"))
-                .filter("l <> m").select("key").withColumn("salt", salts))
-    left_over = written(grouped.filter("rep <> hub").withColumn(
-        "salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(mixed_up, ["key", "salt"])
-        .select("key", "rep", "n", "label"))
-    other = left_over.select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
-    crossing = (left_over.join(other, "key").filter(
-        (F.col("rep") < F.col("b")) & (F.col("label") != F.col("b_label")) & _alike_in_size("n", "b_n", threshold))
-        .select(F.col("rep").alias("a"), "b").distinct())
-    links = stars.union(verified(written(crossing), bags, threshold))
+    near = written(beside.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+                   .select("hub", "rep", F.coalesce("label", "rep").alias("label")))
+    links = stars.union(crossing_links(near, bags, threshold))
     label = components(links)
     named = label.join(label.groupBy("label").agg(F.min("node").alias("class")), "label").select(
         F.col("node").alias("rep"), "class")
     classes = (contents.select("h1", "h2", "rep").join(named, "rep", "left")
-               .select("h1", "h2", F.coalesce("class", "rep").alias("class")).withColumn("salt", salts))
-    own = sketch.select("d", "h1", "h2", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int").alias("salt"))
+               .select("h1", "h2", F.coalesce("class", "rep").alias("class")))
+    own = sketch.select("d", "h1", "h2", _salted("d").alias("salt"))
 
     def told(c):
         return F.when(F.col(c) != NO_ID, F.col(c))
 
-    return own.join(classes, ["h1", "h2", "salt"]).select(told("d").alias("doc_id"), told("class").alias("class_id"))
+    return own.join(_times(classes), ["h1", "h2", "salt"]).select(told("d").alias("doc_id"), told("class").alias("class_id"))
 
 
 def op4_near_duplicates(spark, sf_dir):
