@@ -208,11 +208,11 @@ def lead_members(ranked: DataFrame) -> DataFrame:
                          ).withColumn("pattern", _signature())
 
 
-def leads(ranked: DataFrame, *, top: int | None = 10, commands: int = 120) -> DataFrame:
+def leads(ranked: DataFrame, *, top: int | None = None, commands: int = 120) -> DataFrame:
     """One lead per (kind, priority, pattern), numbered per investigation.
 
     ``commands`` bounds the examples shown on the lead row only; every member is
-    in :func:`lead_members`. ``top=None`` keeps and numbers every lead.
+    in :func:`lead_members`. ``top`` keeps a page of the first so many.
     """
     members = lead_members(ranked)
     keys = ["investigation_id", "evidence_kind", "priority", "pattern"]
@@ -251,16 +251,18 @@ def leads(ranked: DataFrame, *, top: int | None = 10, commands: int = 120) -> Da
         F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits))).drop("_at", "_n")
 
 
-def lead_references(ranked: DataFrame, records: DataFrame, *, limit=120) -> DataFrame:
-    """The first evidence references of each lead pattern, in activity order."""
+def lead_references(ranked: DataFrame, records: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """The evidence references of each lead pattern, in activity order; ``limit`` keeps the first so many."""
     members = lead_members(ranked).select(
         "investigation_id", "group_id", "evidence_kind",
         F.col("classification.priority").alias("priority"), "pattern", "activity_rank")
     cited = records.filter(F.col("reference").isNotNull()).select("group_id", "reference", "ts")
     joined = cited.join(members, "group_id")
-    return first_rows(joined, ["investigation_id", "evidence_kind", "priority", "pattern"],
-                      [F.col("activity_rank"), F.col("ts").asc_nulls_last(), F.col("reference")],
-                      limit, "position")
+    keys = ["investigation_id", "evidence_kind", "priority", "pattern"]
+    order = [F.col("activity_rank"), F.col("ts").asc_nulls_last(), F.col("reference")]
+    if limit is None:
+        return number_rows(joined, keys, order, "position")
+    return first_rows(joined, keys, order, limit, "position")
 
 
 def triage_back_to_events(records: DataFrame, groups: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ def link_events_artifacts(events: DataFrame, artifacts: DataFrame) -> DataFrame:
         *SCOPE, _event_reference(events).alias("execution_event_id"), "source", "executable", "ts",
         X.normalize_path("executable").alias("npath"))
     known = unique_artifacts(artifacts).select(
-        "endpoint_id", "npath", F.col("hash").alias("artifact_hash"),
+        *SCOPE, "npath", F.col("hash").alias("artifact_hash"),
         (F.col("collection_status") == V.COLLECTED).alias("_there"))
-    return named.join(known, ["endpoint_id", "npath"], "left").select(
+    return named.join(known, [*SCOPE, "npath"], "left").select(
         *SCOPE, "execution_event_id", "source", "executable",
         F.coalesce("_there", F.lit(False)).alias("artifact_present"), "artifact_hash", "ts")
 
@@ -53,9 +53,11 @@ def referenced_paths(events: DataFrame) -> DataFrame:
 
 
 def observe_artifacts(events: DataFrame, selected: DataFrame, inventory: DataFrame,
-                      digests: DataFrame, *, max_hash_bytes=V.MAX_HASH_BYTES) -> DataFrame:
+                      digests: DataFrame) -> DataFrame:
     """Paths that were selected or named, with what a file inventory says about each.
 
+    A digest that was taken is kept, whatever the file's size.
+
     ``selected(investigation_id, endpoint_id, path)``,
     ``inventory(endpoint_id, path, type, size_bytes, modified, readable)``,
     ``digests(endpoint_id, path, algorithm, hash)``.
@@ -76,7 +78,6 @@ def observe_artifacts(events: DataFrame, selected: DataFrame, inventory: DataFra
     status = (F.when(F.col("type").isNull(), V.MISSING)
               .when(~F.coalesce("readable", F.lit(True)), V.PERMISSION_DENIED)
               .when(F.col("type") != "file", V.NOT_A_FILE)
-              .when(F.col("size_bytes") > max_hash_bytes, V.SKIPPED_TOO_LARGE)
               .otherwise(V.COLLECTED))
     ready = seen.withColumn("collection_status", status).withColumn(
         "filename", X.path_basename("path"))
@@ -93,21 +94,43 @@ def observe_artifacts(events: DataFrame, selected: DataFrame, inventory: DataFra
 
 
 def merge_artifacts(*tables: DataFrame) -> DataFrame:
-    """First record per path, in the order the tables are given."""
+    """First record per (case, host, path), in the order the tables are given.
+
+    ``truncated`` is true if any record of the path was, and ``warnings`` (arrays)
+    are those of all its records, each once, where the tables have these columns.
+    """
     from .ordering import first_per_key
     tagged = [t.withColumn("_table", F.lit(i)) for i, t in enumerate(tables)]
     merged = union_sources(*tagged)
     tie = [F.col(c) for c in ("collection_order", "source", "hash") if c in merged.columns]
-    return first_per_key(merged, ["endpoint_id", "path"], [F.col("_table"), *tie]).drop("_table")
+    keys = [*SCOPE, "path"]
+    first = first_per_key(merged, keys, [F.col("_table"), *tie]).drop("_table")
+    gathered = {"truncated": F.coalesce(F.bool_or("truncated"), F.lit(False)),
+                "warnings": F.array_sort(F.array_distinct(F.flatten(F.collect_set("warnings"))))} \
+        if "warnings" in merged.columns else {
+            "truncated": F.coalesce(F.bool_or("truncated"), F.lit(False))}
+    gathered = {c: a for c, a in gathered.items() if c in merged.columns}
+    if not gathered:
+        return first
+    over_all = merged.groupBy(*keys).agg(*[a.alias(c) for c, a in gathered.items()])
+    return first.drop(*gathered).join(over_all, keys).select(*first.columns)
+
+
+def artifact_status_counts(artifacts: DataFrame, *, selected="selected path") -> DataFrame:
+    """Per (case, status): observations, and how many were selected or only named by evidence."""
+    chosen = F.col("source").eqNullSafe(selected)
+    return artifacts.groupBy("investigation_id", "collection_status").agg(
+        F.count("*").alias("n"), F.count_if(chosen).alias("selected"),
+        F.count_if(~chosen).alias("referenced"))
 
 
 def _named_artifacts(events, artifacts) -> DataFrame:
     known = unique_artifacts(artifacts)
     extra = [c for c in ("reference", "filename") if c in known.columns]
-    look = known.select("endpoint_id", "npath", "collection_status", "hash", "hash_algorithm",
+    look = known.select(*SCOPE, "npath", "collection_status", "hash", "hash_algorithm",
                         *[F.col(c).alias(f"artifact_{c}") for c in extra])
     rows = image_sources(events).withColumn("npath", X.normalize_path("executable"))
-    rows = rows.join(look, ["endpoint_id", "npath"])
+    rows = rows.join(look, [*SCOPE, "npath"])
     if "artifact_reference" not in rows.columns:
         rows = rows.withColumn("artifact_reference", F.col("executable"))
     return rows.withColumn("notable_location", X.notable_location("npath")).withColumn(

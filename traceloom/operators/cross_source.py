@@ -43,14 +43,14 @@ def link_downloads(downloads: DataFrame, artifacts: DataFrame, events: DataFrame
     A known gap above ``max_hours`` drops the link; negative and unknown gaps stay.
     """
     known = first_per_key(
-        artifacts.select("endpoint_id", F.col("path").alias("target_path"), "hash",
+        artifacts.select(*SCOPE, F.col("path").alias("target_path"), "hash",
                          F.col("reference" if "reference" in artifacts.columns else "path")
                          .alias("artifact"), "collection_order", "collection_status"),
-        ["endpoint_id", "target_path"], [F.col("collection_order")]).select(
-            "endpoint_id", "target_path", "artifact", F.col("hash").alias("artifact_hash"))
+        [*SCOPE, "target_path"], [F.col("collection_order")]).select(
+            *SCOPE, "target_path", "artifact", F.col("hash").alias("artifact_hash"))
     wanted = downloads.filter(F.coalesce("target_path", F.lit("")) != "")
     named = paths_in_events(events).withColumnRenamed("path", "target_path")
-    joined = wanted.join(known, ["endpoint_id", "target_path"], "left").join(
+    joined = wanted.join(known, [*SCOPE, "target_path"], "left").join(
         named, [*SCOPE, "target_path"], "left")
     gap = X.gap_hours("downloaded_at", "first.ts")
     return joined.filter(
@@ -95,22 +95,21 @@ def download_findings(links: DataFrame) -> DataFrame:
 
 def _under_mounts(paths: DataFrame, mounts: DataFrame) -> DataFrame:
     """Rows of ``paths`` per mount they lie under: explode ancestors, join on equality."""
-    points = mounts.select("endpoint_id", F.col("mount_point").alias("_up")).distinct()
+    points = mounts.select(*SCOPE, F.col("mount_point").alias("_up")).distinct()
     spread = paths.withColumn("_up", F.explode(X.path_ancestors("path")))
-    return spread.join(points, ["endpoint_id", "_up"]).withColumnRenamed("_up", "mount_point")
+    return spread.join(points, [*SCOPE, "_up"]).withColumnRenamed("_up", "mount_point")
 
 
 def media_touches(mounts: DataFrame, events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Per mount: event mentions of, and artifacts at, paths under it."""
-    touched = _under_mounts(paths_in_events(events).drop("investigation_id").groupBy(
-        "endpoint_id", "path").agg(F.sum("mentions").alias("mentions"),
-                                   F.min("first.event").alias("event")), mounts)
-    touched = touched.groupBy("endpoint_id", "mount_point").agg(
+    keys = [*SCOPE, "mount_point"]
+    touched = _under_mounts(paths_in_events(events).select(
+        *SCOPE, "path", "mentions", F.col("first.event").alias("event")), mounts)
+    touched = touched.groupBy(*keys).agg(
         F.sum("mentions").alias("touched"), F.min("event").alias("event"))
-    written = _under_mounts(artifacts.groupBy("endpoint_id", "path").agg(
-        F.count("*").alias("n")), mounts).groupBy("endpoint_id", "mount_point").agg(
+    written = _under_mounts(artifacts.groupBy(*SCOPE, "path").agg(
+        F.count("*").alias("n")), mounts).groupBy(*keys).agg(
             F.count("*").alias("written"), F.min("path").alias("artifact"))
-    keys = ["endpoint_id", "mount_point"]
     return (mounts.join(touched, keys, "left").join(written, keys, "left")
             .withColumn("touched", F.coalesce("touched", F.lit(0)))
             .withColumn("written", F.coalesce("written", F.lit(0)))
@@ -124,19 +123,19 @@ def media_copies(mounts: DataFrame, artifacts: DataFrame) -> DataFrame:
     share costs one row per directory it is labelled with.
     """
     files = artifacts.filter(F.coalesce("hash", F.lit("")) != "").groupBy(
-        "endpoint_id", "path").agg(F.min("hash").alias("hash"))
+        *SCOPE, "path").agg(F.min("hash").alias("hash"))
     placed = _under_mounts(files, mounts)
-    inside = placed.groupBy("endpoint_id", "mount_point", "hash").agg(
+    inside = placed.groupBy(*SCOPE, "mount_point", "hash").agg(
         F.count("*").alias("inside"), F.min("path").alias("target"))
-    deepest = placed.groupBy("endpoint_id", "path").agg(
+    deepest = placed.groupBy(*SCOPE, "path").agg(
         F.max_by("mount_point", F.length("mount_point")).alias("_label"))
-    labelled = files.join(deepest, ["endpoint_id", "path"], "left").groupBy(
-        "endpoint_id", "hash", F.coalesce("_label", F.lit("")).alias("_label")).agg(
+    labelled = files.join(deepest, [*SCOPE, "path"], "left").groupBy(
+        *SCOPE, "hash", F.coalesce("_label", F.lit("")).alias("_label")).agg(
             F.count("*").alias("n"), F.min("path").alias("least"))
     apart = (F.col("_label") != F.col("mount_point")) & ~F.startswith(
         F.col("_label"), F.concat("mount_point", F.lit("/")))
-    return (inside.join(labelled, ["endpoint_id", "hash"]).filter(apart)
-            .groupBy("endpoint_id", "mount_point", "hash", "inside", "target")
+    return (inside.join(labelled, [*SCOPE, "hash"]).filter(apart)
+            .groupBy(*SCOPE, "mount_point", "hash", "inside", "target")
             .agg(F.sum("n").alias("outside"), F.min("least").alias("source"))
             .withColumn("pairs", F.col("inside") * F.col("outside")))
 
@@ -144,10 +143,10 @@ def media_copies(mounts: DataFrame, artifacts: DataFrame) -> DataFrame:
 def removable_media_findings(mounts: DataFrame, events: DataFrame, artifacts: DataFrame,
                              usb_events: DataFrame | None = None) -> DataFrame:
     """One finding per mount with activity; high and corroborated when copies exist."""
-    copies = media_copies(mounts, artifacts).groupBy("endpoint_id", "mount_point").agg(
+    copies = media_copies(mounts, artifacts).groupBy(*SCOPE, "mount_point").agg(
         F.sum("pairs").alias("pairs"), F.min(F.struct("target", "source")).alias("pair"))
     rows = media_touches(mounts, events, artifacts).join(
-        copies, ["endpoint_id", "mount_point"], "left")
+        copies, [*SCOPE, "mount_point"], "left")
     if usb_events is not None:
         first = usb_events.filter(F.col("action") == "connected").groupBy("endpoint_id").agg(
             F.min_by("serial", "ts").alias("serial"), F.min("ts").alias("attached_at"))

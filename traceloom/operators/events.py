@@ -90,11 +90,11 @@ def build_event(df: DataFrame, *, source, record_id, ts, kind=V.EXECUTION_EVIDEN
 
 
 def dedupe_events(events: DataFrame, *, newest: int | None = None):
-    """One event per (host, source, record id): the earliest dated one. Adds ``copies``.
+    """One event per (case, host, source, record id): the earliest dated one. Adds ``copies``.
 
     ``newest`` optionally keeps only the latest so many dated events per investigation.
     """
-    keys = ["endpoint_id", "source", "source_record_id"]
+    keys = ["investigation_id", "endpoint_id", "source", "source_record_id"]
     tie = [F.col(c) for c in ("event_id", "executable", "full_command_line")
            if c in events.columns]
     order = [F.col("ts"), *tie]
@@ -109,7 +109,7 @@ def dedupe_events(events: DataFrame, *, newest: int | None = None):
     if newest is None:
         return kept
     ranked = number_rows(kept, ["investigation_id"],
-                         [F.col("ts").desc_nulls_last(), *[F.col(k) for k in keys]], "_newest")
+                         [F.col("ts").desc_nulls_last(), *[F.col(k) for k in keys[1:]]], "_newest")
     return ranked.filter(F.col("_newest") <= newest).drop("_newest")
 
 
@@ -190,7 +190,7 @@ def union_sources(*tables: DataFrame) -> DataFrame:
 
 
 def unique_artifacts(artifacts: DataFrame) -> DataFrame:
-    """First record per (host, path) in collection order, keyed on the normalized path."""
+    """First record per (case, host, path) in collection order, keyed on the normalized path."""
     keyed = artifacts.withColumn("npath", X.normalize_path("path"))
-    return first_per_key(keyed, ["endpoint_id", "npath"],
+    return first_per_key(keyed, ["investigation_id", "endpoint_id", "npath"],
                          [F.col("collection_order"), F.col("path")])

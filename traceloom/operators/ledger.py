@@ -23,7 +23,7 @@ def hash_history(observations: DataFrame) -> DataFrame:
         "previous_ts", F.col("_before.ts")).drop("_before")
 
 
-def trim_history(observations: DataFrame, *, keep=20) -> DataFrame:
+def trim_history(observations: DataFrame, *, keep: int) -> DataFrame:
     """The newest ``keep`` observations per path; map tasks drop the rest before the shuffle."""
     order = [F.col("ts").desc(), *[c.desc() for c in _tie(observations)]]
     return first_rows(observations, ["endpoint_id", "path"], order, keep)
@@ -121,12 +121,13 @@ def assessment_vs_machine(assessments: DataFrame, classifications: DataFrame) ->
 
 
 # --- case bookkeeping -------------------------------------------------------------
-def list_latest(df: DataFrame, order="created_at", *, limit=500, tie="id", **equals) -> DataFrame:
-    """Newest first, narrowed by equality keys; the limit is the listing's page size."""
+def list_latest(df: DataFrame, order="created_at", *, limit: int | None = None, tie="id", **equals) -> DataFrame:
+    """Newest first, narrowed by equality keys; ``limit`` keeps a page."""
     for column, value in equals.items():
         if value is not None:
             df = df.filter(F.col(column) == value)
-    return df.orderBy(F.col(order).desc(), F.col(tie).desc()).limit(limit)
+    ordered = df.orderBy(F.col(order).desc(), F.col(tie).desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def filter_list(investigations: DataFrame, term="", status=None) -> DataFrame:

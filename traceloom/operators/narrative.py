@@ -263,6 +263,14 @@ def activity_facts(records: DataFrame) -> DataFrame:
     return facts
 
 
+_SCOPE = ["investigation_id", "endpoint_id"]
+
+
+def _scope(df) -> list[str]:
+    """Case and host; the host alone where a table was collected outside any case."""
+    return [c for c in _SCOPE if c in df.columns]
+
+
 def briefs(tables: dict[str, DataFrame], subject_type: str) -> DataFrame:
     """One row per subject of a type, for all subjects at once.
 
@@ -288,18 +296,19 @@ def _activity_context(tables) -> DataFrame:
     groups = _state(tables["groups"].join(activity_facts(tables["records"]), "group_id", "left"))
     if "connections" in tables:
         sockets = tables["connections"].filter("process_name IS NOT NULL")
-        net = _lines(sockets, ["endpoint_id", "process_name"],
+        net = _lines(sockets, _scope(sockets) + ["process_name"],
                      [F.col("remote_address"), F.col("status")],
                      F.concat_ws(" ", F.concat_ws(" -> ", "process_name", "remote_address"),
                                  "status"), "network_lines")
-        groups = groups.join(net, ["endpoint_id", "process_name"], "left")
+        groups = groups.join(net, _scope(sockets) + ["process_name"], "left")
     else:
         groups = groups.withColumn("network_lines", F.array().cast(_EMPTY))
     if "downloads" in tables:
-        down = _lines(tables["downloads"].withColumnRenamed("target_path", "executable"),
-                      ["endpoint_id", "executable"], [F.col("url")],
+        named = tables["downloads"].withColumnRenamed("target_path", "executable").filter(
+            "executable IS NOT NULL")
+        down = _lines(named, _scope(named) + ["executable"], [F.col("url")],
                       F.concat(F.lit("Downloaded from "), "url"), "browser_lines")
-        groups = groups.join(down, ["endpoint_id", "executable"], "left")
+        groups = groups.join(down, _scope(named) + ["executable"], "left")
     else:
         groups = groups.withColumn("browser_lines", F.array().cast(_EMPTY))
     return groups
@@ -346,18 +355,18 @@ def _artifact_briefs(tables) -> DataFrame:
     from .cross_source import paths_in_events
     from .events import unique_artifacts
     known = unique_artifacts(tables["artifacts"])
-    naming = paths_in_events(tables["records"]).groupBy("endpoint_id", "path").agg(
+    naming = paths_in_events(tables["records"]).groupBy(*_SCOPE, "path").agg(
         F.sum("mentions").alias("naming"), F.min("first.event").alias("first_event"),
         F.bool_or("first.execution_confirmed").alias("ran"))
-    rows = known.join(naming, ["endpoint_id", "path"], "left")
-    same = known.filter("hash IS NOT NULL").groupBy("endpoint_id", "hash").agg(
+    rows = known.join(naming, [*_SCOPE, "path"], "left")
+    same = known.filter("hash IS NOT NULL").groupBy(*_SCOPE, "hash").agg(
         (F.count("*") - 1).alias("same_hash"))
-    rows = rows.join(same, ["endpoint_id", "hash"], "left")
+    rows = rows.join(same, [*_SCOPE, "hash"], "left")
     if "downloads" in tables:
-        down = tables["downloads"].withColumnRenamed("target_path", "path").groupBy(
-            "endpoint_id", "path").agg(F.count("*").alias("download_count"),
+        named = tables["downloads"].withColumnRenamed("target_path", "path")
+        down = named.groupBy(*_scope(named), "path").agg(F.count("*").alias("download_count"),
                                        F.min("url").alias("url"))
-        rows = rows.join(down, ["endpoint_id", "path"], "left")
+        rows = rows.join(down, _scope(named) + ["path"], "left")
     else:
         rows = rows.withColumn("download_count", F.lit(0)).withColumn("url", F.lit(None))
     name = X.path_basename("path")

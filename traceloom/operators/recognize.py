@@ -83,7 +83,7 @@ def match_vendors(paths: DataFrame, vendors: list[dict], inventory: DataFrame) -
     joined = rows.withColumn("_marker", F.col("v.marker")).join(
         files, ["endpoint_id", "_marker"], "left").filter(
             F.col("v.marker").isNull() | F.col("_there"))
-    first_line = F.substring(F.regexp_extract(F.trim("_text"), r"^[^\r\n]*", 0), 1, 64)
+    first_line = F.regexp_extract(F.trim("_text"), r"^[^\r\n]*", 0)
     version = (F.when(F.col("v.key").isNotNull(), F.call_function(
         "get_json_object", F.col("_text"), F.concat(F.lit("$."), F.col("v.key"))))
         .when(F.col("v.pattern").isNotNull(), F.call_function(

@@ -34,11 +34,14 @@ def link_image_facts(events: DataFrame, artifacts: DataFrame | None) -> DataFram
     """Attach ``source_count`` per image and the artifact at the image's path.
 
     Both joins look up a table with one row per key, so a left side that is
-    skewed on one image is split by AQE without changing the result.
+    skewed on one image is split by AQE without changing the result. Records
+    without an image get a key of their own that no table holds, so that they
+    do not all meet in one task.
     """
+    alone = F.concat(F.lit("\u0000"), F.coalesce("event_id", F.lit("")))
     keyed = events.withColumn("npath", F.when(F.col("executable") != "",
-                                              X.normalize_path("executable")))
-    per_image = (keyed.filter(F.col("npath").isNotNull())
+                                              X.normalize_path("executable")).otherwise(alone))
+    per_image = (keyed.filter(F.coalesce(F.col("executable") != "", F.lit(False)))
                  .select("investigation_id", "endpoint_id", "npath", "source").distinct()
                  .groupBy("investigation_id", "endpoint_id", "npath")
                  .agg(F.count("*").cast("int").alias("source_count"))
@@ -49,14 +52,16 @@ def link_image_facts(events: DataFrame, artifacts: DataFrame | None) -> DataFram
         none = F.lit(None).cast("string")
         return joined.withColumn("artifact_status", none).withColumn(
             "artifact_hash", none).withColumn("artifact_reference", none).drop("npath")
-    return joined.join(artifact_lookup(artifacts), ["endpoint_id", "npath"], "left").drop("npath")
+    return joined.join(artifact_lookup(artifacts), ["investigation_id", "endpoint_id", "npath"],
+                       "left").drop("npath")
 
 
 def artifact_lookup(artifacts: DataFrame) -> DataFrame:
-    """What scoring needs to know about the artifact at each (host, normalized path)."""
+    """What scoring needs to know about the artifact at each (case, host, normalized path)."""
     known = unique_artifacts(artifacts)
     return known.select(
-        "endpoint_id", "npath", F.col("collection_status").alias("artifact_status"),
+        "investigation_id", "endpoint_id", "npath",
+        F.col("collection_status").alias("artifact_status"),
         F.col("hash").alias("artifact_hash"),
         (F.coalesce(F.col("reference"), F.col("path")) if "reference" in known.columns
          else F.col("path")).alias("artifact_reference"))

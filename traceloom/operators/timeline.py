@@ -87,11 +87,11 @@ def timeline_statistics(timeline: DataFrame) -> DataFrame:
 
 
 def significant_events(groups: DataFrame, findings: DataFrame, artifacts: DataFrame,
-                       transitions: DataFrame | None = None, *, limit=40,
+                       transitions: DataFrame | None = None, *, limit: int | None = None,
                        order="oldest") -> DataFrame:
     """Urgent activity, findings worth reading, absent artifacts and state changes.
 
-    Adds ``position``; the page of ``limit`` per investigation is the report's.
+    Adds ``position``; ``limit`` keeps a page of the first so many per investigation.
     """
     urgent = groups.filter(F.col("classification.priority").isin(V.PRIORITY_1, V.PRIORITY_2))
     parts = [
@@ -112,6 +112,7 @@ def significant_events(groups: DataFrame, findings: DataFrame, artifacts: DataFr
             F.concat(F.lit("Investigation state: "), "state"), F.col("detail"), "workstation",
             V.OBSERVED, "transition", F.col("state")))
     by_time = F.col("ts").asc_nulls_last() if order == "oldest" else F.col("ts").desc_nulls_last()
-    return first_rows(union_sources(*parts), ["investigation_id"], [
-        by_time, F.col("kind"), F.col("title"), F.col("reference_id"), F.col("endpoint_id")],
-        limit, "position")
+    order = [by_time, F.col("kind"), F.col("title"), F.col("reference_id"), F.col("endpoint_id")]
+    if limit is None:
+        return number_rows(union_sources(*parts), ["investigation_id"], order, "position")
+    return first_rows(union_sources(*parts), ["investigation_id"], order, limit, "position")

@@ -14,7 +14,7 @@ def npath(x: str) -> str:
 
 UNIQUE_ARTIFACTS = ("uniq_art", f"""
 SELECT * FROM (SELECT *, {npath('path')} AS npath, row_number() OVER (
-  PARTITION BY endpoint_id, {npath('path')} ORDER BY collection_order) AS rn FROM artifacts)
+  PARTITION BY investigation_id, endpoint_id, {npath('path')} ORDER BY collection_order) AS rn FROM artifacts)
 WHERE rn = 1""")
 
 IMAGES = ("images", f"""
@@ -65,7 +65,7 @@ FROM (
   FROM exec_events e
   LEFT JOIN images i ON i.investigation_id = e.investigation_id
     AND i.endpoint_id = e.endpoint_id AND i.npath = {npath('e.executable')} AND e.executable <> ''
-  LEFT JOIN uniq_art a ON a.endpoint_id = e.endpoint_id
+  LEFT JOIN uniq_art a ON a.investigation_id = e.investigation_id AND a.endpoint_id = e.endpoint_id
     AND a.npath = {npath('e.executable')} AND e.executable <> '')""")
 
 RATED = ("rated", """

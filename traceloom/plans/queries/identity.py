@@ -7,13 +7,13 @@ from .common import F, evidence, events
 
 
 @query("dedupe_events", view_sql(["exec_events"], """
-SELECT endpoint_id, source, source_record_id, event_id, copies FROM (
-  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY endpoint_id, source, source_record_id) AS copies
-  FROM exec_events WINDOW w AS (PARTITION BY endpoint_id, source, source_record_id
+SELECT investigation_id, endpoint_id, source, source_record_id, event_id, copies FROM (
+  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY investigation_id, endpoint_id, source, source_record_id) AS copies
+  FROM exec_events WINDOW w AS (PARTITION BY investigation_id, endpoint_id, source, source_record_id
   ORDER BY ts ASC NULLS LAST, event_id)) WHERE rn = 1"""))
 def _(spark, sf):
     return E.dedupe_events(events(spark, sf)).select(
-        "endpoint_id", "source", "source_record_id", "event_id", "copies")
+        "investigation_id", "endpoint_id", "source", "source_record_id", "event_id", "copies")
 
 
 _REF = """
@@ -41,7 +41,7 @@ def _(spark, sf):
 @query("newest_events", view_sql(["exec_events"], """
 SELECT investigation_id, event_id FROM (
   SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY ts DESC NULLS LAST, endpoint_id, source, source_record_id) AS n FROM (
-    SELECT *, row_number() OVER (PARTITION BY endpoint_id, source, source_record_id ORDER BY ts ASC NULLS LAST, event_id) AS rn
+    SELECT *, row_number() OVER (PARTITION BY investigation_id, endpoint_id, source, source_record_id ORDER BY ts ASC NULLS LAST, event_id) AS rn
     FROM exec_events) WHERE rn = 1) WHERE n <= 500"""))
 def _(spark, sf):
     return E.dedupe_events(events(spark, sf), newest=500).select("investigation_id", "event_id")

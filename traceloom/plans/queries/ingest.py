@@ -219,7 +219,7 @@ def _(spark, sf):
 
 
 @query("read_powershell_blocks", _sql("""
-SELECT CAST(event_id AS VARCHAR) AS record_id, seen_at AS ts, CASE WHEN k % 3 = 2 THEN 'PARTIAL' ELSE 'EXACT' END AS status, 4000 AS n FROM b WHERE k >= 70"""))
+SELECT CAST(event_id AS VARCHAR) AS record_id, seen_at AS ts, CASE WHEN k % 3 = 2 THEN 'PARTIAL' ELSE 'EXACT' END AS status, 4508 AS n FROM b WHERE k >= 70"""))
 def _(spark, sf):
     return WN.parse_powershell_blocks(windows_records(spark, sf)).select(
         F.col("source_record_id").alias("record_id"), "ts",

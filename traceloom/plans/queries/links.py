@@ -20,7 +20,7 @@ SELECT i.*, a.collection_status, a.hash, a.path AS artifact_path FROM (
     max(CASE WHEN rn = 1 THEN event_id END) AS event, max(CASE WHEN rn = 1 THEN source END) AS source
   FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id, endpoint_id, executable
     ORDER BY ts ASC NULLS LAST, source_record_id, event_id) AS rn FROM exec_events WHERE {_ABS})
-  GROUP BY ALL) i JOIN uniq_art a ON a.endpoint_id = i.endpoint_id AND a.npath = {npath('i.executable')}""")
+  GROUP BY ALL) i JOIN uniq_art a ON a.investigation_id = i.investigation_id AND a.endpoint_id = i.endpoint_id AND a.npath = {npath('i.executable')}""")
 _FWD = f"lower({npath('executable')})"
 _NOTABLE = " OR ".join(f"contains({_FWD}, '{p}')" for p in (
     "/tmp/", "/var/tmp/", "/dev/shm/", "/run/shm/", "/temp/", "/appdata/local/temp/",
@@ -50,7 +50,7 @@ SELECT investigation_id, endpoint_id, 'suspicious_filename' AS category, path AS
 
 @query("link_events_artifacts", view_sql(_EA, f"""
 SELECT e.event_id AS execution_event_id, coalesce(a.collection_status = 'COLLECTED', false) AS artifact_present, a.hash AS artifact_hash
-FROM exec_events e LEFT JOIN uniq_art a ON a.endpoint_id = e.endpoint_id AND a.npath = {npath('e.executable')}
+FROM exec_events e LEFT JOIN uniq_art a ON a.investigation_id = e.investigation_id AND a.endpoint_id = e.endpoint_id AND a.npath = {npath('e.executable')}
 WHERE {_ABS}""", extra=(UNIQUE_ARTIFACTS,)))
 def _(spark, sf):
     return C.link_events_artifacts(events(spark, sf), evidence(spark, sf, "artifacts")).select(
@@ -60,7 +60,7 @@ def _(spark, sf):
 @query("link_statistics", view_sql(_EA, f"""
 SELECT e.investigation_id, count(*) FILTER (a.collection_status = 'COLLECTED') AS with_artifact,
   count(*) FILTER (a.collection_status IS DISTINCT FROM 'COLLECTED') AS without_artifact
-FROM exec_events e LEFT JOIN uniq_art a ON a.endpoint_id = e.endpoint_id AND a.npath = {npath('e.executable')}
+FROM exec_events e LEFT JOIN uniq_art a ON a.investigation_id = e.investigation_id AND a.endpoint_id = e.endpoint_id AND a.npath = {npath('e.executable')}
 WHERE {_ABS} GROUP BY ALL""", extra=(UNIQUE_ARTIFACTS,)))
 def _(spark, sf):
     return C.link_statistics(C.link_events_artifacts(
@@ -68,18 +68,17 @@ def _(spark, sf):
 
 
 @query("referenced_paths", view_sql(["exec_events"], f"""
-SELECT endpoint_id, executable AS path, min(ts) AS first_named, count(*) AS events FROM exec_events
+SELECT investigation_id, endpoint_id, executable AS path, min(ts) AS first_named, count(*) AS events FROM exec_events
 WHERE {_ABS} GROUP BY ALL"""))
 def _(spark, sf):
-    return C.referenced_paths(events(spark, sf)).drop("investigation_id")
+    return C.referenced_paths(events(spark, sf))
 
 
 @query("missing_artifacts", view_sql(_EA, """
-SELECT endpoint_id, executable AS path, source, event, source_count > 1 AS corroborated FROM named
+SELECT investigation_id, endpoint_id, executable AS path, source, event, source_count > 1 AS corroborated FROM named
 WHERE collection_status = 'MISSING'""", extra=(UNIQUE_ARTIFACTS, NAMED)))
 def _(spark, sf):
-    return C.missing_artifacts(events(spark, sf), evidence(spark, sf, "artifacts")).drop(
-        "investigation_id")
+    return C.missing_artifacts(events(spark, sf), evidence(spark, sf, "artifacts"))
 
 
 @query("artifact_findings", view_sql(_EA, """
@@ -180,27 +179,28 @@ def _(spark, sf):
 
 
 @query("merge_artifacts", view_sql(["artifacts"], """
-SELECT endpoint_id, path, src_table, hash FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id, path ORDER BY src_table, collection_order) AS rn FROM (
+SELECT investigation_id, endpoint_id, path, src_table, hash FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id, endpoint_id, path ORDER BY src_table, collection_order) AS rn FROM (
   SELECT *, 'selected' AS src_table FROM artifacts WHERE path LIKE '/home/%' UNION ALL SELECT *, 'z' FROM artifacts)) WHERE rn = 1"""))
 def _(spark, sf):
     rows = evidence(spark, sf, "artifacts")
     chosen = rows.filter(F.startswith("path", F.lit("/home/"))).withColumn(
         "src_table", F.lit("selected"))
     return C.merge_artifacts(chosen, rows.withColumn("src_table", F.lit("z"))).select(
-        "endpoint_id", "path", "src_table", "hash")
+        "investigation_id", "endpoint_id", "path", "src_table", "hash")
 
 
 @query("observe_artifacts", view_sql(_EA, f"""
 , inv AS (SELECT endpoint_id, {npath('path')} AS path, max(size_bytes) AS size_bytes,
     max(CASE WHEN collection_status <> 'PERMISSION_DENIED' THEN 1 ELSE 0 END) AS readable
     FROM artifacts WHERE collection_status <> 'MISSING' GROUP BY ALL),
-wanted AS (SELECT endpoint_id, path, min(f) AS f FROM (
-    SELECT DISTINCT endpoint_id, {npath('executable')} AS path, 2 AS f FROM exec_events WHERE {_ABS}
-    UNION ALL SELECT DISTINCT endpoint_id, {npath('path')}, 1 FROM artifacts WHERE path LIKE '/srv/%') GROUP BY ALL)
-SELECT w.endpoint_id, w.path, CASE f WHEN 1 THEN 'selected path' ELSE 'named by execution evidence' END AS source,
-  CASE WHEN i.path IS NULL THEN 'MISSING' WHEN readable = 0 THEN 'PERMISSION_DENIED'
-       WHEN size_bytes > 20000 THEN 'SKIPPED_TOO_LARGE' ELSE 'COLLECTED' END AS collection_status
-FROM wanted w LEFT JOIN inv i USING (endpoint_id, path)"""))
+wanted AS (SELECT investigation_id, endpoint_id, path, min(f) AS f FROM (
+    SELECT DISTINCT investigation_id, endpoint_id, {npath('executable')} AS path, 2 AS f FROM exec_events WHERE {_ABS}
+    UNION ALL SELECT DISTINCT investigation_id, endpoint_id, {npath('path')}, 1 FROM artifacts WHERE path LIKE '/srv/%') GROUP BY ALL)
+SELECT w.investigation_id, w.endpoint_id, w.path, CASE f WHEN 1 THEN 'selected path' ELSE 'named by execution evidence' END AS source,
+  CASE WHEN i.path IS NULL THEN 'MISSING' WHEN readable = 0 THEN 'PERMISSION_DENIED' ELSE 'COLLECTED' END AS collection_status,
+  CASE WHEN readable = 1 THEN h.hash END AS hash
+FROM wanted w LEFT JOIN inv i USING (endpoint_id, path) LEFT JOIN (
+  SELECT endpoint_id, {npath('path')} AS path, max(hash) AS hash FROM artifacts WHERE hash IS NOT NULL GROUP BY ALL) h USING (endpoint_id, path)"""))
 def _(spark, sf):
     arts = evidence(spark, sf, "artifacts")
     inventory = arts.filter("collection_status <> 'MISSING'").select(
@@ -211,16 +211,16 @@ def _(spark, sf):
         "endpoint_id", "path", F.col("hash_algorithm").alias("algorithm"), "hash")
     chosen = arts.filter(F.startswith("path", F.lit("/srv/"))).select(
         "investigation_id", "endpoint_id", "path")
-    return C.observe_artifacts(events(spark, sf), chosen, inventory, digests,
-                               max_hash_bytes=20000).select(
-        "endpoint_id", "path", "source", "collection_status")
+    return C.observe_artifacts(events(spark, sf), chosen, inventory, digests).select(
+        "investigation_id", "endpoint_id", "path", "source", "collection_status", "hash")
 
 
 @query("artifact_status_counts", view_sql(["artifacts"], """
-SELECT investigation_id, collection_status, count(*) AS n FROM artifacts GROUP BY ALL"""))
+SELECT investigation_id, collection_status, count(*) AS n,
+  count(*) FILTER (source = 'src3') AS selected, count(*) FILTER (source <> 'src3') AS referenced
+FROM artifacts GROUP BY ALL"""))
 def _(spark, sf):
-    return evidence(spark, sf, "artifacts").groupBy("investigation_id", "collection_status").agg(
-        F.count("*").alias("n"))
+    return C.artifact_status_counts(evidence(spark, sf, "artifacts"), selected="src3")
 
 
 # --- drivers and memory ------------------------------------------------------------
@@ -348,11 +348,11 @@ SELECT * FROM (SELECT investigation_id, endpoint_id, path, event_id, source, exe
   count(*) OVER (PARTITION BY investigation_id, endpoint_id, path) AS mentions FROM (
   SELECT *, unnest(list_filter(string_split_regex(concat_ws(' ', executable, full_command_line), '\\s+'),
     lambda x: starts_with(x, '/') AND length(x) > 1)) AS path FROM exec_events)) WHERE rn = 1"""),
-    ("raw_art", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id, path ORDER BY collection_order) AS rn FROM artifacts) WHERE rn = 1"""),
+    ("raw_art", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY investigation_id, endpoint_id, path ORDER BY collection_order) AS rn FROM artifacts) WHERE rn = 1"""),
     ("dl", """
 SELECT d.*, a.path AS artifact, m.event_id AS event, coalesce(m.execution_confirmed, false) AS execution_confirmed,
   (epoch_us(m.ts) - epoch_us(d.downloaded_at)) / 3600000000.0 AS gap
-FROM downloads d LEFT JOIN raw_art a ON a.endpoint_id = d.endpoint_id AND a.path = d.target_path
+FROM downloads d LEFT JOIN raw_art a ON a.investigation_id = d.investigation_id AND a.endpoint_id = d.endpoint_id AND a.path = d.target_path
 LEFT JOIN mentions m ON m.investigation_id = d.investigation_id AND m.endpoint_id = d.endpoint_id AND m.path = d.target_path
 WHERE (a.path IS NOT NULL OR m.event_id IS NOT NULL) AND NOT coalesce((epoch_us(m.ts) - epoch_us(d.downloaded_at)) / 3600000000.0 > 24, false)"""))
 
@@ -385,19 +385,19 @@ def mounts(spark, sf):
         "/media/usb0", "/media/usb1", "/media")]))).withColumn("device", F.lit("/dev/sdb1"))
 
 
-_MOUNTS = ("mnt", """SELECT DISTINCT endpoint_id, unnest(['/media/usb0', '/media/usb1', '/media']) AS mount_point
+_MOUNTS = ("mnt", """SELECT DISTINCT investigation_id, endpoint_id, unnest(['/media/usb0', '/media/usb1', '/media']) AS mount_point
 FROM artifacts""")
-_FILES = ("files", "SELECT endpoint_id, path, min(hash) AS hash FROM artifacts WHERE hash <> '' GROUP BY ALL")
+_FILES = ("files", "SELECT investigation_id, endpoint_id, path, min(hash) AS hash FROM artifacts WHERE hash <> '' GROUP BY ALL")
 _COPIES = ("copies", """
-SELECT i.endpoint_id, m.mount_point, i.hash, count(DISTINCT i.path) AS inside, min(i.path) AS target,
+SELECT i.investigation_id, i.endpoint_id, m.mount_point, i.hash, count(DISTINCT i.path) AS inside, min(i.path) AS target,
   count(DISTINCT o.path) AS outside, min(o.path) AS source, count(DISTINCT i.path) * count(DISTINCT o.path) AS pairs
-FROM mnt m JOIN files i ON i.endpoint_id = m.endpoint_id AND starts_with(i.path, m.mount_point || '/')
-JOIN files o ON o.endpoint_id = i.endpoint_id AND o.hash = i.hash AND NOT starts_with(o.path, m.mount_point || '/')
+FROM mnt m JOIN files i ON i.investigation_id = m.investigation_id AND i.endpoint_id = m.endpoint_id AND starts_with(i.path, m.mount_point || '/')
+JOIN files o ON o.investigation_id = i.investigation_id AND o.endpoint_id = i.endpoint_id AND o.hash = i.hash AND NOT starts_with(o.path, m.mount_point || '/')
 GROUP BY ALL""")
 _TOUCH = ("touch", """
-SELECT m.endpoint_id, m.mount_point,
-  (SELECT coalesce(sum(mentions), 0) FROM mentions x WHERE x.endpoint_id = m.endpoint_id AND starts_with(x.path, m.mount_point || '/')) AS touched,
-  (SELECT count(DISTINCT path) FROM artifacts a WHERE a.endpoint_id = m.endpoint_id AND starts_with(a.path, m.mount_point || '/')) AS written
+SELECT m.investigation_id, m.endpoint_id, m.mount_point,
+  (SELECT coalesce(sum(mentions), 0) FROM mentions x WHERE x.investigation_id = m.investigation_id AND x.endpoint_id = m.endpoint_id AND starts_with(x.path, m.mount_point || '/')) AS touched,
+  (SELECT count(DISTINCT path) FROM artifacts a WHERE a.investigation_id = m.investigation_id AND a.endpoint_id = m.endpoint_id AND starts_with(a.path, m.mount_point || '/')) AS written
 FROM mnt m""")
 
 
@@ -406,7 +406,7 @@ SELECT * FROM touch WHERE touched > 0 OR written > 0""", extra=(_LINKS[0], _MOUN
 def _(spark, sf):
     return S.media_touches(mounts(spark, sf), events(spark, sf),
                            evidence(spark, sf, "artifacts")).select(
-        "endpoint_id", "mount_point", "touched", "written")
+        "investigation_id", "endpoint_id", "mount_point", "touched", "written")
 
 
 @query("media_copies", view_sql(_EA, "SELECT * FROM copies", extra=(_MOUNTS, _FILES, _COPIES)))
@@ -415,15 +415,15 @@ def _(spark, sf):
 
 
 @query("removable_media_findings", view_sql(_EA, """
-SELECT t.endpoint_id, t.mount_point AS subject, CASE WHEN c.pairs > 0 THEN 'high' ELSE 'medium' END AS severity,
+SELECT t.investigation_id, t.endpoint_id, t.mount_point AS subject, CASE WHEN c.pairs > 0 THEN 'high' ELSE 'medium' END AS severity,
   CASE WHEN c.pairs > 0 THEN CASE WHEN touched > 0 AND written > 0 THEN 'PRIORITY_1' ELSE 'PRIORITY_2' END ELSE 'PRIORITY_3' END AS priority
-FROM touch t LEFT JOIN (SELECT endpoint_id, mount_point, sum(pairs) AS pairs FROM copies GROUP BY ALL) c
-  USING (endpoint_id, mount_point) WHERE touched > 0 OR written > 0""",
+FROM touch t LEFT JOIN (SELECT investigation_id, endpoint_id, mount_point, sum(pairs) AS pairs FROM copies GROUP BY ALL) c
+  USING (investigation_id, endpoint_id, mount_point) WHERE touched > 0 OR written > 0""",
        extra=(_LINKS[0], _MOUNTS, _FILES, _COPIES, _TOUCH)))
 def _(spark, sf):
     return S.removable_media_findings(mounts(spark, sf), events(spark, sf),
                                       evidence(spark, sf, "artifacts")).select(
-        "endpoint_id", "subject", "severity", "priority")
+        "investigation_id", "endpoint_id", "subject", "severity", "priority")
 
 
 @query("all_findings", view_sql(_TRI, """
@@ -599,7 +599,7 @@ def _(spark, sf):
 SELECT endpoint_id, path, seq, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id, path
   ORDER BY ts DESC, seq DESC, hash DESC, algorithm DESC, size_bytes DESC) AS rn FROM ledger) WHERE rn <= 20"""))
 def _(spark, sf):
-    return L.trim_history(evidence(spark, sf, "ledger")).select(
+    return L.trim_history(evidence(spark, sf, "ledger"), keep=20).select(
         "endpoint_id", "path", "seq", "size_bytes")
 
 
@@ -696,7 +696,7 @@ def _(spark, sf):
 
 
 @query("list_latest", """
-SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500""")
+SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC""")
 def _(spark, sf):
     rows = table(spark, sf, "orders").withColumnRenamed("o_orderdate", "created_at").withColumnRenamed(
         "o_orderkey", "id")

@@ -178,8 +178,7 @@ SELECT investigation_id, kind, ts, position FROM (SELECT *, row_number() OVER (P
   ORDER BY ts ASC NULLS LAST, kind, title) AS position FROM (
   SELECT investigation_id, evidence_kind AS kind, coalesce(last_seen, first_seen) AS ts, coalesce(full_command_line, executable, process_name) AS title
   FROM groups WHERE priority IN ('PRIORITY_1', 'PRIORITY_2')
-  UNION ALL SELECT investigation_id, 'ARTIFACT_OBSERVATION', NULL, filename || ' named by evidence but absent' FROM artifacts WHERE collection_status = 'MISSING'))
-WHERE position <= 40"""))
+  UNION ALL SELECT investigation_id, 'ARTIFACT_OBSERVATION', NULL, filename || ' named by evidence but absent' FROM artifacts WHERE collection_status = 'MISSING'))"""))
 def _(spark, sf):
     groups = A.activity_groups(classified(spark, sf))
     arts = dated_artifacts(spark, sf)
@@ -386,7 +385,10 @@ SELECT g.*, a.artifacts, f.findings, 1 AS collection_limitations FROM (
     coalesce(sum(occurrences) FILTER (priority = 'PRIORITY_1'), 0) AS p1,
     coalesce(sum(occurrences) FILTER (priority = 'PRIORITY_2'), 0) AS p2,
     coalesce(sum(occurrences) FILTER (priority = 'PRIORITY_3'), 0) AS p3,
-    sum(occurrences) FILTER (evidence_kind = 'COMMAND_HISTORY') AS typed FROM groups GROUP BY ALL) g
+    sum(occurrences) FILTER (evidence_kind = 'COMMAND_HISTORY') AS typed,
+    count(DISTINCT CASE WHEN priority IN ('PRIORITY_1', 'PRIORITY_2') THEN evidence_kind || priority || array_to_string(list_sort(list_filter(
+      string_split(signals, ','), lambda x: x IN ('remote_content_to_interpreter', 'download_to_writable_location', 'encoded_powershell',
+      'execution_from_writable_location', 'image_absent_after_execution', 'installer_shaped_source'))), ',') END) AS leads FROM groups GROUP BY ALL) g
 JOIN (SELECT investigation_id, count(*) AS artifacts FROM artifacts GROUP BY ALL) a USING (investigation_id)
 JOIN (SELECT investigation_id, count(*) AS findings FROM found GROUP BY ALL) f USING (investigation_id)""")
 
@@ -404,7 +406,7 @@ def _(spark, sf):
 
 @query("conclusion", scored_sql("ranked", """
 SELECT investigation_id, CASE WHEN p1 > 0 THEN CAST(p1 AS VARCHAR) || ' records are ranked investigate-first.' ELSE 'Nothing combined enough signals to rank investigate-first.' END
-  || CASE WHEN p2 > 0 THEN ' ' || CAST(p2 AS VARCHAR) || ' records across 10 distinct patterns warrant review.' ELSE '' END
+  || CASE WHEN p2 > 0 THEN ' ' || CAST(p2 AS VARCHAR) || ' records across ' || CAST(leads AS VARCHAR) || ' distinct pattern' || CASE WHEN leads = 1 THEN '' ELSE 's' END || ' warrant review.' ELSE '' END
   || ' The remaining ' || CAST(p3 AS VARCHAR) || ' records are informational.'
   || ' process accounting (NOT_ENABLED) could not be read.' AS conclusion FROM counts""", extra=(*_CORRELATED[1:], _COUNTS)))
 def _(spark, sf):
@@ -436,7 +438,7 @@ def _(spark, sf):
     'remote_content_to_interpreter', 'download_to_writable_location', 'encoded_powershell',
     'execution_from_writable_location', 'image_absent_after_execution', 'installer_shaped_source'))), ',') AS pattern
   FROM ranked WHERE priority IN ('PRIORITY_1', 'PRIORITY_2'))
-SELECT investigation_id, evidence_kind, priority, pattern, least(sum(occurrences), 120) AS cited FROM m GROUP BY ALL"""))
+SELECT investigation_id, evidence_kind, priority, pattern, sum(occurrences) AS cited FROM m GROUP BY ALL"""))
 def _(spark, sf):
     rows = assign_event_references(classified(spark, sf))
     refs = A.lead_references(ranked(spark, sf), A.activity_records(rows))
@@ -487,13 +489,13 @@ def _(spark, sf):
 
 
 @query("briefs_artifact", view_sql(["exec_events", "artifacts", "downloads"], f"""
-, m AS (SELECT endpoint_id, path, count(*) AS naming FROM (SELECT endpoint_id, unnest(list_filter(string_split_regex(concat_ws(' ', executable, full_command_line), '\\s+'),
+, m AS (SELECT investigation_id, endpoint_id, path, count(*) AS naming FROM (SELECT investigation_id, endpoint_id, unnest(list_filter(string_split_regex(concat_ws(' ', executable, full_command_line), '\\s+'),
     lambda x: starts_with(x, '/') AND length(x) > 1)) AS path FROM exec_events) GROUP BY ALL),
-u AS (SELECT * FROM (SELECT *, {npath('path')} AS np, row_number() OVER (PARTITION BY endpoint_id, {npath('path')} ORDER BY collection_order) AS rn FROM artifacts) WHERE rn = 1),
-d AS (SELECT DISTINCT endpoint_id, target_path FROM downloads)
+u AS (SELECT * FROM (SELECT *, {npath('path')} AS np, row_number() OVER (PARTITION BY investigation_id, endpoint_id, {npath('path')} ORDER BY collection_order) AS rn FROM artifacts) WHERE rn = 1),
+d AS (SELECT DISTINCT investigation_id, endpoint_id, target_path FROM downloads)
 SELECT u.endpoint_id || ' ' || u.path AS subject, CAST(coalesce(naming, 0) AS VARCHAR) AS naming,
   1 + CASE WHEN naming IS NULL THEN 1 ELSE 0 END + CASE WHEN d.target_path IS NULL THEN 1 ELSE 0 END AS unknown
-FROM u LEFT JOIN m ON m.endpoint_id = u.endpoint_id AND m.path = u.path LEFT JOIN d ON d.endpoint_id = u.endpoint_id AND d.target_path = u.path"""))
+FROM u LEFT JOIN m ON m.investigation_id = u.investigation_id AND m.endpoint_id = u.endpoint_id AND m.path = u.path LEFT JOIN d ON d.investigation_id = u.investigation_id AND d.endpoint_id = u.endpoint_id AND d.target_path = u.path"""))
 def _(spark, sf):
     tables = brief_tables(spark, sf)
     marked = tables["artifacts"].withColumn("reference", F.concat_ws(" ", "endpoint_id", "path"))
@@ -530,7 +532,7 @@ l AS (SELECT investigation_id, evidence_kind, priority, pattern, count(*) AS act
   bool_or(execution_confirmed) AS ran, min(activity_rank) AS r FROM m GROUP BY ALL)
 SELECT investigation_id, 'LEAD-' || lpad(CAST(n AS VARCHAR), 3, '0') AS subject_id, priority,
   CASE WHEN ran THEN 'CONFIRMED' ELSE 'NOT ESTABLISHED' END AS execution_state, least(activities, 12) AS cited FROM (
-  SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY priority, records DESC, r) AS n FROM l) WHERE n <= 10"""))
+  SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY priority, records DESC, r) AS n FROM l)"""))
 def _(spark, sf):
     tables = brief_tables(spark, sf)
     tables["leads"] = A.leads(tables["groups"])

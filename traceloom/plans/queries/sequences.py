@@ -44,7 +44,7 @@ def _(spark, sf):
 
 
 @query("run_pipeline", scored_sql("groups", """
-SELECT 'events' AS name, count(*) AS n FROM (SELECT DISTINCT endpoint_id, source, source_record_id FROM exec_events)
+SELECT 'events' AS name, count(*) AS n FROM (SELECT DISTINCT investigation_id, endpoint_id, source, source_record_id FROM exec_events)
 UNION ALL SELECT 'artifacts', count(*) FROM artifacts"""))
 def _(spark, sf):
     out = run_pipeline({"events": events(spark, sf), "artifacts": evidence(

@@ -202,7 +202,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY priori
 
 @query("leads", scored_sql("ranked", _LEADS + """
 SELECT investigation_id, 'LEAD-' || lpad(CAST(n AS VARCHAR), 3, '0') AS lead_id, evidence_kind, priority, pattern,
-  activity_count, record_count, execution_confirmed, first_seen, last_seen FROM n WHERE n <= 10"""))
+  activity_count, record_count, execution_confirmed, first_seen, last_seen FROM n"""))
 def _(spark, sf):
     return A.leads(ranked(spark, sf)).select(
         "investigation_id", "lead_id", "evidence_kind", "priority",

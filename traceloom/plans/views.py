@@ -28,9 +28,10 @@ FROM events
 
 VIEWS = {
     "base": _BASE,
-    # Process starts, typed commands and sessions of sixteen hosts in four cases.
+    # Process starts, typed commands and sessions of sixteen hosts, each of them in several of four cases.
+    # Records of one source share ids across cases.
     "exec_raw": """
-SELECT 'inv-' || CAST(u % 4 AS STRING) AS investigation_id,
+SELECT 'inv-' || CAST((u + CAST(floor(event_id / 2) AS BIGINT)) % 4 AS STRING) AS investigation_id,
        'host-' || CAST(u % 16 AS STRING) AS endpoint_id,
        CAST(event_id AS STRING) AS event_id,
        CASE WHEN k % 17 = 0 THEN NULL ELSE seen_at END AS ts,
@@ -82,7 +83,7 @@ FROM exec_raw
     # Files seen on the same hosts; digests are of whole document texts.
     "artifact_raw": """
 SELECT 'host-' || CAST(doc_id % 16 AS STRING) AS endpoint_id,
-       'inv-' || CAST(doc_id % 4 AS STRING) AS investigation_id,
+       'inv-' || CAST((doc_id + CAST(floor(doc_id / 48) AS BIGINT)) % 4 AS STRING) AS investigation_id,
        doc_id AS collection_order, CAST(floor(doc_id / 16) AS BIGINT) AS r, source AS src,
        {sha256(text)} AS digest, n_chars AS size_bytes, doc_id % 11 AS s, doc_id
 FROM documents
@@ -110,7 +111,7 @@ FROM artifact_paths
     # Page fetches as downloads; targets share spellings with executables.
     "downloads": """
 SELECT 'host-' || CAST(page_id % 16 AS STRING) AS endpoint_id,
-       'inv-' || CAST(page_id % 4 AS STRING) AS investigation_id, page_id, url,
+       'inv-' || CAST((page_id + CAST(floor(page_id / 32) AS BIGINT)) % 4 AS STRING) AS investigation_id, page_id, url,
        CASE CAST(floor(page_id / 16) AS BIGINT) % 4
          WHEN 0 THEN '/home/u' || CAST(page_id % 150 AS STRING) || '/Downloads/setup' || CAST(90 + page_id % 10 AS STRING) || '.sh'
          WHEN 1 THEN '/tmp/staged' || CAST(page_id % 9 AS STRING)

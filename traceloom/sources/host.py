@@ -163,13 +163,13 @@ def service_units(documents: DataFrame) -> DataFrame:
     return documents.select(*scope(documents), F.inline(F.from_json("value", schema)))
 
 
-def cron_jobs(lines: DataFrame, *, width=500) -> DataFrame:
+def cron_jobs(lines: DataFrame) -> DataFrame:
     """Schedule lines: a shortcut, a number or a star first; comments and settings are not."""
     text = F.trim("value")
     return lines.withColumn("_t", text).filter(
         F.col("_t").rlike(r"^(@|[0-9*])")).select(
             *scope(lines), F.col("file").alias("schedule_file"), F.col("line_no").alias("line"),
-            F.substring("_t", 1, width).alias("entry"))
+            F.col("_t").alias("entry"))
 
 
 def service_statistics(units: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -102,8 +102,7 @@ def parse_powershell_blocks(records: DataFrame, *, window=None) -> DataFrame:
     rows = records.filter(F.col("System.EventID") == "4104").select(
         *scope(records), F.col("System.EventRecordID").alias("rid"),
         F.col("System.TimeCreated._SystemTime").alias("when"),
-        X.redact_command_line(F.substring(F.trim(_data("ScriptBlockText")), 1,
-                                          V.SCRIPT_TEXT_LIMIT)).alias("m"),
+        X.redact_command_line(F.trim(_data("ScriptBlockText"))).alias("m"),
         _data("Path").alias("path"), _data("ScriptBlockId").alias("block"),
         _data("MessageNumber").alias("number"))
     rows = rows.withColumn("ts", X.parse_timestamp("when")).filter(X.in_window("ts", window))

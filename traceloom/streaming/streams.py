@@ -19,7 +19,8 @@ def stream_score(events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """
     keyed = events.withColumn("npath", X.normalize_path("executable")).withColumn(
         "source_count", F.lit(1))
-    joined = keyed.join(artifact_lookup(artifacts), ["endpoint_id", "npath"], "left").drop("npath")
+    joined = keyed.join(artifact_lookup(artifacts), ["investigation_id", "endpoint_id", "npath"],
+                        "left").drop("npath")
     return classify_linked(joined)
 
 
@@ -37,10 +38,10 @@ def split_late(events: DataFrame, delay: str, *, as_of=None):
 
 
 def stream_dedupe(events: DataFrame, *, watermark="1 hour") -> DataFrame:
-    """First arrival per (host, source, record id) within the watermark; dated rows only."""
+    """First arrival per (case, host, source, record id) within the watermark; dated rows only."""
     dated, _ = split_undated(events)
     return dated.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(
-        ["endpoint_id", "source", "source_record_id"])
+        ["investigation_id", "endpoint_id", "source", "source_record_id"])
 
 
 class HashChanges:
