@@ -1,7 +1,7 @@
 """Streams over files and memory, driven to completion."""
 
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -147,3 +147,14 @@ def test_briefs_for_all_subjects(make_events, make_artifacts, kind):
     assert rows and all(r["summary"] and r["evidence_ids"] for r in rows)
     with pytest.raises(ValueError):
         N.briefs(tables, "nothing")
+
+
+def test_health_tells_each_change(spark, tmp_path):
+    schema = "endpoint_id string, ts timestamp, status string"
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    batches = [spark.createDataFrame(rows, schema) for rows in (
+        [("a", now, "active"), ("b", now, "active")],
+        [("a", now + timedelta(seconds=1), "revoked"), ("b", now - timedelta(days=1), "revoked")])]
+    rows = watch(ST.stream_endpoint_health(feed(spark, tmp_path, "hc", batches)), "changes", 3, 30)
+    told = sorted((r["endpoint_id"], r["state"]) for r in rows)
+    assert told == [("a", "healthy"), ("a", "revoked"), ("b", "healthy")]

@@ -11,16 +11,16 @@ def build(make_events, commands, **options):
 
 
 def test_install_then_use_far_apart(make_events):
-    found, _ = build(make_events, [(10, "pip install holehe"), (900, "holehe someone@example.com")])
+    found, _ = build(make_events, [(10, "pip install findmail"), (900, "findmail someone@example.com")])
     assert len(found) == 1 and found[0]["shape"] == "install_then_use"
-    assert "installs or fetches 'holehe'" in found[0]["reason"]
+    assert "installs or fetches 'findmail'" in found[0]["reason"]
 
 
 def test_a_sitting(make_events):
     found, _ = build(make_events, [
-        (100, "git clone https://code.example/megadose/holehe"), (101, "cd holehe-dir"),
-        (102, "python3 -m venv holehe-env"), (103, "source holehe-env/bin/activate"),
-        (104, "pip install holehe"), (105, "holehe a@example.com"), (106, "holehe b@example.com")])
+        (100, "git clone https://code.example/team/findmail"), (101, "cd findmail-dir"),
+        (102, "python3 -m venv findmail-env"), (103, "source findmail-env/bin/activate"),
+        (104, "pip install findmail"), (105, "findmail a@example.com"), (106, "findmail b@example.com")])
     assert len(found) == 1 and found[0]["activity_count"] >= 4
 
 

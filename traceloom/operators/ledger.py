@@ -141,10 +141,13 @@ def filter_list(investigations: DataFrame, term="", status=None) -> DataFrame:
 
 
 def executions_with_reports(executions: DataFrame, reports: DataFrame) -> DataFrame:
-    """Each execution with its report or null."""
+    """Each execution with its report or null, newest first where executions have a time."""
     held = reports.select(F.col("execution_id").alias("id"), F.col("id").alias("report_id"),
                           F.col("status").alias("report_status"))
-    return executions.join(held, "id", "left")
+    joined = executions.join(held, "id", "left")
+    if "created_at" not in executions.columns:
+        return joined
+    return joined.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
 
 
 def completion_status(steps: DataFrame) -> DataFrame:

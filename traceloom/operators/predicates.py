@@ -3,7 +3,7 @@
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import vocab as V
 from ..functions import describe_predicate
@@ -43,13 +43,31 @@ def validate_predicate(predicate: dict) -> dict:
         elif isinstance(value, list):
             raise PredicateError(f"{field} {operator} takes one value; use ONEOF for a list")
         if operator == "MATCHES":
-            try:
-                re.compile(str(value))
-            except re.error as error:
-                raise PredicateError(f"{field} MATCHES has a bad pattern: {error}") from error
+            error = pattern_error(engine_pattern(value))
+            if error:
+                raise PredicateError(f"{field} MATCHES has a bad pattern: {error}")
     return predicate
 
 
+def engine_pattern(value) -> str:
+    """A pattern as the engine writes it: named groups are ``(?<x>...)`` there, back references ``\\k<x>``."""
+    text = re.sub(r"\(\?P<(\w+)>", lambda m: "(?<" + m[1].replace("_", "") + ">", str(value))
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: "\\k<" + m[1].replace("_", "") + ">", text)
+
+
+def pattern_error(pattern: str) -> str | None:
+    """What is wrong with a pattern, by the engine that will run it if a session is there, else by Python."""
+    session = SparkSession.getActiveSession()
+    try:
+        if session is None:
+            re.compile(re.sub(r"\(\?<(\w+)>", r"(?P<\1>", pattern))
+        else:
+            session._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as error:                                       # noqa: BLE001
+        return str(getattr(error, "java_exception", error)).splitlines()[0]
+    return None
+
+
 def _test(operator, subject: Column, value) -> Column:
     lower = F.lower(subject)
     if operator == "CONTAINS":
@@ -62,7 +80,7 @@ def _test(operator, subject: Column, value) -> Column:
         return lower.endswith(str(value).lower())
     if operator == "ONEOF":
         return lower.isin([str(v).lower() for v in value])
-    return subject.rlike("(?U)" + str(value))
+    return subject.rlike("(?U)" + engine_pattern(value))
 
 
 def _nested_test(name, operator, value) -> Column:

@@ -149,7 +149,10 @@ def select_activity(groups: DataFrame, records: DataFrame, predicates) -> DataFr
 
 
 def select_surfaces(tables: dict[str, DataFrame], predicates) -> DataFrame:
-    """What the predicates select on each surface: ``kind, id, label``. Nothing is removed."""
+    """What the predicates select on each surface: ``kind, id, label``. Nothing is removed.
+
+    Without a predicate no filter was applied, so nothing counts as selected.
+    """
     parts = []
     for kind, df in tables.items():
         if kind == "activity_records":
@@ -167,4 +170,5 @@ def select_surfaces(tables: dict[str, DataFrame], predicates) -> DataFrame:
         parts.append(kept.select(scope.cast("string").alias("investigation_id"),
                                  F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"),
                                  F.coalesce(F.col(text), F.col(key)).cast("string").alias("label")))
-    return union_sources(*parts)
+    found = union_sources(*parts)
+    return found if predicates else found.filter(F.lit(False))

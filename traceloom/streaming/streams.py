@@ -99,31 +99,38 @@ def last_seen(heartbeats: DataFrame) -> DataFrame:
 
 
 def stream_endpoint_health(heartbeats: DataFrame, *, stale_seconds=V.STALE_AFTER_SECONDS):
-    """Host state changes: ``healthy`` or ``revoked`` on contact, ``stale`` when a timer runs out."""
+    """Each change of a host's state: ``healthy``, ``revoked``, ``stale``.
+
+    A host is revoked as soon as its newest heartbeat says so, and stale when ``stale_seconds`` pass without a newer
+    one; a replayed heartbeat that is no newer changes no state.
+    """
     def step(key, frames, state):
         if state.hasTimedOut:
-            seen, status = state.get
-            state.remove()
-            yield pd.DataFrame({"endpoint_id": [key[0]], "state": [
-                "revoked" if status == "revoked" else "stale"], "last_seen": [pd.Timestamp(seen)]})
+            seen, status, told = state.get
+            state.update((seen, status, "stale"))
+            if told == "healthy":
+                yield pd.DataFrame({"endpoint_id": [key[0]], "state": ["stale"],
+                                    "last_seen": [pd.Timestamp(seen)]})
             return
-        seen, status = state.get if state.exists else (0, "active")
-        known = state.exists
+        seen, status, told = state.get if state.exists else (0, "active", "")
+        before = seen
         for frame in frames:
             newest = frame["ts"].astype("datetime64[ns]").max().value
             if newest >= seen:
                 seen = newest
                 status = frame.loc[frame["ts"].idxmax(), "status"]
-        state.update((int(seen), str(status)))
-        state.setTimeoutDuration(stale_seconds * 1000)
-        if not known:
-            yield pd.DataFrame({"endpoint_id": [key[0]], "state": [
-                "revoked" if status == "revoked" else "healthy"],
-                "last_seen": [pd.Timestamp(seen)]})
+        if seen > before:
+            now = "revoked" if status == "revoked" else "healthy"
+            state.update((int(seen), str(status), now))
+            if now != told:
+                yield pd.DataFrame({"endpoint_id": [key[0]], "state": [now], "last_seen": [pd.Timestamp(seen)]})
+            told = now
+        if told == "healthy":                    # a call without a timer would leave the host without one
+            state.setTimeoutDuration(stale_seconds * 1000)
 
     return heartbeats.groupBy("endpoint_id").applyInPandasWithState(
         step, "endpoint_id string, state string, last_seen timestamp",
-        "seen bigint, status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "seen bigint, status string, told string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_sweep_tasks(updates: DataFrame, *, stale_seconds=V.STALE_AFTER_SECONDS):
