@@ -1,8 +1,10 @@
 from datetime import datetime
 
 from conftest import at
+from pyspark.sql import functions as F
 from traceloom.operators import correlate as C
 from traceloom.operators import cross_source as S
+from traceloom.operators import events as E
 from traceloom.operators import findings as R
 from traceloom.operators import fleet as FL
 from traceloom.operators import ledger as L
@@ -163,3 +165,18 @@ def test_hash_history(spark):
     df = spark.createDataFrame(rows, "endpoint_id string, path string, algorithm string, hash string, ts timestamp")
     got = [r["status"] for r in L.hash_history(df).orderBy("ts").collect()]
     assert got == ["first_recorded", "unchanged", "altered", "algorithm_mismatch"]
+
+
+def test_one_host_in_two_cases(spark, make_events, make_artifacts):
+    """What one case collected says nothing about another's copy of the same host."""
+    run = {"kind": "EXECUTION_EVIDENCE", "ran": True, "image": "/tmp/x", "record": "r1"}
+    events = make_events([{**run, "inv": "A", "id": "e1"}, {**run, "inv": "B", "id": "e2"}])
+    arts = make_artifacts([{"inv": "A", "path": "/tmp/x"}, {"inv": "B", "path": "/tmp/x", "status": "MISSING"}])
+    assert E.dedupe_events(events).count() == 2
+    assert E.unique_artifacts(arts).count() == 2
+    assert [r["investigation_id"] for r in C.missing_artifacts(events, arts).collect()] == ["B"]
+    there = {r["investigation_id"]: r["artifact_present"] for r in C.link_events_artifacts(events, arts).collect()}
+    assert there == {"A": True, "B": False}
+    merged = C.merge_artifacts(arts.withColumn("truncated", F.lit(False)), arts.withColumn("truncated", F.lit(True)))
+    assert [(r["investigation_id"], r["truncated"]) for r in merged.orderBy("investigation_id").collect()] == [
+        ("A", True), ("B", True)]

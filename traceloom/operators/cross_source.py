@@ -93,21 +93,28 @@ def download_findings(links: DataFrame) -> DataFrame:
         subject=F.concat_ws("|", "target_path", "url"))
 
 
+def _scope(mounts: DataFrame) -> list[str]:
+    """Case and host, or the host alone where mounts were listed outside any case."""
+    return [c for c in SCOPE if c in mounts.columns]
+
+
 def _under_mounts(paths: DataFrame, mounts: DataFrame) -> DataFrame:
     """Rows of ``paths`` per mount they lie under: explode ancestors, join on equality."""
-    points = mounts.select(*SCOPE, F.col("mount_point").alias("_up")).distinct()
+    scope = _scope(mounts)
+    points = mounts.select(*scope, F.col("mount_point").alias("_up")).distinct()
     spread = paths.withColumn("_up", F.explode(X.path_ancestors("path")))
-    return spread.join(points, [*SCOPE, "_up"]).withColumnRenamed("_up", "mount_point")
+    return spread.join(points, [*scope, "_up"]).withColumnRenamed("_up", "mount_point")
 
 
 def media_touches(mounts: DataFrame, events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Per mount: event mentions of, and artifacts at, paths under it."""
-    keys = [*SCOPE, "mount_point"]
+    scope = _scope(mounts)
+    keys = [*scope, "mount_point"]
     touched = _under_mounts(paths_in_events(events).select(
-        *SCOPE, "path", "mentions", F.col("first.event").alias("event")), mounts)
+        *scope, "path", "mentions", F.col("first.event").alias("event")), mounts)
     touched = touched.groupBy(*keys).agg(
         F.sum("mentions").alias("touched"), F.min("event").alias("event"))
-    written = _under_mounts(artifacts.groupBy(*SCOPE, "path").agg(
+    written = _under_mounts(artifacts.groupBy(*scope, "path").agg(
         F.count("*").alias("n")), mounts).groupBy(*keys).agg(
             F.count("*").alias("written"), F.min("path").alias("artifact"))
     return (mounts.join(touched, keys, "left").join(written, keys, "left")
@@ -122,20 +129,21 @@ def media_copies(mounts: DataFrame, artifacts: DataFrame) -> DataFrame:
     Counts are multiplied, never paired, so a digest that a third of all files
     share costs one row per directory it is labelled with.
     """
+    scope = _scope(mounts)
     files = artifacts.filter(F.coalesce("hash", F.lit("")) != "").groupBy(
-        *SCOPE, "path").agg(F.min("hash").alias("hash"))
+        *scope, "path").agg(F.min("hash").alias("hash"))
     placed = _under_mounts(files, mounts)
-    inside = placed.groupBy(*SCOPE, "mount_point", "hash").agg(
+    inside = placed.groupBy(*scope, "mount_point", "hash").agg(
         F.count("*").alias("inside"), F.min("path").alias("target"))
-    deepest = placed.groupBy(*SCOPE, "path").agg(
+    deepest = placed.groupBy(*scope, "path").agg(
         F.max_by("mount_point", F.length("mount_point")).alias("_label"))
-    labelled = files.join(deepest, [*SCOPE, "path"], "left").groupBy(
-        *SCOPE, "hash", F.coalesce("_label", F.lit("")).alias("_label")).agg(
+    labelled = files.join(deepest, [*scope, "path"], "left").groupBy(
+        *scope, "hash", F.coalesce("_label", F.lit("")).alias("_label")).agg(
             F.count("*").alias("n"), F.min("path").alias("least"))
     apart = (F.col("_label") != F.col("mount_point")) & ~F.startswith(
         F.col("_label"), F.concat("mount_point", F.lit("/")))
-    return (inside.join(labelled, [*SCOPE, "hash"]).filter(apart)
-            .groupBy(*SCOPE, "mount_point", "hash", "inside", "target")
+    return (inside.join(labelled, [*scope, "hash"]).filter(apart)
+            .groupBy(*scope, "mount_point", "hash", "inside", "target")
             .agg(F.sum("n").alias("outside"), F.min("least").alias("source"))
             .withColumn("pairs", F.col("inside") * F.col("outside")))
 
@@ -143,10 +151,10 @@ def media_copies(mounts: DataFrame, artifacts: DataFrame) -> DataFrame:
 def removable_media_findings(mounts: DataFrame, events: DataFrame, artifacts: DataFrame,
                              usb_events: DataFrame | None = None) -> DataFrame:
     """One finding per mount with activity; high and corroborated when copies exist."""
-    copies = media_copies(mounts, artifacts).groupBy(*SCOPE, "mount_point").agg(
+    copies = media_copies(mounts, artifacts).groupBy(*_scope(mounts), "mount_point").agg(
         F.sum("pairs").alias("pairs"), F.min(F.struct("target", "source")).alias("pair"))
     rows = media_touches(mounts, events, artifacts).join(
-        copies, [*SCOPE, "mount_point"], "left")
+        copies, [*_scope(mounts), "mount_point"], "left")
     if usb_events is not None:
         first = usb_events.filter(F.col("action") == "connected").groupBy("endpoint_id").agg(
             F.min_by("serial", "ts").alias("serial"), F.min("ts").alias("attached_at"))
