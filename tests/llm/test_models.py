@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from traceloom.llm.hmm import Hmm, score_texts
+from traceloom.llm.hmm import Hmm, least_own_count, score_texts
 from traceloom.llm.quality_model import classify, evidence, fit, site_posteriors
 
 from conftest import COLUMNS  # noqa: I001
@@ -155,3 +155,16 @@ def test_quality_of_the_tables(few_docs, spark):
     train, test = labels.filter("doc_id % 2 = 0"), {d: q for d, q in quality.items() if d % 2}
     kept = {r["doc_id"]: r["kept"] for r in site_posteriors(evidence(own, fit(own, train))).collect()}
     assert np.mean([kept[d] == bool(q) for d, q in test.items()]) > 0.85
+
+
+def test_least_own_count(spark):
+    rng = random.Random(2)
+    for counts in ([1] * 50, [rng.randint(1, 5) for _ in range(200)], [rng.randint(1, 10 ** 6) for _ in range(300)],
+                   [2 ** i for i in range(30)], []):
+        words = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate(counts)], "word string, c long")
+        for most in (1, 7, 49, 50, 1000):
+            least = least_own_count(words, most)
+            assert sum(c >= least for c in counts) <= most
+            if max(counts, default=0) < 4096:                     # exact where a cell is one count
+                lower = max((c for c in counts if c < least), default=None)
+                assert lower is None or sum(c >= lower for c in counts) > most

@@ -60,6 +60,31 @@ def _counted(counts: Counter) -> pa.RecordBatch:
                                        pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
 
+def least_own_count(words: DataFrame, most: int, cells: int = 4096) -> int:
+    """The smallest count so that at most ``most`` words occur that often.
+
+    Told from a histogram by powers of two and a finer one inside the power where the limit falls, so that no more
+    than ``cells`` rows reach the driver, whatever the vocabulary's size. Words that tie there are left out together.
+    """
+    def first_within(rows, most):
+        """From the largest cell down: the lowest cell whose sum still fits, and what is left of ``most``."""
+        low = None
+        for cell, n in sorted(rows, reverse=True):
+            if n > most:
+                return low, cell, most
+            low, most = cell, most - n
+        return low, None, most
+
+    power = F.floor(F.log2("c")).cast("int")
+    low, edge, left = first_within(words.groupBy(power).count().collect(), most)
+    if edge is None:
+        return 1
+    step = max(1, (1 << edge) // cells)
+    inside = words.filter(power == edge).groupBy(F.floor((F.col("c") - (1 << edge)) / step).cast("int")).count()
+    cell, _, _ = first_within(inside.collect(), left)
+    return (1 << edge) + cell * step if cell is not None else 1 << (edge + 1)
+
+
 class Classes(dict):
     """Class of a word: 0 is the end, then the frequent words, then the hashed classes."""
 
@@ -260,16 +285,14 @@ def score_texts(docs: DataFrame, states: int = STATES, own_words: int = OWN_WORD
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     scale = total + ADDED * (distinct + 1)
     words = vocabulary.filter("word <> ''")
-    top = words.orderBy(F.col("c").desc(), "word").limit(own_words).collect()
+    least = least_own_count(words, own_words)
+    top = sorted(words.filter(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"]))
     ends = vocabulary.filter("word = ''").collect()
     frequent = [r["word"] for r in top]
     counts = np.array([ends[0]["c"] if ends else 0, *[r["c"] for r in top]], float)
     rows = written(coded(docs, frequent, np.log10((counts + ADDED) / scale), counts > 0, hashed))
 
-    least = (top[-1]["c"], top[-1]["word"]) if len(top) == own_words else None
-    rarer = words if least is None else words.filter(
-        (F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > least[1])))
-    rarer = rarer if least is not None else rarer.limit(0)
+    rarer = words.filter(F.col("c") < least)
     bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(hashed)).cast("int")
     sizes = {r["h"]: (r["n"], r["v"]) for r in rarer.groupBy(bucket.alias("h")).agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
