@@ -180,8 +180,9 @@ USING (investigation_id, token)"""),
 SELECT DISTINCT investigation_id || endpoint_id || akey AS gid, endpoint_id || regexp_replace(source_record_id, ':[0-9]+$', '') AS file,
   CAST(regexp_extract(source_record_id, ':([0-9]+)$', 1) AS BIGINT) AS line FROM scored"""),
         ("edges", f"""
-SELECT investigation_id, x AS a, y AS b, min(CASE WHEN inst THEN 0 ELSE 1 END) = 0 AS installs FROM (
-  SELECT p.investigation_id, p.gid AS x, q.gid AS y,
+SELECT investigation_id, x AS a, y AS b, min(CASE WHEN inst THEN 'one installs or fetches ' || chr(39) || token || chr(39) || ' and another uses it'
+  ELSE 'recorded close together and both reference ' || chr(39) || token || chr(39) END) AS reason FROM (
+  SELECT p.investigation_id, p.gid AS x, q.gid AS y, p.token AS token,
     ({installs.replace('cmd', 'a.cmd')} AND contains(lower(a.cmd), p.token)) OR ({installs.replace('cmd', 'b.cmd')} AND contains(lower(b.cmd), p.token)) AS inst,
     coalesce({minutes('first_seen', 'first_seen')} OR {minutes('first_seen', 'last_seen')} OR {minutes('last_seen', 'first_seen')} OR {minutes('last_seen', 'last_seen')}, false)
     OR EXISTS (SELECT 1 FROM spots m JOIN spots n ON m.file = n.file AND abs(m.line - n.line) <= 12 WHERE m.gid = p.gid AND n.gid = q.gid) AS near

@@ -211,32 +211,46 @@ def _(spark, sf):
         "investigation_id", "token").agg(F.max("df").alias("df"))
 
 
+def group_keys(groups):
+    """What tells an activity apart in words, as the SQL has it."""
+    return groups.select("group_id", F.concat("investigation_id", "endpoint_id", "evidence_kind", F.lit("\u0001"),
+                                              "activity_key").alias("key"))
+
+
+def by_key(pairs, groups):
+    """``a`` and ``b`` by their keys, the lesser first."""
+    keys = group_keys(groups)
+    named = pairs.join(keys.select(F.col("group_id").alias("a"), F.col("key").alias("x")), "a").join(
+        keys.select(F.col("group_id").alias("b"), F.col("key").alias("y")), "b")
+    return named.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).drop("x", "y")
+
+
 @query("candidate_pairs", _thread_sql("""
-SELECT investigation_id, token, count(*) AS pairs FROM (SELECT a.investigation_id, a.token FROM rare a JOIN rare b
-  ON a.investigation_id = b.investigation_id AND a.token = b.token AND a.gid < b.gid) GROUP BY ALL"""))
+SELECT a.investigation_id, a.token, a.gid AS a, b.gid AS b FROM rare a JOIN rare b
+  ON a.investigation_id = b.investigation_id AND a.token = b.token AND a.gid < b.gid"""))
 def _(spark, sf):
-    tokens = H.group_tokens(A.activity_groups(classified(spark, sf)))
-    return H.candidate_pairs(H.rare_tokens(tokens)).groupBy("investigation_id", "token").agg(
-        F.count("*").alias("pairs"))
+    groups = A.activity_groups(classified(spark, sf))
+    return by_key(H.candidate_pairs(H.rare_tokens(H.group_tokens(groups))), groups)
 
 
 @query("linked", _thread_sql("""
-SELECT investigation_id, count(*) AS edges, count(*) FILTER (installs) AS by_install FROM edges GROUP BY ALL"""))
+SELECT investigation_id, a, b, reason FROM edges"""))
 def _(spark, sf):
     groups, records = thread_inputs(spark, sf)
     pairs = H.candidate_pairs(H.rare_tokens(H.group_tokens(groups)))
-    return H.linked(pairs, groups, records).groupBy("investigation_id").agg(
-        F.count("*").alias("edges"), F.count_if(F.col("reason").startswith("one installs")).alias(
-            "by_install"))
+    return by_key(H.linked(pairs, groups, records), groups)
 
 
 @query("connected", _thread_sql("""
-SELECT investigation_id, count(*) AS nodes, count(DISTINCT root) AS components FROM roots GROUP BY ALL"""))
+SELECT investigation_id, investigation_id || endpoint_id || akey AS node, root FROM roots"""))
 def _(spark, sf):
     groups, records = thread_inputs(spark, sf)
     pairs = H.candidate_pairs(H.rare_tokens(H.group_tokens(groups)))
-    return H.connected(H.linked(pairs, groups, records)).groupBy("investigation_id").agg(
-        F.count("*").alias("nodes"), F.countDistinct("root").alias("components"))
+    found = H.connected(H.linked(pairs, groups, records)).join(
+        group_keys(groups).withColumnRenamed("group_id", "node"), "node")
+    least = found.groupBy("root").agg(F.min("key").alias("least"))
+    return found.join(least, "root").select("investigation_id", F.col("key").alias("node"),
+                                            F.col("least").alias("root"))
 
 
 @query("threads", _thread_sql("""
@@ -414,7 +428,20 @@ def _(spark, sf):
     return N.conclusion(counts, status)
 
 
-@query("summary_text")
+@query("summary_text", scored_sql("ranked", """
+, more AS (SELECT investigation_id, sum(CASE WHEN evidence_kind = 'EXECUTION_EVIDENCE' THEN occurrences ELSE 0 END) AS ran,
+  sum(CASE WHEN evidence_kind = 'SESSION_EVENT' THEN occurrences ELSE 0 END) AS opened,
+  sum(CASE WHEN category = 'POTENTIALLY_HARMFUL' THEN occurrences ELSE 0 END) AS harmful,
+  sum(CASE WHEN category = 'NEEDS_REVIEW' THEN occurrences ELSE 0 END) AS review,
+  sum(CASE WHEN category NOT IN ('POTENTIALLY_HARMFUL', 'NEEDS_REVIEW') THEN occurrences ELSE 0 END) AS calm FROM groups GROUP BY ALL),
+names AS (SELECT string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT DISTINCT source AS name FROM exec_events))
+SELECT investigation_id, 'Collected from ' || names || '. ' || CAST(ran AS BIGINT) || ' execution-source, ' || CAST(coalesce(typed, 0) AS BIGINT)
+  || ' command-history and ' || CAST(opened AS BIGINT) || ' session records cover ' || distinct_activity || ' distinct activities. '
+  || CAST(coalesce(confirmed, 0) AS BIGINT) || ' records establish execution. ' || CAST(p1 AS BIGINT) || ' investigate first, ' || CAST(p2 AS BIGINT)
+  || ' merit review, ' || CAST(p3 AS BIGINT) || ' are informational. ' || CAST(harmful AS BIGINT) || ' carry a concern signal, '
+  || CAST(review AS BIGINT) || ' are uncertain, ' || CAST(calm AS BIGINT) || ' show nothing of concern. ' || findings || ' findings over '
+  || artifacts || ' artifacts; ' || collection_limitations || ' collection limitations.' AS summary
+FROM counts JOIN more USING (investigation_id) CROSS JOIN names""", extra=(*_CORRELATED[1:], _COUNTS)))
 def _(spark, sf):
     _, status, _, _, _, counts = narrative_inputs(spark, sf)
     return N.summary_text(counts, status)
