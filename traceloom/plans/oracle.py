@@ -194,6 +194,38 @@ WHERE inst OR near GROUP BY ALL"""),
 SELECT investigation_id, a, a FROM both_ways UNION SELECT r.investigation_id, r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b"""),
         ("roots", """
 SELECT n.investigation_id, n.endpoint_id, n.akey, r.root FROM (SELECT a, min(b) AS root FROM reach GROUP BY ALL) r JOIN named_groups n ON n.gid = r.a"""),
+        # Threads: members in reading order, in pieces of even size; the least hashed key names the component.
+        ("hashed", """
+SELECT n.*, r.root AS component, md5(n.investigation_id || chr(2) || n.endpoint_id || chr(2) || n.evidence_kind || chr(2)
+  || substr(n.akey, length(n.evidence_kind) + 2)) AS hid
+FROM roots r JOIN named_groups n USING (investigation_id, endpoint_id, akey)"""),
+        ("placed", f"""
+SELECT *, CAST(floor((position - 1) * ceil(size / {V.THREAD_MAX_MEMBERS}.0) / size) AS BIGINT) AS piece FROM (
+  SELECT *, min(hid) OVER (PARTITION BY component) AS root, count(*) OVER (PARTITION BY component) AS size,
+    row_number() OVER (PARTITION BY component ORDER BY priority, first_seen ASC NULLS LAST, activity_rank) AS position,
+    {installs} AS inst, string_split(signals, ',') AS names FROM hashed)"""),
+        ("shared", """
+SELECT investigation_id, root, piece, string_agg(token, ',' ORDER BY token) AS shared_terms FROM (
+  SELECT *, row_number() OVER (PARTITION BY investigation_id, root, piece ORDER BY token) AS n FROM (
+    SELECT p.investigation_id, p.root, p.piece, t.token FROM (
+      SELECT *, count(*) OVER (PARTITION BY root, piece) AS all_members FROM placed) p JOIN tok t ON t.gid = p.gid
+    GROUP BY p.investigation_id, p.root, p.piece, t.token, p.all_members HAVING count(*) = p.all_members))
+WHERE n <= 6 GROUP BY investigation_id, root, piece"""),
+        ("told_sources", """
+SELECT root, piece, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM (
+  SELECT root, piece, unnest(string_split(sources, ',')) AS s FROM placed) GROUP BY ALL"""),
+        ("described", """
+SELECT *, row_number() OVER (PARTITION BY investigation_id ORDER BY priority, record_count DESC, root, piece) AS thread_number,
+  CASE WHEN all_piped THEN 'remote_installer' WHEN installs AND uses THEN 'install_then_use' WHEN writable THEN 'unusual_execution'
+       WHEN session THEN 'session' WHEN service THEN 'system_service' ELSE 'related_activity' END AS shape,
+  CASE WHEN confirmed = 0 THEN 'not established' WHEN confirmed = activity_count THEN 'confirmed for all' ELSE 'confirmed for some' END AS execution
+FROM (SELECT investigation_id, root, piece, count(*) AS activity_count, sum(occurrences) AS record_count,
+    bool_and(list_contains(names, 'remote_content_to_interpreter')) AS all_piped, bool_or(inst) AS installs,
+    bool_or(NOT inst AND cmd <> '') AS uses, bool_or(list_contains(names, 'execution_from_writable_location')) AS writable,
+    bool_and(evidence_kind = 'SESSION_EVENT') AS session,
+    bool_and(evidence_kind = 'EXECUTION_EVIDENCE' AND category = 'NOT_HARMFUL_ON_AVAILABLE_EVIDENCE') AS service,
+    min(priority) AS priority, min(category_rank) AS category_rank, count(*) FILTER (execution_confirmed) AS confirmed,
+    string_agg(label, ' | ' ORDER BY position) AS commands FROM placed GROUP BY investigation_id, root, piece) body"""),
     )
 
 

@@ -1,5 +1,6 @@
 """Predicates, search, timeline, threads, recognition, narrative and briefs."""
 
+from ... import vocab as V
 from ...operators import activity as A
 from ...operators import correlate as C
 from ...operators import narrative as N
@@ -265,7 +266,15 @@ def _(spark, sf):
                                             F.sum("records").alias("records"))
 
 
-@query("describe_threads")
+_TITLE_CASE = "CASE shape " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in V.THREAD_TITLES.items()) + " END"
+
+
+@query("describe_threads", _thread_sql(f"""
+SELECT d.investigation_id, thread_number, shape, {_TITLE_CASE} AS title, activity_count, record_count, execution, priority,
+  CASE category_rank WHEN 0 THEN 'POTENTIALLY_HARMFUL' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'NOT_HARMFUL_ON_AVAILABLE_EVIDENCE' END AS category,
+  s.sources, commands, coalesce(shared_terms, '') AS shared_terms
+FROM described d JOIN told_sources s ON s.root = d.root AND s.piece = d.piece
+LEFT JOIN shared h ON h.root = d.root AND h.piece = d.piece"""))
 def _(spark, sf):
     found, _ = H.threads(*thread_inputs(spark, sf))
     return found.select("investigation_id", "thread_number", "shape", "title", "activity_count",
@@ -274,7 +283,13 @@ def _(spark, sf):
                             "commands"), joined("shared_terms").alias("shared_terms"))
 
 
-@query("thread_counts")
+@query("thread_counts", _thread_sql("""
+SELECT investigation_id, count(*) AS total, count(*) FILTER (class = 'priority_1') AS priority_1,
+  count(*) FILTER (class = 'priority_2') AS priority_2, count(*) FILTER (class = 'noteworthy') AS noteworthy,
+  count(*) FILTER (class = 'routine') AS routine, least(count(*) FILTER (class <> 'routine'), 6) AS printed FROM (
+  SELECT *, CASE WHEN priority = 'PRIORITY_1' THEN 'priority_1' WHEN priority = 'PRIORITY_2' THEN 'priority_2'
+    WHEN shape = 'install_then_use' OR (confirmed > 0 AND activity_count >= 3) THEN 'noteworthy' ELSE 'routine' END AS class
+  FROM described) GROUP BY investigation_id"""))
 def _(spark, sf):
     found, _ = H.threads(*thread_inputs(spark, sf))
     return H.thread_counts(H.select_reported_threads(found))
