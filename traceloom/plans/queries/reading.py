@@ -85,6 +85,7 @@ _NET = """(SELECT '10.' || CAST(k AS VARCHAR) || '.' || CAST(v % 50 AS VARCHAR)
 @query("search_evidence", scored_sql("groups", f"""
 SELECT 'activity' AS kind, coalesce(full_command_line, executable, process_name) AS label,
   concat_ws(',', CASE WHEN contains(lower(full_command_line), 'staged1') THEN 'command' END,
+    CASE WHEN contains(lower(coalesce(full_command_line, executable, process_name)), 'staged1') THEN 'normalized command' END,
     CASE WHEN contains(lower(executable), 'staged1') THEN 'executable' END,
     CASE WHEN contains(lower(process_name), 'staged1') THEN 'process name' END) AS matched, count(*) AS n
 FROM groups WHERE contains(lower(concat_ws(' ', full_command_line, executable, process_name)), 'staged1') GROUP BY ALL
@@ -94,9 +95,7 @@ UNION ALL SELECT 'network', remote_address, 'remote address', count(*) FROM {_NE
        "downloads"))
 def _(spark, sf):
     found = Q.search_evidence(surfaces(spark, sf), " Staged1 ")
-    return found.filter(~F.array_contains("matched_fields", "normalized command") | (
-        F.size("matched_fields") > 1)).groupBy("kind", "label", joined(F.array_except(
-            "matched_fields", F.array(F.lit("normalized command")))).alias("matched")).agg(
+    return found.groupBy("kind", "label", joined("matched_fields").alias("matched")).agg(
         F.count("*").alias("n"))
 
 
@@ -179,12 +178,14 @@ SELECT investigation_id, kind, ts, position FROM (SELECT *, row_number() OVER (P
   ORDER BY ts ASC NULLS LAST, kind, title) AS position FROM (
   SELECT investigation_id, evidence_kind AS kind, coalesce(last_seen, first_seen) AS ts, coalesce(full_command_line, executable, process_name) AS title
   FROM groups WHERE priority IN ('PRIORITY_1', 'PRIORITY_2')
-  UNION ALL SELECT investigation_id, 'ARTIFACT_OBSERVATION', NULL, filename || ' named by evidence but absent' FROM artifacts WHERE collection_status = 'MISSING'))"""))
+  UNION ALL SELECT investigation_id, 'FINDING', NULL, subject FROM found WHERE triage NOT LIKE 'NOT_HARMFUL%'
+  UNION ALL SELECT investigation_id, 'ARTIFACT_OBSERVATION', NULL, filename || ' named by evidence but absent' FROM artifacts WHERE collection_status = 'MISSING'))""",
+       extra=_CORRELATED[1:]))
 def _(spark, sf):
     groups = A.activity_groups(classified(spark, sf))
     arts = dated_artifacts(spark, sf)
-    none = C.indicator_findings(arts.limit(0)).withColumn("reference", F.lit(""))
-    return M.significant_events(groups, none, arts).select("investigation_id", "kind", "ts",
+    found, _, _ = C.correlate(events(spark, sf), arts)
+    return M.significant_events(groups, found, arts).select("investigation_id", "kind", "ts",
                                                            "position")
 
 
