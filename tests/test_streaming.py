@@ -125,8 +125,8 @@ def test_tables_packages_and_narratives(spark, tmp_path, make_events):
 
 def test_pipeline(make_events, make_artifacts):
     run = {"kind": "EXECUTION_EVIDENCE", "ran": True, "source": "systemd journal"}
-    events = make_events([{**run, "image": "/tmp/x"}, {"command": "pip install holehe", "record": "/h:1"},
-                          {"command": "holehe a@example.com", "record": "/h:2"}]).drop("reference")
+    events = make_events([{**run, "image": "/tmp/x"}, {"command": "pip install findmail", "record": "/h:1"},
+                          {"command": "findmail a@example.com", "record": "/h:2"}]).drop("reference")
     out = run_pipeline({"events": events, "artifacts": make_artifacts([{"path": "/tmp/x"}]).drop("reference")})
     assert out["leads"].collect()[0]["priority"] == "PRIORITY_1"
     assert out["threads"].count() == 1 and out["findings"].count() == 2

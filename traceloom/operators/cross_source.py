@@ -36,6 +36,11 @@ def paths_in_events(events: DataFrame) -> DataFrame:
         F.count("*").alias("mentions"), F.min_by("first", "o").alias("first"))
 
 
+def named_paths(records: DataFrame) -> DataFrame:
+    """``(group_id, case, host, path)``: which activities name which paths, each once."""
+    return records.select("group_id", *SCOPE, F.explode(_paths(records)).alias("path")).distinct()
+
+
 def link_downloads(downloads: DataFrame, artifacts: DataFrame, events: DataFrame, *,
                    max_hours: float = V.DOWNLOAD_TO_EXECUTION_HOURS) -> DataFrame:
     """Downloads whose exact path is later an artifact or named by an event.

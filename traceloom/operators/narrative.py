@@ -286,6 +286,61 @@ def briefs(tables: dict[str, DataFrame], subject_type: str) -> DataFrame:
     return makers[subject_type](tables)
 
 
+def _identity(df) -> Column:
+    return F.coalesce("reference", "event_id") if "reference" in df.columns else F.col("event_id")
+
+
+def findings_citing(findings: DataFrame, cited: DataFrame, subjects: DataFrame, keys) -> DataFrame:
+    """``finding_lines`` per key of ``subjects (investigation_id, id, *keys)``: the findings that cite its ids."""
+    named = cited.select("investigation_id", "finding", "id").distinct().join(
+        findings.select("investigation_id", F.col("reference").alias("finding"), "title"),
+        ["investigation_id", "finding"])
+    own = subjects.select("investigation_id", "id", *[c for c in keys if c != "investigation_id"]).distinct()
+    rows = own.join(named, ["investigation_id", "id"]).select(*keys, "finding", "title").distinct()
+    return _lines(rows, keys, [F.col("finding")], F.concat_ws("  ", "finding", "title"), "finding_lines")
+
+
+def sessions_of_users(records: DataFrame) -> DataFrame:
+    """``session_lines`` per activity: the sessions of the users it is recorded for, on the same host."""
+    scope = _scope(records)
+    sessions = records.filter((F.col("evidence_kind") == V.SESSION_EVENT) & F.col("user").isNotNull()).groupBy(
+        *scope, "user").agg(F.count("*").alias("sessions"), F.min("ts").alias("from"), F.max("ts").alias("to"))
+    people = records.filter("user IS NOT NULL").select("group_id", *scope, "user").distinct()
+    rows = people.join(sessions, [*scope, "user"])
+    text = F.concat_ws(" ", "user", F.lit("had"), F.col("sessions").cast("string"), F.lit("session record(s)"),
+                       F.concat(F.lit("from "), F.col("from").cast("string")),
+                       F.concat(F.lit("to "), F.col("to").cast("string")))
+    return _lines(rows, ["group_id"], [F.col("user")], text, "session_lines")
+
+
+def threads_of_groups(threads: DataFrame, members: DataFrame) -> DataFrame:
+    """``thread_lines`` per activity: the thread it is part of."""
+    keys = ["investigation_id", "root", "piece"]
+    rows = members.select(*keys, "group_id").join(threads.select(*keys, "thread_number", "title"), keys)
+    name = F.concat(F.lit("THREAD-"), F.lpad(F.col("thread_number").cast("string"), 3, "0"))
+    return _lines(rows, ["group_id"], [F.col("thread_number")], F.concat_ws("  ", name, "title"), "thread_lines")
+
+
+def mounts_over(paths: DataFrame, mounts: DataFrame) -> DataFrame:
+    """``mount_lines`` per (case, host, path) of ``paths``: the mounts the path lies under, deepest first."""
+    scope = _scope(mounts)
+    points = mounts.select(*scope, F.col("mount_point").alias("up"), "device").distinct()
+    above = paths.select(*_SCOPE, "path").distinct().withColumn("up", F.explode(X.path_ancestors("path")))
+    rows = above.join(points, [*scope, "up"])
+    return _lines(rows, [*_SCOPE, "path"], [F.length("up").desc(), F.col("device")],
+                  F.concat_ws("  ", "up", "device"), "mount_lines")
+
+
+def _with_lines(df: DataFrame, lines: DataFrame | None, keys, name) -> DataFrame:
+    """Attach an array of lines; without its tables the column is null, and its section is left out."""
+    return df.withColumn(name, F.lit(None).cast(_EMPTY)) if lines is None else df.join(
+        lines, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(_EMPTY)))
+
+
+def _optional(title, lines, nothing) -> Column:
+    return F.when(F.col(lines).isNotNull(), _section(title, lines, nothing))
+
+
 def _state(df) -> DataFrame:
     state = X.execution_state("confirmed_sources", "kinds")
     return df.withColumn("execution_state", state["state"]).withColumn(
@@ -311,7 +366,22 @@ def _activity_context(tables) -> DataFrame:
         groups = groups.join(down, _scope(named) + ["executable"], "left")
     else:
         groups = groups.withColumn("browser_lines", F.array().cast(_EMPTY))
-    return groups
+    records = tables["records"]
+    cited = None
+    if "finding_evidence" in tables and "findings" in tables:
+        cited = findings_citing(tables["findings"], tables["finding_evidence"], records.select(
+            "investigation_id", _identity(records).alias("id"), "group_id"), ["group_id"])
+    threads = None
+    if "threads" in tables and "thread_members" in tables:
+        threads = threads_of_groups(tables["threads"], tables["thread_members"])
+    mounts = None
+    if "mounts" in tables:
+        images = groups.filter("executable IS NOT NULL").withColumnRenamed("executable", "path")
+        mounts = mounts_over(images, tables["mounts"]).withColumnRenamed("path", "executable")
+    groups = _with_lines(groups, cited, ["group_id"], "finding_lines")
+    groups = _with_lines(groups, threads, ["group_id"], "thread_lines")
+    groups = _with_lines(groups, mounts, [*_SCOPE, "executable"], "mount_lines")
+    return _with_lines(groups, sessions_of_users(records), ["group_id"], "session_lines")
 
 
 def _activity_briefs(tables) -> DataFrame:
@@ -330,11 +400,15 @@ def _activity_briefs(tables) -> DataFrame:
                  F.lower("execution_state"), F.lit(".")).alias("summary"),
         F.array_compact(F.array(F.col("classification.reason"))).alias("known"),
         F.col("classification.unknowns").alias("unknown"),
-        F.array(_section("Occurrences", "occurrence_lines", "no record"),
-                _section("Browser context", "browser_lines", "no download names this image"),
-                _section("Network context", "network_lines", "no socket of this name"),
-                _section("User and session context", "user_lines", "no user recorded")).alias(
-                    "sections"),
+        F.array_compact(F.array(
+            _section("Occurrences", "occurrence_lines", "no record"),
+            _section("Browser context", "browser_lines", "no download names this image"),
+            _section("Network context", "network_lines", "no socket of this name"),
+            _section("User and session context", "user_lines", "no user recorded"),
+            _section("Sessions of these users", "session_lines", "no session recorded"),
+            _optional("Findings that cite it", "finding_lines", "no finding cites it"),
+            _optional("Thread", "thread_lines", "part of no thread"),
+            _optional("Removable media", "mount_lines", "under no listed mount"))).alias("sections"),
         F.coalesce("evidence_ids", F.array().cast(_EMPTY)).alias("evidence_ids"),
         F.array_compact(F.array(F.col("classification.recommended_action"))).alias(
             "suggested_review"))
@@ -352,7 +426,7 @@ def _event_briefs(tables) -> DataFrame:
 
 
 def _artifact_briefs(tables) -> DataFrame:
-    from .cross_source import paths_in_events
+    from .cross_source import named_paths, paths_in_events
     from .events import unique_artifacts
     known = unique_artifacts(tables["artifacts"])
     naming = paths_in_events(tables["records"]).groupBy(*_SCOPE, "path").agg(
@@ -369,18 +443,31 @@ def _artifact_briefs(tables) -> DataFrame:
         rows = rows.join(down, _scope(named) + ["path"], "left")
     else:
         rows = rows.withColumn("download_count", F.lit(0)).withColumn("url", F.lit(None))
+    told = ["category", "presentation", "priority", "priority_rank", "category_rank"]
+    judged = tables["groups"].select("group_id", *[F.col(f"classification.{c}").alias(c) for c in told])
+    by_path = named_paths(tables["records"]).join(judged, "group_id").groupBy(*_SCOPE, "path").agg(
+        F.min_by(F.struct(*told[:3]), F.struct("priority_rank", "category_rank", "group_id")).alias("judged"))
+    rows = rows.join(by_path, [*_SCOPE, "path"], "left")
+    cited = mounts = None
+    ident = F.coalesce("reference", "path") if "reference" in rows.columns else F.col("path")
+    if "finding_evidence" in tables and "findings" in tables:
+        cited = findings_citing(tables["findings"], tables["finding_evidence"],
+                                rows.withColumn("id", ident), [*_SCOPE, "path"])
+    if "mounts" in tables:
+        mounts = mounts_over(rows, tables["mounts"])
+    rows = _with_lines(rows, cited, [*_SCOPE, "path"], "finding_lines")
+    rows = _with_lines(rows, mounts, [*_SCOPE, "path"], "mount_lines")
     name = X.path_basename("path")
     recognized = (F.col("recognition.recognized") if "recognition" in rows.columns
                   else F.lit(None).cast("boolean"))
     title = (F.col("recognition.recognized_name") if "recognition" in rows.columns
              else F.lit(None).cast("string"))
-    ident = F.coalesce("reference", "path") if "reference" in rows.columns else F.col("path")
     named = F.coalesce("naming", F.lit(0)) > 0
     return rows.select(
         "investigation_id", F.lit("artifact").alias("subject_type"), ident.alias("subject_id"),
-        F.col("path").alias("label"), F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast("string").alias("presentation"),
-        F.lit(None).cast("string").alias("priority"),
+        F.col("path").alias("label"), F.col("judged.category").alias("category"),
+        F.col("judged.presentation").alias("presentation"),
+        F.col("judged.priority").alias("priority"),
         F.when(F.col("ran"), "CONFIRMED").otherwise("NOT ESTABLISHED").alias("execution_state"),
         F.array().cast(_EMPTY).alias("execution_sources"),
         X.recognition_state(recognized).alias("recognition_state"),
@@ -395,13 +482,14 @@ def _artifact_briefs(tables) -> DataFrame:
             F.when(~named, F.lit("whether it ever ran")),
             F.when(F.coalesce("download_count", F.lit(0)) == 0, F.lit("how it arrived")))).alias(
                 "unknown"),
-        F.array(
+        F.array_compact(F.array(
             _part("Related activity", F.array(F.when(named, F.concat(
                 _n("naming"), F.lit(" mention(s), first "), "first_event")).otherwise("none"))),
             _part("Related artifacts", F.array(F.concat(
                 _n("same_hash"), F.lit(" other file(s) with this digest")))),
-            _part("Browser context", F.array(F.coalesce("url", F.lit("none"))))).alias(
-                "sections"),
+            _part("Browser context", F.array(F.coalesce("url", F.lit("none")))),
+            _optional("Findings that cite it", "finding_lines", "no finding cites it"),
+            _optional("Removable media", "mount_lines", "under no listed mount"))).alias("sections"),
         F.array_compact(F.array(ident, F.col("first_event"))).alias("evidence_ids"),
         X.suggested_review(recognized, title, F.col("naming"), F.col("download_count")).alias(
             "suggested_review"))
