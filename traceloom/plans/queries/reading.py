@@ -557,7 +557,20 @@ def _(spark, sf):
         F.count("*").alias("n"))
 
 
-@query("briefs_thread")
+@query("briefs_thread", _thread_sql(f"""
+, why AS (SELECT r.root AS component, min(e.reason) AS reason FROM edges e
+  JOIN (SELECT investigation_id || endpoint_id || akey AS gid, root FROM roots) r ON r.gid = e.a GROUP BY ALL),
+ran AS (SELECT p.root, p.piece, string_agg(DISTINCT s.source, ',' ORDER BY s.source) AS sources FROM placed p
+  JOIN scored s ON s.investigation_id = p.investigation_id AND s.endpoint_id = p.endpoint_id AND s.akey = p.akey
+  WHERE s.execution_confirmed GROUP BY p.root, p.piece),
+component AS (SELECT DISTINCT root, component FROM placed)
+SELECT d.investigation_id, 'THREAD-' || lpad(CAST(thread_number AS VARCHAR), 3, '0') AS subject_id, {_TITLE_CASE} AS label,
+  CASE category_rank WHEN 0 THEN 'POTENTIALLY_HARMFUL' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'NOT_HARMFUL_ON_AVAILABLE_EVIDENCE' END AS category,
+  priority, CASE WHEN ran.sources IS NULL THEN 'NOT ESTABLISHED' ELSE 'CONFIRMED' END AS execution_state,
+  coalesce(ran.sources, '') AS execution_sources,
+  {_TITLE_CASE} || '. ' || reason || '. ' || activity_count || ' activities, ' || CAST(record_count AS BIGINT) || ' record(s).' AS summary
+FROM described d JOIN component c ON c.root = d.root JOIN why ON why.component = c.component
+LEFT JOIN ran ON ran.root = d.root AND ran.piece = d.piece"""))
 def _(spark, sf):
     tables = brief_tables(spark, sf)
     tables["threads"], tables["thread_members"] = H.threads(tables["groups"], tables["records"])
