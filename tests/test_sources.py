@@ -142,7 +142,8 @@ def test_windows_xml_files(spark, tmp_path):
     assert rows["2"]["command_line"] == "b --token [redacted]"
     sysmon = WN.parse_sysmon(records, include_command_lines=True).collect()[0]
     assert sysmon["hash"] == "ab" * 32 and sysmon["ts"].second == 6 and sysmon["interpreter"] == "powershell.exe"
-    block = WN.parse_powershell_blocks(records).collect()[0]
+    assert len(WN.parse_powershell_blocks(records).collect()[0]["command_line"]) == 5000
+    block = WN.parse_powershell_blocks(records, text_limit=4000).collect()[0]
     assert len(block["command_line"]) == 4000 and block["command_reconstruction_status"] == "PARTIAL"
 
 

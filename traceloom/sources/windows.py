@@ -97,12 +97,14 @@ def parse_sysmon(records: DataFrame, *, window=None, include_command_lines=False
         raw={"Hashes": F.col("hashes")})
 
 
-def parse_powershell_blocks(records: DataFrame, *, window=None) -> DataFrame:
-    """Event 4104. A block numbered above one is only part of a script."""
+def parse_powershell_blocks(records: DataFrame, *, window=None, text_limit: int | None = None) -> DataFrame:
+    """Event 4104. A block numbered above one is only part of a script; ``text_limit`` cuts its text on request."""
+    script = F.trim(_data("ScriptBlockText"))
+    script = script if text_limit is None else F.substring(script, 1, text_limit)
     rows = records.filter(F.col("System.EventID") == "4104").select(
         *scope(records), F.col("System.EventRecordID").alias("rid"),
         F.col("System.TimeCreated._SystemTime").alias("when"),
-        X.redact_command_line(F.trim(_data("ScriptBlockText"))).alias("m"),
+        X.redact_command_line(script).alias("m"),
         _data("Path").alias("path"), _data("ScriptBlockId").alias("block"),
         _data("MessageNumber").alias("number"))
     rows = rows.withColumn("ts", X.parse_timestamp("when")).filter(X.in_window("ts", window))
