@@ -29,9 +29,11 @@ def _with_text(docs, text):
 def quality_rules(spark, docs, sf_dir):
     """Documents that the rules reject go."""
     kept = (apply_rules(docs).filter("kept")
-            .select(id_or_none().alias("_qr_d"), F.col("t").alias("_qr_t")).distinct())
-    own = docs.withColumns({"_qr_id": id_or_none(), "_qr_hash": F.xxhash64(whole_text())})
-    same = (F.col("_qr_id") == F.col("_qr_d")) & (F.col("_qr_hash") == F.col("_qr_t"))
+            .select(id_or_none().alias("_qr_d"), F.col("t").alias("_qr_t"), F.col("host").alias("_qr_h")).distinct())
+    own = docs.withColumns({"_qr_id": id_or_none(), "_qr_hash": F.xxhash64(whole_text()),
+                            "_qr_host": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    same = ((F.col("_qr_id") == F.col("_qr_d")) & (F.col("_qr_hash") == F.col("_qr_t"))
+            & (F.col("_qr_host") == F.col("_qr_h")))
     return own.join(kept, same, "left_semi").select(*docs.columns)
 
 

@@ -91,3 +91,19 @@ def test_rules_reject_depleted_documents_only(spark, odd_docs, no_docs):
     assert all(found[n]["kept"] for n in range(300, 330))
     assert len(apply_rules(odd_docs).collect()) == odd_docs.count()
     assert apply_rules(no_docs).count() == 0
+
+
+def test_repeated_rows_lose_their_lines_once(spark, odd_docs):
+    menu = "\n".join(" ".join(f"{w}{i}" for w in ("menu", "entry", "site", "page", "of")) for i in range(8))
+    rows = [(n, f"{menu}\ntail {n} of it", "en", "site", 1, "x") for n in range(30)]
+    half = menu + "\n" + " ".join(f"own{i}" for i in range(45))                     # about half of it is the menu
+    once = [(500, half, "en", "site", 1, "x")]
+    other = [(None, half + " more", *once[0][2:])]
+    for more in (once * 2, once * 5, [(None, *once[0][1:])] * 3 + other * 3,
+                 once + [(500, half, "en", "other", 1, "x")] + [(n, f"{menu}\ntail {n} of it", "en", "other", 1, "x")
+                                                              for n in range(30, 60)]):
+        docs = spark.createDataFrame(rows + more, odd_docs.schema)
+        found = [r for r in apply_rules(docs).collect() if r["doc_id"] == more[0][0]]
+        assert len(found) == sum(r[0] == more[0][0] for r in more)
+        assert max(r["lost_chars"] for r in found) == len(menu) - menu.count("\n")
+        assert all(r["kept"] for r in found)

@@ -58,32 +58,39 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
             repeated_words(words))
 
 
-def text_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, t, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)`` of every row; ``t`` hashes the text."""
-    schema = "doc_id long, t long, " + ", ".join(f"{m} long" for m in _MEASURES)
-    names = ["doc_id", "t", *_MEASURES]
+def _own_host(host: str):
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+
+
+def text_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """``(doc_id, t, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)`` of every row; ``t`` hashes the text."""
+    schema = "doc_id long, t long, host string, " + ", ".join(f"{m} long" for m in _MEASURES)
+    names = ["doc_id", "t", "host", *_MEASURES]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [measures(t) for t in part.column(2).to_pylist()]
+                found = [measures(t) for t in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1),
+                    [part.column(0), part.column(1), part.column(2),
                      *[pa.array([row[i] for row in found], pa.int64()) for i in range(len(_MEASURES))]], names=names)
 
     whole = whole_text(text)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("t"),
-                       whole.alias("text")).mapInArrow(run, schema)
+                       _own_host(host).alias("host"), whole.alias("text")).mapInArrow(run, schema)
 
 
 def lost_characters(docs: DataFrame, min_docs: int, min_share: float, doc_id: str, text: str,
                     host: str) -> DataFrame:
-    """``(d, t, lost)`` of the documents that hold lines above the limits: characters lost."""
-    own_host = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    """``(host, d, t, lost)`` of the documents that hold lines above the limits: characters lost.
+
+    Rows that repeat host, id and text lose the same lines each, so their sum is divided by their number.
+    """
+    own = docs.select(_own_host(host).alias("host"), id_or_none(doc_id).alias("d"),
+                      F.xxhash64(whole_text(text)).alias("t"), whole_text(text).alias("text"))
     stripped = F.btrim("line", F.lit(SPACES))
-    rows = docs.select(own_host.alias("host"), id_or_none(doc_id).alias("d"), F.xxhash64(whole_text(text)).alias("t"),
-                       F.explode(F.split(whole_text(text), "\n", -1)).alias("line"))
+    rows = own.select("host", "d", "t", F.explode(F.split("text", "\n", -1)).alias("line"))
     first, second = key128(line_key(F.col("line")))
     chars = F.char_length(stripped)
     lines = (rows.filter(chars > 0).select("host", "d", "t", first.alias("h1"), second.alias("h2"),
@@ -99,7 +106,9 @@ def lost_characters(docs: DataFrame, min_docs: int, min_share: float, doc_id: st
              .withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))))
     hits = (lines.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
             .join(above, ["host", "h1", "h2", "salt"]).filter(F.col("t") != F.col("holder")))
-    return hits.groupBy("d", "t").agg(F.sum("chars").alias("lost"))
+    repeats = own.groupBy("host", "d", "t").agg(F.count(F.lit(1)).alias("repeats")).filter("repeats > 1")
+    return (hits.groupBy("host", "d", "t").agg(F.sum("chars").alias("sum")).join(repeats, ["host", "d", "t"], "left")
+            .select("host", "d", "t", F.expr("sum div coalesce(repeats, 1L)").alias("lost")))
 
 
 def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
@@ -107,21 +116,22 @@ def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MI
                 host: str = "source") -> DataFrame:
     """One row per document: its measures, ``lost_chars``, ``base_failed`` and ``kept``, with ``t``, the text's hash.
 
-    A null text has no words and fails. Null hosts are one host, null ids one document; rows that repeat an id with
-    the same text count once and are judged alike. Hosts with fewer than ``min_docs`` documents lose nothing. An
-    empty table gives an empty result. Extra columns are ignored.
+    A null text has no words and fails. Null hosts are one host (``host`` is then empty), null ids one document; rows
+    that repeat an id with the same text at a host count once and are judged alike. Hosts with fewer than ``min_docs``
+    documents lose nothing. An empty table gives an empty result. Extra columns are ignored.
     """
     lost = lost_characters(docs, min_docs, min_share, doc_id, text, host).select(
-        F.col("d").alias("_d"), F.col("t").alias("_t"), "lost")
-    own = text_measures(docs, doc_id, text)
-    joined = own.join(lost, (id_or_none("doc_id") == F.col("_d")) & (F.col("t") == F.col("_t")), "left")
+        F.col("host").alias("_host"), F.col("d").alias("_d"), F.col("t").alias("_t"), "lost")
+    own = text_measures(docs, doc_id, text, host)
+    joined = own.join(lost, (F.col("host") == F.col("_host")) & (id_or_none("doc_id") == F.col("_d"))
+                      & (F.col("t") == F.col("_t")), "left")
     lost_chars = F.coalesce("lost", F.lit(0))
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     # what lines hold besides words is the white space between them: at most one character in two
     left = F.col("word_chars") + F.col("n_words") - lost_chars
     depleted = left < F.lit(min_left) * (F.col("word_chars") + F.col("n_words"))
-    return joined.select("doc_id", "t", *_MEASURES, lost_chars.alias("lost_chars"), failed.alias("base_failed"),
+    return joined.select("doc_id", "t", "host", *_MEASURES, lost_chars.alias("lost_chars"), failed.alias("base_failed"),
                          (~failed & ~depleted).alias("kept"))
 
 
