@@ -107,3 +107,14 @@ def test_repeated_rows_lose_their_lines_once(spark, odd_docs):
         assert len(found) == sum(r[0] == more[0][0] for r in more)
         assert max(r["lost_chars"] for r in found) == len(menu) - menu.count("\n")
         assert all(r["kept"] for r in found)
+
+
+def test_limit_does_not_rise_with_the_host(spark, odd_docs):
+    menu = "\n".join(" ".join(f"{w}{i}" for w in ("menu", "entry", "site", "page", "of")) for i in range(8))
+    rows = [(n, f"{menu}\ntail {n} of it", "en", "site", 1, "x") for n in range(12)]
+    rows += [(1000 + n, " ".join(f"w{n}x{i}" for i in range(25)), "en", "site", 1, "x") for n in range(400)]
+    rows += [(2000 + n, f"{menu}\nend {n // 6} of it", "en", "few", 1, "x") for n in range(12)]      # two texts
+    found = {r["doc_id"]: r for r in apply_rules(spark.createDataFrame(rows, odd_docs.schema)).collect()}
+    assert [n for n in range(12) if found[n]["kept"]] == [0]
+    assert all(found[n]["kept"] for n in range(1000, 1400))
+    assert [n - 2000 for n in range(2000, 2012) if found[n]["kept"]] == [0, 1, 2, 3, 4, 5]           # and copies of it

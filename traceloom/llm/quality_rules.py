@@ -1,9 +1,9 @@
 """Quality rules: measures of each text, and lines that too many documents of a host share.
 
 Lines are normalised and hashed, and the distinct documents that hold one are counted per host. Lines above the
-limits are taken out of all of them but one, and documents that lose most of their text that way are rejected. Copies
-of one text count as one document, so a text that is merely copied does not lose its lines; copies are left to the
-near-duplicate stage.
+limit are taken out of all of them but one, and documents that lose most of their text that way are rejected. Copies
+of the text that keeps a line keep it too, so a text that is merely copied does not lose its lines; copies are left to
+the near-duplicate stage.
 """
 
 from collections import Counter
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, id_or_none, key128, whole_text, words_of
 from .line_dedup import line_key
 
-#: A line is above the limits if so many documents of a host hold it, and so large a share of the host's documents.
-MIN_DOCS, MIN_SHARE = 10, 0.1
+#: A line is above the limit if so many documents of a host hold it, however large the host is.
+MIN_DOCS = 10
 #: A document is depleted if less than this share of its lines' characters is left.
 MIN_LEFT = 0.2
 #: Fixed values of the base rules.
@@ -81,9 +81,8 @@ def text_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
                        _own_host(host).alias("host"), whole.alias("text")).mapInArrow(run, schema)
 
 
-def lost_characters(docs: DataFrame, min_docs: int, min_share: float, doc_id: str, text: str,
-                    host: str) -> DataFrame:
-    """``(host, d, t, lost)`` of the documents that hold lines above the limits: characters lost.
+def lost_characters(docs: DataFrame, min_docs: int, doc_id: str, text: str, host: str) -> DataFrame:
+    """``(host, d, t, lost)`` of the documents that hold lines above the limit: characters lost.
 
     Rows that repeat host, id and text lose the same lines each, so their sum is divided by their number.
     """
@@ -95,13 +94,10 @@ def lost_characters(docs: DataFrame, min_docs: int, min_share: float, doc_id: st
     chars = F.char_length(stripped)
     lines = (rows.filter(chars > 0).select("host", "d", "t", first.alias("h1"), second.alias("h2"),
                                            chars.cast("long").alias("chars")).repartition("host", "h1", "h2", "t"))
-    contents = (lines.groupBy("host", "t").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")))
-    held = lines.groupBy("host", "h1", "h2", "t").agg(F.min("d").alias("d"))
+    held = lines.select("host", "h1", "h2", "t", "d").distinct()
     counted = held.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n"),
                                                    F.min(F.struct("d", "t")).alias("first"))
-    above = (counted.filter(F.col("n") >= min_docs).join(contents, "host")
-             .filter(F.col("n") >= F.lit(min_share) * F.col("host_docs"))
+    above = (counted.filter(F.col("n") >= min_docs)
              .select("host", "h1", "h2", F.col("first.t").alias("holder"))
              .withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))))
     hits = (lines.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int"))
@@ -111,16 +107,15 @@ def lost_characters(docs: DataFrame, min_docs: int, min_share: float, doc_id: st
             .select("host", "d", "t", F.expr("sum div coalesce(repeats, 1L)").alias("lost")))
 
 
-def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
-                min_left: float = MIN_LEFT, doc_id: str = "doc_id", text: str = "text",
-                host: str = "source") -> DataFrame:
+def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, doc_id: str = "doc_id",
+                text: str = "text", host: str = "source") -> DataFrame:
     """One row per document: its measures, ``lost_chars``, ``base_failed`` and ``kept``, with ``t``, the text's hash.
 
     A null text has no words and fails. Null hosts are one host (``host`` is then empty), null ids one document; rows
     that repeat an id with the same text at a host count once and are judged alike. Hosts with fewer than ``min_docs``
     documents lose nothing. An empty table gives an empty result. Extra columns are ignored.
     """
-    lost = lost_characters(docs, min_docs, min_share, doc_id, text, host).select(
+    lost = lost_characters(docs, min_docs, doc_id, text, host).select(
         F.col("host").alias("_host"), F.col("d").alias("_d"), F.col("t").alias("_t"), "lost")
     own = text_measures(docs, doc_id, text, host)
     joined = own.join(lost, (F.col("host") == F.col("_host")) & (id_or_none("doc_id") == F.col("_d"))
