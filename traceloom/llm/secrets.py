@@ -26,10 +26,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}"
 BITS = {"hex": 3.0, "mixed": 3.7, "letters": 4.25}
-#: Candidates that match are no secrets: placeholders, identifiers, alphabets, words joined by signs.
-ALLOWED = ("(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|lorem|0123456789|abcdefgh"
-           "|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-           "|^[/_=+-]*(?:[a-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[a-z]+|[0-9]{1,4}))*[/_=+-]*$")
+#: What windows must not touch to count: placeholders and alphabets.
+ALLOWED_INSIDE = "(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|lorem|0123456789|abcdefgh"
+#: Stretches that match as a whole are no secrets: identifiers, words joined by signs.
+ALLOWED = ("^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
+           "|^(?i:[/_=+-]*(?:[a-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[a-z]+|[0-9]{1,4}))*[/_=+-]*)$")
 MASK = "[SECRET]"
 #: Sums of c log2 c are held as integers of this many to a bit, so that they are exact.
 SCALE = 1_000_000
@@ -119,19 +120,44 @@ def high_entropy(value: Column, window: int = WINDOW, bits: dict[str, float] | N
     return F.when(F.char_length(value) >= window, F.aggregate(codes, begin, step, lambda s: s["hit"])).otherwise(False)
 
 
+def _stretches(found: Column, base: Column) -> Column:
+    """What is left of the spans ``found`` beside the spans ``base``."""
+    def cut(c):
+        inside = F.array_sort(F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        begin = F.struct(c["start"].alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+        def piece(start, end):
+            value = F.substring(c["value"], (start - c["start"] + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+            return F.array(F.struct(start.alias("start"), c["kind"].alias("kind"), end.alias("end"), value.alias("value")))
+
+        def step(state, b):
+            return F.struct(F.greatest(state["at"], b["end"]).alias("at"),
+                            F.concat(state["spans"], piece(state["at"], b["start"])).alias("spans"))
+
+        return F.aggregate(inside, begin, step, lambda s: F.concat(s["spans"], piece(s["at"], c["end"])))
+
+    return F.flatten(F.transform(found, cut))
+
+
 def find_secrets(docs: DataFrame, window: int = WINDOW, bits: dict[str, float] | None = None,
-                 allowed: str = ALLOWED, text: str = "text") -> DataFrame:
+                 allowed: str = ALLOWED, text: str = "text", allowed_inside: str = ALLOWED_INSIDE) -> DataFrame:
     """All columns of ``docs`` and ``_spans``: ``array<struct<start, kind, end, value>>`` by start, then kind.
 
-    ``kind`` is a place in ``KINDS``. A candidate that touches a base span adds nothing. A null or empty text has no
-    spans; rows that repeat are scanned alike; an empty table gives an empty result. Extra columns pass.
+    ``kind`` is a place in ``KINDS``. Candidates are cut at base spans, and each stretch that is left adds itself if a
+    window of it that touches no word of ``allowed_inside`` has the entropy. A null or empty text has no spans; rows
+    that repeat are scanned alike; an empty table gives an empty result. Extra columns pass.
     """
     whole = whole_text(text)
     base = F.concat(_spans(whole, ASSIGN, 0, F.lit(MIN_ASSIGNED)), _spans(whole, ACCESS, 1), _spans(whole, HEX, 2))
     more = _spans(whole, CANDIDATE % window, 3)
     scanned = docs.withColumn("_base", base).withColumn("_more", more)
-    clear = F.filter("_more", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-                     & ~F.rlike(c["value"], F.lit(allowed)) & high_entropy(c["value"], window, bits))
+
+    def secret(value):
+        return ~F.rlike(value, F.lit(allowed)) & F.exists(
+            F.split(value, allowed_inside, -1), lambda part: ~F.rlike(part, F.lit(allowed)) & high_entropy(part, window, bits))
+
+    clear = F.filter(_stretches(F.col("_more"), F.col("_base")),
+                     lambda c: (F.char_length(c["value"]) >= window) & secret(c["value"]))
     added = F.when(F.size("_more") > 0, clear).otherwise(F.array().cast(_SPAN))
     return scanned.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_base", "_more")
 
