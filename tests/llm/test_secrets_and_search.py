@@ -131,3 +131,16 @@ def test_secrets_beside_base_spans_and_allowed_words(spark):
     assert _found_of_kind_3(spark, texts) == {
         0: [f"/{KEY}"], 1: [f"/{KEY}"], 2: [f"{KEY}/", f"/{KEY[::-1]}"], 3: [f"/etc/example/path/{KEY}"],
         4: [f"{KEY}-lorem-words"], 5: [], 6: [], 7: [], 8: [], 9: [f"{KEY}/"]}
+
+
+def test_mixed_case_keys_without_digits_are_found(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["QwErTyUiOpAsDfGhJkLzXcVbNm", "QwErTyUiOp/AsDfGhJkLz+XcVbNm="]
+    keys += ["".join(rng.choice(pool) for _ in range(rng.randint(20, 60))) for pool in (letters, letters + "+/=") for _ in range(40)]
+    words = ["Some-Capitalised_Words/AND/lower/Ones-of-them", "UPPER_CASE_CONSTANT_OF_WORDS", "all/lower/words/of/a/path/2024"]
+    found = _found_of_kind_3(spark, [f"key {k} end" for k in keys + words])
+    assert [found[i] for i in range(2)] == [[k] for k in keys[:2]]
+    want = [[k] if _entropy_hit(k) else [] for k in keys]            # every window's entropy, by brute force
+    assert [found[i] for i in range(len(keys))] == want and sum(map(bool, want)) > 70
+    assert all(not found[i] for i in range(len(keys), len(keys) + len(words)))

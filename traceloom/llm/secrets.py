@@ -25,12 +25,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate strings of the method, the window, and the bits a window of each class must reach.
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}"
-BITS = {"hex": 3.0, "mixed": 3.7, "letters": 4.25}
+BITS = {"hex": 3.0, "mixed": 3.7, "letters": 3.9}
 #: What windows must not touch to count: placeholders and alphabets.
 ALLOWED_INSIDE = "(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|lorem|0123456789|abcdefgh"
-#: Stretches that match as a whole are no secrets: identifiers, words joined by signs.
+#: Stretches that match as a whole are no secrets: identifiers, words joined by signs (each in one case, or capitalised).
 ALLOWED = ("^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
-           "|^(?i:[/_=+-]*(?:[a-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[a-z]+|[0-9]{1,4}))*[/_=+-]*)$")
+           "|^[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=+-]*$")
 MASK = "[SECRET]"
 #: Sums of c log2 c are held as integers of this many to a bit, so that they are exact.
 SCALE = 1_000_000
