@@ -124,3 +124,20 @@ def test_odd_rows(odd_docs, no_docs):
     got = {r["doc_id"]: r["class_id"] for r in rows}
     assert got[2] == got[3] == got[4] == 2 and got[None] is None and got[6] == 6 and got[7] == 7
     assert near_duplicates(no_docs).count() == 0
+
+
+def _ids_and_texts():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(8)]
+    near = [t + " end" for t in texts]
+    rows = [(None, t) for t in texts[:5]] + [(n + 1, texts[n]) for n in range(3)]      # copies of null-id rows
+    rows += [(None, near[3]), (None, texts[4]), (7, texts[5]), (7, texts[6]), (8, near[6]), (9, near[5])]
+    return texts, near, rows
+
+
+def test_contents_are_linked_whatever_their_ids(spark):
+    texts, near, rows = _ids_and_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], COLUMNS)
+    got = Counter((r["doc_id"], r["class_id"]) for r in near_duplicates(docs.repartition(3)).collect())
+    assert got == Counter({(None, 1): 1, (None, 2): 1, (None, 3): 1, (None, None): 4, (1, 1): 1, (2, 2): 1, (3, 3): 1,
+                           (7, 7): 2, (8, 7): 1, (9, 7): 1})

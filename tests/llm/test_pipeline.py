@@ -7,7 +7,7 @@ import numpy as np
 
 from test_bpe_and_packing import PATH, _check_pieces
 from test_lines import _brute, _rows, _windows
-from test_near_duplicates import brute_classes
+from test_near_duplicates import _ids_and_texts, brute_classes
 from test_secrets_and_search import _base
 
 from traceloom.llm.secrets import MASK
@@ -56,3 +56,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     # rows that repeat an id share a fate at the near-duplicate stage, and one of them stays
     near = corpus_pipeline.near_dedup(spark, odd_docs, None)
     assert Counter(r["doc_id"] for r in near.collect()) == Counter([1, 2, None, 6, 7, 8, 9])
+
+
+def test_near_dedup_keeps_each_class_of_null_ids(spark, odd_docs):
+    texts, near, rows = _ids_and_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], odd_docs.schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, None).collect()]
+    assert len(kept) == 7                                            # one row of each class, also where ids repeat
+    assert {(i, texts[i - 1]) for i in (1, 2, 3)} | {(None, texts[4])} <= set(kept)
+    assert sum(i is None and t in (texts[3], near[3]) for i, t in kept) == 1
+    for n in (5, 6):
+        assert sum(t in (texts[n], near[n]) for _, t in kept) == 1

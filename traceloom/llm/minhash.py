@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import NO_ID, id_or_none, whole_text, words_of
+from .common import NO_ID, id_or_none, key128, whole_text, words_of
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -132,27 +132,32 @@ def _long_lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    first, second = key128(whole_text(text))
+    return docs.select(id_or_none(doc_id).alias("d"), first.alias("t1"), second.alias("t2"), whole_text(text).alias("text"))
+
+
 def sketches(docs: DataFrame, size: int = SHINGLE, signature: int = SIGNATURE, bands: int = BANDS, rows: int = ROWS,
              doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(d, h1, h2, n, bands)`` of every row: id, digest of the multiset, its size, and its band keys (null if empty)."""
+    """``(d, t1, t2, h1, h2, n, bands)`` of every row: id, digests of text and multiset, the multiset's size and band keys."""
     def run(batches):
         from xxhash import xxh3_128_intdigest
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                bags = [shingles(t, size) for t in part.column(1).to_pylist()]
+                bags = [shingles(t, size) for t in part.column(3).to_pylist()]
                 digests = np.array([divmod(xxh3_128_intdigest(h.tobytes() + w.tobytes()), 1 << 64) for h, w in bags],
                                    np.uint64).view(np.int64)
                 keys = band_keys(signatures(bags, signature), bands, rows)
                 full = np.array([len(h) > 0 for h, _ in bags])
                 lists = _long_lists([k if f else k[:0] for k, f in zip(keys, full, strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
+                    [part.column(0), part.column(1), part.column(2), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
                      pa.array([int(w.sum()) for _, w in bags], pa.int64()), lists],
-                    names=["d", "h1", "h2", "n", "bands"])
+                    names=["d", "t1", "t2", "h1", "h2", "n", "bands"])
 
-    return docs.select(id_or_none(doc_id).alias("d"), whole_text(text).alias("text")).mapInArrow(
-        run, "d long, h1 long, h2 long, n long, bands array<long>")
+    return _keyed(docs, doc_id, text).mapInArrow(
+        run, "d long, t1 long, t2 long, h1 long, h2 long, n long, bands array<long>")
 
 
 def multisets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -269,17 +274,23 @@ def crossing_links(near: DataFrame, bags: DataFrame, threshold: float) -> DataFr
         search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, signature: int = SIGNATURE,
-                    bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, class_id)``, one row per row of ``docs``: the smallest id of its class of near-duplicates.
+def told_id(column: str):
+    """The id, or null where there is none."""
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
 
-    Classes are the connected components of verified pairs. Texts without words (null, empty, blank) are one class.
-    Rows that repeat an id are one document, and so are rows without an id (their class is then null, as null comes
-    first). An empty table gives an empty result. Extra columns are ignored.
+def row_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, signature: int = SIGNATURE,
+                bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(d, t1, t2, label, class)``, one row per row of ``docs``: id, digest of the text, number and smallest id of its class.
+
+    Nodes are contents, numbered once their table is written; ids play no part in what is linked.
     """
     sketch = written(sketches(docs, size, signature, bands, rows, doc_id, text))
-    contents = written(sketch.groupBy("h1", "h2").agg(F.min("d").alias("rep"), F.first("n").alias("n"),
-                                                      F.first("bands").alias("bands")))
+    first = F.min(F.struct("d", "t1", "t2")).alias("first")
+    least_id = F.min(told_id("d")).alias("least_id")
+    contents = written(sketch.groupBy("h1", "h2").agg(first, least_id, F.first("n").alias("n"),
+                                                      F.first("bands").alias("bands"))
+                       .withColumn("rep", F.monotonically_increasing_id()))
     banded = contents.select("rep", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     members = written(banded.withColumn("salt", _salted("rep")).join(_times(shared), ["key", "salt"]).drop("salt"))
@@ -289,8 +300,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
             .select("key", F.col("best.rep").alias("hub"), F.col("best.n").alias("hub_n")))
     beside = written(members.withColumn("salt", _salted("rep")).join(_times(hubs), ["key", "salt"])
                      .select("hub", "hub_n", "rep", "n").distinct())
-    some = members.select(F.col("rep").alias("d")).distinct()
-    texts = docs.select(id_or_none(doc_id).alias("d"), whole_text(text).alias("text")).join(some, "d", "left_semi")
+    some = (contents.join(members.select("rep").distinct(), "rep", "left_semi")
+            .select("first.d", "first.t1", "first.t2", "rep"))
+    texts = _keyed(docs, doc_id, text).join(some, ["d", "t1", "t2"]).select(F.col("rep").alias("d"), "text")
     bags = written(multisets(texts, size).dropDuplicates(["d"]))
     stars = written(verified(beside.filter((F.col("rep") != F.col("hub")) & _alike_in_size("n", "hub_n", threshold))
                              .select(F.col("hub").alias("a"), F.col("rep").alias("b")), bags, threshold))
@@ -299,16 +311,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
                    .select("hub", "rep", F.coalesce("label", "rep").alias("label")))
     links = stars.union(crossing_links(near, bags, threshold))
     label = components(links)
-    named = label.join(label.groupBy("label").agg(F.min("node").alias("class")), "label").select(
-        F.col("node").alias("rep"), "class")
-    classes = (contents.select("h1", "h2", "rep").join(named, "rep", "left")
-               .select("h1", "h2", F.coalesce("class", "rep").alias("class")))
-    own = sketch.select("d", "h1", "h2", _salted("d").alias("salt"))
+    classes = (contents.select("h1", "h2", "rep", "least_id").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+               .withColumn("label", F.coalesce("label", "rep")))
+    named = classes.groupBy("label").agg(F.min("least_id").alias("class"))
+    classes = classes.select("h1", "h2", "label").join(named, "label")
+    own = sketch.select("d", "t1", "t2", "h1", "h2", _salted("d").alias("salt"))
+    return own.join(_times(classes), ["h1", "h2", "salt"]).select("d", "t1", "t2", "label", "class")
+
 
-    def told(c):
-        return F.when(F.col(c) != NO_ID, F.col(c))
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, signature: int = SIGNATURE,
+                    bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, class_id)``, one row per row of ``docs``: the smallest id of its class of near-duplicates.
 
-    return own.join(_times(classes), ["h1", "h2", "salt"]).select(told("d").alias("doc_id"), told("class").alias("class_id"))
+    Classes are the connected components of verified pairs of contents, whatever ids these have. Texts without words
+    (null, empty, blank) are one class. A class without any id has a null class id; different texts of one id may
+    stand in different classes that have the same class id. An empty table gives an empty result. Extra columns are
+    ignored.
+    """
+    return (row_classes(docs, threshold, size, signature, bands, rows, doc_id, text)
+            .select(told_id("d").alias("doc_id"), F.col("class").alias("class_id")))
 
 
 def op4_near_duplicates(spark, sf_dir):
