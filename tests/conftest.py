@@ -1,9 +1,10 @@
 import os
 import sys
-from datetime import datetime, timezone
 
 import pytest
 
+from core_samples import at
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 os.environ.setdefault("TZ", "UTC")
@@ -35,10 +36,6 @@ ARTIFACT = ("investigation_id string, endpoint_id string, collection_order bigin
             "size_bytes bigint, source string, reference string")
 
 
-def at(text):
-    return datetime.fromisoformat(text).replace(tzinfo=timezone.utc) if text else None
-
-
 @pytest.fixture
 def make_events(spark):
     def make(rows):

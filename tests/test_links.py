@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from conftest import at
+from core_samples import at
 from pyspark.sql import functions as F
 from traceloom.operators import correlate as C
 from traceloom.operators import cross_source as S

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import at
+from core_samples import at
 from traceloom.operators import ordering as O
 from traceloom.operators.events import assign_event_references, dedupe_events
 from traceloom.operators.threads import connected
