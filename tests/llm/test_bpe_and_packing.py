@@ -13,7 +13,7 @@ from traceloom.llm.packing import SumOfSquares, pack
 from traceloom.llm.token_counts import length_histogram, length_quantile, suffix_sums, truncated_total
 from traceloom.llm.tokens import encoder, token_lengths
 
-from conftest import long_text  # noqa: I001
+from corpus_samples import long_text
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 HARD = ["", "a", "'", "''re we're 're", "x" * 3000, "ab" * 2000 + " " * 700 + "cd" * 900, "  \n\n \t x  y  z ",

@@ -12,7 +12,7 @@ import pytest
 from traceloom.llm.hmm import Hmm, least_own_count, score_texts
 from traceloom.llm.quality_model import classify, evidence, fit, site_posteriors
 
-from conftest import COLUMNS  # noqa: I001
+from corpus_samples import COLUMNS
 
 
 def _held(own):

@@ -8,7 +8,7 @@ import numpy as np
 from traceloom.llm.graph import components
 from traceloom.llm.minhash import near_duplicates, shingles, signatures
 
-from conftest import COLUMNS  # noqa: I001
+from corpus_samples import COLUMNS
 
 
 def _bag(text, size=5):
