@@ -1,6 +1,7 @@
 """Registered queries of the operators, and the SQL that must agree with them where SQL can say it."""
 
-from . import bpe_tree, hmm, line_dedup, minhash, packing, quality_model, quality_rules, secrets, token_counts, vector_search
+from . import (bpe_tree, hmm, line_dedup, minhash, packing, quality_model, quality_rules, secrets, simhash,
+               token_counts, vector_search)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_top_k": vector_search.op8_top_k,
     "op9_secrets": secrets.op9_secrets,
     "op10_lm_scores": hmm.op10_lm_scores,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLE = {
