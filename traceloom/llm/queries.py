@@ -1,6 +1,6 @@
 """Registered queries of the operators, and the SQL that must agree with them where SQL can say it."""
 
-from . import (bpe_tree, hmm, line_dedup, minhash, packing, quality_model, quality_rules, secrets, simhash,
+from . import (bpe_tree, hmm, lexical_search, line_dedup, minhash, packing, quality_model, quality_rules, secrets, simhash,
                token_counts, vector_search)
 
 QUERIES = {
@@ -14,10 +14,12 @@ QUERIES = {
     "op8_top_k": vector_search.op8_top_k,
     "op9_secrets": secrets.op9_secrets,
     "op10_lm_scores": hmm.op10_lm_scores,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op8_top_k": vector_search.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
