@@ -1,7 +1,7 @@
 """Registered queries of the operators, and the SQL that must agree with them where SQL can say it."""
 
 from . import (bpe_tree, hmm, lexical_search, line_dedup, minhash, packing, quality_model, quality_rules, secrets, simhash,
-               token_counts, vector_search)
+               token_counts, vector_search, whitening)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_top_k": vector_search.op8_top_k,
     "op9_secrets": secrets.op9_secrets,
     "op10_lm_scores": hmm.op10_lm_scores,
+    "op11_whitening": whitening.op11_whitening,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_simhash": simhash.op13_simhash,
 }
