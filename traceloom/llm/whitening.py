@@ -1,7 +1,7 @@
 """Whitening of embeddings: leading eigenpairs of their covariance by Jacobi-Davidson, and the rows projected on them.
 
 The covariance matrix is never formed. Its product with a few vectors is one pass over the fit list: each task centres
-its rows, multiplies, and sums; the sums of tasks are added by Spark. Jacobi-Davidson keeps a small orthonormal
+its rows, multiplies, and sums; a pass has a few tasks a core, whose sums are added. Jacobi-Davidson keeps a small orthonormal
 subspace. Rayleigh-Ritz gives the best approximations in it; for each that is not exact yet the correction equation
 ``(I - QQ')(V - theta)(I - QQ') t = -r``, with Q the locked vectors and the approximation, is solved roughly by MINRES,
 and the corrections extend the subspace. Pairs are locked as their residuals reach double precision, and later
@@ -22,6 +22,8 @@ from .common import table
 SCALE, COMPONENTS = 256, 4
 #: Rows of a block of the fit list; columns the subspace may have, as multiples of the pairs wanted; MINRES steps of a correction.
 ROWS, WIDEST, STEPS, ROUNDS = 4096, 6, 12, 100
+#: Tasks of a pass, as a multiple of the cluster's cores; each sends one sum of dimensions times columns to the driver.
+TASKS = 2
 #: A residual of so many units of rounding of the largest eigenvalue is double precision.
 UNITS = 32
 _LOW = 32
@@ -71,8 +73,9 @@ class FitList:
                          pa.array([x.astype("<i8").tobytes()], pa.binary())], names=["n", "sums", "cells"])
 
         zeros = F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("x")))    # one vector, one spelling
-        self.blocks = written(vectors.select(zeros.alias("x")).distinct().mapInArrow(pack, _BLOCK)).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        blocks = written(vectors.select(zeros.alias("x")).distinct().mapInArrow(pack, _BLOCK))
+        tasks = TASKS * vectors.sparkSession.sparkContext.defaultParallelism
+        self.blocks = blocks.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         parts = (self.blocks.select("n", F.posexplode("sums").alias("i", "s")).groupBy("i")
                  .agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(19,0)")).alias("s")).collect())
         whole = {r["i"]: int(r["s"]) for r in parts}
@@ -82,7 +85,7 @@ class FitList:
         self.passes = 0
 
     def total(self, of, size: int) -> np.ndarray:
-        """The sum of ``of(centred rows)``, ``size`` doubles, over all blocks: summed by task, then by Spark."""
+        """The sum of ``of(centred rows)``, ``size`` doubles, over all blocks: by task, and of the tasks' sums here."""
         dims, mean = self.dims, self.mean
 
         def run(batches):
@@ -93,11 +96,8 @@ class FitList:
             yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float64()))], names=["own"])
 
         self.passes += 1
-        out = np.zeros(size)
-        for r in (self.blocks.select("cells").mapInArrow(run, "own array<double>")
-                  .select(F.posexplode("own").alias("i", "y")).groupBy("i").agg(F.sum("y").alias("y")).collect()):
-            out[r["i"]] = r["y"]
-        return out
+        rows = self.blocks.select("cells").mapInArrow(run, "own array<double>").collect()
+        return np.sum([r["own"] for r in rows], axis=0) if rows else np.zeros(size)
 
     def product(self, v: np.ndarray) -> np.ndarray:
         """The covariance times the columns of ``v``."""
