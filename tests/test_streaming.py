@@ -1,15 +1,20 @@
 """Streams over files and memory, driven to completion."""
 
+import random
 import time
-from datetime import datetime, timedelta, timezone
+from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 
 from traceloom import sinks as K
 from traceloom.operators import activity as A
+from traceloom.operators.cross_source import link_downloads
+from traceloom.operators.ledger import hash_history
 from traceloom.operators.scoring import classify_events
 from traceloom.pipeline import run_pipeline
 from traceloom.streaming import streams as ST
+from traceloom.streaming.replay import replay
 
 T0 = datetime(2024, 1, 1)
 
@@ -49,23 +54,86 @@ def test_score_and_dedupe(spark, tmp_path, make_events, make_artifacts):
     assert len(drain(ST.stream_dedupe(feed(spark, tmp_path, "d", [events])), "deduped")) == 2
 
 
-def test_hash_changes_resume(spark, tmp_path):
-    schema = "endpoint_id string, path string, algorithm string, hash string, ts timestamp"
-    batches = [spark.createDataFrame([("h", "/a", "SHA256", x, T0 + timedelta(hours=n))], schema)
-               for n, x in enumerate("xxyyx")]
-    sink = ST.HashChanges(str(tmp_path / "state"), str(tmp_path / "out"), compact_every=2)
-    for number, batch in enumerate(batches):
-        sink(batch, number)
-        sink(batch, number)          # a repeated batch changes nothing
-    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
-    assert [r["status"] for r in rows] == ["first_recorded", "unchanged", "altered", "unchanged", "altered"]
+OBSERVED = "endpoint_id string, path string, algorithm string, hash string, size_bytes long, ts timestamp, seq long"
 
 
-def test_health_and_sweep(spark, tmp_path):
-    beats = spark.createDataFrame([("a", T0, "active"), ("b", T0, "revoked")],
-                                  "endpoint_id string, ts timestamp, status string")
-    rows = watch(ST.stream_endpoint_health(feed(spark, tmp_path, "h", [beats])), "health", 2)
-    assert {(r["endpoint_id"], r["state"]) for r in rows} == {("a", "healthy"), ("b", "revoked")}
+def observations(spark, n, seed):
+    rng = random.Random(seed)
+    return spark.createDataFrame([(
+        f"h{rng.randint(0, 2)}", f"/p{rng.randint(0, 3)}", rng.choice(["SHA256", "SHA1", "sha256"]),
+        rng.choice(["aa", "AA", "bb", None]), rng.choice([None, 1, 2 ** 60 + 1, 2 ** 60]), T0 + timedelta(
+            minutes=30 * rng.randint(0, 60)) if rng.random() < 0.9 else None, rng.choice([None, number]))
+        for number in range(n)], OBSERVED)
+
+
+def found(df):
+    return Counter((r["endpoint_id"], r["path"], r["ts"], r["seq"], r["hash"], r["size_bytes"], r["status"],
+                    r["previous_hash"], r["previous_ts"]) for r in df.collect())
+
+
+def test_hash_changes_as_the_batch_rule(spark):
+    seen = observations(spark, 300, 1)
+    last = spark.createDataFrame([("", "", "", "", 0, T0 + timedelta(days=99), 0)], OBSERVED)
+    told = replay(spark, {"seen": (seen, "ts")}, lambda s: ST.stream_hash_changes(s["seen"]), runs=4, closing={"seen": last})
+    assert found(told) == found(hash_history(seen.filter("ts IS NOT NULL")))
+    assert found(replay(spark, {"seen": (seen.limit(0), "ts")}, lambda s: ST.stream_hash_changes(s["seen"]),
+                        runs=2)) == Counter()
+
+
+def test_hash_changes_in_any_order_of_arrival(spark, tmp_path):
+    """Rows that arrive late, but not later than the watermark, are compared in order of time."""
+    rows = [("h", "/a", "SHA256", x, 1, T0 + timedelta(minutes=m), m) for m, x in
+            [(50, "y"), (0, "x"), (20, "x"), (90, "x"), (70, "y"), (3000, "z")]]
+    stream = feed(spark, tmp_path, "late", [spark.createDataFrame([r], OBSERVED) for r in rows])
+    told = sorted((r["ts"], r["status"]) for r in drain(ST.stream_hash_changes(stream, delay="1 hour"), "late"))
+    assert [s for _, s in told] == ["first_recorded", "unchanged", "altered", "unchanged", "altered"]
+
+
+def test_hash_changes_forget(spark, tmp_path):
+    rows = [("h", p, "SHA256", "x", 1, T0 + timedelta(hours=h), h) for p, h in
+            [("/a", 0), ("/b", 1), ("/z", 30), ("/a", 31), ("/z", 60), ("/z", 90)]]
+    stream = feed(spark, tmp_path, "forget", [spark.createDataFrame([r], OBSERVED) for r in rows])
+    told = drain(ST.stream_hash_changes(stream, delay="1 minute", forget_after="10 hours"), "forgotten")
+    assert [r["status"] for r in told if r["path"] == "/a"] == ["first_recorded"] * 2
+
+
+BEAT = "endpoint_id string, ts timestamp, status string"
+
+
+def test_health_of_all_kinds(spark):
+    hour = timedelta(hours=1)
+    beats = spark.createDataFrame([
+        ("a", T0, "active"), ("a", T0 + 9 * hour, "active"), ("b", T0, "active"), ("c", T0 + hour, "revoked"),
+        ("e", T0, "active"), ("e", T0 + 9.5 * hour, "active"), ("f", None, "active"), ("z", T0 + 10 * hour, "active")], BEAT)
+    hosts = spark.createDataFrame([("a", "active", None), ("d", "active", None), ("g", "revoked", None),
+                                   ("h", "active", T0 - hour)], "endpoint_id string, status string, last_seen timestamp")
+    told = replay(spark, {"beats": (beats, "ts")}, lambda s: ST.stream_endpoint_health(
+        s["beats"], hosts, stale_seconds=7200), runs=4)
+    by = {}
+    for r in sorted(told.collect(), key=lambda r: r["change"]):
+        by.setdefault(r["endpoint_id"], []).append((r["state"], r["last_seen"]))
+    assert [[s for s, _ in by[h]] for h in "abcdegh"] == [
+        ["healthy", "stale", "healthy"], ["healthy", "stale"], ["revoked"], ["never_seen"],
+        ["healthy", "stale", "healthy"], ["revoked"], ["stale"]]
+    assert by["b"][1][1] == T0 and by["h"][0][1] == T0 - hour and by["d"][0][1] is None and "f" not in by
+
+
+def test_a_replayed_heartbeat_is_stale(spark):
+    """By the clock of the collector; one that is no newer than the last changes nothing."""
+    rows = [("a", T0, "active", T0), ("b", T0, "active", T0 + timedelta(hours=5)), ("z", T0 + timedelta(hours=5), "active",
+             T0 + timedelta(hours=5)), ("z", T0, "revoked", T0 + timedelta(hours=7)), ("b", T0 - timedelta(hours=1), "revoked",
+             T0 + timedelta(hours=7)), ("c", T0 + timedelta(hours=1), "active", T0 + timedelta(hours=10))]
+    beats = spark.createDataFrame(rows, BEAT + ", received_at timestamp")
+    told = replay(spark, {"beats": (beats, "received_at")}, lambda s: ST.stream_endpoint_health(
+        s["beats"], stale_seconds=3600, clock="received_at"), runs=5)
+    by = {}
+    for r in sorted(told.collect(), key=lambda r: r["change"]):
+        by.setdefault(r["endpoint_id"], []).append(r["state"])
+    assert by["a"] == ["healthy", "stale"] and by["b"][-1] == "stale" and by["c"] == ["stale"]
+    assert by["z"] == ["healthy", "stale"]
+
+
+def test_sweep(spark, tmp_path):
     tasks = spark.createDataFrame([("t1", T0, "dispatched", 3, 3), ("t2", T0, "succeeded", 1, 3)],
                                   "task_id string, ts timestamp, status string, attempts int, max_attempts int")
     rows = watch(ST.stream_sweep_tasks(feed(spark, tmp_path, "w", [tasks]), stale_seconds=1), "swept", 1)
@@ -82,6 +150,24 @@ def test_download_then_run(spark, tmp_path, make_events):
     assert [r["target_path"] for r in rows] == ["/d/tool"]
 
 
+def test_first_runs_as_the_batch_rule(spark, make_events, make_artifacts):
+    rng = random.Random(3)
+    paths = [f"/d/t{n}" for n in range(6)]
+    got = spark.createDataFrame([("i", "h", rng.choice(paths), T0 + timedelta(hours=rng.randint(0, 90)), n)
+                                 for n in range(60)] + [("i", "h", "/d/none", T0, 60), ("i", "h", None, T0, 61)],
+                                "investigation_id string, endpoint_id string, target_path string, downloaded_at timestamp, n int")
+    events = make_events([{"command": f"run {rng.choice(paths[:5])} {paths[1]}", "id": f"e{n}", "ts": str(
+        T0 + timedelta(hours=rng.randint(30 if n else 5, 80)))} for n in range(12)] + [{"command": f"run {paths[0]}"}])
+    last = make_events([{"command": "/end", "host": "", "inv": "", "ts": str(T0 + timedelta(days=99))}])
+    told = replay(spark, {"got": (got, "downloaded_at"), "ran": (events, "ts")}, lambda s: ST.stream_first_runs(
+        s["got"], s["ran"]), runs=4, closing={"ran": last})
+    dated = events.filter("ts IS NOT NULL").drop("reference")
+    batch = link_downloads(got, make_artifacts([{"path": "/x"}]), dated).filter("event IS NOT NULL")
+    rows = sorted((r["n"], r["event_id"], round(r["gap_hours"], 6)) for r in told.collect())
+    assert rows == sorted((r["n"], r["event"], round(r["gap_hours"], 6)) for r in batch.collect())
+    assert len({n for n, _, _ in rows}) == len(rows) > 10 and any(g < 0 for _, _, g in rows)
+
+
 def test_sittings(spark, tmp_path, make_events):
     rows = [{"command": "x", "user": "ann", "ts": t} for t in (
         "2024-01-01T00:00:00", "2024-01-01T00:30:00", "2024-01-01T02:00:00")] + [{"command": "x", "user": "ann"}]
@@ -147,14 +233,3 @@ def test_briefs_for_all_subjects(make_events, make_artifacts, kind):
     assert rows and all(r["summary"] and r["evidence_ids"] for r in rows)
     with pytest.raises(ValueError):
         N.briefs(tables, "nothing")
-
-
-def test_health_tells_each_change(spark, tmp_path):
-    schema = "endpoint_id string, ts timestamp, status string"
-    now = datetime.now(timezone.utc).replace(tzinfo=None)
-    batches = [spark.createDataFrame(rows, schema) for rows in (
-        [("a", now, "active"), ("b", now, "active")],
-        [("a", now + timedelta(seconds=1), "revoked"), ("b", now - timedelta(days=1), "revoked")])]
-    rows = watch(ST.stream_endpoint_health(feed(spark, tmp_path, "hc", batches)), "changes", 3, 30)
-    told = sorted((r["endpoint_id"], r["state"]) for r in rows)
-    assert told == [("a", "healthy"), ("a", "revoked"), ("b", "healthy")]

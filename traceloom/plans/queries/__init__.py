@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("triage", "identity", "scalars", "links", "reading", "ingest", "sequences")
+FAMILIES = ("triage", "identity", "scalars", "links", "reading", "ingest", "sequences", "streams")
 
 
 def register_all() -> None:

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 TUNING = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
+#: What streams with keyed state need.
+STREAMING = {"spark.sql.streaming.stateStore.providerClass":
+             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def tune(spark: SparkSession) -> None:
     """Settings the operators rely on (UTC) or run better with, on a session made elsewhere."""
     for key, value in TUNING.items():
@@ -27,7 +32,7 @@ def build_session(app="traceloom", master=None, **conf) -> SparkSession:
     if master:
         builder = builder.master(master)
     settings = {
-        **TUNING,
+        **TUNING, **STREAMING,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -55,6 +60,11 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str = "folder") -> str:
+    """The path of a folder of its own, not made yet, where all executors can read and write."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the checkpoint folder and cut its lineage."""
     _checkpoint_folder(df.sparkSession)
@@ -68,6 +78,6 @@ def written(df: DataFrame) -> DataFrame:
     and those double with every round that joins a result with itself.
     """
     spark = df.sparkSession
-    folder = f"{_checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -6,9 +6,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import functions as X
 from .. import vocab as V
-from ..operators.ledger import hash_history, latest_hash
 from ..operators.ordering import last_value_so_far, previous_value
 from ..operators.scoring import artifact_lookup, classify_linked
+from .states import DigestsInOrder, FirstRun, HostStates
 
 
 def stream_score(events: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -24,6 +24,10 @@ def stream_score(events: DataFrame, artifacts: DataFrame) -> DataFrame:
     return classify_linked(joined)
 
 
+def _milliseconds(interval: str | None) -> int | None:
+    return None if interval is None else int(pd.Timedelta(interval).total_seconds() * 1000)
+
+
 def split_undated(events: DataFrame):
     """``(dated, undated)``: undated records take no part in event time."""
     return events.filter("ts IS NOT NULL"), events.filter("ts IS NULL")
@@ -44,53 +48,29 @@ def stream_dedupe(events: DataFrame, *, watermark="1 hour") -> DataFrame:
         ["investigation_id", "endpoint_id", "source", "source_record_id"])
 
 
-class HashChanges:
-    """A ``foreachBatch`` sink: each observation against the last one before it.
+def stream_hash_changes(observations: DataFrame, *, delay="1 hour", forget_after: str | None = None) -> DataFrame:
+    """Each dated observation with the one before it at the same path, and what changed.
 
-    Every batch writes its results and the last digest of the paths it saw under
-    its own batch id, so a repeated batch overwrites itself. Each
-    ``compact_every`` batches the state is written whole, and older segments are
-    no longer read.
+    The streaming form of :func:`~traceloom.operators.ledger.hash_history`, with the same order. Rows wait in the state
+    of their path until the watermark has passed them, so whatever order they arrive in (within ``delay``) they are
+    compared in order of time. State is the last digest of a path and what still waits; ``forget_after`` drops it when
+    a path has been quiet for so long. Rows later than the watermark are dropped; :func:`split_late` keeps them apart.
     """
-
-    def __init__(self, state_path: str, output_path: str, *, compact_every: int = 50):
-        self.state_path, self.output_path = state_path.rstrip("/"), output_path.rstrip("/")
-        self.compact_every = compact_every
-
-    def _segment(self, batch_id):
-        return f"{self.state_path}/segment={batch_id:09d}"
-
-    def _state(self, spark, batch_id):
-        if batch_id == 0:
-            return None
-        low = (batch_id - 1) // self.compact_every * self.compact_every
-        return latest_hash(spark.read.parquet(*[self._segment(b) for b in range(low, batch_id)]))
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = batch.select("endpoint_id", "path", "algorithm", "hash", "ts").withColumn(
-            "_prior", F.lit(False))
-        state = self._state(spark, batch_id)
-        if state is not None:
-            paths = seen.select("endpoint_id", "path").distinct()
-            prior = state.join(paths, ["endpoint_id", "path"], "left_semi").withColumn(
-                "_prior", F.lit(True))
-            line = prior.unionByName(seen)
-        else:
-            line = seen
-        # A stored digest sorts before everything in the batch, whatever its own time.
-        ordered = line.withColumn("seq", F.when(F.col("_prior"), 0).otherwise(1)).withColumn(
-            "observed_at", F.col("ts")).withColumn("ts", F.when(
-                F.col("_prior"), F.lit("0001-01-01").cast("timestamp")).otherwise(F.col("ts")))
-        history = hash_history(ordered).filter("NOT _prior").drop("_prior", "seq", "observed_at",
-                                                                  "previous_ts")
-        history.write.mode("overwrite").parquet(f"{self.output_path}/batch={batch_id:09d}")
-        newest = latest_hash(seen)
-        if state is not None and batch_id % self.compact_every == 0:
-            rest = state.join(newest.select("endpoint_id", "path"), ["endpoint_id", "path"],
-                              "left_anti")
-            newest = newest.unionByName(rest)
-        newest.write.mode("overwrite").parquet(self._segment(batch_id))
+    dated, _ = split_undated(observations)
+    known = [c for c in ("seq", "hash", "algorithm", "size_bytes") if c in dated.columns]
+    kinds = dict(dated.dtypes)
+    numbers = [c for c in known if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    rows = dated.select("endpoint_id", "path", "ts", F.unix_micros("ts").alias("micros"),
+                        *[F.col(c).cast("string").alias(c) for c in known])
+    told = rows.withWatermark("ts", delay).groupBy("endpoint_id", "path").transformWithState(
+        DigestsInOrder(known, numbers, _milliseconds(forget_after)),
+        f"endpoint_id {kinds['endpoint_id']}, path {kinds['path']}, micros long, "
+        + ", ".join(f"{c} string" for c in known)
+        + ", previous_micros long, previous_hash string, previous_algorithm string", "append", "EventTime")
+    return told.select(
+        "endpoint_id", "path", F.timestamp_micros("micros").alias("ts"), *[F.col(c).cast(kinds[c]).alias(c) for c in known],
+        X.compare_hash("previous_hash", "previous_algorithm", "hash", "algorithm").alias("status"),
+        "previous_hash", F.timestamp_micros("previous_micros").alias("previous_ts"))
 
 
 def last_seen(heartbeats: DataFrame) -> DataFrame:
@@ -98,39 +78,25 @@ def last_seen(heartbeats: DataFrame) -> DataFrame:
     return heartbeats.groupBy("endpoint_id").agg(F.max("ts").alias("last_seen"))
 
 
-def stream_endpoint_health(heartbeats: DataFrame, *, stale_seconds=V.STALE_AFTER_SECONDS):
-    """Each change of a host's state: ``healthy``, ``revoked``, ``stale``.
+def stream_endpoint_health(heartbeats: DataFrame, endpoints: DataFrame | None = None, *,
+                           stale_seconds=V.STALE_AFTER_SECONDS, clock="ts", delay="0 seconds") -> DataFrame:
+    """Each change of a host's state: ``never_seen``, ``healthy``, ``stale``, ``revoked``; ``change`` counts them per host.
 
-    A host is revoked as soon as its newest heartbeat says so, and stale when ``stale_seconds`` pass without a newer
-    one; a replayed heartbeat that is no newer changes no state.
+    ``heartbeats(endpoint_id, ts, status)``; ``endpoints(endpoint_id, status, last_seen)`` is what is known before.
+    A host is stale ``stale_seconds`` after its newest heartbeat, in the time of column ``clock``: the heartbeats' own,
+    or the time they were received, by which a heartbeat that is replayed late finds its host stale. A heartbeat that
+    is no newer changes nothing. A known host that never sent one is told as ``never_seen`` once the clock runs.
     """
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            seen, status, told = state.get
-            state.update((seen, status, "stale"))
-            if told == "healthy":
-                yield pd.DataFrame({"endpoint_id": [key[0]], "state": ["stale"],
-                                    "last_seen": [pd.Timestamp(seen)]})
-            return
-        seen, status, told = state.get if state.exists else (0, "active", "")
-        before = seen
-        for frame in frames:
-            newest = frame["ts"].astype("datetime64[ns]").max().value
-            if newest >= seen:
-                seen = newest
-                status = frame.loc[frame["ts"].idxmax(), "status"]
-        if seen > before:
-            now = "revoked" if status == "revoked" else "healthy"
-            state.update((int(seen), str(status), now))
-            if now != told:
-                yield pd.DataFrame({"endpoint_id": [key[0]], "state": [now], "last_seen": [pd.Timestamp(seen)]})
-            told = now
-        if told == "healthy":                    # a call without a timer would leave the host without one
-            state.setTimeoutDuration(stale_seconds * 1000)
-
-    return heartbeats.groupBy("endpoint_id").applyInPandasWithState(
-        step, "endpoint_id string, state string, last_seen timestamp",
-        "seen bigint, status string, told string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    beats = heartbeats.filter(F.col("ts").isNotNull() & F.col(clock).isNotNull()).select(
+        "endpoint_id", F.col(clock).alias("clock"), F.unix_micros("ts").alias("micros"), "status")
+    known = None if endpoints is None else endpoints.select(
+        "endpoint_id", "status", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("micros")).groupBy("endpoint_id")
+    told = beats.withWatermark("clock", delay).groupBy("endpoint_id").transformWithState(
+        HostStates(stale_seconds * 1000),
+        f"endpoint_id {dict(beats.dtypes)['endpoint_id']}, change long, state string, seen long, moment long",
+        "append", "EventTime", known)
+    return told.select("endpoint_id", "change", "state", F.timestamp_micros("seen").alias("last_seen"),
+                       F.timestamp_micros("moment").alias("as_of"))
 
 
 def stream_sweep_tasks(updates: DataFrame, *, stale_seconds=V.STALE_AFTER_SECONDS):
@@ -172,6 +138,38 @@ def stream_download_then_run(downloads: DataFrame, events: DataFrame, *,
             "run_endpoint", "run_path")
 
 
+def stream_first_runs(downloads: DataFrame, events: DataFrame, *, max_hours=V.DOWNLOAD_TO_EXECUTION_HOURS,
+                      delay="2 hours") -> DataFrame:
+    """At most one row per download: the first dated event that names its path, unless that is over ``max_hours`` later.
+
+    The rule of :func:`~traceloom.operators.cross_source.link_downloads` over a stream: per host and path the state
+    holds the first run and the downloads that still wait. A download is told when the watermark has passed both it and
+    the first run, and let go when ``max_hours`` have passed without one.
+    """
+    line = F.col("command_line") if "command_line" in events.columns else F.lit(None).cast("string")
+    scope = [c for c in ("investigation_id", "endpoint_id") if c in downloads.columns and c in events.columns]
+    rest = [c for c in downloads.columns if c not in (*scope, "target_path", "downloaded_at")]
+    got = downloads.filter("downloaded_at IS NOT NULL AND coalesce(target_path, '') <> ''").select(
+        *scope, F.col("target_path").alias("path"), F.col("downloaded_at").cast("timestamp").alias("at"),
+        F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("record"),
+        F.to_json(F.struct(*rest)).alias("download") if rest else F.lit("{}").alias("download"))
+    runs = events.filter("ts IS NOT NULL").select(
+        *scope, F.explode(F.array_distinct(X.paths_named_by_event(
+            F.col("executable"), F.col("full_command_line"), line))).alias("path"), F.col("ts").alias("at"), "event_id",
+        (F.col("source_record_id") if "source_record_id" in events.columns else F.col("event_id")).alias("record"),
+        F.lit(None).cast("string").alias("download"))
+    keys = [*scope, "path"]
+    told = got.unionByName(runs).withColumn("micros", F.unix_micros("at")).withWatermark("at", delay).groupBy(
+        *keys).transformWithState(
+            FirstRun(keys, int(max_hours * 3_600_000)), ", ".join(f"{k} string" for k in keys)
+            + ", downloaded long, download string, event_id string, ran long", "append", "EventTime")
+    kinds = ", ".join(f"`{c}` {k}" for c, k in downloads.dtypes if c in rest)
+    own = [F.from_json("download", kinds).getField(c).alias(c) for c in rest]
+    timed = told.withColumns({"downloaded_at": F.timestamp_micros("downloaded"), "ran_at": F.timestamp_micros("ran")})
+    return timed.select(*scope, F.col("path").alias("target_path"), "downloaded_at", *own, "event_id", "ran_at",
+                        X.gap_hours("downloaded_at", "ran_at").alias("gap_hours"))
+
+
 def stream_session_activity(events: DataFrame, *, watermark="1 hour") -> DataFrame:
     """Sittings per host and user: records at most thirty minutes apart."""
     gap = f"{V.ADJACENT_SECONDS} seconds 1 microsecond"
