@@ -1,4 +1,4 @@
-"""Related activities linked by rare shared words that sit close, or install and use."""
+"""Related activities linked by shared words that sit close, or install and use."""
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -6,7 +6,7 @@ from .. import functions as X
 from .. import vocab as V
 from ..session import written
 from .activity import label
-from .ordering import first_rows, number_rows
+from .ordering import first_rows, number_rows, previous_value
 from .scoring import has_signal
 
 
@@ -18,23 +18,23 @@ def group_tokens(groups: DataFrame) -> DataFrame:
         "full_command_line", "executable", "process_name")).alias("token"))
 
 
-def rare_tokens(tokens: DataFrame, *, min_df=V.TOKEN_MIN_DF, max_df=V.TOKEN_MAX_DF) -> DataFrame:
-    """Words that occur in ``min_df`` to ``max_df`` activities of an investigation.
+def rare_tokens(tokens: DataFrame, *, min_df=V.TOKEN_MIN_DF, max_df: int | None = None) -> DataFrame:
+    """Words that occur in at least ``min_df`` activities of an investigation, and in ``max_df`` at most if it is given.
 
-    What is rare is part of what a link means: a word in more activities is
-    vocabulary and relates nothing.
+    With ``max_df`` a word in more activities counts as vocabulary and relates nothing.
     """
     keys = ["investigation_id", "token"]
-    kept = tokens.groupBy(*keys).agg(F.count("*").alias("df")).filter(
-        F.col("df").between(min_df, max_df))
+    kept = tokens.groupBy(*keys).agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    if max_df is not None:
+        kept = kept.filter(F.col("df") <= max_df)
     return tokens.join(kept, keys)
 
 
 def candidate_pairs(rare: DataFrame) -> DataFrame:
-    """Pairs of activities per shared rare word, through the word's short posting list.
+    """All pairs of activities per shared word, through the word's posting list.
 
-    Each list has at most ``max_df`` entries, so a word yields a bounded number
-    of pairs and a frequent word none.
+    For words of a small ``max_df``, as the pairs of a word grow with its square; :func:`chained` links the
+    same activities for words of any frequency.
     """
     posting = rare.groupBy("investigation_id", "token").agg(
         F.array_sort(F.collect_list("group_id")).alias("ids"))
@@ -110,19 +110,59 @@ def linked(pairs: DataFrame, groups: DataFrame, records: DataFrame) -> DataFrame
     return kept.groupBy("investigation_id", "a", "b").agg(F.min(reason).alias("reason"))
 
 
-def connected(edges: DataFrame, *, rounds=60) -> DataFrame:
+def chained(tokens: DataFrame, groups: DataFrame, records: DataFrame, *, lines=V.ADJACENT_LINES,
+            seconds=V.ADJACENT_SECONDS) -> DataFrame:
+    """Links ``(investigation_id, a, b, reason)`` that hang together what :func:`linked` does over all pairs.
+
+    Per word, activities lie along each history file by line and along time by their first and last record. Only
+    neighbours on these lines are linked, and each activity with the first that installs the word: two that are
+    close have only closer ones between them. So a word in n activities makes of the order of n links, not n squared,
+    and no word is too frequent. Per component and word the reasons are those of all pairs.
+    """
+    word = ["investigation_id", "token"]
+    facts = groups.select(
+        "group_id", F.lower(F.coalesce("full_command_line", F.lit(""))).alias("_text"),
+        X.installs_something("full_command_line").alias("_installs"), "first_seen", "last_seen")
+    used = written(tokens.select(*word, "group_id").distinct().join(facts, "group_id").select(
+        *word, "group_id", (F.col("_installs") & F.contains("_text", F.col("token"))).alias("installs"),
+        "first_seen", "last_seen"))
+
+    def neighbours(points, group, at, within):
+        """Links of points that follow one another along ``at`` at most ``within`` apart."""
+        beside = previous_value(points, group, [F.col(at), F.col("group_id")], F.struct("group_id", at), "_before")
+        near = (F.col(at) - F.col(f"_before.{at}") <= within) & (F.col("_before.group_id") != F.col("group_id"))
+        return beside.filter(near).select(*word, F.col("_before.group_id").alias("x"), F.col("group_id").alias("y"),
+                                          F.lit(False).alias("installs"))
+
+    first = used.filter("installs").groupBy(*word).agg(F.min("group_id").alias("x"))
+    installed = used.join(first, word).filter("group_id <> x").select(
+        *word, "x", F.col("group_id").alias("y"), F.lit(True).alias("installs"))
+    moments = used.select(*word, "group_id", F.explode(F.array_distinct(F.array(
+        F.unix_micros("first_seen"), F.unix_micros("last_seen")))).alias("moment")).filter("moment IS NOT NULL")
+    spots = used.select(*word, "group_id").join(history_positions(records), "group_id").select(
+        *word, "group_id", "endpoint_id", "file", "line")
+    links = installed.unionByName(neighbours(moments, word, "moment", seconds * 1_000_000)).unionByName(
+        neighbours(spots, [*word, "endpoint_id", "file"], "line", lines))
+    reason = F.when(F.col("installs"), F.concat(
+        F.lit("one installs or fetches '"), "token", F.lit("' and another uses it"))).otherwise(
+        F.concat(F.lit("recorded close together and both reference '"), "token", F.lit("'")))
+    return links.groupBy("investigation_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        F.min(reason).alias("reason"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """``(investigation_id, node, root)`` with the least id of each component as root.
 
     Each round moves every node to the least id next to it, twice, and then
-    merges nodes that met: what is left of the graph shrinks by a constant
-    factor, so rounds grow with the logarithm of its size. Tables are written
-    every round, so a lost executor repeats one round only.
+    merges nodes that met: what is left of the graph shrinks by half at least,
+    so rounds grow with the logarithm of its size and come to an end. Tables are
+    written every round, so a lost executor repeats one round only.
     """
     key = ["investigation_id"]
     links = written(edges.select(*key, "a", "b").unionByName(
         edges.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = links.select(*key, F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    for _ in range(rounds):
+    while not links.isEmpty():
         step = links.groupBy(*key, "a").agg(F.least("a", F.min("b")).alias("to"))
         further = step.select(*key, F.col("a").alias("to"), F.col("to").alias("to2"))
         moved = written(step.join(further, [*key, "to"]).select(*key, "a", "to2"))
@@ -132,21 +172,19 @@ def connected(edges: DataFrame, *, rounds=60) -> DataFrame:
         right = moved.select(*key, F.col("a").alias("b"), F.col("to2").alias("nb"))
         links = written(links.join(left, [*key, "a"]).join(right, [*key, "b"]).filter(
             "na <> nb").select(*key, F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
-        if not links.limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return labels
 
 
 def threads(ranked: DataFrame, records: DataFrame, *, min_df=V.TOKEN_MIN_DF,
-            max_df=V.TOKEN_MAX_DF, max_members: int | None = V.THREAD_MAX_MEMBERS):
+            max_df: int | None = None, max_members: int | None = V.THREAD_MAX_MEMBERS):
     """``(threads, members)``.
 
-    A component above ``max_members`` is read as several consecutive threads of
-    even size (by urgency, then time); no activity is left out.
+    Words of any frequency relate activities; with ``max_df`` only words in so many at most. A component above
+    ``max_members`` is read as several consecutive threads of even size (by urgency, then time); no activity is
+    left out.
     """
     tokens = group_tokens(ranked)
-    edges = written(linked(candidate_pairs(rare_tokens(tokens, min_df=min_df, max_df=max_df)),
-                              ranked, records))
+    edges = written(chained(rare_tokens(tokens, min_df=min_df, max_df=max_df), ranked, records))
     roots = connected(edges)
     members = roots.withColumnRenamed("node", "group_id").join(
         ranked.drop("investigation_id"), "group_id")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 
+from . import vocab as V
 from .operators import activity as A
 from .operators import correlate as C
 from .operators import cross_source as S
@@ -55,5 +56,5 @@ def run_pipeline(inputs: dict[str, DataFrame], *, with_threads=True,
                                            inputs.get("processes"), findings,
                                            inputs.get("transitions"))
     if with_threads:
-        out["threads"], out["thread_members"] = H.threads(groups, records)
+        out["threads"], out["thread_members"] = H.threads(groups, records, max_df=V.TOKEN_MAX_DF)
     return out

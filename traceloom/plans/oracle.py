@@ -163,10 +163,13 @@ SELECT *, {TOKENS_SQL} AS tokens FROM (
     lambda t: regexp_replace(lower(t), '^[._-]+|[._-]+$', '', 'g')) AS whole FROM {relation})"""
 
 
-def _thread_layers():
-    installs = (r"regexp_matches(cmd, '(?i)\b(install|add|clone|setup\.py|pip3?\s+install|npm\s+i(nstall)?|"
+INSTALLS_SQL = (r"regexp_matches(cmd, '(?i)\b(install|add|clone|setup\.py|pip3?\s+install|npm\s+i(nstall)?|"
                 r"cargo\s+install|go\s+install|gem\s+install|snap\s+install|flatpak\s+install|"
                 r"make\s+install)\b')")
+
+
+def _thread_layers():
+    installs = INSTALLS_SQL
     minutes = lambda x, y: f"abs(epoch_us(a.{x}) - epoch_us(b.{y})) <= 1800000000"
     return (
         ("named_groups", """

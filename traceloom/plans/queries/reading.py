@@ -10,7 +10,7 @@ from ...operators import search as Q
 from ...operators import threads as H
 from ...operators import timeline as M
 from ...operators.events import assign_event_references
-from ..oracle import INDEPENDENT_THREADS, npath, scored_sql, view_sql
+from ..oracle import INDEPENDENT_THREADS, INSTALLS_SQL, npath, scored_sql, view_sql
 from ..registry import query
 from .common import F, X, classified, evidence, events, joined, ranked, table
 from .identity import sources
@@ -209,7 +209,7 @@ def _(spark, sf):
 @query("rare_tokens", _thread_sql("""
 SELECT investigation_id, token, count(*) AS df FROM tok GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8"""))
 def _(spark, sf):
-    return H.rare_tokens(H.group_tokens(A.activity_groups(classified(spark, sf)))).groupBy(
+    return H.rare_tokens(H.group_tokens(A.activity_groups(classified(spark, sf))), max_df=V.TOKEN_MAX_DF).groupBy(
         "investigation_id", "token").agg(F.max("df").alias("df"))
 
 
@@ -232,22 +232,55 @@ SELECT a.investigation_id, a.token, a.gid AS a, b.gid AS b FROM rare a JOIN rare
   ON a.investigation_id = b.investigation_id AND a.token = b.token AND a.gid < b.gid"""))
 def _(spark, sf):
     groups = A.activity_groups(classified(spark, sf))
-    return by_key(H.candidate_pairs(H.rare_tokens(H.group_tokens(groups))), groups)
+    return by_key(H.candidate_pairs(H.rare_tokens(H.group_tokens(groups), max_df=V.TOKEN_MAX_DF)), groups)
 
 
 @query("linked", _thread_sql("""
 SELECT investigation_id, a, b, reason FROM edges"""))
 def _(spark, sf):
     groups, records = thread_inputs(spark, sf)
-    pairs = H.candidate_pairs(H.rare_tokens(H.group_tokens(groups)))
+    pairs = H.candidate_pairs(H.rare_tokens(H.group_tokens(groups), max_df=V.TOKEN_MAX_DF))
     return by_key(H.linked(pairs, groups, records), groups)
 
 
+_ID = """md5(investigation_id || chr(2) || endpoint_id || chr(2) || evidence_kind || chr(2)
+  || substr(akey, length(evidence_kind) + 2))"""
+_CHAINS = (
+    ("ids", f"SELECT gid, {_ID} AS id, cmd, first_seen, last_seen FROM named_groups"),
+    ("words", f"""
+SELECT t.investigation_id, t.token, i.id, {INSTALLS_SQL.replace('cmd', 'i.cmd')} AND contains(lower(i.cmd), t.token) AS inst,
+  i.gid, first_seen, last_seen FROM tok t JOIN ids i USING (gid)
+JOIN (SELECT investigation_id, token FROM tok GROUP BY ALL HAVING count(*) >= 2) m
+  ON m.investigation_id = t.investigation_id AND m.token = t.token"""),
+    ("moments", """
+SELECT DISTINCT investigation_id, token, id, m FROM (SELECT *, unnest([first_seen, last_seen]) AS m FROM words) WHERE m IS NOT NULL"""),
+    ("beside", """
+SELECT investigation_id, token, x, id AS y, false AS inst FROM (
+  SELECT *, lag(id) OVER w AS x, epoch_us(m) - epoch_us(lag(m) OVER w) AS gap FROM moments
+  WINDOW w AS (PARTITION BY investigation_id, token ORDER BY m, id)) WHERE gap <= 1800000000 AND x <> id
+UNION ALL SELECT investigation_id, token, x, id, false FROM (
+  SELECT *, lag(id) OVER w AS x, line - lag(line) OVER w AS gap FROM words JOIN spots USING (gid) WHERE line IS NOT NULL
+  WINDOW w AS (PARTITION BY investigation_id, token, file ORDER BY line, id)) WHERE gap <= 12 AND x <> id
+UNION ALL SELECT w.investigation_id, w.token, f.x, w.id, true FROM words w JOIN (
+  SELECT investigation_id, token, min(id) AS x FROM words WHERE inst GROUP BY ALL) f
+  ON f.investigation_id = w.investigation_id AND f.token = w.token WHERE w.id <> f.x"""))
+
+
+@query("chained", scored_sql("ranked", """
+SELECT investigation_id, least(x, y) AS a, greatest(x, y) AS b, min(CASE WHEN inst
+  THEN 'one installs or fetches ' || chr(39) || token || chr(39) || ' and another uses it'
+  ELSE 'recorded close together and both reference ' || chr(39) || token || chr(39) END) AS reason
+FROM beside GROUP BY ALL""", extra=(*INDEPENDENT_THREADS[:4], *_CHAINS)))
+def _(spark, sf):
+    groups, records = thread_inputs(spark, sf)
+    return H.chained(H.rare_tokens(H.group_tokens(groups)), groups, records)
+
+
 @query("connected", _thread_sql("""
 SELECT investigation_id, investigation_id || endpoint_id || akey AS node, root FROM roots"""))
 def _(spark, sf):
     groups, records = thread_inputs(spark, sf)
-    pairs = H.candidate_pairs(H.rare_tokens(H.group_tokens(groups)))
+    pairs = H.candidate_pairs(H.rare_tokens(H.group_tokens(groups), max_df=V.TOKEN_MAX_DF))
     found = H.connected(H.linked(pairs, groups, records)).join(
         group_keys(groups).withColumnRenamed("group_id", "node"), "node")
     least = found.groupBy("root").agg(F.min("key").alias("least"))
@@ -260,7 +293,7 @@ SELECT r.investigation_id, size, count(*) AS components, sum(records) AS records
   SELECT investigation_id, root, count(*) AS size, sum(occurrences) AS records FROM roots JOIN ranked USING (investigation_id, endpoint_id, akey) GROUP BY ALL) r
 GROUP BY ALL"""))
 def _(spark, sf):
-    found, _ = H.threads(*thread_inputs(spark, sf))
+    found, _ = H.threads(*thread_inputs(spark, sf), max_df=V.TOKEN_MAX_DF)
     return found.groupBy("investigation_id", "root").agg(
         F.sum("activity_count").alias("size"), F.sum("record_count").alias("records")).groupBy(
             "investigation_id", "size").agg(F.count("*").alias("components"),
@@ -277,7 +310,7 @@ SELECT d.investigation_id, thread_number, shape, {_TITLE_CASE} AS title, activit
 FROM described d JOIN told_sources s ON s.root = d.root AND s.piece = d.piece
 LEFT JOIN shared h ON h.root = d.root AND h.piece = d.piece"""))
 def _(spark, sf):
-    found, _ = H.threads(*thread_inputs(spark, sf))
+    found, _ = H.threads(*thread_inputs(spark, sf), max_df=V.TOKEN_MAX_DF)
     return found.select("investigation_id", "thread_number", "shape", "title", "activity_count",
                         "record_count", "execution", "priority", "category",
                         joined("sources").alias("sources"), joined("commands", " | ").alias(
@@ -292,7 +325,7 @@ SELECT investigation_id, count(*) AS total, count(*) FILTER (class = 'priority_1
     WHEN shape = 'install_then_use' OR (confirmed > 0 AND activity_count >= 3) THEN 'noteworthy' ELSE 'routine' END AS class
   FROM described) GROUP BY investigation_id"""))
 def _(spark, sf):
-    found, _ = H.threads(*thread_inputs(spark, sf))
+    found, _ = H.threads(*thread_inputs(spark, sf), max_df=V.TOKEN_MAX_DF)
     return H.thread_counts(H.select_reported_threads(found))
 
 
@@ -573,7 +606,8 @@ FROM described d JOIN component c ON c.root = d.root JOIN why ON why.component =
 LEFT JOIN ran ON ran.root = d.root AND ran.piece = d.piece"""))
 def _(spark, sf):
     tables = brief_tables(spark, sf)
-    tables["threads"], tables["thread_members"] = H.threads(tables["groups"], tables["records"])
+    tables["threads"], tables["thread_members"] = H.threads(tables["groups"], tables["records"],
+                                                            max_df=V.TOKEN_MAX_DF)
     return N.briefs(tables, "thread").select(
         "investigation_id", "subject_id", "label", "category", "priority", "execution_state",
         joined("execution_sources").alias("execution_sources"), "summary")
