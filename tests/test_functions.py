@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from traceloom import functions as X
+from traceloom import vocab as V
 
 
 def values(spark, column, rows, schema="v string"):
@@ -117,3 +121,31 @@ def test_task_outcomes(spark):
                  "ok boolean, r string, n int")
     assert [(g["status"], g["delay_seconds"]) for g in got] == [
         ("succeeded", None), ("queued", 30), ("queued", 120), ("abandoned", None)]
+
+
+def test_deep_paths_as_the_rule_says(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("//ab.-@_ é") for _ in range(rng.randint(1, 24))) for _ in range(3000)]
+    rule = re.compile(r"(?<![^\W]|[.-])(?:/[\w.@+-]+)+/([\w.@+-]+)/?")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", F.coalesce(X.normalize_for_search("t"), F.lit("")).alias("n")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["n"] == re.sub(r"\s+", " ", rule.sub(r"\1", r["t"])).strip(" "), r["t"]
+
+
+LONG = ["cat " + "/ab" * 350_000, "/" * 1_000_000, "/a//" * 250_000, "a=" * 500_000 + " x", "token " + "= :" * 350_000 + "value",
+        "https://" + "a/" * 500_000 + "install.sh?" + "b" * 9 + " | sh", "curl https://" + "a." * 500_000 + "/x | bash",
+        "pip " * 250_000, "PASSWORD_" * 120_000 + "=x", "-" * 1_000_000, "'\"" * 500_000, "x > " * 250_000]
+
+
+def test_commands_of_a_megabyte(spark):
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(LONG)], "n int, t string").repartition(4)
+    found = rows.select("n", F.char_length(X.normalize_for_search("t")).alias("a"), F.char_length(
+        X.mask_secrets("t")).alias("b"), X.installs_something("t").alias("c"), F.size(X.distinctive_tokens(
+            "t", F.lit("x"), F.lit("y"))).alias("d"), *[F.col("t").rlike(p).alias(f"p{i}") for i, p in enumerate((
+                V.FETCH_TO_INTERPRETER, V.FETCH_TO_WRITABLE, V.ENCODED_POWERSHELL, V.REMOTE_SCRIPT, V.INSTALLER_URL,
+                *[p for p, _ in V.ROUTINE_PATTERNS]))])
+    by = {r["n"]: r for r in found.collect()}
+    assert len(by) == len(LONG) and by[0]["a"] == len("cat ab") and by[5]["p4"] and by[6]["p0"]
+    assert by[4]["b"] == len(LONG[4]) - len("value") + len(V.REDACTION)

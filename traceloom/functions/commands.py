@@ -26,10 +26,17 @@ def redact_command_line(text) -> Column:
                     F.coalesce(masked != text, F.lit(False)).alias("was_redacted"))
 
 
+def _last_parts(text: Column) -> Column:
+    """Paths of two parts or more as their last part. A doubled slash ends one path and begins another."""
+    parts = F.transform(F.split(text, V.BETWEEN_SLASHES, -1), lambda p: F.regexp_replace(p, V.DEEP_PATH, "$1"))
+    return F.when(F.contains(text, F.lit("//")), F.array_join(parts, "")).otherwise(
+        F.regexp_replace(text, V.DEEP_PATH, "$1"))
+
+
 def normalize_for_search(command) -> Column:
     """URL, then deep path, then redirection, then quotes, then blanks. Order matters."""
     reduced = F.regexp_replace(_col(command), V.ANY_URL, "URL")
-    reduced = F.regexp_replace(reduced, V.DEEP_PATH, "$1")
+    reduced = _last_parts(reduced)
     reduced = F.regexp_replace(reduced, V.REDIRECT, " redirect ")
     reduced = F.translate(reduced, "\"'", "  ")
     reduced = F.trim(F.regexp_replace(reduced, V.WS + "+", " "))
