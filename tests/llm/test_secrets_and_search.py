@@ -1,5 +1,6 @@
 """Secret scans and exact top-k search against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -144,3 +145,29 @@ def test_mixed_case_keys_without_digits_are_found(spark):
     want = [[k] if _entropy_hit(k) else [] for k in keys]            # every window's entropy, by brute force
     assert [found[i] for i in range(len(keys))] == want and sum(map(bool, want)) > 70
     assert all(not found[i] for i in range(len(keys), len(keys) + len(words)))
+
+
+def test_long_runs_and_many_spans(spark):
+    """Runs of up to ten megabytes of each shape, and twenty thousand spans in one text."""
+    rng = random.Random(3)
+    shapes = ["ab/", "Ab-", "0123/", "a", "0a", "AKIA", "token=a ", "token=abcdefgh1-", "xxxx", "A-", "é/ab "]
+    texts = [s * (n // len(s)) for s in shapes for n in (6_000, 600_000)] + ["ab/" * 3_300_000, "token=" + "a" * 10_000_000]
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(20_000)]
+    texts += [" ".join(hexes), "é".join(f"token={h[:9]}" for h in hexes), "ab/" * 200_000 + KEY + "/ab" * 200_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8)
+    found = find_secrets(rows).select(
+        "doc_id", F.size("_spans").alias("n"),
+        F.sha2(masked(F.col("text"), F.col("_spans"), "*"), 256).alias("m"), listed(F.col("_spans")).alias("l"))
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert len(by) == len(texts)
+    for i, text in enumerate(texts):
+        base = [(s, k, e) for s, k, e in _base(text)]
+        spans = [(int(a), KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in by[i]["l"].split(",") if x)]
+        assert [s for s in spans if s[1] < 3] == base
+        want, at = [], 0
+        for start, _, end in spans:
+            if start >= at:
+                want += [text[at:start], "*"]
+            at = max(at, end)
+        assert by[i]["m"] == hashlib.sha256("".join([*want, text[at:]]).encode()).hexdigest()
+    assert [by[len(texts) - n]["n"] for n in (3, 2, 1)] == [20_000, 20_000, 1]

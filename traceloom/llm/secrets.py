@@ -28,36 +28,99 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}"
 BITS = {"hex": 3.0, "mixed": 3.7, "letters": 3.9}
 #: What windows must not touch to count: placeholders and alphabets.
 ALLOWED_INSIDE = "(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|lorem|0123456789|abcdefgh"
-#: Stretches that match as a whole are no secrets: identifiers, words joined by signs (each in one case, or capitalised).
-ALLOWED = ("^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
-           "|^[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_=+-]*$")
+#: Stretches that are identifiers as a whole are no secrets, nor are words and short numbers joined by signs (words in one
+#: case, or capitalised). A piece between signs is no such word where this is found. No pattern repeats a group.
+IDENTIFIER = "^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
+NO_WORD = "[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"
 MASK = "[SECRET]"
 #: Sums of c log2 c are held as integers of this many to a bit, so that they are exact.
 SCALE = 1_000_000
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+#: What stands for a character of a base span while candidates are looked for; no candidate holds it.
+_TAKEN = "\x01"
+#: Items of a block where something runs along an array or a text.
+_ITEMS, _CHARS = 128, 4096
 
 
-def _spans(text: Column, pattern: str, kind: int, counts: Column | None = None) -> Column:
-    """Spans of the leftmost matches that do not overlap, in code points.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Lengths of the matches and of what stands between them add up to positions.
+
+def _running(values: Column, least: int, op) -> Column:
+    """What ``op`` makes of the items before each item, and of ``least``: block by block, then inside the blocks.
+
+    Appending to an array copies it; blocks keep what is copied in proportion to the power 1.5 of the items.
     """
+    start = F.lit(least).cast("long")
+
+    def along(items, begin):
+        return F.aggregate(items, F.array(begin), lambda done, x: F.concat(done, F.array(op(F.element_at(done, -1), x))))
+
+    def in_blocks(items):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / _ITEMS).cast("int") - 1, F.lit(0))),
+                           lambda b: F.slice(items, b * _ITEMS + 1, _ITEMS))
+
+    def joined(blocks):
+        begins = along(F.transform(blocks, lambda block: F.aggregate(block, start, op)), start)
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), lambda block, begin: F.slice(
+            along(block, begin), 1, F.size(block))))
+
+    return _let(values, lambda items: _let(in_blocks(items), joined))
+
+
+def _steps(text: Column, pattern: str, group: int = 0) -> Column:
+    """The leftmost matches that do not overlap: what stands before each, the match, and one of its groups."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if counts is not None else found
-    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"),
-                         found.alias("found"), value.alias("value"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(state, x):
-        start = state["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    spans = F.aggregate(steps, begin, step, lambda state: state["spans"])
-    if counts is not None:
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("found"),
+                         value.alias("value"))
+    return F.when(F.rlike(text, F.lit(pattern)), steps)
+
+
+def _spans(steps: Column, kind: int, counts: int = 0) -> Column:
+    """Spans of :func:`_steps` in code points: lengths before and between the matches add up to places."""
+    sizes = F.transform(steps, lambda x: F.char_length(x["gap"]) + F.char_length(x["found"]).cast("long"))
+    spans = F.zip_with(steps, _running(sizes, 0, lambda a, b: a + b), lambda x, at: F.struct(
+        (at + F.char_length(x["gap"])).alias("start"), F.lit(kind).alias("kind"),
+        (at + F.char_length(x["gap"]) + F.char_length(x["found"])).alias("end"), x["value"].alias("value")))
+    if counts:
         spans = F.filter(spans, lambda s: F.char_length(s["value"]) >= counts)
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(steps) > 0, spans).otherwise(F.array()).cast(_SPAN)
+
+
+def _taken(text: Column, steps: Column, counts: int = 0) -> Column:
+    """``text`` with the characters of its matches replaced, one for one."""
+    sign = F.lit(_TAKEN)
+
+    def part(x):
+        away = F.repeat(sign, F.char_length(x["found"]))
+        if counts:
+            away = F.when(F.char_length(x["value"]) >= counts, away).otherwise(x["found"])
+        return F.concat(x["gap"], away)
+
+    sizes = F.aggregate(steps, F.lit(0).cast("long"), lambda n, x: n + F.char_length(x["gap"]) + F.char_length(x["found"]))
+    rest = F.substring(text, (sizes + 1).cast("int"), F.char_length(text))
+    return F.when(F.size(steps) > 0, F.concat(F.array_join(F.transform(steps, part), ""), rest)).otherwise(text)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _CHARS), F.lit(0))
+
+
+def _all_taken(texts: list[Column]) -> Column:
+    """Texts of one length as one, in which a character is taken where it is in any of them."""
+    def merged(parts):
+        same = (parts["a"] == parts["b"]) & (parts["b"] == parts["c"])
+        cells = F.arrays_zip(*[F.split(parts[k], "").alias(k) for k in "abc"])
+        return F.when(same, parts["a"]).otherwise(F.array_join(F.transform(cells, lambda c: F.when(
+            (c["a"] == _TAKEN) | (c["b"] == _TAKEN) | (c["c"] == _TAKEN), F.lit(_TAKEN)).otherwise(c["a"])), ""))
+
+    def whole(a, b, c):
+        blocks = F.arrays_zip(_blocks(a).alias("a"), _blocks(b).alias("b"), _blocks(c).alias("c"))
+        return F.when((a == b) & (b == c), a).otherwise(F.array_join(F.transform(blocks, merged), ""))
+
+    return _let(texts[0], lambda a: _let(texts[1], lambda b: _let(texts[2], lambda c: whole(a, b, c))))
 
 
 def _c_log_c(window: int) -> Column:
@@ -73,7 +136,6 @@ def high_entropy(value: Column, window: int = WINDOW, bits: dict[str, float] | N
     """
     bits = bits or BITS
     most = {k: round(SCALE * window * (math.log2(window) - b)) for k, b in bits.items()}
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(value)), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
     table = _c_log_c(window)
 
     def flag(condition: Column) -> Column:
@@ -117,49 +179,47 @@ def high_entropy(value: Column, window: int = WINDOW, bits: dict[str, float] | N
                         (state["hit"] | (complete & enough)).alias("hit"),
                         F.concat(rest, F.array(c)).alias("inside"))
 
-    return F.when(F.char_length(value) >= window, F.aggregate(codes, begin, step, lambda s: s["hit"])).otherwise(False)
+    # pieces that each hold the windows which begin in so many characters
+    pieces = F.regexp_extract_all(value, F.lit("(?=(.{1,%d})).{1,%d}" % (_CHARS + window - 1, _CHARS)), F.lit(1))
 
+    def hit(piece):
+        codes = F.transform(F.split(piece, ""), lambda c: F.ascii(c))
+        return F.aggregate(codes, begin, step, lambda s: s["hit"])
 
-def _stretches(found: Column, base: Column) -> Column:
-    """What is left of the spans ``found`` beside the spans ``base``."""
-    def cut(c):
-        inside = F.array_sort(F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        begin = F.struct(c["start"].alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-        def piece(start, end):
-            value = F.substring(c["value"], (start - c["start"] + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
-            return F.array(F.struct(start.alias("start"), c["kind"].alias("kind"), end.alias("end"), value.alias("value")))
-
-        def step(state, b):
-            return F.struct(F.greatest(state["at"], b["end"]).alias("at"),
-                            F.concat(state["spans"], piece(state["at"], b["start"])).alias("spans"))
-
-        return F.aggregate(inside, begin, step, lambda s: F.concat(s["spans"], piece(s["at"], c["end"])))
-
-    return F.flatten(F.transform(found, cut))
+    return F.when(F.char_length(value) >= window, F.exists(pieces, hit)).otherwise(False)
 
 
 def find_secrets(docs: DataFrame, window: int = WINDOW, bits: dict[str, float] | None = None,
-                 allowed: str = ALLOWED, text: str = "text", allowed_inside: str = ALLOWED_INSIDE) -> DataFrame:
+                 identifier: str = IDENTIFIER, text: str = "text", allowed_inside: str = ALLOWED_INSIDE) -> DataFrame:
     """All columns of ``docs`` and ``_spans``: ``array<struct<start, kind, end, value>>`` by start, then kind.
 
-    ``kind`` is a place in ``KINDS``. Candidates are cut at base spans, and each stretch that is left adds itself if a
-    window of it that touches no word of ``allowed_inside`` has the entropy. A null or empty text has no spans; rows
-    that repeat are scanned alike; an empty table gives an empty result. Extra columns pass.
+    ``kind`` is a place in ``KINDS``. Candidates are what lies beside base spans, and each adds itself if a window of
+    it that touches no word of ``allowed_inside`` has the entropy. A null or empty text has no spans; rows that repeat
+    are scanned alike; an empty table gives an empty result. Extra columns pass; names that begin with ``_sec_`` are
+    reserved. Work grows with the length of a text, and with the power 1.5 of its spans at most.
     """
-    whole = whole_text(text)
-    base = F.concat(_spans(whole, ASSIGN, 0, F.lit(MIN_ASSIGNED)), _spans(whole, ACCESS, 1), _spans(whole, HEX, 2))
-    more = _spans(whole, CANDIDATE % window, 3)
-    scanned = docs.withColumn("_base", base).withColumn("_more", more)
+    counts, whole = (MIN_ASSIGNED, 0, 0), whole_text(text)
+    steps = [_steps(whole, ASSIGN, 2), _steps(whole, ACCESS), _steps(whole, HEX)]
+    scanned = docs.withColumns({f"_sec_{k}": x for k, x in enumerate(steps)})
+    own = [F.col(f"_sec_{k}") for k in range(3)]
+    none = F.coalesce(*own).isNull()
+    free = F.when(none, whole).otherwise(_all_taken([_taken(whole, x, n) for x, n in zip(own, counts)]))
+    scanned = scanned.withColumn("_sec_free", free)
+    scanned = scanned.withColumn("_sec_more", _steps(F.col("_sec_free"), CANDIDATE % window)).drop("_sec_free")
 
     def secret(value):
-        return ~F.rlike(value, F.lit(allowed)) & F.exists(
-            F.split(value, allowed_inside, -1), lambda part: ~F.rlike(part, F.lit(allowed)) & high_entropy(part, window, bits))
+        def open_part(part):
+            return (~F.rlike(part, F.lit(identifier)) & F.rlike(part, F.lit(NO_WORD)) & high_entropy(part, window, bits))
+
+        return ~F.rlike(value, F.lit(identifier)) & F.rlike(value, F.lit(NO_WORD)) & F.exists(
+            F.split(value, allowed_inside, -1), open_part)
 
-    clear = F.filter(_stretches(F.col("_more"), F.col("_base")),
-                     lambda c: (F.char_length(c["value"]) >= window) & secret(c["value"]))
-    added = F.when(F.size("_more") > 0, clear).otherwise(F.array().cast(_SPAN))
-    return scanned.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_base", "_more")
+    base = F.concat(*[_spans(x, k, n) for k, (x, n) in enumerate(zip(own, counts))])
+    base = F.when(none, F.array().cast(_SPAN)).otherwise(base)
+    added = F.filter(_spans(F.col("_sec_more"), 3), lambda s: secret(s["value"]))
+    added = F.when(F.size("_sec_more") > 0, added).otherwise(F.array().cast(_SPAN))
+    return scanned.withColumn("_spans", F.array_sort(F.concat(base, added))).drop(
+        "_sec_0", "_sec_1", "_sec_2", "_sec_more")
 
 
 def listed(spans: Column) -> Column:
@@ -171,19 +231,20 @@ def listed(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
     """The text with each span, or row of spans that overlap, replaced by ``mask``."""
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    ends = F.transform(spans, lambda s: s["end"])
 
-    def step(state, s):
-        before = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        return (F.when(s["start"] >= state["at"], F.struct(
-            s["end"].alias("at"), F.concat(state["parts"], F.array(before, F.lit(mask))).alias("parts")))
-            .otherwise(F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))))
+    def replaced(blocks):
+        def between(start, end):
+            """Characters ``start`` to ``end``, from the blocks that hold them."""
+            first = F.floor(start / _CHARS)
+            held = F.array_join(F.slice(blocks, (first + 1).cast("int"), (F.floor(end / _CHARS) - first + 1).cast("int")), "")
+            return F.substring(held, (start - first * _CHARS + 1).cast("int"), (end - start).cast("int"))
 
-    def finish(state):
-        tail = F.substring(text, (state["at"] + 1).cast("int"), F.char_length(text))
-        return F.concat(F.array_join(state["parts"], ""), tail)
+        return F.zip_with(spans, _running(ends, 0, lambda a, b: F.greatest(a, b)), lambda s, at: F.when(
+            s["start"] >= at, F.concat(between(at, s["start"]), F.lit(mask))).otherwise(""))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, finish)).otherwise(text)
+    tail = F.substring(text, (F.array_max(ends) + 1).cast("int"), F.char_length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(_let(_blocks(text), replaced), ""), tail)).otherwise(text)
 
 
 def op9_secrets(spark, sf_dir):
