@@ -1,5 +1,6 @@
 """The pipeline against the brute-force version of each stage, on the rows the stage before kept."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -53,9 +54,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         out = _stages(spark, docs)
         assert all(s.columns == docs.columns for s in out[:-1])
-    # rows that repeat an id share a fate at the near-duplicate stage, and one of them stays
+    # a repeated row stays once; different texts of one id both stay
     near = corpus_pipeline.near_dedup(spark, odd_docs, None)
-    assert Counter(r["doc_id"] for r in near.collect()) == Counter([1, 2, None, 6, 7, 8, 9])
+    assert Counter(r["doc_id"] for r in near.collect()) == Counter([1, 2, None, 6, 7, 7, 8, 9])
+
+
+def test_near_dedup_as_brute_force_over_rows(spark, odd_docs):
+    """Ids that repeat or are missing, over texts that are alike or not: of each class of texts one row stays, no other goes."""
+    rng = random.Random(6)
+    words = [f"w{n}" for n in range(500)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(12)]
+    texts += [t + " more" for t in texts[:6]] + ["", " "]
+    rows = [(rng.choice([None, *range(8)]), rng.choice(texts)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], odd_docs.schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, None).collect()]
+    label = brute_classes(list(enumerate(texts)))
+    classes = {}
+    for i, t in rows:
+        classes.setdefault(label[texts.index(t)], set()).add((i is None, i))
+    want = sorted((c, i is None, i or 0) for c, ids in classes.items() for _, i in [min(ids, key=lambda x: (x[0], x[1] or 0))])
+    assert sorted((label[texts.index(t)], i is None, i or 0) for i, t in kept) == want
 
 
 def test_near_dedup_keeps_each_class_of_null_ids(spark, odd_docs):

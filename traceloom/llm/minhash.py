@@ -332,5 +332,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
             .select(told_id("d").alias("doc_id"), F.col("class").alias("class_id")))
 
 
+def first_of_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` per class of near-duplicates: that of the smallest id, and of the smallest digest under it.
+
+    A row without an id stays only where none of its class has one. Rows are told apart by id and text: different texts
+    of one id each belong to their own class, and a row that repeats stands once. Names that begin with ``_nd_`` are
+    reserved.
+    """
+    rows = row_classes(docs, doc_id=doc_id, text=text, **options)
+    least = F.min(F.struct((F.col("d") == NO_ID).alias("none"), "d", "t1", "t2")).alias("x")
+    first = rows.groupBy("label").agg(least).select(
+        F.col("x.d").alias("_nd_d"), F.col("x.t1").alias("_nd_t1"), F.col("x.t2").alias("_nd_t2"))
+    one, two = key128(whole_text(text))
+    own = docs.withColumns({"_nd_id": id_or_none(doc_id), "_nd_one": one, "_nd_two": two})
+    same = ((F.col("_nd_id") == F.col("_nd_d")) & (F.col("_nd_one") == F.col("_nd_t1"))
+            & (F.col("_nd_two") == F.col("_nd_t2")))
+    return (own.join(first, same, "left_semi").dropDuplicates(["_nd_id", "_nd_one", "_nd_two"])
+            .select(*docs.columns))
+
+
 def op4_near_duplicates(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
