@@ -7,9 +7,9 @@ others by its id and its text, so rows that repeat both share a fate; a null id
 
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import NO_ID, id_or_none, key128, whole_text
+from traceloom.llm.common import id_or_none, whole_text
 from traceloom.llm.line_dedup import drop_shared_lines
-from traceloom.llm.minhash import row_classes
+from traceloom.llm.minhash import first_of_classes
 from traceloom.llm.packing import pack
 from traceloom.llm.quality_rules import apply_rules
 from traceloom.llm.secrets import find_secrets, masked
@@ -43,22 +43,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One row stays of each class, that with the smallest id, or with the smallest hash where none has one.
-
-    Of rows that repeat an id only one takes part; rows without an id are told apart by their texts.
-    """
-    rows = row_classes(docs).withColumn("none", F.col("d") == NO_ID)
-    salt = F.when(F.col("none"), F.xxhash64("t1"))                        # null ids are not one group
-    once = (rows.groupBy("d", salt.alias("s"), "none")
-            .agg(F.min(F.struct("t1", "t2", "label")).alias("x")))
-    first = (once.groupBy("x.label").agg(F.min(F.struct("none", "d", "x.t1", "x.t2")).alias("y"))
-             .select(F.col("y.d").alias("_nd_d"), F.col("y.t1").alias("_nd_t1"), F.col("y.t2").alias("_nd_t2")))
-    one, two = key128(whole_text())
-    own = docs.withColumns({"_nd_id": id_or_none(), "_nd_one": one, "_nd_two": two})
-    same = ((F.col("_nd_id") == F.col("_nd_d")) & (F.col("_nd_one") == F.col("_nd_t1"))
-            & (F.col("_nd_two") == F.col("_nd_t2")))
-    return (own.join(first, same, "left_semi").dropDuplicates(["_nd_id", "_nd_one", "_nd_two"])
-            .select(*docs.columns))
+    """One row stays of each class, that with the smallest id, or with the smallest digest where none has one."""
+    return first_of_classes(docs)
 
 
 def secret_scan(spark, docs, sf_dir):
