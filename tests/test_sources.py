@@ -1,11 +1,17 @@
 """Readers over files laid out by host, with the awkward rows each source has."""
 
+import hashlib
 import json
+import random
 import struct
 from datetime import datetime, timezone
 
+import pytest
+
+from traceloom import functions as X
 from traceloom.sources import host as HO
 from traceloom.sources import linux as LX
+from traceloom.sources import ranges as RG
 from traceloom.sources import reference_tables as RT
 from traceloom.sources import windows as WN
 
@@ -206,3 +212,48 @@ def test_files_and_digests(spark, tmp_path):
     assert row["integrity"]["status"] == "ok" and row["container"] == "raw"
     inv = HO.file_inventory(HO.read_file_inventory(spark, path)).collect()[0]
     assert (inv["endpoint_id"], inv["path"], inv["name"]) == ("h1", "/home/u/a.pdf", "a.pdf")
+
+
+def test_fixed_records_of_large_files(spark, tmp_path):
+    """Many tasks of one file, in any cut; files of odd size are left out, as are other names."""
+    rng = random.Random(1)
+    contents = {"a/wtmp": rng.randbytes(384 * 1000), "b/wtmp": rng.randbytes(384 * 7), "b/odd": b"x" * 385, "c/none": b"",
+                "c/wtmp.txt": rng.randbytes(384)}
+    for name, data in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    want = {(name, at): data[at:at + 384] for name, data in contents.items() if len(data) % 384 == 0
+            for at in range(0, len(data), 384)}
+    for split in (384, 40_000, 1 << 26):
+        rows = RG.read_fixed_records(spark, str(tmp_path), 384, split=split)
+        assert {(str(r["path"])[len(str(tmp_path)) + 1:], r["offset"]): bytes(r["rec"]) for r in rows.collect()} == want
+        assert rows.rdd.getNumPartitions() >= min(1000, 384_000 // split)
+    assert RG.read_fixed_records(spark, str(tmp_path / "b"), 384, pattern="wtmp").count() == 7
+    assert RG.read_fixed_records(spark, f"file://{tmp_path}/none", 384).count() == 0
+    with open(tmp_path / "a" / "huge", "wb") as file:
+        file.truncate(384 * 9_000_000)                                  # 3.4 GB that take no room
+    tasks = RG._RecordReader({"path": str(tmp_path / "a"), "pattern": "huge", "record": "384"}).partitions()
+    assert len(tasks) > 50 and sum(r[2] for t in tasks for r in t.ranges) == 384 * 9_000_000
+    last = RG._RecordReader({"path": str(tmp_path / "a"), "record": "384"}).read(tasks[-1])
+    assert sum(b.num_rows for b in last) == tasks[-1].ranges[0][2] // 384
+
+
+def test_file_digests_in_blocks(spark, tmp_path):
+    rng = random.Random(2)
+    contents = {"x": b"", "d/y": b"abc", "d/e/z": rng.randbytes((8 << 20) * 2 + 17), "big": bytes((2 << 30) + 5)}
+    for name, data in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        if name == "big":
+            with open(tmp_path / name, "wb") as file:
+                file.truncate(len(data))                                # above what one row can hold
+        else:
+            (tmp_path / name).write_bytes(data)
+    rows = RG.read_file_digests(spark, str(tmp_path), split=1000).collect()
+    assert {str(r["path"])[len(str(tmp_path)) + 1:]: (r["bytes"], r["sha256"]) for r in rows} == {
+        n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+    few = RG.read_file_digests(spark, str(tmp_path / "d"), algorithms=("md5", "sha1", "sha512")).collect()
+    content = spark.createDataFrame([(contents["d/y"],)], "c binary").select(
+        *[X.content_digest("c", a) for a in ("MD5", "SHA1", "SHA512")]).collect()[0]
+    assert tuple(content) in {(r["md5"], r["sha1"], r["sha512"]) for r in few} and len(few) == 2
+    with pytest.raises(Exception, match="algorithms must be of"):
+        RG.read_file_digests(spark, str(tmp_path), algorithms=("crc32",)).count()

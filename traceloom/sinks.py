@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .sources.ranges import read_file_digests
+
 
 def write_evidence_tables(tables: dict[str, DataFrame], path: str, *, run_id: str) -> None:
     """One parquet folder per table under the run, partitioned by investigation.
@@ -23,19 +25,15 @@ def read_evidence_table(spark: SparkSession, path: str, run_id: str, name: str)
 
 
 def package_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, bytes, sha256)`` of every data file now under a package."""
-    root = path.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "part-*").load(f"{root}/data")
-    return files.select(
-        F.regexp_extract("path", r"/data/(.*)\z", 1).alias("name"),
-        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """``(name, bytes, sha256)`` of every data file now under a package, each read in blocks, whatever its size."""
+    return read_file_digests(spark, f"{path.rstrip('/')}/data", pattern="part-*").select(
+        F.regexp_extract("path", r"/data/(.*)\z", 1).alias("name"), "bytes", "sha256")
 
 
 def write_package(surfaces: dict[str, DataFrame], path: str, *, records_per_file=500_000) -> None:
     """JSON per surface (events split by kind), then a manifest of sizes and digests.
 
-    Files are bounded so that each can be read back and digested by one task.
+    Files are bounded so that each can be read back by one task.
     """
     root = path.rstrip("/")
     spark = None

@@ -7,6 +7,7 @@ from .. import vocab as V
 from ..operators.events import build_event
 from ..operators.ordering import previous_value
 from .lines import read_lines, scope, sliced, words
+from .ranges import SPLIT, read_fixed_records
 
 _JOURNAL = ("__CURSOR", "__REALTIME_TIMESTAMP", "_BOOT_ID", "_PID", "_UID", "_COMM", "_EXE",
             "_SYSTEMD_UNIT", "_CMDLINE")
@@ -182,16 +183,21 @@ def _signed32(value):
 
 
 def parse_login_sessions(files: DataFrame, *, window=None) -> DataFrame:
-    """``files(endpoint_id, content)``: fixed-size records; a file of odd size is refused."""
+    """``files(endpoint_id, content)``: small files as rows; a file of odd size is refused."""
     size = V.UTMP_RECORD_BYTES
     whole = files.filter((F.octet_length("content") % size == 0) & (F.octet_length("content") > 0))
     starts = F.sequence(F.lit(0), (F.octet_length("content") / size).cast("int") - 1)
     recs = whole.select(*scope(files), "content", F.explode(starts).alias("n")).select(
         *scope(files), (F.col("n") * size).cast("bigint").alias("offset"),
         F.col("content").substr(F.col("n") * size + 1, F.lit(size)).alias("rec"))
+    return parse_login_records(recs, window=window)
+
+
+def parse_login_records(recs: DataFrame, *, window=None) -> DataFrame:
+    """``recs(endpoint_id, offset, rec)``: records of fixed size, each with its place in its file."""
     kinds = F.create_map(*[F.lit(x) for kv in V.SESSION_RECORD_TYPES.items() for x in kv])
     rows = recs.select(
-        *scope(files), "offset", X.little_endian("rec", 0, 2).cast("int").alias("kind"),
+        *scope(recs), "offset", X.little_endian("rec", 0, 2).cast("int").alias("kind"),
         _signed32(X.little_endian("rec", 4, 4)).alias("pid"), _text_at(8, 32).alias("line"),
         _text_at(44, 32).alias("who"), _text_at(76, 256).alias("host"),
         _signed32(X.little_endian("rec", 340, 4)).alias("seconds"))
@@ -209,7 +215,8 @@ def parse_login_sessions(files: DataFrame, *, window=None) -> DataFrame:
         extra={"session_line": F.col("line"), "session_host": F.nullif("host", F.lit(""))})
 
 
-def read_login_sessions(spark: SparkSession, path, *, window=None) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.regexp_extract("path", r"endpoint=([^/]+)", 1).alias("endpoint_id"), "content")
-    return parse_login_sessions(files, window=window)
+def read_login_sessions(spark: SparkSession, path, *, window=None, split=SPLIT) -> DataFrame:
+    """Files of fixed-size records, read in ranges of ``split`` bytes; a file of odd size is refused."""
+    recs = read_fixed_records(spark, str(path), V.UTMP_RECORD_BYTES, split=split).withColumn(
+        "endpoint_id", F.regexp_extract("path", r"endpoint=([^/]+)", 1)).drop("path")
+    return parse_login_records(recs, window=window)
