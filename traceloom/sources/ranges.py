@@ -6,15 +6,20 @@ listed and read with ``pyarrow.fs``: local paths, ``file://``, and the stores it
 """
 
 import hashlib
+import sys
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import written
 
+# Readers go to their workers whole: those that plan a scan do not see the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Bytes of a task, of a batch of records, and of a block that is digested.
 SPLIT, BATCH, BLOCK = 64 << 20, 4 << 20, 8 << 20
 ALGORITHMS = ("sha256", "sha512", "sha1", "md5")

@@ -1,6 +1,7 @@
 """Streaming forms of scoring, deduplication, hash changes, health, sweeps and sequences."""
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -8,8 +9,12 @@ from .. import functions as X
 from .. import vocab as V
 from ..operators.ordering import last_value_so_far, previous_value
 from ..operators.scoring import artifact_lookup, classify_linked
+from . import states
 from .states import DigestsInOrder, FirstRun, HostStates
 
+# What keeps state goes to its workers whole: the one that starts a stream does not see the package.
+cloudpickle.register_pickle_by_value(states)
+
 
 def stream_score(events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Classified events of a stream, joined with a static artifact table.
