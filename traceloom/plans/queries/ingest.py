@@ -466,16 +466,29 @@ def _(spark, sf):
 
 
 @query("service_statistics", """
-SELECT 'c-' || CAST(c_custkey AS VARCHAR) AS endpoint_id, 3 AS units, 1 + (c_custkey + 1) % 2 AS active, 0 AS scheduled_jobs FROM customer""")
+SELECT 'c-' || CAST(c_custkey AS VARCHAR) AS endpoint_id, 3 AS units, 1 + (c_custkey + 1) % 2 AS active, coalesce(n, 0) AS scheduled_jobs
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY ALL) ON o_custkey = c_custkey""")
 def _(spark, sf):
     docs = table(spark, sf, "customer").select(
         F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("endpoint_id"),
         F.to_json(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(
             F.lit("u").alias("unit"), F.when(F.col("c_custkey") % 2 == i % 2, "active").otherwise(
                 "inactive").alias("active")))).alias("value"))
-    units = HO.service_units(docs)
-    jobs = units.limit(0).select("endpoint_id")
-    return HO.service_statistics(units, jobs)
+    text = F.when(F.col("o_orderkey") % 4 == 3, "# 5 comment").when(F.col("o_orderkey") % 4 == 0, "@daily run").otherwise(
+        "5 * * * * job")
+    jobs = HO.cron_jobs(table(spark, sf, "orders").select(
+        F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("endpoint_id"), F.lit("/etc/crontab").alias("file"),
+        F.col("o_orderkey").alias("line_no"), text.alias("value")))
+    return HO.service_statistics(HO.service_units(docs), jobs)
+
+
+@query("driver_statistics", """
+SELECT 'c-' || CAST(s_nationkey AS VARCHAR) AS endpoint_id, count(*) AS drivers_inventoried, count(*) FILTER (s_suppkey % 5 = 0) AS matched,
+  count(*) FILTER (s_suppkey % 5 IN (1, 2)) AS not_matched, count(*) FILTER (s_suppkey % 5 > 2) AS unknown FROM supplier GROUP BY ALL""")
+def _(spark, sf):
+    state = F.when(F.col("s_suppkey") % 5 == 0, V.MATCHED).when(F.col("s_suppkey") % 5 < 3, V.NOT_MATCHED).otherwise(V.UNKNOWN)
+    return HO.driver_statistics(table(spark, sf, "supplier").select(
+        F.concat(F.lit("c-"), F.col("s_nationkey").cast("string")).alias("endpoint_id"), state.alias("risk_status")))
 
 
 @query("normalize_memory", _sql("""
@@ -511,16 +524,17 @@ def _(spark, sf):
 
 
 @query("process_statistics", _sql("""
-SELECT endpoint_id, least(count(*), 200) AS processes_recorded, count(*) > 200 AS truncated FROM b GROUP BY ALL"""))
+SELECT endpoint_id, count(*) AS processes_recorded, max(event_id) AS highest_pid_recorded, 0 AS command_lines_redacted,
+  count(*) FILTER (k % 4 = 0) AS permission_denied, false AS truncated FROM b GROUP BY ALL"""))
 def _(spark, sf):
     rows = base(spark, sf).select(
         "endpoint_id", F.col("event_id").alias("pid"), F.col("event_type").alias("name"),
         F.lit("/bin/x").alias("executable"), F.col("u").alias("parent_pid"),
         F.col("seen_at").alias("started_at"), F.lit("x").alias("command_line"),
-        F.lit(False).alias("access_denied"))
-    capped = HO.normalize_process_snapshot(rows, max_processes=200)
-    return HO.process_statistics(capped).select("endpoint_id", "processes_recorded").join(
-        capped.groupBy("endpoint_id").agg(F.bool_or("truncated").alias("truncated")), "endpoint_id")
+        (F.col("k") % 4 == 0).alias("access_denied"))
+    every = HO.normalize_process_snapshot(rows)
+    return HO.process_statistics(every).join(
+        every.groupBy("endpoint_id").agg(F.bool_or("truncated").alias("truncated")), "endpoint_id")
 
 
 # --- reference tables -------------------------------------------------------------------------

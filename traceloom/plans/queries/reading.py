@@ -61,11 +61,10 @@ def _(spark, sf):
 
 @query("list_directory", view_sql(["artifacts"], """
 SELECT path, collection_order FROM artifacts WHERE starts_with(path, '/tmp/') AND NOT contains(substr(path, 6), '/')
-ORDER BY lower(regexp_extract(path, '[^/]*$', 0)), path, collection_order LIMIT 100000"""))
+ORDER BY lower(regexp_extract(path, '[^/]*$', 0)), path, collection_order"""))
 def _(spark, sf):
     from ...sources.host import file_inventory, list_directory
-    return list_directory(file_inventory(evidence(spark, sf, "artifacts")), "/tmp",
-                          limit=100000).select("path", "collection_order")
+    return list_directory(file_inventory(evidence(spark, sf, "artifacts")), "/tmp").select("path", "collection_order")
 
 
 # --- search and selection over surfaces --------------------------------------------

@@ -316,11 +316,8 @@ def _(spark, sf):
 @query("in_window", view_sql(["exec_events"], """
 SELECT event_id FROM exec_events WHERE ts BETWEEN (SELECT max(ts) FROM events) - INTERVAL 168 HOUR AND (SELECT max(ts) FROM events)"""))
 def _(spark, sf):
-    from pyspark.sql import functions as fn
-    rows = evidence(spark, sf, "exec_events")
-    end = evidence(spark, sf, "base").select(fn.max("seen_at")).scalar()
-    return rows.filter(F.col("ts").between(end - F.make_dt_interval(hours=F.lit(
-        V.WINDOW_DEFAULT_HOURS)), end)).select("event_id")
+    end = evidence(spark, sf, "base").agg(F.max("seen_at").cast("timestamp").alias("end")).first()["end"]
+    return evidence(spark, sf, "exec_events").filter(X.in_window("ts", X.resolve_window(end=end))).select("event_id")
 
 
 @query("task_states", view_sql(["base"], """

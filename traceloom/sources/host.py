@@ -283,14 +283,18 @@ def search_files(files: DataFrame, needle: str) -> DataFrame:
     return files.filter(F.lower("name").contains(needle.strip().lower()))
 
 
-def list_directory(files: DataFrame, directory: str, *, limit=500) -> DataFrame:
-    """A directory page: folders first, then by lower-case name."""
-    return files.filter(X.path_dirname("path") == directory.rstrip("/")).orderBy(
-        (F.col("type") != "directory"), F.lower("name"), "path").limit(limit)
+def list_directory(files: DataFrame, directory: str, *, limit: int | None = None) -> DataFrame:
+    """What lies in a directory: folders first, then by lower-case name; with ``limit`` its first page."""
+    held = files.filter(X.path_dirname("path") == directory.rstrip("/")).orderBy(
+        (F.col("type") != "directory"), F.lower("name"), "path")
+    return held if limit is None else held.limit(limit)
 
 
 def file_digests(spark: SparkSession, path, *, algorithm="SHA256") -> DataFrame:
-    """Digest, size, container format and structural check of each collected file."""
+    """Digest, size, container format and structural check of each collected file.
+
+    For files of up to 2 GB, as their markers are looked at; :func:`.ranges.read_file_digests` digests any size.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(
         "path", F.col("length").alias("size_bytes"), F.lit(algorithm.upper()).alias("algorithm"),
