@@ -6,6 +6,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom import sinks as K
 from traceloom.operators import activity as A
@@ -219,6 +220,33 @@ def test_pipeline(make_events, make_artifacts):
     assert out["activity"].agg({"occurrences": "sum"}).collect()[0][0] == 3
 
 
+def test_pipeline_to_the_summary(spark, make_events, make_artifacts):
+    run = {"kind": "EXECUTION_EVIDENCE", "ran": True, "source": "systemd journal"}
+    events = make_events([{**run, "image": "/tmp/x", "ts": "2024-01-01T00:00:00"}, {"command": "pip install findmail", "record": "/h:1"},
+                          {"command": "findmail a@example.com", "record": "/h:2"}]).drop("reference")
+    artifacts = make_artifacts([{"path": "/tmp/x"}, {"path": "/tmp/gone", "status": "MISSING"}]).drop("reference").withColumn(
+        "modified", F.lit(None).cast("timestamp"))
+    sources = spark.createDataFrame([("i", "systemd journal", "AVAILABLE", None), ("i", "kernel audit log", "PERMISSION_DENIED", "no")],
+                                    "investigation_id string, name string, status string, detail string")
+    flags = spark.createDataFrame([("i", True, False, False)], "investigation_id string, execution_truncated boolean, "
+                                  "artifacts_truncated boolean, processes_truncated boolean")
+    memory = spark.createDataFrame([("i", "m", 4, 0, "System"), ("i", "m", 70, 999, "odd"), ("i", "m", 71, 4, "fine")],
+                                   "investigation_id string, image string, pid long, parent_pid long, process_name string")
+    images = spark.createDataFrame([("i", "m", "REAL")], "investigation_id string, image string, provenance string")
+    out = run_pipeline({"events": events, "artifacts": artifacts, "sources": sources, "flags": flags, "memory": memory,
+                        "memory_images": images})
+    assert out["findings"].filter("category = 'memory_orphan_process'").count() == 1
+    assert {r["category"] for r in out["limitations"].collect()} == {"telemetry_unavailable", "collection_truncated",
+                                                                      "undated_evidence"}
+    counts = out["record_counts"].collect()[0]
+    assert counts["findings"] == out["findings"].count() and counts["collection_limitations"] == out["limitations"].count()
+    told = {(r["section"], r["position"]): r for r in out["case_summary"].collect()}
+    assert told["scope", 1]["statement"].startswith("3 distinct activities from 1 of 2 telemetry sources")
+    assert told["threads", 1]["statement"].startswith("1 thread(s) were formed")
+    assert told["priority", 1]["evidence_ids"]
+    assert out["conclusion"].count() == 1 and out["significant_events"].filter("kind = 'FINDING'").count() > 0
+
+
 @pytest.mark.parametrize("kind", ["activity", "execution_event", "finding", "artifact"])
 def test_briefs_for_all_subjects(make_events, make_artifacts, kind):
     from traceloom.operators import correlate as C
