@@ -8,6 +8,7 @@ blocks of lengths and inside each, so that no single task sorts all lengths.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .tokens import token_lengths
 
 BLOCK = 1024
@@ -66,6 +67,9 @@ def length_quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op7_token_counts(spark, sf_dir):
-    """Lengths by the 50k byte-level vocabulary; a null or empty text has length 0."""
+    """Lengths by the 50k byte-level vocabulary; a null or empty text has length 0.
+
+    The histogram is written, as both levels of sums read it and texts are to be encoded once.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return suffix_sums(length_histogram(token_lengths(docs)))
+    return suffix_sums(written(length_histogram(token_lengths(docs))))
