@@ -46,7 +46,7 @@ def _key(r):
 def test_base_scores_as_brute_force(few_docs, odd_docs, no_docs, own_words):
     for docs in (few_docs, odd_docs):
         want = sorted(_base([(r["doc_id"], r["text"]) for r in docs.collect()]), key=_key)
-        rows = score_texts(docs, own_words=own_words, hashed=16, rounds=1).collect()
+        rows = score_texts(docs, own_words=own_words, hashed=16, rounds=1, at_once=5000).collect()
         got = sorted([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])
                       for r in rows], key=_key)
         for a, b in zip(want, got, strict=True):
@@ -101,6 +101,67 @@ def test_training_raises_the_likelihood_and_held_out_scores(spark, few_docs):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def _forward_backward(start, moves, emits):
+    """Likelihood and (state, transition) probabilities of one sequence, step by step."""
+    alpha, beta = [start * emits[0]], [np.ones(len(start))]
+    for e in emits[1:]:
+        alpha.append(alpha[-1] @ moves * e)
+    for e in emits[:0:-1]:
+        beta.append(moves @ (e * beta[-1]))
+    beta.reverse()
+    p = alpha[-1].sum()
+    pairs = sum((np.outer(a, e * b) * moves / p for a, e, b in zip(alpha, emits[1:], beta[1:], strict=False)),
+                np.zeros((len(start), len(start))))
+    return p, [a * b / p for a, b in zip(alpha, beta, strict=True)], pairs
+
+
+@pytest.mark.parametrize("own_words", [1000, 6])
+def test_scores_as_brute_force(spark, own_words):
+    """The whole of the model, recomputed word by word: tied rounds, the untied round, and each text's score."""
+    rng, k, hashed = random.Random(8), 4, 5
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 25))))
+            for i in range(60)] + [(5, "W1 w2"), (None, "never seen w1"), (61, None)]
+    texts = [[*_words(t), ""] for _, t in rows]
+    training = [t for t, (own, _) in zip(texts, rows, strict=True) if not _held(own)]
+    counts = Counter(w for t in training for w in t)
+    words = {w: c for w, c in counts.items() if w}
+    least = next(c for c in range(1, 10 ** 6) if sum(v >= c for v in words.values()) <= own_words)
+    top = sorted((w for w, c in words.items() if c >= least), key=lambda w: (-words[w], w))
+    number = {w: i for i, w in enumerate(["", *top])}
+    classes = {w: number.get(w, len(number) + zlib.crc32(w.encode()) % hashed) for t in texts for w in t}
+    size = np.full(len(number) + hashed, 0.1)
+    for w, c in counts.items():
+        size[classes[w]] += c
+    tied = Hmm.started(size / size.sum(), k)
+    start, moves, emits = tied.initial, tied.moves, tied.emits
+    for last in (False, False, True):
+        first, pairs, by_class = np.ones(k), np.ones((k, k)), np.full(emits.shape, 0.1)
+        by_word = {w: np.zeros(k) for w in counts}
+        for t in training:
+            _, states, edges = _forward_backward(start, moves, [emits[classes[w]] for w in t])
+            first, pairs = first + states[0], pairs + edges
+            for w, s in zip(t, states, strict=True):
+                by_class[classes[w]] += s
+                by_word[w] += s
+        start, moves = first / first.sum(), pairs / pairs.sum(1, keepdims=True)
+        if not last:
+            emits = by_class / by_class.sum(0)
+    dealt = sum(by_word.values()) / counts.total()
+    mass = {w: (by_word[w] + 2 * dealt) / (c + 2) * (c + 0.1) for w, c in counts.items()}
+    unseen = 0.1 * dealt
+    total = sum(mass.values()) + unseen
+    assert np.allclose(sum(mass.values()) / total + unseen / total, 1)                # each state's emissions add up
+    want = sorted((own is None, own or 0, math.log10(
+        _forward_backward(start, moves, [mass.get(w, unseen) / total for w in t])[0]))
+        for (own, _), t in zip(rows, texts, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"])
+                 for r in score_texts(docs, own_words=own_words, hashed=hashed, rounds=2, at_once=100).collect())
+    for a, b in zip(want, got, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
 def _labelled(spark, n=600):
     rng, docs, labels = random.Random(6), [], []
     for i in range(n):

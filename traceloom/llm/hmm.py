@@ -1,10 +1,10 @@
-"""Language-model scores of texts: a hidden Markov model over word classes, trained by Baum-Welch.
+"""Language-model scores of texts: a hidden Markov model over words, trained by Baum-Welch.
 
-The most frequent words are classes of their own, and all other words fall into hashed classes; inside a class a
-word's share comes from its count. So the probability of a text is that of its sequence of classes under the model
-times the shares of its rarer words. The expectation step runs over all training texts inside the partitions, whose
-counts are added up by Spark; a table of classes by states is what the driver sees. Scores are exact: a forward
-recursion scaled at every token. Counts of rarer words, of which there may be any number, meet the texts in a join.
+Every word has emissions of its own, in a table of words by states that grows with the vocabulary. Training starts from
+a tied model, in which the most frequent words are classes of their own and the others fall into hashed classes: its
+rounds need no exchange but one sum per class. The last round unties them: expected counts go up by word, are added up
+by Spark, and come down again in a join to the words of each chunk of texts. A chunk lists a word once, so that no word
+is a hot key. Scores are exact: a forward recursion scaled at every token.
 """
 
 import zlib
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from ..session import written
 from .common import whole_text
 
-#: States; words that are classes of their own; hashed classes of the others; rounds of Baum-Welch.
+#: States; classes of the tied model: words of their own, and hashed ones of the others; its rounds of Baum-Welch.
 STATES, OWN_WORDS, HASHED, ROUNDS = 4, 32_768, 1024, 3
+#: Occurrences that speak for the states' own shares beside those of a word.
+PRIOR = 2.0
 #: Fixed values of the base score: what is added to a count, and every which document is held out.
 ADDED, FOLDS = 0.1, 10
-#: Tokens whose state probabilities a task holds at once, unless one text is longer; words counted before they are sent.
+#: Tokens of a chunk of texts, unless one text is longer; words counted before they are sent.
 AT_ONCE, COUNTED = 1_000_000, 200_000
 
 
@@ -85,58 +87,94 @@ def least_own_count(words: DataFrame, most: int, cells: int = 4096) -> int:
     return (1 << edge) + cell * step if cell is not None else 1 << (edge + 1)
 
 
-class Classes(dict):
-    """Class of a word: 0 is the end, then the frequent words, then the hashed classes."""
+class Numbers(dict):
+    """Words numbered as they come; 0 is the end."""
 
-    def __init__(self, frequent: list[str], hashed: int = HASHED):
-        super().__init__({w.encode(): i + 1 for i, w in enumerate(frequent)})
-        self.first, self.hashed = len(frequent) + 1, hashed
+    def __init__(self):
+        super().__init__({b"": 0})
 
     def __missing__(self, word: bytes) -> int:
-        return self.first + zlib.crc32(word) % self.hashed
+        self[word] = number = len(self)
+        return number
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        classes = np.zeros(len(words) + 1, np.uint16)
-        classes[:-1] = np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
-        return classes
 
+CHUNK = "chunk long, doc_ids array<long>, lengths array<int>, words array<string>, classes binary, symbols binary"
 
-def coded(docs: DataFrame, frequent: list[str], logs: np.ndarray, known: np.ndarray,
-          hashed: int = HASHED) -> DataFrame:
-    """Each text of ``docs (doc_id, text)`` as classes, with what its frequent words add to the base score.
 
-    ``row`` numbers the rows; ``rare`` and ``times`` list the words of hashed classes.
+def chunks(docs: DataFrame, frequent: list[str], hashed: int = HASHED, at_once: int = AT_ONCE) -> DataFrame:
+    """The texts of ``docs (doc_id, text)``, about ``at_once`` tokens a row.
+
+    ``symbols`` are the texts one after another as numbers into ``words``, each text followed by its end, word 0;
+    ``classes`` are the words' classes in the tied model: the end, the frequent words, then the hashed classes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, logs, known))
-    schema = ("row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, frequent_score double, "
-              "classes binary, rare array<string>, times array<int>")
-    names = [f.split()[0] for f in schema.split(", ")]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def row(number, ids, symbols, words):
+        own = {w.encode(): i + 1 for i, w in enumerate(shared.value)} | {b"": 0}
+        classes = [own[w] if w in own else len(own) + zlib.crc32(w) % hashed for w in words]
+        return pa.RecordBatch.from_arrays([
+            pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+            pa.array([[len(s) for s in symbols]], pa.list_(pa.int32())),
+            pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
+            pa.array([np.array(classes, "<u4").tobytes()], pa.binary()),
+            pa.array([np.concatenate(symbols).tobytes()], pa.binary())], names=[f.split()[0] for f in CHUNK.split(", ")])
 
     def run(batches):
-        words_known, score_of, is_known = shared.value
-        classes, number = Classes(words_known, hashed), TaskContext.get().partitionId() << 36
+        number = TaskContext.get().partitionId() << 36
+        ids, symbols, words, held = [], [], Numbers(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns = [[] for _ in names]
                 for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = _words(text)
-                    found = classes.of(words)
-                    own_class = found < classes.first
-                    rare = Counter([words[i] for i in np.flatnonzero(~own_class).tolist()])
-                    top = found[own_class]
-                    values = (number, own, _held_out(own), len(found), int(is_known[top].sum()),
-                              float(score_of[top].sum()), found.astype("<u2").tobytes(),
-                              [w.decode() for w in rare], list(rare.values()))
-                    number += 1
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(),
-                         pa.list_(pa.string()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return docs.mapInArrow(run, schema)
+                    found = _words(text)
+                    ids.append(own)
+                    symbols.append(np.fromiter(map(words.__getitem__, [*found, b""]), "<u4", len(found) + 1))
+                    held += len(found) + 1
+                    if held >= at_once:
+                        yield row(number, ids, symbols, words)
+                        number, ids, symbols, words, held = number + 1, [], [], Numbers(), 0
+        if ids:
+            yield row(number, ids, symbols, words)
+
+    return docs.mapInArrow(run, CHUNK)
+
+
+class Chunk:
+    """One row of :func:`chunks`, read from a batch or table."""
+
+    def __init__(self, batch, at: int = 0):
+        def cell(name):
+            return batch.column(name)[at]
+
+        self.doc_ids, lengths = cell("doc_ids").as_py(), cell("lengths").as_py()
+        self.held_out = [_held_out(d) for d in self.doc_ids]
+        symbols = np.frombuffer(cell("symbols").as_buffer(), "<u4")
+        self.classes = np.frombuffer(cell("classes").as_buffer(), "<u4")
+        self.texts = np.split(symbols, np.cumsum(lengths)[:-1])
+
+    @classmethod
+    def each(cls, batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield cls(batch, at)
+
+    @property
+    def training(self) -> list[np.ndarray]:
+        return [t for t, held in zip(self.texts, self.held_out, strict=True) if not held]
+
+
+def _class_sequences(batches):
+    """The training texts of each chunk as sequences of classes."""
+    for chunk in Chunk.each(batches):
+        if chunk.training:
+            yield [chunk.classes[t] for t in chunk.training]
+
+
+def _sequences(batches):
+    """Rows of one column, each the classes of a text."""
+    for batch in batches:
+        if batch.num_rows:
+            yield [np.frombuffer(c.as_buffer(), "<u2") for c in batch.column(0)]
 
 
 class Sequences:
@@ -209,8 +247,8 @@ class Hmm:
         emitted = np.stack([np.bincount(laid.symbols, alpha[:, s], len(self.emits)) for s in range(k)], 1)
         return alpha[:steps[0][1]].sum(0), pairs * self.moves, emitted
 
-    def trained(self, sequences: DataFrame) -> "Hmm":
-        """One round of Baum-Welch over ``sequences (classes binary)``.
+    def trained(self, sequences: DataFrame, read=_sequences) -> "Hmm":
+        """One round of Baum-Welch over the lists of sequences that ``read`` makes of the batches of ``sequences``.
 
         Counts are added up inside each task, then across tasks; one row per class, state or total reaches the
         driver. Classes and moves that were not seen keep a small share.
@@ -222,8 +260,8 @@ class Hmm:
         def run(batches):
             model = shared.value
             total = np.zeros((n_classes + k + 1, k))
-            for group in _groups(batches, 0):
-                first, pairs, emitted = model.expected([s for _, s in group])
+            for group in read(batches):
+                first, pairs, emitted = model.expected(group)
                 total[:n_classes] += emitted
                 total[n_classes:-1] += pairs
                 total[-1] += first
@@ -231,7 +269,7 @@ class Hmm:
             yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, i]) for i in range(k)]],
                                              names=["at", *columns])
 
-        parts = sequences.select("classes").mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in columns))
+        parts = sequences.mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in columns))
         rows = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
         total = np.zeros((n_classes + k + 1, k))
         total[rows["at"].to_numpy(int)] = rows[columns].to_numpy(float)
@@ -242,86 +280,129 @@ class Hmm:
                    total[:n_classes] / total[:n_classes].sum(0))
 
 
-def _groups(batches, column: int):
-    """Lists of ``(row of the batch, classes)`` of about ``AT_ONCE`` tokens, long sequences together."""
-    for batch in batches:
-        cells = [np.frombuffer(c.as_buffer(), "<u2") for c in batch.column(column)]
-        group, held = [], 0
-        for i in sorted(range(len(cells)), key=lambda i: -len(cells[i])):
-            group.append((i, cells[i]))
-            held += len(cells[i])
-            if held >= AT_ONCE:
-                yield group
-                group, held = [], 0
-        if group:
-            yield group
-
-
-def sequence_scores(rows: DataFrame, model: Hmm) -> DataFrame:
-    """``(row, class_score)``: log10 of the probability of each row's classes."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def expected_by_word(texts: DataFrame, model: Hmm) -> DataFrame:
+    """``(word, at, c, s0, s1, ...)``: occurrences of words in training texts, and expected counts of their states.
+
+    Rows without a word hold those of transitions (``at`` the state left) and, after them, of initial states. A word's
+    share in its class is the same in all states, so it does not move the expectation.
+    """
+    k = len(model.initial)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    columns = [f"s{i}" for i in range(k)]
+
+    def rows(words, at, counts, values):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), pa.array(at, pa.int32()), pa.array(counts, pa.int64()),
+             *[pa.array(values[:, i]) for i in range(k)]], names=["word", "at", "c", *columns])
 
     def run(batches):
+        tied, edges = shared.value, np.zeros((k + 1, k))
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for group in _groups([batch], 1):
-                out[[i for i, _ in group]] = shared.value.log10_likelihoods([s for _, s in group])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["row", "class_score"])
+            for at in range(batch.num_rows):
+                chunk = Chunk(batch, at)
+                if chunk.training:
+                    own = Hmm(tied.initial, tied.moves, tied.emits[chunk.classes])
+                    first, pairs, emitted = own.expected(chunk.training)
+                    edges[:k] += pairs
+                    edges[k] += first
+                    counts = np.bincount(np.concatenate(chunk.training), minlength=len(chunk.classes))
+                    seen = np.flatnonzero(counts)
+                    words = batch.column("words")[at].values.take(pa.array(seen))
+                    yield rows(words, np.zeros(len(seen), int), counts[seen], emitted[seen])
+        yield rows([None] * (k + 1), np.arange(k + 1), np.zeros(k + 1, int), edges)
+
+    parts = texts.mapInArrow(run, "word string, at int, c long, " + ", ".join(f"{c} double" for c in columns))
+    return parts.groupBy("word", "at").agg(*[F.sum(c).alias(c) for c in ("c", *columns)])
+
+
+class Untied:
+    """The model with a word's own emissions: of the word's smoothed count, each state takes its share.
+
+    A share counts the word's expected occurrences in a state and ``PRIOR`` occurrences dealt as all words are; a word
+    that training never saw is dealt by these alone. Shares times counts, over a state's sum of them, are the emissions.
+    """
+
+    def __init__(self, initial: np.ndarray, moves: np.ndarray, dealt: np.ndarray, sums: np.ndarray):
+        self.initial, self.moves, self.dealt, self.sums = initial, moves, dealt, sums
 
-    return rows.select("row", "classes").mapInArrow(run, "row long, class_score double")
+    @classmethod
+    def of(cls, table: DataFrame, k: int) -> "Untied":
+        """From the sums of :func:`expected_by_word`; k + 1 rows of edges and two of totals reach the driver."""
+        columns = [f"s{i}" for i in range(k)]
+        edges = np.zeros((k + 1, k))
+        for r in table.filter("word IS NULL").collect():
+            edges[r["at"]] = [r[c] for c in columns]
+        edges += 1.0
+        words = table.filter("word IS NOT NULL")
+        total = np.array([v or 0.0 for v in words.agg(*[F.sum(c) for c in columns]).first()])
+        dealt = total / total.sum() if total.sum() > 0 else np.full(k, 1 / k)
+        c = F.col("c")
+        mass = [F.sum((F.col(x) + PRIOR * float(d)) / (c + PRIOR) * (c + ADDED))
+                for x, d in zip(columns, dealt, strict=True)]
+        sums = np.array([v or 0.0 for v in words.agg(*mass).first()]) + ADDED * dealt
+        return cls(edges[k] / edges[k].sum(), edges[:k] / edges[:k].sum(1, keepdims=True), dealt, sums)
+
+    def emits(self, counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """Emissions of words by their occurrences and the expected counts of their states (words by states)."""
+        c = counts[:, None]
+        return (expected + PRIOR * self.dealt) / (c + PRIOR) * (c + ADDED) / self.sums
 
 
 def score_texts(docs: DataFrame, states: int = STATES, own_words: int = OWN_WORDS, hashed: int = HASHED,
-                rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text", at_once: int = AT_ONCE) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     ``base_score`` is the smoothed unigram score and ``score`` the model's, both log10. A null text is empty: its end
     alone. Rows without an id are held out; rows that repeat an id are scored, and trained on, each time. Without
     training texts every word is unknown. An empty table gives an empty result. Extra columns are ignored.
-    ``own_words`` and ``hashed`` together stay below 65,535; both bound the model, whatever the vocabulary's size.
+    ``own_words`` and ``hashed`` bound the tied model of the first ``rounds``; of words that tie at the limit, all are
+    hashed. The last round gives every word emissions of its own.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     vocabulary = written(word_counts(docs))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    scale = total + ADDED * (distinct + 1)
+    scale = float(total + ADDED * (distinct + 1))
     words = vocabulary.filter("word <> ''")
     least = least_own_count(words, own_words)
     top = sorted(words.filter(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"]))
     ends = vocabulary.filter("word = ''").collect()
-    frequent = [r["word"] for r in top]
-    counts = np.array([ends[0]["c"] if ends else 0, *[r["c"] for r in top]], float)
-    rows = written(coded(docs, frequent, np.log10((counts + ADDED) / scale), counts > 0, hashed))
-
-    rarer = words.filter(F.col("c") < least)
-    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(hashed)).cast("int")
-    sizes = {r["h"]: (r["n"], r["v"]) for r in rarer.groupBy(bucket.alias("h")).agg(
-        F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    masses = [sizes.get(h, (0, 0)) for h in range(hashed)]
+    texts = written(chunks(docs, [r["word"] for r in top], hashed, at_once))
 
-    frequency = np.r_[counts, [n for n, _ in masses]] + ADDED
+    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(hashed)).cast("int").alias("h")
+    masses = dict(words.filter(F.col("c") < least).groupBy(bucket).agg(F.sum("c")).collect())
+    frequency = np.array([ends[0]["c"] if ends else 0, *[r["c"] for r in top],
+                          *[masses.get(h, 0) for h in range(hashed)]], float) + ADDED
     model = Hmm.started(frequency / frequency.sum(), states)
-    training = rows.filter(~F.col("held_out"))
     for _ in range(rounds):
-        model = model.trained(training)
-
-    inside = docs.sparkSession.createDataFrame(
-        [(h, float(n + ADDED * (v + 1))) for h, (n, v) in enumerate(masses)], "h int, mass double")
-    c = F.coalesce("c", F.lit(0)).cast("double") + ADDED
-    rare = (rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
-            .select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-            .join(rarer, "word", "left").withColumn("h", bucket)
-            .join(F.broadcast(inside), "h")                              # one row per hashed class
-            .groupBy("row").agg(F.sum(F.col("times") * F.log10(c / scale)).alias("rare_score"),
-                                F.sum(F.col("times") * F.log10(c / F.col("mass"))).alias("share_score"),
-                                F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare")))
-    zero = F.lit(0)
-    return (rows.select("row", "doc_id", "held_out", "n_tokens", "n_frequent", "frequent_score")
-            .join(sequence_scores(rows, model), "row").join(rare, "row", "left")
-            .select("doc_id", "held_out", "n_tokens",
-                    (F.col("n_frequent") + F.coalesce("n_rare", zero)).cast("long").alias("n_known"),
-                    F.lit(int(total)).cast("long").alias("train_tokens"),
-                    (F.col("frequent_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-                    (F.col("class_score") + F.coalesce("share_score", F.lit(0.0))).alias("score")))
+        model = model.trained(texts, _class_sequences)
+
+    table = written(expected_by_word(texts, model))
+    shared = docs.sparkSession.sparkContext.broadcast(Untied.of(table, states))
+    columns = [f"s{i}" for i in range(states)]
+    placed = (texts.select("chunk", F.posexplode("words").alias("at", "word"))
+              .join(table.filter("word IS NOT NULL").drop("at"), "word")
+              .select(F.col("chunk").alias("of"), "at", "c", *columns))
+
+    def score(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        chunk, untied = Chunk(ours), shared.value
+        counts, expected = np.zeros(len(chunk.classes)), np.zeros((len(chunk.classes), states))
+        if theirs.num_rows:
+            at = theirs.column("at").to_numpy()
+            counts[at] = theirs.column("c").to_numpy()
+            expected[at] = np.stack([theirs.column(c).to_numpy() for c in columns], 1)
+        own = Hmm(untied.initial, untied.moves, untied.emits(counts, expected))
+        logs = np.log10((counts + ADDED) / scale)
+        return pa.table({
+            "doc_id": pa.array(chunk.doc_ids, pa.int64()), "held_out": pa.array(chunk.held_out, pa.bool_()),
+            "n_tokens": pa.array([len(t) for t in chunk.texts], pa.int64()),
+            "n_known": pa.array([int((counts[t] > 0).sum()) for t in chunk.texts], pa.int64()),
+            "base_score": pa.array([float(logs[t].sum()) for t in chunk.texts], pa.float64()),
+            "score": pa.array(own.log10_likelihoods(chunk.texts), pa.float64())})
+
+    scored = texts.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known",
+                         F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_scores(spark, sf_dir):
