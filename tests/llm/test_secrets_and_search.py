@@ -80,13 +80,13 @@ def test_window_entropy_as_brute_force(spark):
     assert 50 < sum(got.values()) < 250
 
 
-def _top(vectors, k):
-    cells = {i: [math.floor(64 * x) for x in v] for i, v in sorted(vectors.items())}
+def _top(rows, k):
+    cells = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
     out = []
-    for q in [i for i in cells if i % 20 == 0]:
-        scores = sorted((-max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(cells[q], c, strict=False)))), i)
-                        for i, c in cells.items() if i != q)              # a score no long holds stops at its end
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    for at, (q, own) in enumerate(cells):
+        scores = sorted((-max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(own, c, strict=False)))), i)
+                        for n, (i, c) in enumerate(cells) if n != at)     # a score no long holds stops at its end
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k]) if q % 20 == 0]
     return sorted(out)
 
 
@@ -101,17 +101,18 @@ def test_top_k_as_brute_force(spark):
     for spread, shift in ((1.0, 0), (1.0, 3), (0.02, 0), (3e6, 0), (3e12, 0)):
         rows = [(i - 100, [rng.gauss(shift, 1) * spread for _ in range(10)], "x") for i in range(300)]
         rows = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").collect()
-        want = _top({r[0]: r[1] for r in rows}, 7)
-        assert _found(spark, rows, 7, slab=64, block=4) == want
-    assert _found(spark, rows[:5], 7) == _top({r[0]: r[1] for r in rows[:5]}, 7)
+        want = _top([r[:2] for r in rows], 7)
+        assert _found(spark, rows, 7, slab=64, group=8, block=3) == want
+    assert _found(spark, rows[:5], 7) == _top([r[:2] for r in rows[:5]], 7)
 
 
 def test_top_k_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    good = {0: [1.0, 0.5], 1: [1.0, 0.5], 2: [1.0, 0.5], 20: [0.25, -1.0]}
-    rows = [(i, v, "x") for i, v in good.items()] + [(0, [1.0, 0.5], "x")]
+    good = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (20, [0.25, -1.0]), (0, [1.0, 0.5]), (0, [0.5, 2.0]),
+            (9, [2.0 ** 127, 1.0]), (10, [2.0 ** 126, -2.0 ** 126]), (40, [2.0 ** 120])]
+    rows = [(i, v, "x") for i, v in good]
     rows += [(5, None, "x"), (6, [], "x"), (40, [nan, 1.0], "x"), (7, [inf, 1.0], "x"), (8, [None, 1.0], "x"),
-             (None, [1.0, 1.0], "x"), (9, [3e38, 1.0], "x")]
+             (None, [1.0, 1.0], "x")]
     assert _found(spark, rows, 20) == _top(good, 20)
     assert _found(spark, [], 20) == []
 

@@ -3,7 +3,8 @@
 Vectors are held in slabs in vertical layout, one row of memory per dimension. Scores of a block of queries are
 accumulated dimension block by dimension block; what the dimensions still to come can add is bounded by the mass
 (norm) that remains on both sides, and candidates whose bound stays below the k-th best score so far are compacted
-away. Blocks of queries meet slabs of candidates in a grouped job, so a task holds one of each.
+away. Groups of queries meet slabs of candidates in a grouped job, so a task holds one of each and goes through the
+group block by block. Every vector travels once per group of queries, every query once per slab, as small integers.
 """
 
 import numpy as np
@@ -12,84 +13,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import written
+
 TOP_K, SCALE, EVERY = 20, 64, 20
-#: Rows of a slab of candidates and of a block of queries, columns looked at together, and dimensions of a step.
-SLAB, QUERIES, COLUMNS, STEP = 32_768, 512, 4096, 16
-_BLOB = "part long, ids binary, cells binary, dims int"
+#: Rows of a slab of candidates and of a group of queries, and of a block inside it; columns looked at together, and
+#: dimensions of a step.
+SLAB, QUERIES, BLOCK, COLUMNS, STEP = 32_768, 8192, 512, 4096, 16
+_BLOB = "part long, ids binary, numbers binary, cells binary, dims int, kind string"
 
 
-def usable(vectors: DataFrame, scale: int = SCALE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(vec_id long, cells array<long>)`` with ``cells`` the floor of ``scale`` times each component.
+def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``(vec_id long, x array<double>, number long)``; ``number`` tells rows apart, also those that share a ``vec_id``.
 
-    Null ids, null or empty vectors and vectors that hold nulls, NaN, infinities or components beyond 2**52 take no
-    part. ``vec_id`` names a vector: of rows that repeat one, the smallest vector stays.
+    Null ids, null or empty vectors and vectors that hold nulls, NaN or infinities take no part.
     """
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    fits = F.forall(x, lambda v: F.coalesce(F.abs(v) * scale <= 2.0 ** 52, F.lit(False)) & ~F.isnan(v))
-    return (vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x"))
-            .filter(F.col("vec_id").isNotNull() & (F.size("x") > 0)
-                    & F.forall("x", lambda v: v.isNotNull()))
-            .filter(fits)
-            .select("vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("cells"))
-            .groupBy("vec_id").agg(F.min("cells").alias("cells")))
+    fits = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v))
+    return written(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x"))
+                   .filter(F.col("vec_id").isNotNull() & (F.size("x") > 0) & fits)
+                   .withColumn("number", F.monotonically_increasing_id()))
+
 
+def _blobs(vectors: DataFrame, parts: int, scale: int) -> DataFrame:
+    """Vectors dealt into ``parts``, each one row: ids, numbers, and cells in vertical layout.
 
-def _blobs(vectors: DataFrame, parts: int) -> DataFrame:
-    """Vectors dealt into ``parts`` by their id, each part one row: ids, and cells in vertical layout."""
+    A cell is the floor of ``scale`` times a component, held in as few bytes as the part needs.
+    """
     def build(part: pa.Table) -> pa.Table:
-        cells = part.column("cells").combine_chunks()
-        width = np.diff(cells.offsets.to_numpy())
-        dims = int(width.max())
-        flat = cells.flatten().to_numpy(zero_copy_only=False)
-        matrix = np.zeros((len(width), dims), np.int64)             # shorter vectors go on in zeros
-        matrix[np.arange(dims)[None, :] < width[:, None]] = flat
-        ids = part.column("vec_id").to_numpy().astype("<i8")
-        order = np.argsort(ids, kind="stable")
+        x = part.column("x").combine_chunks()
+        width = np.diff(x.offsets.to_numpy())
+        dims, most = int(width.max()), np.finfo(float).max
+        matrix = np.zeros((len(width), dims))                       # shorter vectors go on in zeros
+        with np.errstate(over="ignore"):
+            matrix[np.arange(dims)[None, :] < width[:, None]] = np.clip(
+                np.floor(x.flatten().to_numpy(zero_copy_only=False) * scale), -most, most)
+        high = np.abs(matrix).max()
+        kind = next((k for k, bits in (("<i2", 15), ("<i4", 31)) if high < 2 ** bits), "<f8")
+        ids, numbers = (part.column(c).to_numpy().astype("<i8") for c in ("vec_id", "number"))
+        order = np.lexsort((numbers, ids))
         return pa.table({"part": pa.array([part.column("part")[0].as_py()], pa.int64()),
                          "ids": pa.array([ids[order].tobytes()], pa.binary()),
-                         "cells": pa.array([np.ascontiguousarray(matrix[order].T).astype("<i8").tobytes()], pa.binary()),
-                         "dims": pa.array([dims], pa.int32())})
+                         "numbers": pa.array([numbers[order].tobytes()], pa.binary()),
+                         "cells": pa.array([np.ascontiguousarray(matrix[order].T).astype(kind).tobytes()], pa.binary()),
+                         "dims": pa.array([dims], pa.int32()), "kind": pa.array([kind])})
 
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("long"))
-    return dealt.select("part", "vec_id", "cells").groupBy("part").applyInArrow(build, _BLOB)
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts)).cast("long"))
+    return dealt.select("part", "vec_id", "x", "number").groupBy("part").applyInArrow(build, _BLOB)
 
 
-def _read(blob: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(blob["ids"], "<i8")
-    return ids, np.frombuffer(blob["cells"], "<i8").reshape(blob["dims"], len(ids))
+def _read(blob: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, numbers = (np.frombuffer(blob[c], "<i8") for c in ("ids", "numbers"))
+    return ids, numbers, np.frombuffer(blob["cells"], blob["kind"]).reshape(blob["dims"], len(ids)).astype(float)
+
+
+def _exact_scores(q: np.ndarray, c: np.ndarray, high: float) -> np.ndarray:
+    """Scores where floats are not exact; one that no long holds stops at its end."""
+    if high < 2 ** 62:
+        return q.T.astype(np.int64) @ c.astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(q.T) @ whole(c), -2 ** 63, 2 ** 63 - 1)
 
 
 class BranchAndBound:
     """The k best candidates of each of a block of queries; ``queries`` and candidates are (dimensions, rows)."""
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, step: int = STEP):
-        self.ids, self.queries, self.k, self.step = query_ids, queries, k, step
-        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in query_ids]   # scores, ids
+    def __init__(self, query_ids: np.ndarray, query_numbers: np.ndarray, queries: np.ndarray, k: int, step: int = STEP):
+        self.ids, self.numbers, self.queries, self.k, self.step = query_ids, query_numbers, queries, k, step
+        self.best = [np.empty((3, 0), np.int64) for _ in query_ids]                # scores, ids, numbers
         self.floor = np.full(len(query_ids), -np.inf)
 
-    def offer(self, ids: np.ndarray, cells: np.ndarray) -> None:
+    def offer(self, ids: np.ndarray, numbers: np.ndarray, cells: np.ndarray) -> None:
         dims = max(len(self.queries), len(cells))
         q = np.pad(self.queries, ((0, dims - len(self.queries)), (0, 0)))
         c = np.pad(cells, ((0, dims - len(cells)), (0, 0)))
-        high = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * dims
-        if high >= 2 ** 52:                                   # floats are not exact here
-            kind = object if high >= 2 ** 62 else np.int64
-            scores = q.T.astype(kind) @ c.astype(kind)
-            if kind is object:                                # a score that no long holds stops at its end
-                scores = np.clip(scores, -2 ** 63, 2 ** 63 - 1)
+        high = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims
+        if high >= 2 ** 52:
+            scores = _exact_scores(q, c, high)
             for at in range(len(self.ids)):
-                self.take(at, ids, scores[at].astype(np.int64))
+                self.take(at, ids, numbers, scores[at].astype(np.int64))
             return
-        order = np.argsort(-(c.astype(float) ** 2).sum(1), kind="stable")      # dimensions of most mass first
-        q, c = q[order].astype(float), c[order].astype(float)
+        order = np.argsort(-(c ** 2).sum(1), kind="stable")      # dimensions of most mass first
+        q, c = q[order], c[order]
         cuts = range(0, dims, self.step)
         q_left = [np.sqrt((q[e + self.step:] ** 2).sum(0)) for e in cuts]
         for start in range(0, len(ids), COLUMNS):
-            own, part = ids[start:start + COLUMNS], c[:, start:start + COLUMNS]
+            own, own_numbers, part = (a[..., start:start + COLUMNS] for a in (ids, numbers, c))
             if np.isneginf(self.floor).any():
                 scores = q.T @ part
                 for at in range(len(self.ids)):
-                    self.take(at, own, scores[at].astype(np.int64))
+                    self.take(at, own, own_numbers, scores[at].astype(np.int64))
                 continue
             c_left = [np.sqrt((part[e + self.step:] ** 2).sum(0)) for e in cuts]
             first = q[:self.step].T @ part[:self.step]
@@ -104,54 +116,60 @@ class BranchAndBound:
                     keep = score + q_left[n][at] * c_left[n][alive] >= self.floor[at] - 0.5
                     alive, score = alive[keep], score[keep]
                 if len(alive):
-                    self.take(at, own[alive], np.rint(score).astype(np.int64))
+                    self.take(at, own[alive], own_numbers[alive], np.rint(score).astype(np.int64))
 
-    def take(self, at: int, ids: np.ndarray, scores: np.ndarray) -> None:
+    def take(self, at: int, ids: np.ndarray, numbers: np.ndarray, scores: np.ndarray) -> None:
         """Merge candidates into the best of query ``at``: larger scores first, then smaller ids."""
-        other = ids != self.ids[at]
-        ids, scores = ids[other], scores[other]
-        if len(scores) > 4 * self.k:
-            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            ids, scores = ids[scores >= least], scores[scores >= least]
-        scores = np.concatenate([self.best[at][0], scores])
-        ids = np.concatenate([self.best[at][1], ids])
-        order = np.lexsort((ids, ~scores))[:self.k]
-        self.best[at] = scores[order], ids[order]
-        if len(order) == self.k:
-            self.floor[at] = float(scores[order[-1]])
+        new = np.stack([scores, ids, numbers])[:, numbers != self.numbers[at]]
+        if new.shape[1] > 4 * self.k:
+            least = np.partition(new[0], new.shape[1] - self.k)[new.shape[1] - self.k]
+            new = new[:, new[0] >= least]
+        both = np.concatenate([self.best[at], new], axis=1)
+        self.best[at] = both[:, np.lexsort((both[2], both[1], ~both[0]))[:self.k]]
+        if self.best[at].shape[1] == self.k:
+            self.floor[at] = float(self.best[at][0, -1])
 
     def table(self) -> pa.Table:
-        sizes = [len(s) for s, _ in self.best]
+        sizes = [b.shape[1] for b in self.best]
+        scores, ids, numbers = np.concatenate(self.best, axis=1)
         return pa.table({"query_id": pa.array(np.repeat(self.ids, sizes), pa.int64()),
-                         "vec_id": pa.array(np.concatenate([i for _, i in self.best]), pa.int64()),
-                         "score": pa.array(np.concatenate([s for s, _ in self.best]), pa.int64())})
+                         "query_number": pa.array(np.repeat(self.numbers, sizes), pa.int64()),
+                         "vec_id": pa.array(ids, pa.int64()), "number": pa.array(numbers, pa.int64()),
+                         "score": pa.array(scores, pa.int64())})
 
 
-def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, slab: int = SLAB,
-                       block: int = QUERIES) -> DataFrame:
+def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scale: int = SCALE, slab: int = SLAB,
+                       group: int = QUERIES, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best candidates of each query, or all if there are fewer.
 
-    Both inputs are rows of :func:`usable`. A query's own id is no candidate of its own. Equal scores go to the
-    smaller id. No vectors or no queries give no rows.
+    Both inputs are rows of one table of :func:`usable`. A query's own row is no candidate of its own; another row of
+    the same id is, and rows that repeat a query's id are queries each. Equal scores go to the smaller id. Scores that
+    no long holds stop at its end. No vectors or no queries give no rows.
     """
     n, m = vectors.count(), queries.count()
-    slabs, blocks = max(1, -(-n // slab)), max(1, -(-m // block))
-    left = (_blobs(queries, blocks).select(F.col("part").alias("qb"), F.col("ids"), F.col("cells"), F.col("dims"))
+    slabs, groups = max(1, -(-n // slab)), max(1, -(-m // group))
+    held = ("ids", "numbers", "cells", "dims", "kind")
+    left = (_blobs(queries, groups, scale).select(F.col("part").alias("qg"), *held)
             .withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))))
-    right = (_blobs(vectors, slabs).select(F.col("part").alias("slab"), F.col("ids"), F.col("cells"), F.col("dims"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    right = (_blobs(vectors, slabs, scale).select(F.col("part").alias("slab"), *held)
+             .withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    columns = ("query_id", "query_number", "vec_id", "number", "score")
 
     def search(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         if not ours.num_rows or not theirs.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        found = BranchAndBound(*_read(ours.to_pylist()[0]), k)
-        found.offer(*_read(theirs.to_pylist()[0]))
-        return found.table()
-
-    keys = [F.col("qb").cast("long"), F.col("slab").cast("long")]
+            return pa.table({c: pa.array([], pa.int64()) for c in columns})
+        ids, numbers, cells = _read(ours.to_pylist()[0])
+        candidates, found = _read(theirs.to_pylist()[0]), []
+        for at in range(0, len(ids), block):
+            part = BranchAndBound(*(a[..., at:at + block] for a in (ids, numbers, cells)), k)
+            part.offer(*candidates)
+            found.append(part.table())
+        return pa.concat_tables(found)
+
+    keys = [F.col("qg").cast("long"), F.col("slab").cast("long")]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        search, ", ".join(f"{c} long" for c in columns))
+    best = Window.partitionBy("query_number").orderBy(F.col("score").desc(), "vec_id", "number")
     return (pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
