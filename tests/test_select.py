@@ -3,6 +3,7 @@ import pytest
 from traceloom.operators import predicates as P
 from traceloom.operators import recognize as G
 from traceloom.operators import search as Q
+from traceloom.operators import search_index as I
 from traceloom.operators import activity as A
 from traceloom.operators import timeline as M
 from traceloom.operators.scoring import classify_events
@@ -53,6 +54,37 @@ def test_search_names_fields(make_events, make_artifacts):
     assert [r["label"] for r in picked] == ["flutter build"]
 
 
+def test_search_index_finds_what_a_scan_finds(spark, make_events, make_artifacts, tmp_path):
+    scored = classify_events(make_events(
+        [{"command": "flutter build", "user": "ann"}, {"command": "ls -la /srv", "image": "/usr/bin/ls"},
+         {"command": "ls -la /srv", "user": "Annabel"}, {"command": "École 😀😀x"}]))
+    def row(schema, *values):
+        return spark.createDataFrame([values], schema)
+    tables = {
+        "activity": A.activity_groups(scored), "activity_records": A.activity_records(scored),
+        "artifact": make_artifacts([{"path": "/home/u/flutter/bin/x"}, {"path": "/srv/ann"}]),
+        "finding": row("reference string, title string, explanation string", "F1", "Flutter", None),
+        "thread": row("thread_id string, title string, commands array<string>", "t", "x", ["ls", "flutter build"]),
+        "lead": row("lead_id string, title string, commands array<string>", "L1", "Ann", []),
+        "browser download": row("url string, target_path string, title string", "http://x/ann", "/srv/y", "ANNOTATED"),
+        "browser history": row("url string, title string, profile string", "http://y", None, "ann"),
+        "network": row("remote_address string, process_name string", "10.0.0.1:443", "ls"),
+        "evidence source": row("id string, original_path string, endpoint_id string", "E", "/srv/flutter", "h"),
+        "endpoint": row("endpoint_id string, name string", "h", "srv-ann")}
+    root = str(tmp_path / "index")
+    I.write_search_index(tables, root)
+    order = ["kind", "id", "label", "matched_fields", "investigation_id"]
+    for term in ("ann", "flutter", "SRV", "ls", "ÉCOLE", "😀😀x", "lutter b", "nothing", "443", "nna"):
+        want, got = (sorted(map(str, found.select(*order).collect())) for found in (
+            Q.search_evidence(tables, term), I.search_index(spark, root, term)))
+        assert got == want, term
+    assert {r["kind"] for r in I.search_index(spark, root, "ann", ["lead", "endpoint"]).collect()} == {"lead", "endpoint"}
+    plan = I.candidate_texts(spark, root, "ann")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:60]
+    with pytest.raises(ValueError):
+        I.search_index(spark, root, "x")
+
+
 def test_timeline_keeps_undated(make_events):
     events = make_events([{"command": "a", "ts": "2024-01-02T00:00:00"}, {"command": "b"},
                           {"command": "c", "ts": "2024-01-01T00:00:00"}])

@@ -193,6 +193,7 @@ def test_tables_packages_and_narratives(spark, tmp_path, make_events):
     K.write_evidence_tables({"activity": groups}, str(tmp_path / "db"), run_id="r1")
     K.write_evidence_tables({"activity": groups}, str(tmp_path / "db"), run_id="r1")
     assert K.read_evidence_table(spark, str(tmp_path / "db"), "r1", "activity").count() == 2
+    assert K.committed_tables(spark, str(tmp_path / "db")).count() == 1
     K.write_package({"events": scored.select("event_id", "evidence_kind")}, str(tmp_path / "p"))
     manifest = spark.read.parquet(str(tmp_path / "p" / "manifest"))
     from traceloom.operators.ledger import package_verdict, verify_package
@@ -210,6 +211,30 @@ def test_tables_packages_and_narratives(spark, tmp_path, make_events):
     assert spark.read.parquet(str(tmp_path / "n")).count() == 2
 
 
+def test_evidence_tables_are_seen_together(spark, tmp_path):
+    root = str(tmp_path / "db")
+    one = spark.range(3).selectExpr("id", "'i' AS investigation_id", "CAST(id AS STRING) AS v")
+    first = K.write_evidence_tables({"a": one, "none": one.limit(0), "flat": spark.range(2)}, root, run_id="r")
+    broken = one.withColumn("v", F.raise_error(F.lit("stopped")).cast("string"))
+    with pytest.raises(Exception, match="stopped"):
+        K.write_evidence_tables({"a": one.limit(1), "none": broken}, root, run_id="r")
+    with pytest.raises(Exception, match="stopped"):
+        K.write_evidence_tables({"a": broken}, root, run_id="never")
+    assert {(r["name"], r["attempt"], r["rows"]) for r in K.committed_tables(spark, root).collect()} == {
+        ("a", first, 3), ("none", first, 0), ("flat", first, 2)}
+    assert sorted(map(tuple, K.read_evidence_table(spark, root, "r", "a").collect())) == [
+        (i, "i", str(i)) for i in range(3)]
+    empty = K.read_evidence_table(spark, root, "r", "none")
+    assert empty.count() == 0 and empty.columns == one.columns
+    for run, name in (("r", "other"), ("never", "a")):
+        with pytest.raises(ValueError):
+            K.read_evidence_table(spark, root, run, name)
+    K.write_evidence_tables({"a": one.filter("id = 1")}, root, run_id="r")
+    assert K.read_evidence_table(spark, root, "r", "a").count() == 1 and K.committed_tables(spark, root).count() == 1
+    with pytest.raises(ValueError):
+        K.read_evidence_table(spark, root, "r", "flat")
+
+
 def test_pipeline(make_events, make_artifacts):
     run = {"kind": "EXECUTION_EVIDENCE", "ran": True, "source": "systemd journal"}
     events = make_events([{**run, "image": "/tmp/x"}, {"command": "pip install findmail", "record": "/h:1"},

@@ -272,6 +272,13 @@ def triage_back_to_events(records: DataFrame, groups: DataFrame) -> DataFrame:
     return records.join(look, "group_id")
 
 
+def with_group_triage(classified: DataFrame, groups: DataFrame) -> DataFrame:
+    """Events with the ``group_id`` of their activity and ``group_triage``, what the activity as a whole was found to be."""
+    triage = F.struct("classification.category", "classification.priority", "classification.score")
+    return classified.withColumn("group_id", group_id()).join(
+        groups.select("group_id", triage.alias("group_triage")), "group_id", "left")
+
+
 def search_activity(groups: DataFrame, records: DataFrame, term: str) -> DataFrame:
     """Activities whose text, category, sources or users contain the term."""
     if not term:

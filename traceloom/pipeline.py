@@ -1,4 +1,4 @@
-"""The whole analysis of a set of collected tables.
+"""The whole analysis of a set of collected tables, as :func:`traceloom.sinks.write_evidence_tables` stores it.
 
 Scored events, numbers and components are written on the way; what is returned are tables over these.
 """
@@ -61,7 +61,7 @@ def run_pipeline(inputs: dict[str, DataFrame], *, with_threads=True,
         gaps.append(C.completeness_limitations(inputs["flags"], events, artifacts))
     limitations = C.union_sources(*gaps) if gaps else findings.limit(0).drop("reference")
     leads = A.leads(groups)
-    out = {"events": classified, "artifacts": artifacts, "activity": groups,
+    out = {"events": A.with_group_triage(classified, groups), "artifacts": artifacts, "activity": groups,
            "activity_records": records, "leads": leads, "findings": findings, "limitations": limitations,
            "finding_evidence": R.finding_evidence(findings),
            "links": C.link_events_artifacts(events, artifacts)}

@@ -7,9 +7,11 @@ from ...operators import narrative as N
 from ...operators import predicates as P
 from ...operators import recognize as G
 from ...operators import search as Q
+from ...operators import search_index as I
 from ...operators import threads as H
 from ...operators import timeline as M
 from ...operators.events import assign_event_references
+from ...session import new_folder
 from ..oracle import INDEPENDENT_THREADS, INSTALLS_SQL, npath, scored_sql, view_sql
 from ..registry import query
 from .common import F, X, classified, evidence, events, joined, ranked, table
@@ -81,7 +83,7 @@ _NET = """(SELECT '10.' || CAST(k AS VARCHAR) || '.' || CAST(v % 50 AS VARCHAR)
  WHERE k >= 10)"""
 
 
-@query("search_evidence", scored_sql("groups", f"""
+_FOUND = scored_sql("groups", f"""
 SELECT 'activity' AS kind, coalesce(full_command_line, executable, process_name) AS label,
   concat_ws(',', CASE WHEN contains(lower(full_command_line), 'staged1') THEN 'command' END,
     CASE WHEN contains(lower(coalesce(full_command_line, executable, process_name)), 'staged1') THEN 'normalized command' END,
@@ -91,13 +93,25 @@ FROM groups WHERE contains(lower(concat_ws(' ', full_command_line, executable, p
 UNION ALL SELECT 'artifact', path, 'path,filename', count(*) FROM artifacts WHERE contains(path, 'staged1') GROUP BY ALL
 UNION ALL SELECT 'browser download', target_path, 'download path', count(*) FROM downloads WHERE contains(target_path, 'staged1') GROUP BY ALL
 UNION ALL SELECT 'network', remote_address, 'remote address', count(*) FROM {_NET} WHERE contains(remote_address, 'staged1') GROUP BY ALL""",
-       "downloads"))
+                    "downloads")
+
+
+@query("search_evidence", _FOUND)
 def _(spark, sf):
     found = Q.search_evidence(surfaces(spark, sf), " Staged1 ")
     return found.groupBy("kind", "label", joined("matched_fields").alias("matched")).agg(
         F.count("*").alias("n"))
 
 
+@query("search_index", _FOUND)
+def _(spark, sf):
+    folder = new_folder(spark, "index")
+    I.write_search_index(surfaces(spark, sf), folder)
+    found = I.search_index(spark, folder, " Staged1 ")
+    return found.groupBy("kind", "label", joined("matched_fields").alias("matched")).agg(
+        F.count("*").alias("n"))
+
+
 @query("search_counts", scored_sql("groups", """
 SELECT kind, count(*) AS hits FROM (
   SELECT 'activity' AS kind FROM groups g WHERE endpoint_id = 'host-11' OR contains(lower(concat_ws(' ', full_command_line, executable, process_name)), 'host-11')

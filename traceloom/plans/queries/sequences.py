@@ -1,6 +1,8 @@
 """Batch forms of the streaming operators, and the pipeline."""
 
 from ...pipeline import run_pipeline
+from ...session import new_folder
+from ...sinks import committed_tables, read_evidence_table, write_evidence_tables
 from ...streaming import streams as ST
 from ..oracle import scored_sql, view_sql
 from ..registry import query
@@ -53,3 +55,31 @@ def _(spark, sf):
     return out["events"].select(F.lit("events").alias("name")).unionByName(
         out["artifacts"].select(F.lit("artifacts").alias("name"))).groupBy("name").agg(
             F.count("*").alias("n"))
+
+
+@query("write_evidence_tables", scored_sql("groups", """
+SELECT 'event' AS kind, s.event_id AS id, g.category, g.priority, g.score, CAST(NULL AS BIGINT) AS rows FROM scored s
+JOIN groups g ON s.investigation_id = g.investigation_id AND s.endpoint_id = g.endpoint_id AND s.akey = g.akey
+UNION ALL SELECT 'table', 'events', NULL, NULL, NULL, count(*) FROM scored
+UNION ALL SELECT 'table', 'activity', NULL, NULL, NULL, count(*) FROM groups
+UNION ALL SELECT 'table', 'limitations', NULL, NULL, NULL, 0"""))
+def _(spark, sf):
+    """Events with their group's triage and the commit log, read back after a second attempt that stops half-way."""
+    out = run_pipeline({"events": events(spark, sf), "artifacts": evidence(spark, sf, "artifacts")}, with_threads=False)
+    folder = new_folder(spark, "evidence")
+    tables = {name: out[name] for name in ("events", "activity", "limitations")}
+    write_evidence_tables(tables, folder, run_id="r")
+    broken = out["activity"].limit(1).withColumn("n", F.raise_error(F.lit("stopped")).cast("int"))
+    try:
+        write_evidence_tables({"events": out["events"].limit(1), "activity": broken}, folder, run_id="r")
+    except Exception as stopped:
+        if "stopped" not in str(stopped):
+            raise
+    none = F.lit(None)
+    return read_evidence_table(spark, folder, "r", "events").select(
+        F.lit("event").alias("kind"), F.col("event_id").cast("string").alias("id"), "group_triage.category",
+        "group_triage.priority", F.col("group_triage.score").cast("bigint").alias("score"),
+        none.cast("bigint").alias("rows")).unionByName(
+            committed_tables(spark, folder, "r").select(
+                F.lit("table").alias("kind"), F.col("name").alias("id"), none.cast("string").alias("category"),
+                none.cast("string").alias("priority"), none.cast("bigint").alias("score"), "rows"))
