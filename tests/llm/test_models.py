@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from traceloom.llm.hmm import Hmm, least_own_count, score_texts
+from traceloom.llm.hmm import Hmm, score_texts
 from traceloom.llm.quality_model import classify, evidence, fit, site_posteriors
 
 from corpus_samples import COLUMNS
@@ -42,11 +42,11 @@ def _key(r):
     return (r[0] is None, r[0] or 0, r[2], r[5])
 
 
-@pytest.mark.parametrize("own_words", [32_768, 300])
-def test_base_scores_as_brute_force(few_docs, odd_docs, no_docs, own_words):
+@pytest.mark.parametrize("hashed, at_once", [(32_768, 1_000_000), (16, 5000)])
+def test_base_scores_as_brute_force(few_docs, odd_docs, no_docs, hashed, at_once):
     for docs in (few_docs, odd_docs):
         want = sorted(_base([(r["doc_id"], r["text"]) for r in docs.collect()]), key=_key)
-        rows = score_texts(docs, own_words=own_words, hashed=16, rounds=1, at_once=5000).collect()
+        rows = score_texts(docs, hashed=hashed, rounds=1, at_once=at_once).collect()
         got = sorted([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])
                       for r in rows], key=_key)
         for a, b in zip(want, got, strict=True):
@@ -115,25 +115,18 @@ def _forward_backward(start, moves, emits):
     return p, [a * b / p for a, b in zip(alpha, beta, strict=True)], pairs
 
 
-@pytest.mark.parametrize("own_words", [1000, 6])
-def test_scores_as_brute_force(spark, own_words):
+@pytest.mark.parametrize("hashed", [1000, 5])
+def test_scores_as_brute_force(spark, hashed):
     """The whole of the model, recomputed word by word: tied rounds, the untied round, and each text's score."""
-    rng, k, hashed = random.Random(8), 4, 5
+    rng, k = random.Random(8), 4
     vocabulary = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 25))))
             for i in range(60)] + [(5, "W1 w2"), (None, "never seen w1"), (61, None)]
     texts = [[*_words(t), ""] for _, t in rows]
     training = [t for t, (own, _) in zip(texts, rows, strict=True) if not _held(own)]
     counts = Counter(w for t in training for w in t)
-    words = {w: c for w, c in counts.items() if w}
-    least = next(c for c in range(1, 10 ** 6) if sum(v >= c for v in words.values()) <= own_words)
-    top = sorted((w for w, c in words.items() if c >= least), key=lambda w: (-words[w], w))
-    number = {w: i for i, w in enumerate(["", *top])}
-    classes = {w: number.get(w, len(number) + zlib.crc32(w.encode()) % hashed) for t in texts for w in t}
-    size = np.full(len(number) + hashed, 0.1)
-    for w, c in counts.items():
-        size[classes[w]] += c
-    tied = Hmm.started(size / size.sum(), k)
+    classes = {w: zlib.crc32(w.encode()) % hashed for t in texts for w in t}
+    tied = Hmm.started(np.full(hashed, 1 / hashed), k)
     start, moves, emits = tied.initial, tied.moves, tied.emits
     for last in (False, False, True):
         first, pairs, by_class = np.ones(k), np.ones((k, k)), np.full(emits.shape, 0.1)
@@ -157,7 +150,7 @@ def test_scores_as_brute_force(spark, own_words):
         for (own, _), t in zip(rows, texts, strict=True))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"])
-                 for r in score_texts(docs, own_words=own_words, hashed=hashed, rounds=2, at_once=100).collect())
+                 for r in score_texts(docs, hashed=hashed, rounds=2, at_once=100).collect())
     for a, b in zip(want, got, strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
 
@@ -216,16 +209,3 @@ def test_quality_of_the_tables(few_docs, spark):
     train, test = labels.filter("doc_id % 2 = 0"), {d: q for d, q in quality.items() if d % 2}
     kept = {r["doc_id"]: r["kept"] for r in site_posteriors(evidence(own, fit(own, train))).collect()}
     assert np.mean([kept[d] == bool(q) for d, q in test.items()]) > 0.85
-
-
-def test_least_own_count(spark):
-    rng = random.Random(2)
-    for counts in ([1] * 50, [rng.randint(1, 5) for _ in range(200)], [rng.randint(1, 10 ** 6) for _ in range(300)],
-                   [2 ** i for i in range(30)], []):
-        words = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate(counts)], "word string, c long")
-        for most in (1, 7, 49, 50, 1000):
-            least = least_own_count(words, most)
-            assert sum(c >= least for c in counts) <= most
-            if max(counts, default=0) < 4096:                     # exact where a cell is one count
-                lower = max((c for c in counts if c < least), default=None)
-                assert lower is None or sum(c >= lower for c in counts) > most

@@ -1,32 +1,31 @@
 """Language-model scores of texts: a hidden Markov model over words, trained by Baum-Welch.
 
-Every word has emissions of its own, in a table of words by states that grows with the vocabulary. Training starts from
-a tied model, in which the most frequent words are classes of their own and the others fall into hashed classes: its
-rounds need no exchange but one sum per class. The last round unties them: expected counts go up by word, are added up
-by Spark, and come down again in a join to the words of each chunk of texts. A chunk lists a word once, so that no word
-is a hot key. Scores are exact: a forward recursion scaled at every token.
+Every word has emissions of its own, whatever the vocabulary's size. Training starts from a tied model, in which words
+fall into hashed classes: its rounds need no exchange but one sum per class. The last round unties them. Expected counts
+go up by word, once for each chunk of texts that holds the word, so that no word is a hot key; what a word adds up to
+comes down again to the chunks that share it, while a word of one chunk is told again from that chunk alone. Scores are
+exact: a forward recursion scaled at every token.
 """
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from .common import whole_text
 
-#: States; classes of the tied model: words of their own, and hashed ones of the others; its rounds of Baum-Welch.
-STATES, OWN_WORDS, HASHED, ROUNDS = 4, 32_768, 1024, 3
+#: States; hashed classes of the tied model, and its rounds of Baum-Welch before the last one.
+STATES, HASHED, ROUNDS = 4, 32_768, 2
 #: Occurrences that speak for the states' own shares beside those of a word.
 PRIOR = 2.0
 #: Fixed values of the base score: what is added to a count, and every which document is held out.
 ADDED, FOLDS = 0.1, 10
-#: Tokens of a chunk of texts, unless one text is longer; words counted before they are sent.
-AT_ONCE, COUNTED = 1_000_000, 200_000
+#: Tokens of a chunk of texts, unless one text is longer.
+AT_ONCE = 1_000_000
 
 
 def _words(text: str) -> list[bytes]:
@@ -38,60 +37,8 @@ def _held_out(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, c)`` over the training texts of ``docs (doc_id, text)``; the end of a text is the word ``""``."""
-    def run(batches):
-        counts = Counter()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if not _held_out(own):
-                        counts.update(_words(text))
-                        counts[b""] += 1
-                if len(counts) > COUNTED:
-                    yield _counted(counts)
-                    counts = Counter()
-        yield _counted(counts)
-
-    return (docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()),
-                                       pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-
-
-def least_own_count(words: DataFrame, most: int, cells: int = 4096) -> int:
-    """The smallest count so that at most ``most`` words occur that often.
-
-    Told from a histogram by powers of two and a finer one inside the power where the limit falls, so that no more
-    than ``cells`` rows reach the driver, whatever the vocabulary's size. Words that tie there are left out together.
-    """
-    def first_within(rows, most):
-        """From the largest cell down: the lowest cell whose sum still fits, and what is left of ``most``."""
-        low = None
-        for cell, n in sorted(rows, reverse=True):
-            if n > most:
-                return low, cell, most
-            low, most = cell, most - n
-        return low, None, most
-
-    power = F.floor(F.log2("c")).cast("int")
-    low, edge, left = first_within(words.groupBy(power).count().collect(), most)
-    if edge is None:
-        return 1
-    step = max(1, (1 << edge) // cells)
-    inside = words.filter(power == edge).groupBy(F.floor((F.col("c") - (1 << edge)) / step).cast("int")).count()
-    cell, _, _ = first_within(inside.collect(), left)
-    return (1 << edge) + cell * step if cell is not None else 1 << (edge + 1)
-
-
 class Numbers(dict):
-    """Words numbered as they come; 0 is the end."""
-
-    def __init__(self):
-        super().__init__({b"": 0})
+    """Words numbered as they come."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
@@ -101,40 +48,51 @@ class Numbers(dict):
 CHUNK = "chunk long, doc_ids array<long>, lengths array<int>, words array<string>, classes binary, symbols binary"
 
 
-def chunks(docs: DataFrame, frequent: list[str], hashed: int = HASHED, at_once: int = AT_ONCE) -> DataFrame:
+def _planes(numbers: np.ndarray) -> bytes:
+    """Small numbers with their first bytes together, then their second bytes, and so on; files pack that well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def chunks(docs: DataFrame, hashed: int = HASHED, at_once: int = AT_ONCE) -> DataFrame:
     """The texts of ``docs (doc_id, text)``, about ``at_once`` tokens a row.
 
-    ``symbols`` are the texts one after another as numbers into ``words``, each text followed by its end, word 0;
-    ``classes`` are the words' classes in the tied model: the end, the frequent words, then the hashed classes.
+    ``symbols`` are the texts one after another as numbers into ``words``, each text followed by its end, the word
+    ``""``; frequent words have small numbers. ``classes`` are the words' classes in the tied model.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def row(number, ids, symbols, words):
-        own = {w.encode(): i + 1 for i, w in enumerate(shared.value)} | {b"": 0}
-        classes = [own[w] if w in own else len(own) + zlib.crc32(w) % hashed for w in words]
+    def row(number, ids, texts, words):
+        symbols = np.concatenate(texts)
+        order = np.argsort(-np.bincount(symbols), kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        listed = list(words)
+        listed = [listed[i] for i in order.tolist()]
         return pa.RecordBatch.from_arrays([
             pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-            pa.array([[len(s) for s in symbols]], pa.list_(pa.int32())),
-            pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-            pa.array([np.array(classes, "<u4").tobytes()], pa.binary()),
-            pa.array([np.concatenate(symbols).tobytes()], pa.binary())], names=[f.split()[0] for f in CHUNK.split(", ")])
+            pa.array([[len(t) for t in texts]], pa.list_(pa.int32())),
+            pa.array([[w.decode() for w in listed]], pa.list_(pa.string())),
+            pa.array([_planes(np.array([zlib.crc32(w) % hashed for w in listed], "<u4"))], pa.binary()),
+            pa.array([_planes(place[symbols])], pa.binary())], names=[f.split()[0] for f in CHUNK.split(", ")])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 36
-        ids, symbols, words, held = [], [], Numbers(), 0
+        ids, texts, words, held = [], [], Numbers(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = _words(text)
                     ids.append(own)
-                    symbols.append(np.fromiter(map(words.__getitem__, [*found, b""]), "<u4", len(found) + 1))
+                    texts.append(np.fromiter(map(words.__getitem__, [*found, b""]), "<u4", len(found) + 1))
                     held += len(found) + 1
                     if held >= at_once:
-                        yield row(number, ids, symbols, words)
-                        number, ids, symbols, words, held = number + 1, [], [], Numbers(), 0
+                        yield row(number, ids, texts, words)
+                        number, ids, texts, words, held = number + 1, [], [], Numbers(), 0
         if ids:
-            yield row(number, ids, symbols, words)
+            yield row(number, ids, texts, words)
 
     return docs.mapInArrow(run, CHUNK)
 
@@ -148,8 +106,7 @@ class Chunk:
 
         self.doc_ids, lengths = cell("doc_ids").as_py(), cell("lengths").as_py()
         self.held_out = [_held_out(d) for d in self.doc_ids]
-        symbols = np.frombuffer(cell("symbols").as_buffer(), "<u4")
-        self.classes = np.frombuffer(cell("classes").as_buffer(), "<u4")
+        symbols, self.classes = (_numbers(cell(c).as_buffer()) for c in ("symbols", "classes"))
         self.texts = np.split(symbols, np.cumsum(lengths)[:-1])
 
     @classmethod
@@ -162,6 +119,20 @@ class Chunk:
     def training(self) -> list[np.ndarray]:
         return [t for t, held in zip(self.texts, self.held_out, strict=True) if not held]
 
+    def expected(self, tied: "Hmm") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Initial states, transitions, and words' occurrences and expected counts of states, of the training texts.
+
+        A word's share in its class is the same in all states, so it does not move the expectation.
+        """
+        k = len(tied.initial)
+        if not self.training:
+            n = len(self.classes)
+            return np.zeros(k), np.zeros((k, k)), np.zeros(n, np.int64), np.zeros((n, k))
+        own = Hmm(tied.initial, tied.moves, tied.emits[self.classes])
+        counts = np.bincount(np.concatenate(self.training), minlength=len(self.classes))
+        first, pairs, emitted = own.expected(self.training)
+        return first, pairs, counts, emitted
+
 
 def _class_sequences(batches):
     """The training texts of each chunk as sequences of classes."""
@@ -281,38 +252,39 @@ class Hmm:
 
 
 def expected_by_word(texts: DataFrame, model: Hmm) -> DataFrame:
-    """``(word, at, c, s0, s1, ...)``: occurrences of words in training texts, and expected counts of their states.
+    """``(word, edge, chunk, at, c, s0, s1, ...)``: what each word of each chunk is expected to count.
 
-    Rows without a word hold those of transitions (``at`` the state left) and, after them, of initial states. A word's
-    share in its class is the same in all states, so it does not move the expectation.
+    ``c`` are its occurrences in training texts, and the columns after it those in each state but the last. Rows with an
+    ``edge`` have no word: transitions from that state, and after the last state the initial ones.
     """
     k = len(model.initial)
     shared = texts.sparkSession.sparkContext.broadcast(model)
     columns = [f"s{i}" for i in range(k)]
-
-    def rows(words, at, counts, values):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array(at, pa.int32()), pa.array(counts, pa.int64()),
-             *[pa.array(values[:, i]) for i in range(k)]], names=["word", "at", "c", *columns])
+    schema = "word string, edge int, chunk long, at int, c long, " + ", ".join(f"{c} double" for c in columns)
 
     def run(batches):
-        tied, edges = shared.value, np.zeros((k + 1, k))
+        edges = np.zeros((k + 1, k))
         for batch in batches:
             for at in range(batch.num_rows):
-                chunk = Chunk(batch, at)
-                if chunk.training:
-                    own = Hmm(tied.initial, tied.moves, tied.emits[chunk.classes])
-                    first, pairs, emitted = own.expected(chunk.training)
-                    edges[:k] += pairs
-                    edges[k] += first
-                    counts = np.bincount(np.concatenate(chunk.training), minlength=len(chunk.classes))
-                    seen = np.flatnonzero(counts)
-                    words = batch.column("words")[at].values.take(pa.array(seen))
-                    yield rows(words, np.zeros(len(seen), int), counts[seen], emitted[seen])
-        yield rows([None] * (k + 1), np.arange(k + 1), np.zeros(k + 1, int), edges)
-
-    parts = texts.mapInArrow(run, "word string, at int, c long, " + ", ".join(f"{c} double" for c in columns))
-    return parts.groupBy("word", "at").agg(*[F.sum(c).alias(c) for c in ("c", *columns)])
+                first, pairs, counts, emitted = Chunk(batch, at).expected(shared.value)
+                edges[:k] += pairs
+                edges[k] += first
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("words")[at].values, pa.nulls(n, pa.int32()),
+                     pa.array(np.full(n, batch.column("chunk")[at].as_py())), pa.array(np.arange(n, dtype=np.int32)),
+                     pa.array(counts), *[pa.array(emitted[:, i]) for i in range(k - 1)], pa.nulls(n, pa.float64())],
+                    names=["word", "edge", "chunk", "at", "c", *columns])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(k + 1, pa.string()), pa.array(np.arange(k + 1, dtype=np.int32)), pa.nulls(k + 1, pa.int64()),
+             pa.nulls(k + 1, pa.int32()), pa.array(np.zeros(k + 1, np.int64)), *[pa.array(edges[:, i]) for i in range(k)]],
+            names=["word", "edge", "chunk", "at", "c", *columns])
+
+    return texts.mapInArrow(run, schema)
+
+
+def _weight(c):
+    return (c + ADDED) / (c + PRIOR)
 
 
 class Untied:
@@ -326,70 +298,76 @@ class Untied:
         self.initial, self.moves, self.dealt, self.sums = initial, moves, dealt, sums
 
     @classmethod
-    def of(cls, table: DataFrame, k: int) -> "Untied":
-        """From the sums of :func:`expected_by_word`; k + 1 rows of edges and two of totals reach the driver."""
-        columns = [f"s{i}" for i in range(k)]
-        edges = np.zeros((k + 1, k))
-        for r in table.filter("word IS NULL").collect():
-            edges[r["at"]] = [r[c] for c in columns]
-        edges += 1.0
-        words = table.filter("word IS NOT NULL")
-        total = np.array([v or 0.0 for v in words.agg(*[F.sum(c) for c in columns]).first()])
-        dealt = total / total.sum() if total.sum() > 0 else np.full(k, 1 / k)
-        c = F.col("c")
-        mass = [F.sum((F.col(x) + PRIOR * float(d)) / (c + PRIOR) * (c + ADDED))
-                for x, d in zip(columns, dealt, strict=True)]
-        sums = np.array([v or 0.0 for v in words.agg(*mass).first()]) + ADDED * dealt
-        return cls(edges[k] / edges[k].sum(), edges[:k] / edges[:k].sum(1, keepdims=True), dealt, sums)
+    def of(cls, edges: np.ndarray, counted: np.ndarray, weighed: np.ndarray, weights: float) -> "Untied":
+        """From transitions with initial states below, and sums over all words: of the states' counts, of these times
+        the word's weight, and of the weights."""
+        edges, k = edges + 1.0, edges.shape[1]
+        dealt = counted / counted.sum() if counted.sum() > 0 else np.full(k, 1 / k)
+        return cls(edges[k] / edges[k].sum(), edges[:k] / edges[:k].sum(1, keepdims=True), dealt,
+                   weighed + dealt * (PRIOR * weights + ADDED))
 
     def emits(self, counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
         """Emissions of words by their occurrences and the expected counts of their states (words by states)."""
-        c = counts[:, None]
-        return (expected + PRIOR * self.dealt) / (c + PRIOR) * (c + ADDED) / self.sums
+        return (expected + PRIOR * self.dealt) * _weight(counts)[:, None] / self.sums
 
 
-def score_texts(docs: DataFrame, states: int = STATES, own_words: int = OWN_WORDS, hashed: int = HASHED,
-                rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text", at_once: int = AT_ONCE) -> DataFrame:
+def added_up(parts: DataFrame, k: int) -> tuple[DataFrame, Untied, int, int]:
+    """What words that several chunks share add up to, the untied model, and how many tokens and words it has seen.
+
+    The rows of a word, one for each chunk that holds it, meet once. All sums over words are taken on that pass, and
+    only rows of shared words and of edges are written.
+    """
+    columns = [f"s{i}" for i in range(k)]
+    met, word = Window.partitionBy("word", "edge"), F.col("word").isNotNull()
+    rows = parts.select("word", "edge", "chunk", "at", "c", F.count(F.lit(1)).over(met).alias("n"),
+                        F.sum("c").over(met).alias("total"), *[F.sum(x).over(met).alias(x) for x in columns])
+    seen = F.when(word & (F.col("total") > 0), 1 / F.col("n")).otherwise(0.0)             # a word counts once
+    weight = seen * _weight(F.col("total"))
+    sums = Observation()
+    rows = rows.observe(
+        sums, F.sum("c").alias("tokens"), F.sum(seen).alias("words"), F.sum(weight).alias("weights"),
+        F.sum(weight * F.col("total")).alias("weighed"),
+        *[F.sum(F.when(word, seen * F.col(x))).alias(f"counted_{x}") for x in columns[:-1]],
+        *[F.sum(F.when(word, weight * F.col(x))).alias(f"weighed_{x}") for x in columns[:-1]])
+    table = written(rows.filter((F.col("n") > 1) | ~word).select("edge", "chunk", "at", "total", *columns))
+    got = {name: value or 0 for name, value in sums.get.items()}
+    edges = np.zeros((k + 1, k))
+    for r in table.filter("edge IS NOT NULL").groupBy("edge").agg(*[F.first(x).alias(x) for x in columns]).collect():
+        edges[r["edge"]] = [r[x] for x in columns]
+    counted, weighed = ([got[f"{name}_{x}"] for x in columns[:-1]] for name in ("counted", "weighed"))
+    model = Untied.of(edges, np.array([*counted, got["tokens"] - sum(counted)]),
+                      np.array([*weighed, got["weighed"] - sum(weighed)]), got["weights"])
+    return (table.filter("edge IS NULL").select(F.col("chunk").alias("of"), "at", "total", *columns[:-1]), model,
+            int(got["tokens"]), round(got["words"]))
+
+
+def score_texts(docs: DataFrame, states: int = STATES, hashed: int = HASHED, rounds: int = ROUNDS,
+                doc_id: str = "doc_id", text: str = "text", at_once: int = AT_ONCE) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     ``base_score`` is the smoothed unigram score and ``score`` the model's, both log10. A null text is empty: its end
     alone. Rows without an id are held out; rows that repeat an id are scored, and trained on, each time. Without
     training texts every word is unknown. An empty table gives an empty result. Extra columns are ignored.
-    ``own_words`` and ``hashed`` bound the tied model of the first ``rounds``; of words that tie at the limit, all are
-    hashed. The last round gives every word emissions of its own.
+    ``hashed`` bounds the tied model of the first ``rounds``; the last round gives every word emissions of its own.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    vocabulary = written(word_counts(docs))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    scale = float(total + ADDED * (distinct + 1))
-    words = vocabulary.filter("word <> ''")
-    least = least_own_count(words, own_words)
-    top = sorted(words.filter(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"]))
-    ends = vocabulary.filter("word = ''").collect()
-    texts = written(chunks(docs, [r["word"] for r in top], hashed, at_once))
-
-    bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(hashed)).cast("int").alias("h")
-    masses = dict(words.filter(F.col("c") < least).groupBy(bucket).agg(F.sum("c")).collect())
-    frequency = np.array([ends[0]["c"] if ends else 0, *[r["c"] for r in top],
-                          *[masses.get(h, 0) for h in range(hashed)]], float) + ADDED
-    model = Hmm.started(frequency / frequency.sum(), states)
+    texts = written(chunks(docs, hashed, at_once))
+    tied = Hmm.started(np.full(hashed, 1 / hashed), states)
     for _ in range(rounds):
-        model = model.trained(texts, _class_sequences)
-
-    table = written(expected_by_word(texts, model))
-    shared = docs.sparkSession.sparkContext.broadcast(Untied.of(table, states))
-    columns = [f"s{i}" for i in range(states)]
-    placed = (texts.select("chunk", F.posexplode("words").alias("at", "word"))
-              .join(table.filter("word IS NOT NULL").drop("at"), "word")
-              .select(F.col("chunk").alias("of"), "at", "c", *columns))
+        tied = tied.trained(texts.select("doc_ids", "lengths", "classes", "symbols"), _class_sequences)
+    common, untied, total, distinct = added_up(expected_by_word(texts, tied), states)
+    scale = float(total + ADDED * (distinct + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((tied, untied))
 
     def score(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        chunk, untied = Chunk(ours), shared.value
-        counts, expected = np.zeros(len(chunk.classes)), np.zeros((len(chunk.classes), states))
+        chunk, (tied, untied) = Chunk(ours), shared.value
+        _, _, counts, expected = chunk.expected(tied)             # right for words of this chunk alone
         if theirs.num_rows:
             at = theirs.column("at").to_numpy()
-            counts[at] = theirs.column("c").to_numpy()
-            expected[at] = np.stack([theirs.column(c).to_numpy() for c in columns], 1)
+            counts[at] = theirs.column("total").to_numpy()
+            for i in range(states - 1):
+                expected[at, i] = theirs.column(f"s{i}").to_numpy()
+        expected[:, -1] = counts - expected[:, :-1].sum(1)
         own = Hmm(untied.initial, untied.moves, untied.emits(counts, expected))
         logs = np.log10((counts + ADDED) / scale)
         return pa.table({
@@ -399,7 +377,7 @@ def score_texts(docs: DataFrame, states: int = STATES, own_words: int = OWN_WORD
             "base_score": pa.array([float(logs[t].sum()) for t in chunk.texts], pa.float64()),
             "score": pa.array(own.log10_likelihoods(chunk.texts), pa.float64())})
 
-    scored = texts.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(
+    scored = texts.drop("words").groupBy("chunk").cogroup(common.groupBy("of")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
                          F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
