@@ -1,12 +1,12 @@
 """Batch forms of the streaming operators, and the pipeline."""
 
 from ...pipeline import run_pipeline
-from ...session import new_folder
+from ...session import checkpoint, new_folder
 from ...sinks import committed_tables, read_evidence_table, write_evidence_tables
 from ...streaming import streams as ST
 from ..oracle import scored_sql, view_sql
 from ..registry import query
-from .common import F, evidence, events
+from .common import A, F, classified, evidence, events
 
 
 @query("session_activity", view_sql(["exec_events"], """
@@ -61,17 +61,16 @@ def _(spark, sf):
 SELECT 'event' AS kind, s.event_id AS id, g.category, g.priority, g.score, CAST(NULL AS BIGINT) AS rows FROM scored s
 JOIN groups g ON s.investigation_id = g.investigation_id AND s.endpoint_id = g.endpoint_id AND s.akey = g.akey
 UNION ALL SELECT 'table', 'events', NULL, NULL, NULL, count(*) FROM scored
-UNION ALL SELECT 'table', 'activity', NULL, NULL, NULL, count(*) FROM groups
-UNION ALL SELECT 'table', 'limitations', NULL, NULL, NULL, 0"""))
+UNION ALL SELECT 'table', 'activity', NULL, NULL, NULL, count(*) FROM groups"""))
 def _(spark, sf):
     """Events with their group's triage and the commit log, read back after a second attempt that stops half-way."""
-    out = run_pipeline({"events": events(spark, sf), "artifacts": evidence(spark, sf, "artifacts")}, with_threads=False)
-    folder = new_folder(spark, "evidence")
-    tables = {name: out[name] for name in ("events", "activity", "limitations")}
+    rows, folder = checkpoint(classified(spark, sf)), new_folder(spark, "evidence")
+    groups = A.activity_groups(rows)
+    tables = {"events": A.with_group_triage(rows, groups), "activity": groups}
     write_evidence_tables(tables, folder, run_id="r")
-    broken = out["activity"].limit(1).withColumn("n", F.raise_error(F.lit("stopped")).cast("int"))
+    broken = groups.withColumn("occurrences", F.raise_error(F.lit("stopped")).cast("bigint"))
     try:
-        write_evidence_tables({"events": out["events"].limit(1), "activity": broken}, folder, run_id="r")
+        write_evidence_tables(tables | {"activity": broken}, folder, run_id="r")
     except Exception as stopped:
         if "stopped" not in str(stopped):
             raise
