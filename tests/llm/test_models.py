@@ -42,11 +42,11 @@ def _key(r):
     return (r[0] is None, r[0] or 0, r[2], r[5])
 
 
-@pytest.mark.parametrize("hashed, at_once", [(32_768, 1_000_000), (16, 5000)])
-def test_base_scores_as_brute_force(few_docs, odd_docs, no_docs, hashed, at_once):
+@pytest.mark.parametrize("hashed, chunked", [(32_768, 1_000_000), (16, 5000)])
+def test_base_scores_as_brute_force(few_docs, odd_docs, no_docs, hashed, chunked):
     for docs in (few_docs, odd_docs):
         want = sorted(_base([(r["doc_id"], r["text"]) for r in docs.collect()]), key=_key)
-        rows = score_texts(docs, hashed=hashed, rounds=1, at_once=at_once).collect()
+        rows = score_texts(docs, hashed=hashed, rounds=1, chunked=chunked).collect()
         got = sorted([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])
                       for r in rows], key=_key)
         for a, b in zip(want, got, strict=True):
@@ -150,7 +150,7 @@ def test_scores_as_brute_force(spark, hashed):
         for (own, _), t in zip(rows, texts, strict=True))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"])
-                 for r in score_texts(docs, hashed=hashed, rounds=2, at_once=100).collect())
+                 for r in score_texts(docs, hashed=hashed, rounds=2, chunked=100).collect())
     for a, b in zip(want, got, strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
 

@@ -24,8 +24,8 @@ STATES, HASHED, ROUNDS = 4, 32_768, 2
 PRIOR = 2.0
 #: Fixed values of the base score: what is added to a count, and every which document is held out.
 ADDED, FOLDS = 0.1, 10
-#: Tokens of a chunk of texts, unless one text is longer.
-AT_ONCE = 1_000_000
+#: Tokens of a chunk of texts, and of those worked on together inside it, unless one text is longer.
+CHUNKED, AT_ONCE = 2_000_000, 1_000_000
 
 
 def _words(text: str) -> list[bytes]:
@@ -57,8 +57,8 @@ def _numbers(planes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def chunks(docs: DataFrame, hashed: int = HASHED, at_once: int = AT_ONCE) -> DataFrame:
-    """The texts of ``docs (doc_id, text)``, about ``at_once`` tokens a row.
+def chunks(docs: DataFrame, hashed: int = HASHED, chunked: int = CHUNKED) -> DataFrame:
+    """The texts of ``docs (doc_id, text)``, about ``chunked`` tokens a row.
 
     ``symbols`` are the texts one after another as numbers into ``words``, each text followed by its end, the word
     ``""``; frequent words have small numbers. ``classes`` are the words' classes in the tied model.
@@ -88,7 +88,7 @@ def chunks(docs: DataFrame, hashed: int = HASHED, at_once: int = AT_ONCE) -> Dat
                     ids.append(own)
                     texts.append(np.fromiter(map(words.__getitem__, [*found, b""]), "<u4", len(found) + 1))
                     held += len(found) + 1
-                    if held >= at_once:
+                    if held >= chunked:
                         yield row(number, ids, texts, words)
                         number, ids, texts, words, held = number + 1, [], [], Numbers(), 0
         if ids:
@@ -124,21 +124,34 @@ class Chunk:
 
         A word's share in its class is the same in all states, so it does not move the expectation.
         """
-        k = len(tied.initial)
-        if not self.training:
-            n = len(self.classes)
-            return np.zeros(k), np.zeros((k, k)), np.zeros(n, np.int64), np.zeros((n, k))
+        k, n = len(tied.initial), len(self.classes)
+        first, pairs, counts, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(n, np.int64), np.zeros((n, k))
         own = Hmm(tied.initial, tied.moves, tied.emits[self.classes])
-        counts = np.bincount(np.concatenate(self.training), minlength=len(self.classes))
-        first, pairs, emitted = own.expected(self.training)
+        for texts in _together(self.training):
+            counts += np.bincount(np.concatenate(texts), minlength=n)
+            for total, part in zip((first, pairs, emitted), own.expected(texts), strict=True):
+                total += part
         return first, pairs, counts, emitted
 
 
+def _together(texts: list[np.ndarray]):
+    """Runs of texts of about ``AT_ONCE`` tokens."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text)
+        held += len(text)
+        if held >= AT_ONCE:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 def _class_sequences(batches):
     """The training texts of each chunk as sequences of classes."""
     for chunk in Chunk.each(batches):
-        if chunk.training:
-            yield [chunk.classes[t] for t in chunk.training]
+        for texts in _together(chunk.training):
+            yield [chunk.classes[t] for t in texts]
 
 
 def _sequences(batches):
@@ -342,7 +355,7 @@ def added_up(parts: DataFrame, k: int) -> tuple[DataFrame, Untied, int, int]:
 
 
 def score_texts(docs: DataFrame, states: int = STATES, hashed: int = HASHED, rounds: int = ROUNDS,
-                doc_id: str = "doc_id", text: str = "text", at_once: int = AT_ONCE) -> DataFrame:
+                doc_id: str = "doc_id", text: str = "text", chunked: int = CHUNKED) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     ``base_score`` is the smoothed unigram score and ``score`` the model's, both log10. A null text is empty: its end
@@ -351,7 +364,7 @@ def score_texts(docs: DataFrame, states: int = STATES, hashed: int = HASHED, rou
     ``hashed`` bounds the tied model of the first ``rounds``; the last round gives every word emissions of its own.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    texts = written(chunks(docs, hashed, at_once))
+    texts = written(chunks(docs, hashed, chunked))
     tied = Hmm.started(np.full(hashed, 1 / hashed), states)
     for _ in range(rounds):
         tied = tied.trained(texts.select("doc_ids", "lengths", "classes", "symbols"), _class_sequences)
@@ -375,7 +388,7 @@ def score_texts(docs: DataFrame, states: int = STATES, hashed: int = HASHED, rou
             "n_tokens": pa.array([len(t) for t in chunk.texts], pa.int64()),
             "n_known": pa.array([int((counts[t] > 0).sum()) for t in chunk.texts], pa.int64()),
             "base_score": pa.array([float(logs[t].sum()) for t in chunk.texts], pa.float64()),
-            "score": pa.array(own.log10_likelihoods(chunk.texts), pa.float64())})
+            "score": pa.array(np.concatenate([own.log10_likelihoods(t) for t in _together(chunk.texts)]))})
 
     scored = texts.drop("words").groupBy("chunk").cogroup(common.groupBy("of")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
