@@ -153,6 +153,15 @@ def test_windows_xml_files(spark, tmp_path):
     assert len(block["command_line"]) == 4000 and block["command_reconstruction_status"] == "PARTIAL"
 
 
+def test_windows_records_are_parsed_once(spark):
+    rows = spark.range(4).selectExpr("'h' AS endpoint_id", "concat('<Event><System><EventID>4104</EventID></System><EventData>"
+                                     "<Data Name=\"ScriptBlockText\"> a -token ', id, ' b </Data></EventData></Event>') AS xml")
+    blocks = WN.parse_powershell_blocks(WN.parse_event_xml(rows))
+    plan = blocks.select("command_line", "command_reconstruction_status")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1                 # neither the filter nor a field parses the record again
+    assert sorted(r["command_line"] for r in blocks.collect()) == ["a -token [redacted] b"] * 4
+
+
 def test_userassist_and_prefetch(spark):
     ticks = (EPOCH + 11644473600) * 10_000_000
     value = bytearray(72)

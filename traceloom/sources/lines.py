@@ -54,6 +54,15 @@ def scope(df: DataFrame) -> list[str]:
     return [c for c in ("investigation_id", "endpoint_id") if c in df.columns]
 
 
+def once(df: DataFrame, keep, columns: dict) -> DataFrame:
+    """``keep`` and new columns, each computed once a row however often it is read.
+
+    Expressions of a plain projection are copied to wherever they are read, filters included; those of a generator are not.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(made)))
+
+
 def words(value="value"):
     """A line split on blanks, without empty words."""
     return F.filter(F.split(F.trim(F.col(value)), r"\s+"), lambda w: w != "")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import functions as X
 from .. import vocab as V
 from ..operators.events import build_event
-from .lines import ENDPOINT_IN_PATH, scope
+from .lines import ENDPOINT_IN_PATH, once, scope
 
 EVENT_SCHEMA = (
     "System struct<EventID:string,EventRecordID:string,TimeCreated:struct<_SystemTime:string>>,"
@@ -28,7 +28,7 @@ def read_event_xml(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_event_xml(records: DataFrame, column="xml") -> DataFrame:
-    return records.withColumn("_e", F.from_xml(F.col(column), EVENT_SCHEMA)).select(
+    return once(records, scope(records), {"_e": F.from_xml(F.col(column), EVENT_SCHEMA)}).select(
         *scope(records), "_e.System", "_e.EventData")
 
 
@@ -101,12 +101,10 @@ def parse_powershell_blocks(records: DataFrame, *, window=None, text_limit: int
     """Event 4104. A block numbered above one is only part of a script; ``text_limit`` cuts its text on request."""
     script = F.trim(_data("ScriptBlockText"))
     script = script if text_limit is None else F.substring(script, 1, text_limit)
-    rows = records.filter(F.col("System.EventID") == "4104").select(
-        *scope(records), F.col("System.EventRecordID").alias("rid"),
-        F.col("System.TimeCreated._SystemTime").alias("when"),
-        X.redact_command_line(script).alias("m"),
-        _data("Path").alias("path"), _data("ScriptBlockId").alias("block"),
-        _data("MessageNumber").alias("number"))
+    rows = once(records.filter(F.col("System.EventID") == "4104"), scope(records), {
+        "rid": F.col("System.EventRecordID"), "when": F.col("System.TimeCreated._SystemTime"), "script": script,
+        "path": _data("Path"), "block": _data("ScriptBlockId"), "number": _data("MessageNumber")})
+    rows = once(rows, [c for c in rows.columns if c != "script"], {"m": X.redact_command_line("script")})
     rows = rows.withColumn("ts", X.parse_timestamp("when")).filter(X.in_window("ts", window))
     whole = F.col("number").isNull() | (F.col("number") == "1")
     return build_event(
