@@ -149,3 +149,24 @@ def test_commands_of_a_megabyte(spark):
     by = {r["n"]: r for r in found.collect()}
     assert len(by) == len(LONG) and by[0]["a"] == len("cat ab") and by[5]["p4"] and by[6]["p0"]
     assert by[4]["b"] == len(LONG[4]) - len("value") + len(V.REDACTION)
+
+
+def test_words_and_masks_are_those_of_the_plain_rules(spark):
+    import re
+    from traceloom import vocab as V
+    texts = ["curl -fsSL https://Get1.example.com/a.sh | sh", "--token=abc PASSWORD=x a-token-b x--name.y_z- -drop-me keep-this",
+             "  tool-cli　-x tool-cli  ", "--", "a -b-c\x1f-dashed word_.", "API_KEY=1 Bearer abc def", "", None, "-"]
+    rows = spark.createDataFrame([(i, t, "/usr/bin/some-tool.v2") for i, t in enumerate(texts)], "i int, t string, e string")
+    plan = rows.select(X.distinctive_tokens("t", "e", "e").alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 3                   # each text is searched once per pattern
+    got = {r.i: r for r in rows.select("i", X.distinctive_tokens("t", "e", "e").alias("w"), X.mask_secrets("t").alias("m")).collect()}
+    for i, t in enumerate(texts):
+        words = [w for w in re.split("[\\s\x1c-\x1f\u0085  　]+", t or "") if not w.startswith("-")] + ["some-tool.v2"]
+        whole = [re.sub(r"^[._-]+|[._-]+\Z", "", x.lower()) for w in words for x in re.findall(V.TOKEN, w)]
+        telling = lambda x: len(x) >= 4 and x not in V.COMMON_WORDS and not x.isdigit()      # noqa: E731
+        want = {x for x in whole if telling(x)} | {p for x in whole if telling(x) for p in re.split("[-_.]", x) if telling(p)}
+        want |= {h.lower() for h in re.findall(r"https?://([^/:|'\"\s]+)", t or "")}
+        assert set(got[i].w) == want and len(got[i].w) == len(want)
+    assert [got[i].m for i in (0, 1, 5)] == [texts[0], "--token=[redacted] PASSWORD=[redacted] a-token-b x--name.y_z- -drop-me keep-this",
+                                            "API_KEY=[redacted] Bearer [redacted] def"]
+    assert got[6].m is None and got[7].m is None
