@@ -286,3 +286,49 @@ def test_briefs_for_all_subjects(make_events, make_artifacts, kind):
     assert rows and all(r["summary"] and r["evidence_ids"] for r in rows)
     with pytest.raises(ValueError):
         N.briefs(tables, "nothing")
+
+
+class Store:
+    """A handle that counts the calls to the state store."""
+
+    def __init__(self):
+        self.calls, self.rows, self.timers = 0, None, []
+
+    def getListState(self, name, schema):
+        return self
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows) if isinstance(self.rows, list) else self.rows
+
+    def exists(self):
+        self.calls += 1
+        return self.rows is not None
+
+    def update(self, row):
+        self.calls, self.rows = self.calls + 1, row
+
+    def appendValue(self, row):
+        self.calls, self.rows = self.calls + 1, (self.rows or []) + [row]
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+@pytest.mark.parametrize("kind", ["digests", "hosts", "runs"])
+def test_a_bucket_is_one_call_not_one_a_key(kind):
+    from traceloom.streaming import states
+    made = {"digests": lambda: states.DigestsInOrder(["hash", "algorithm"], [], None), "hosts": lambda: states.HostStates(1000),
+            "runs": lambda: states.FirstRun(["endpoint_id", "path"], 1000)}[kind]()
+    store = Store()
+    made.init(store)
+    rows = [{"endpoint_id": f"h{n}", "path": "/p", "micros": n * 1000, "hash": "x", "algorithm": "y", "status": "active",
+             "record": "r", "event_id": "e", "download": None} for n in range(500)]
+    list(made.handleInputRows((0,), iter(rows), store))
+    assert store.calls < 10 and len(store.timers) < 2

@@ -1,10 +1,14 @@
-"""Keyed state of the streaming operators: what one key remembers, and what it tells as event time passes.
+"""Keyed state of the streaming operators: what keys remember, and what they tell as event time passes.
 
 Used with ``transformWithState`` in event time; the state store must be RocksDB
-(:data:`traceloom.session.STREAMING`). Each processor reads and writes the state of the keys of a batch only. Moments
-are microseconds since 1970, so no time zone plays a part.
+(:data:`traceloom.session.STREAMING`). Rows are grouped by a bucket of their keys, and a bucket keeps what its keys
+remember as one value: a call to the state store costs as much as hundreds of rows, so it is made once a bucket and
+batch, not once a key. Each processor reads and writes the buckets of a batch only. Moments are microseconds since
+1970, so no time zone plays a part.
 """
 
+import pickle
+
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,21 +27,21 @@ def _cells(rows, columns) -> list[tuple]:
     return [tuple(row[c] for c in columns) for row in rows]
 
 
-class _Keyed(StatefulProcessor):
-    def value(self, state, default=None):
-        return tuple(state.get()) if state.exists() else default
+class _Bucket(StatefulProcessor):
+    def value(self, state, default):
+        return pickle.loads(state.get()[0]) if state.exists() else default
 
-    def items(self, state) -> list[tuple]:
-        return [tuple(row) for row in state.get()]
+    def keep(self, state, value) -> None:
+        state.update((pickle.dumps(value),))
 
     def close(self) -> None:
         pass
 
 
-class DigestsInOrder(_Keyed):
-    """Observations of one path, compared with the one before once the watermark has passed them.
+class DigestsInOrder(_Bucket):
+    """Observations of the paths of a bucket, each compared with the one before once the watermark has passed them.
 
-    A row is its moment and the other columns as text; ``numbers`` tells which of these sort as numbers.
+    A row is its key, its moment and the other columns as text; ``numbers`` tells which of these sort as numbers.
     """
 
     def __init__(self, columns: list[str], numbers: list[str], forget_ms: int | None):
@@ -46,105 +50,132 @@ class DigestsInOrder(_Keyed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "micros long, " + ", ".join(f"{c} string" for c in self.columns))
-        self.last = handle.getValueState("last", "micros long, hash string, algorithm string")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.last = handle.getValueState("last", "paths binary")
 
     def _order(self, row):
-        cells = [int(v) if number and v is not None else v for v, number in zip(row[1:], self.numbers)]
-        return _sorts((row[0], *cells))
+        cells = [int(v) if number and v is not None else v for v, number in zip(row[3:], self.numbers)]
+        return _sorts((row[2], *cells))
 
     def handleInputRows(self, key, rows, timerValues):
-        new = _cells(rows, ["micros", *self.columns])
-        self.waiting.appendList(new)
-        self.handle.registerTimer(max(_timer(min(r[0] for r in new)), timerValues.getCurrentWatermarkInMs() + 1))
+        new = _cells(rows, ["endpoint_id", "path", "micros", *self.columns])
+        self.waiting.appendValue((pickle.dumps(new),))
+        self.handle.registerTimer(max(_timer(min(r[2] for r in new)), timerValues.getCurrentWatermarkInMs() + 1))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.items(self.waiting), key=self._order)
-        ready = [r for r in held if _timer(r[0]) <= now]
-        rest, before = held[len(ready):], self.value(self.last)
+        held = [r for part in self.waiting.get() for r in pickle.loads(part[0])]
+        ready = sorted((r for r in held if _timer(r[2]) <= now), key=self._order)
+        rest = [r for r in held if _timer(r[2]) > now]
         if ready:
-            digest, algorithm = self.columns.index("hash"), self.columns.index("algorithm")
+            last = self.value(self.last, {})
+            digest, algorithm = 3 + self.columns.index("hash"), 3 + self.columns.index("algorithm")
             told = Row("endpoint_id", "path", "micros", *self.columns, "previous_micros", "previous_hash", "previous_algorithm")
-            for micros, *cells in ready:
+            for row in ready:
+                micros, before = row[2], last.get(row[:2])
                 if before is not None and self.forget_ms is not None and micros - before[0] > 1000 * self.forget_ms:
                     before = None
-                yield told(*key, micros, *cells, *(before or (None, None, None)))
-                before = (micros, cells[digest], cells[algorithm])
-            self.last.update(before)
+                yield told(*row, *(before or (None, None, None)))
+                last[row[:2]] = (micros, row[digest], row[algorithm])
+            self.keep(self.last, last)
             self.waiting.clear()
             if rest:
-                self.waiting.put(rest)
+                self.waiting.appendValue((pickle.dumps(rest),))
         if rest:
-            self.handle.registerTimer(_timer(rest[0][0]))
-        elif before is not None and self.forget_ms is not None:
-            until = _timer(before[0]) + self.forget_ms + 1
-            if until <= now:
-                self.last.clear()
-            else:
-                self.handle.registerTimer(until)
+            self.handle.registerTimer(_timer(min(r[2] for r in rest)))
+        if self.forget_ms is not None:
+            self._forget(now)
+
+    def _forget(self, now: int) -> None:
+        last = self.value(self.last, {})
+        until = {path: _timer(before[0]) + self.forget_ms + 1 for path, before in last.items()}
+        known = {path: last[path] for path, end in until.items() if end > now}
+        if len(known) < len(last):
+            self.keep(self.last, known)
+        if known:
+            self.handle.registerTimer(min(until[path] for path in known))
+
+
+class _Armed(_Bucket):
+    """One timer a bucket: never later than the first moment at which one of its keys is due."""
 
+    def arm(self, armed: int | None, due: int | None) -> int | None:
+        """The timer after something is due at ``due``."""
+        if due is None or (armed is not None and armed <= due):
+            return armed
+        self.handle.registerTimer(due)
+        return due
 
-class HostStates(_Keyed):
-    """One host: its newest heartbeat and the state last told."""
+
+class HostStates(_Armed):
+    """The hosts of a bucket: of each its newest heartbeat, the state last told, and when it is due to change."""
 
     def __init__(self, stale_ms: int):
         self.stale_ms = stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.host = handle.getValueState("host", "seen long, status string, told string, change long")
+        self.hosts = handle.getValueState("hosts", "hosts binary")
 
     def _due(self, seen: int) -> int:
         """The first millisecond at which a host last seen then is stale."""
         return seen // 1000 + self.stale_ms + 1
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        seen, status = max(_cells([initialState], ["micros", "status"]), key=_sorts)
-        self.host.update((seen, status, "", 0))
-        self.handle.registerTimer(1 if seen is None or status == "revoked" else self._due(seen))
+        hosts = {}
+        for host, seen, status in sorted(_cells(initialState["hosts"], ["endpoint_id", "micros", "status"]),
+                                         key=lambda r: _sorts(r[1:])):
+            hosts[host] = (seen, status, "", 0, 1 if seen is None or status == "revoked" else self._due(seen))
+        self.keep(self.hosts, (hosts, self.arm(None, min(h[4] for h in hosts.values()))))
 
     def handleInputRows(self, key, rows, timerValues):
-        host, now = self.value(self.host, (None, None, "", 0)), timerValues.getCurrentWatermarkInMs()
-        new = [r for r in sorted(_cells(rows, ["micros", "status"]), key=_sorts) if host[0] is None or r[0] > host[0]]
-        for micros, status in new:
-            if host[2] == "healthy" and micros // 1000 >= self._due(host[0]):          # it was stale before this one came
-                host = yield from self._told(key, *host, "stale", self._due(host[0]) * 1000)
+        (hosts, armed), now = self.value(self.hosts, ({}, None)), timerValues.getCurrentWatermarkInMs()
+        start, touched = {}, set()
+        for name, micros, status in sorted(_cells(rows, ["endpoint_id", "micros", "status"]), key=lambda r: _sorts(r[1:])):
+            seen, was, told, change, _ = hosts.get(name, (None, None, "", 0, None))
+            first = start.setdefault(name, seen)
+            if first is not None and micros <= first:
+                continue
+            if told == "healthy" and micros // 1000 >= self._due(seen):                     # it was stale before this one came
+                told, change = "stale", change + 1
+                yield self._told(name, change, told, seen, self._due(seen) * 1000)
             due = self._due(micros)
             state = "revoked" if status == "revoked" else "stale" if due <= now else "healthy"
-            host = yield from self._told(key, micros, status, *host[2:], state, micros)
-        if new:
-            self.host.update(host)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if host[2] == "healthy":
-                self.handle.registerTimer(self._due(host[0]))
+            if state != told:
+                told, change = state, change + 1
+                yield self._told(name, change, told, micros, micros)
+            hosts[name] = (micros, status, told, change, due if told == "healthy" else None)
+            touched.add(name)
+        if touched:
+            dues = [hosts[name][4] for name in touched if hosts[name][4] is not None]
+            self.keep(self.hosts, (hosts, self.arm(armed, min(dues, default=None))))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        seen, status, told, change = self.value(self.host)
-        state = "revoked" if status == "revoked" else "never_seen" if seen is None else "stale"
-        moment = None if state != "stale" else expiredTimerInfo.getExpiryTimeInMs() * 1000
-        self.host.update((yield from self._told(key, seen, status, told, change, state, moment)))
+        (hosts, _), now = self.value(self.hosts, ({}, None)), timerValues.getCurrentWatermarkInMs()
+        for name, (seen, status, told, change, due) in hosts.items():
+            if due is None or due > now:
+                continue
+            state = "revoked" if status == "revoked" else "never_seen" if seen is None else "stale"
+            if state != told:
+                change += 1
+                yield self._told(name, change, state, seen, due * 1000 if state == "stale" else None)
+            hosts[name] = (seen, status, state, change, None)
+        self.keep(self.hosts, (hosts, self.arm(None, min((h[4] for h in hosts.values() if h[4] is not None), default=None))))
 
-    def _told(self, key, seen, status, told, change, state, moment):
-        """Tells a state that is new; the host after it."""
-        if state == told:
-            return seen, status, told, change
-        yield Row(endpoint_id=key[0], change=change + 1, state=state, seen=seen, moment=moment)
-        return seen, status, state, change + 1
+    def _told(self, name, change, state, seen, moment):
+        return Row(endpoint_id=name, change=change, state=state, seen=seen, moment=moment)
 
 
-class FirstRun(_Keyed):
-    """One path of a host: its first run, and the downloads that still wait for it."""
+class FirstRun(_Armed):
+    """The paths of a bucket: of each its first run, and the downloads that still wait for it."""
 
     def __init__(self, keys: list[str], most_ms: int):
         self.keys, self.most = keys, most_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "micros long, record string, event_id string")
-        self.waiting = handle.getListState("waiting", "micros long, download string")
+        self.paths = handle.getValueState("paths", "paths binary")
 
     def _due(self, micros: int, first) -> int:
         """When nothing that comes later can change what is told of a download."""
@@ -152,33 +183,34 @@ class FirstRun(_Keyed):
         return _timer(latest if first is None else max(micros, min(first[0], latest)))
 
     def handleInputRows(self, key, rows, timerValues):
-        new = _cells(rows, ["micros", "record", "event_id", "download"])
-        runs = [r[:3] for r in new if r[3] is None]
-        first = self.value(self.first)
-        if runs:
-            least = min(runs, key=_sorts)
-            if first is None or _sorts(least) < _sorts(first):
-                first = least
-                self.first.update(first)
-        got = [(r[0], r[3]) for r in new if r[3] is not None]
-        if got:
-            self.waiting.appendList(got)
-        now = timerValues.getCurrentWatermarkInMs()
-        for due in {max(self._due(micros, first), now + 1) for micros, _ in self.items(self.waiting)}:
-            self.handle.registerTimer(due)
+        firsts, waiting, armed = self.value(self.paths, ({}, {}, None))
+        touched, n = set(), len(self.keys)
+        for row in _cells(rows, [*self.keys, "micros", "record", "event_id", "download"]):
+            path, micros, record, event, download = row[:n], *row[n:]
+            if download is not None:
+                waiting.setdefault(path, []).append((micros, download))
+            else:
+                run, first = (micros, record, event), firsts.get(path)
+                if first is not None and (micros > first[0] or _sorts(run) >= _sorts(first)):
+                    continue
+                firsts[path] = run
+            touched.add(path)
+        if touched:
+            now = timerValues.getCurrentWatermarkInMs()
+            dues = [self._due(micros, firsts.get(path)) for path in touched for micros, _ in waiting.get(path, ())]
+            armed = self.arm(armed, max(min(dues), now + 1) if dues else None)
+            self.keep(self.paths, (firsts, waiting, armed))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        first, now = self.value(self.first), timerValues.getCurrentWatermarkInMs()
-        held = self.items(self.waiting)
-        ready = [r for r in held if self._due(r[0], first) <= now]
-        if not ready:
-            return
-        rest = [r for r in held if self._due(r[0], first) > now]
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-        told = Row(*self.keys, "downloaded", "download", "event_id", "ran")
-        for micros, download in ready:
-            if first is not None and first[0] - micros <= self.most:
-                yield told(*key, micros, download, first[2], first[0])
+        (firsts, waiting, _), now = self.value(self.paths, ({}, {}, None)), timerValues.getCurrentWatermarkInMs()
+        told, rest = Row(*self.keys, "downloaded", "download", "event_id", "ran"), {}
+        for path, held in waiting.items():
+            first = firsts.get(path)
+            for micros, download in held:
+                if self._due(micros, first) > now:
+                    rest.setdefault(path, []).append((micros, download))
+                elif first is not None and first[0] - micros <= self.most:
+                    yield told(*path, micros, download, first[2], first[0])
+        dues = [self._due(micros, firsts.get(path)) for path, held in rest.items() for micros, _ in held]
+        self.keep(self.paths, (firsts, rest, self.arm(None, min(dues, default=None))))

@@ -15,6 +15,13 @@ from .states import DigestsInOrder, FirstRun, HostStates
 # What keeps state goes to its workers whole: the one that starts a stream does not see the package.
 cloudpickle.register_pickle_by_value(states)
 
+#: Keys keep their state in so many buckets; a bucket is one value of the state store.
+BUCKETS = 1024
+
+
+def _bucket(keys, buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
 
 def stream_score(events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Classified events of a stream, joined with a static artifact table.
@@ -53,21 +60,22 @@ def stream_dedupe(events: DataFrame, *, watermark="1 hour") -> DataFrame:
         ["investigation_id", "endpoint_id", "source", "source_record_id"])
 
 
-def stream_hash_changes(observations: DataFrame, *, delay="1 hour", forget_after: str | None = None) -> DataFrame:
+def stream_hash_changes(observations: DataFrame, *, delay="1 hour", forget_after: str | None = None,
+                        buckets: int = BUCKETS) -> DataFrame:
     """Each dated observation with the one before it at the same path, and what changed.
 
     The streaming form of :func:`~traceloom.operators.ledger.hash_history`, with the same order. Rows wait in the state
     of their path until the watermark has passed them, so whatever order they arrive in (within ``delay``) they are
     compared in order of time. State is the last digest of a path and what still waits; ``forget_after`` drops it when
-    a path has been quiet for so long. Rows later than the watermark are dropped; :func:`split_late` keeps them apart.
+    a path has been quiet for so long. Paths share ``buckets`` of state, whose number is fixed for a stream. Rows later than the watermark are dropped; :func:`split_late` keeps them apart.
     """
     dated, _ = split_undated(observations)
     known = [c for c in ("seq", "hash", "algorithm", "size_bytes") if c in dated.columns]
     kinds = dict(dated.dtypes)
     numbers = [c for c in known if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
-    rows = dated.select("endpoint_id", "path", "ts", F.unix_micros("ts").alias("micros"),
+    rows = dated.select(_bucket(["endpoint_id", "path"], buckets), "endpoint_id", "path", "ts", F.unix_micros("ts").alias("micros"),
                         *[F.col(c).cast("string").alias(c) for c in known])
-    told = rows.withWatermark("ts", delay).groupBy("endpoint_id", "path").transformWithState(
+    told = rows.withWatermark("ts", delay).groupBy("bucket").transformWithState(
         DigestsInOrder(known, numbers, _milliseconds(forget_after)),
         f"endpoint_id {kinds['endpoint_id']}, path {kinds['path']}, micros long, "
         + ", ".join(f"{c} string" for c in known)
@@ -84,7 +92,8 @@ def last_seen(heartbeats: DataFrame) -> DataFrame:
 
 
 def stream_endpoint_health(heartbeats: DataFrame, endpoints: DataFrame | None = None, *,
-                           stale_seconds=V.STALE_AFTER_SECONDS, clock="ts", delay="0 seconds") -> DataFrame:
+                           stale_seconds=V.STALE_AFTER_SECONDS, clock="ts", delay="0 seconds",
+                           buckets: int = BUCKETS) -> DataFrame:
     """Each change of a host's state: ``never_seen``, ``healthy``, ``stale``, ``revoked``; ``change`` counts them per host.
 
     ``heartbeats(endpoint_id, ts, status)``; ``endpoints(endpoint_id, status, last_seen)`` is what is known before.
@@ -93,12 +102,14 @@ def stream_endpoint_health(heartbeats: DataFrame, endpoints: DataFrame | None =
     is no newer changes nothing. A known host that never sent one is told as ``never_seen`` once the clock runs.
     """
     beats = heartbeats.filter(F.col("ts").isNotNull() & F.col(clock).isNotNull()).select(
-        "endpoint_id", F.col(clock).alias("clock"), F.unix_micros("ts").alias("micros"), "status")
-    known = None if endpoints is None else endpoints.select(
-        "endpoint_id", "status", F.unix_micros(F.col("last_seen").cast("timestamp")).alias("micros")).groupBy("endpoint_id")
-    told = beats.withWatermark("clock", delay).groupBy("endpoint_id").transformWithState(
+        _bucket(["endpoint_id"], buckets), "endpoint_id", F.col(clock).alias("clock"), F.unix_micros("ts").alias("micros"), "status")
+    kind = dict(beats.dtypes)["endpoint_id"]
+    known = None if endpoints is None else endpoints.select(F.col("endpoint_id").cast(kind), "status", F.unix_micros(
+        F.col("last_seen").cast("timestamp")).alias("micros")).groupBy(_bucket(["endpoint_id"], buckets)).agg(
+            F.collect_list(F.struct("endpoint_id", "micros", "status")).alias("hosts")).groupBy("bucket")
+    told = beats.withWatermark("clock", delay).groupBy("bucket").transformWithState(
         HostStates(stale_seconds * 1000),
-        f"endpoint_id {dict(beats.dtypes)['endpoint_id']}, change long, state string, seen long, moment long",
+        f"endpoint_id {kind}, change long, state string, seen long, moment long",
         "append", "EventTime", known)
     return told.select("endpoint_id", "change", "state", F.timestamp_micros("seen").alias("last_seen"),
                        F.timestamp_micros("moment").alias("as_of"))
@@ -144,7 +155,7 @@ def stream_download_then_run(downloads: DataFrame, events: DataFrame, *,
 
 
 def stream_first_runs(downloads: DataFrame, events: DataFrame, *, max_hours=V.DOWNLOAD_TO_EXECUTION_HOURS,
-                      delay="2 hours") -> DataFrame:
+                      delay="2 hours", buckets: int = BUCKETS) -> DataFrame:
     """At most one row per download: the first dated event that names its path, unless that is over ``max_hours`` later.
 
     The rule of :func:`~traceloom.operators.cross_source.link_downloads` over a stream: per host and path the state
@@ -164,8 +175,8 @@ def stream_first_runs(downloads: DataFrame, events: DataFrame, *, max_hours=V.DO
         (F.col("source_record_id") if "source_record_id" in events.columns else F.col("event_id")).alias("record"),
         F.lit(None).cast("string").alias("download"))
     keys = [*scope, "path"]
-    told = got.unionByName(runs).withColumn("micros", F.unix_micros("at")).withWatermark("at", delay).groupBy(
-        *keys).transformWithState(
+    told = got.unionByName(runs).withColumns({"micros": F.unix_micros("at"), "bucket": _bucket(keys, buckets)}).withWatermark(
+        "at", delay).groupBy("bucket").transformWithState(
             FirstRun(keys, int(max_hours * 3_600_000)), ", ".join(f"{k} string" for k in keys)
             + ", downloaded long, download string, event_id string, ran long", "append", "EventTime")
     kinds = ", ".join(f"`{c}` {k}" for c, k in downloads.dtypes if c in rest)
