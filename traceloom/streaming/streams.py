@@ -67,7 +67,8 @@ def stream_hash_changes(observations: DataFrame, *, delay="1 hour", forget_after
     The streaming form of :func:`~traceloom.operators.ledger.hash_history`, with the same order. Rows wait in the state
     of their path until the watermark has passed them, so whatever order they arrive in (within ``delay``) they are
     compared in order of time. State is the last digest of a path and what still waits; ``forget_after`` drops it when
-    a path has been quiet for so long. Paths share ``buckets`` of state, whose number is fixed for a stream. Rows later than the watermark are dropped; :func:`split_late` keeps them apart.
+    a path has been quiet for so long. Paths share ``buckets`` of state, whose number is fixed
+    for a stream. Rows later than the watermark are dropped; :func:`split_late` keeps them apart.
     """
     dated, _ = split_undated(observations)
     known = [c for c in ("seq", "hash", "algorithm", "size_bytes") if c in dated.columns]
