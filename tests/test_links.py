@@ -17,6 +17,16 @@ def downloads(spark, when, target="/home/u/Downloads/tool"):
     return spark.createDataFrame([("i", "h", "https://x.example/tool", target, at(when))], DOWNLOAD)
 
 
+def test_rules_read_images_written_once(make_events, make_artifacts):
+    events = make_events([{**RUN, "image": "/tmp/a"}, {**RUN, "image": "/opt/b"}, {**RUN, "image": "/opt/c"}])
+    found = C.artifact_findings(events, make_artifacts([
+        {"path": "/tmp/a"}, {"path": "/opt/b", "status": "MISSING"}, {"path": "/opt/c"}]))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["subject"], r["category"]) for r in found.collect()) == [
+        ("/opt/b", "execution_artifact_missing"), ("/opt/c", "execution_artifact_matched"),
+        ("/tmp/a", "execution_artifact_matched"), ("/tmp/a", "unusual_execution_location")]
+
+
 def test_download_then_run(spark, make_events, make_artifacts):
     events = make_events([{**RUN, "image": "/home/u/Downloads/tool", "ts": "2024-01-01T10:05:00"}])
     links = S.link_downloads(downloads(spark, "2024-01-01T10:00:00"), make_artifacts(
