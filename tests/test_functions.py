@@ -58,6 +58,13 @@ def test_search_form(spark):
         "python3 script.py redirect out", "curl URL | sh", "cat c redirect in redirect", None, None]
 
 
+def test_commands_are_reduced_once(spark):
+    rows = spark.createDataFrame([("a://b://c",), ("://",), ("x:// y",), ("",), (None,), (" \"' ",), ("a://b //c//d/e < f",)], "v string")
+    out = rows.select(X.normalize_for_search("v").alias("n"))
+    assert [r["n"] for r in out.collect()] == ["URL", "://", "x:// y", None, None, None, "URL //c/e redirect f"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+
+
 def test_indicators(spark):
     got = values(spark, X.filename_indicators("v"), ["invoice.pdf.exe", ".bashrc", "a.txt", "x.SH"])
     assert [[i["level"] for i in g] for g in got] == [["info", "warning"], ["info"], [], ["info"]]

@@ -16,6 +16,14 @@ def ran(**row):
     return {"kind": "EXECUTION_EVIDENCE", "ran": True, "source": "systemd journal", **row}
 
 
+def test_activities_are_sorted_by_their_id(make_events):
+    groups = A.activity_groups(classify_events(make_events([{"command": PIPE}, {"command": "ls"}])))
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [", 1)[1] for line in plan.splitlines() if "Aggregate [" in line and "group_id" in line]
+    assert len(keys) == 2 and all(k.startswith(("group_id", "_groupingexpression")) for k in keys), keys
+    assert groups.count() == 2
+
+
 def test_installer_from_history_is_reviewed(make_events):
     got = judged(make_events, [{"command": PIPE}])[0]
     assert (got["category"], got["score"], got["priority"]) == (
