@@ -3,14 +3,17 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from traceloom.llm.hmm import Hmm, score_texts
+from traceloom.llm.hmm import ROW_GROUPS, Chunk, Hmm, _listed, chunks, score_texts
 from traceloom.llm.quality_model import classify, evidence, fit, site_posteriors
+from traceloom.session import written
 
 from corpus_samples import COLUMNS
 
@@ -155,6 +158,30 @@ def test_scores_as_brute_force(spark, hashed):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
 
 
+def test_a_chunk_is_packed_and_worked_on_in_runs(spark):
+    """What a task holds of a chunk: rows of packed bytes, few in a row group, and recursions over a part of it."""
+    texts = [" ".join(f"word{w % 977}" for w in range(i, i + 20 + 4000 * (i % 2))) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = chunks(docs).toArrow()
+    chunk, tied = Chunk(rows.to_batches()[0]), Hmm.started(np.full(32_768, 1 / 32_768), 4)
+    assert rows.num_rows == 1 and rows.nbytes < 1_000_000 < sum(map(len, chunk.texts)) * 4
+    assert _listed(rows["letters"][0], rows["ends"][0]).to_pylist().index("") == chunk.texts[0][-1]
+    tracemalloc.start()
+    first, pairs, counts, emitted = chunk.expected(tied)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6
+    own = Hmm(tied.initial, tied.moves, tied.emits[chunk.classes])
+    for part, whole in zip((first, pairs, emitted), own.expected(chunk.training), strict=True):
+        assert np.allclose(part, whole, rtol=1e-9)
+    assert counts.sum() == sum(map(len, chunk.training))
+    assert np.allclose(chunk.log10_likelihoods(own), own.log10_likelihoods(chunk.texts), rtol=1e-12)
+    small = written(chunks(docs, at_once=20_000), **ROW_GROUPS | {"parquet.block.size": 10_000})
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in small.inputFiles()]
+    assert sum(g.num_row_groups for g in groups) > 3
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def _labelled(spark, n=600):
     rng, docs, labels = random.Random(6), [], []
     for i in range(n):
