@@ -332,3 +332,51 @@ def test_a_bucket_is_one_call_not_one_a_key(kind):
              "record": "r", "event_id": "e", "download": None} for n in range(500)]
     list(made.handleInputRows((0,), iter(rows), store))
     assert store.calls < 10 and len(store.timers) < 2
+
+
+def test_hash_changes_go_to_state_packed(spark):
+    """Nulls among the keys, several packs a bucket: as the batch rule; Python meets a pack, not a row, and drops what was overtaken."""
+    import pyarrow as pa
+    from traceloom.streaming import states
+    seen = observations(spark, 200, 4).unionByName(spark.createDataFrame([
+        (host, path, "SHA256", x, 1, T0 + timedelta(hours=h), h) for host, path in ((None, "/p0"), ("h0", None), (None, None))
+        for h, x in enumerate(["aa", "aa", "bb"])], OBSERVED))
+    last = spark.createDataFrame([("", "", "", "", 0, T0 + timedelta(days=99), 0)], OBSERVED)
+    told = replay(spark, {"seen": (seen, "ts")}, lambda s: ST.stream_hash_changes(s["seen"], buckets=3), runs=2,
+                  closing={"seen": last}, settings={"spark.sql.shuffle.partitions": "2"})
+    assert found(told) == found(hash_history(seen.filter("ts IS NOT NULL")))
+
+    def packs(micros, at_once=10_000):
+        n = len(micros)
+        rows = pa.RecordBatch.from_pydict({"bucket": pa.array([0] * n, pa.int32()), "endpoint_id": ["h"] * n, "path": ["/p"] * n,
+                                           "micros": micros, "hash": ["x"] * n, "algorithm": ["y"] * n})
+        return [r for b in states.pack((rows.slice(i, 100) for i in range(0, n, 100)), at_once) for r in b.to_pylist()]
+
+    class Kept(Store):
+        now = 0
+
+        def getListState(self, name, schema):
+            return Kept()
+
+        getValueState = getListState
+
+        def clear(self):
+            self.rows = None
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    made, store = states.DigestsInOrder(["hash", "algorithm"], [], None), Kept()
+    made.init(store)
+    first = packs([1_000_000 * n for n in range(2000)], 500)
+    assert len(first) == 4 and len(packs([0] * 2000)) == 1
+    list(made.handleInputRows((0,), iter(first), store))
+    store.now = 1_500_000
+    out = list(made.handleExpiredTimer((0,), store, None))
+    assert len(out) == 1 and store.timers == [1, 1_501_000]
+    list(made.handleInputRows((0,), iter(packs([1_400_000_000, 1_500_500_000], 500)), store))          # the first was overtaken
+    store.now = 9_000_000
+    out += made.handleExpiredTimer((0,), store, None)
+    rows = [r for b in states.unpack([pa.RecordBatch.from_pydict({"rows": [r["rows"] for r in out]})]) for r in b.to_pylist()]
+    assert len(rows) == 2001 and [r["micros"] for r in rows] == sorted(r["micros"] for r in rows)
+    assert [r["previous_micros"] for r in rows] == [None, *[r["micros"] for r in rows[:-1]]]

@@ -16,6 +16,12 @@ def _closing(df, **values):
     return df.sparkSession.createDataFrame([tuple(values.get(c) for c in df.columns)], names)
 
 
+def _packed(spark):
+    """Settings for packed rows: few partitions, as opening and keeping one costs more than its rows, and few rows a batch."""
+    most = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return {"spark.sql.shuffle.partitions": str(most), "spark.sql.execution.arrow.maxRecordsPerBatch": "200"}
+
+
 def _far(spark, df, moment):
     """A moment past every window after the last row of ``df``."""
     return df.agg((F.max(moment) + F.expr("INTERVAL 100 DAYS")).alias("m")).first()["m"]
@@ -29,9 +35,9 @@ SELECT endpoint_id, path, seq, size_bytes, CASE WHEN ph IS NULL THEN 'first_reco
 def _(spark, sf):
     seen = evidence(spark, sf, "ledger").withColumn("ts", F.col("ts").cast("timestamp"))
     last = _closing(seen, endpoint_id="", path="", ts=_far(spark, seen, "ts"))
-    return replay(spark, {"seen": (seen, "ts")}, lambda s: ST.stream_hash_changes(s["seen"]),
-                  closing={"seen": last}).select(
-        "endpoint_id", "path", "seq", "size_bytes", "status", "previous_hash", "previous_ts")
+    return replay(spark, {"seen": (seen, "ts")}, lambda s: ST.stream_hash_changes(s["seen"]).select(
+        "endpoint_id", "path", "seq", "size_bytes", "status", "previous_hash", "previous_ts"),
+                  closing={"seen": last}, settings=_packed(spark))
 
 
 @query("stream_first_runs", view_sql(["exec_events", "downloads"], """

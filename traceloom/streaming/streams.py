@@ -10,7 +10,7 @@ from .. import vocab as V
 from ..operators.ordering import last_value_so_far, previous_value
 from ..operators.scoring import artifact_lookup, classify_linked
 from . import states
-from .states import DigestsInOrder, FirstRun, HostStates
+from .states import DigestsInOrder, FirstRun, HostStates, pack, unpack
 
 # What keeps state goes to its workers whole: the one that starts a stream does not see the package.
 cloudpickle.register_pickle_by_value(states)
@@ -68,19 +68,21 @@ def stream_hash_changes(observations: DataFrame, *, delay="1 hour", forget_after
     of their path until the watermark has passed them, so whatever order they arrive in (within ``delay``) they are
     compared in order of time. State is the last digest of a path and what still waits; ``forget_after`` drops it when
     a path has been quiet for so long. Paths share ``buckets`` of state, whose number is fixed
-    for a stream. Rows later than the watermark are dropped; :func:`split_late` keeps them apart.
+    for a stream; rows go to it packed by bucket. Rows later than the watermark are dropped where it has moved their
+    bucket on; :func:`split_late` keeps them apart.
     """
     dated, _ = split_undated(observations)
     known = [c for c in ("seq", "hash", "algorithm", "size_bytes") if c in dated.columns]
     kinds = dict(dated.dtypes)
     numbers = [c for c in known if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
-    rows = dated.select(_bucket(["endpoint_id", "path"], buckets), "endpoint_id", "path", "ts", F.unix_micros("ts").alias("micros"),
-                        *[F.col(c).cast("string").alias(c) for c in known])
-    told = rows.withWatermark("ts", delay).groupBy("bucket").transformWithState(
-        DigestsInOrder(known, numbers, _milliseconds(forget_after)),
-        f"endpoint_id {kinds['endpoint_id']}, path {kinds['path']}, micros long, "
-        + ", ".join(f"{c} string" for c in known)
-        + ", previous_micros long, previous_hash string, previous_algorithm string", "append", "EventTime")
+    rows = dated.withWatermark("ts", delay).select(
+        _bucket(["endpoint_id", "path"], buckets), "endpoint_id", "path", F.unix_micros("ts").alias("micros"),
+        *[F.col(c).cast("long" if c in numbers else "string").alias(c) for c in known])
+    told = rows.mapInArrow(pack, "bucket int, first long, rows binary").groupBy("bucket").transformWithState(
+        DigestsInOrder(known, numbers, _milliseconds(forget_after)), "rows binary", "append", "EventTime").mapInArrow(
+            unpack, f"endpoint_id {kinds['endpoint_id']}, path {kinds['path']}, micros long, "
+            + ", ".join(f"{c} {'long' if c in numbers else 'string'}" for c in known)
+            + ", previous_micros long, previous_hash string, previous_algorithm string")
     return told.select(
         "endpoint_id", "path", F.timestamp_micros("micros").alias("ts"), *[F.col(c).cast(kinds[c]).alias(c) for c in known],
         X.compare_hash("previous_hash", "previous_algorithm", "hash", "algorithm").alias("status"),
